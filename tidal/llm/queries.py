@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, secrets, substring_dedup, toxicity
-from .store import ensure_checkpoints
+from . import decontamination, jaccard_join, packing, pseudonyms, quality, secrets, sharding, substring_dedup, suffix_dedup, toxicity
+from .store import ensure_checkpoints, shared_folder
 
 #: Folder of the public vocabulary files; the same path on every machine.
 TOKENIZERS = os.environ.get("TIDAL_TOKENIZERS", "/opt/tokenizers")
@@ -32,6 +33,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,10 +46,25 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.mark_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from a compacted store, with a digest of their text."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.shard_documents(docs, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    return store.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,11 +72,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB equivalents, where SQL expresses a query and whole tables are not too slow for it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"}

@@ -43,3 +43,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is set, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidal-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share."""
+    ensure_checkpoints(spark)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else spark.conf.get("spark.checkpoint.dir")
