@@ -50,12 +50,12 @@ def normal(*parts: Column | str | int) -> Column:
     return F.sqrt(-2.0 * F.log(uniform(*parts, "u"))) * F.cos(F.lit(2 * math.pi) * uniform(*parts, "v"))
 
 
-def deterministic_noise(days: DataFrame, keys: Sequence[str], phi: float, simulations: int, seed: int, memory: int = 40) -> DataFrame:
-    """(keys, sim, date, value): unit-variance AR(1) as a moving average over memory days of hashed noise, for rows (keys, date)."""
-    scale = math.sqrt(max(1e-12, 1 - phi * phi))
-    terms = F.transform(F.sequence(F.lit(0), F.lit(memory)), lambda j: F.pow(F.lit(phi), j) * normal(F.lit(str(seed)), *(F.col(k) for k in keys), F.col("sim"), F.unix_date("date") - j))
-    sims = days.select(*keys, "date", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    return sims.select(*keys, "sim", "date", (F.lit(scale) * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("value"))
+def deterministic_noise(days: DataFrame, keys: Sequence[str], phi: Column, simulations: int, seed: int, memory: int = 40) -> DataFrame:
+    """(keys, sim, date, value): unit-variance AR(1) as a moving average over memory days of hashed noise, for rows (keys, date) and a column phi."""
+    scale = F.sqrt(F.greatest(F.lit(1e-12), 1 - phi * phi))
+    rows = days.select(*keys, "date", phi.alias("_phi"), scale.alias("_scale"), F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
+    terms = F.transform(F.sequence(F.lit(0), F.lit(memory)), lambda j: F.pow(F.col("_phi"), j) * normal(F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("sim").cast("string"), (F.unix_date("date") - j).cast("string")))
+    return rows.select(*keys, "sim", "date", (F.col("_scale") * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("value"))
 
 
 def circular_shifts(rows: DataFrame, keys: Sequence[str], first: str, n: Column, shifts: Column) -> DataFrame:
