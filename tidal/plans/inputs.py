@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Series A and B, the two bands in days, and the affected channels with the cutoff of the quality mask.
 A, B = "1-URGENT", "2-HIGH"
 BANDS = {"annual": (330, 400), "long": (430, 520)}
@@ -12,6 +14,7 @@ AFFECTED, CUTOFF = ("1-URGENT", "3-MEDIUM"), "1998-08-26"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
