@@ -35,13 +35,13 @@ def lomb_scargle(rows: DataFrame, keys: Sequence[str], grid: Column, floating_me
     floating_mean: the mean is fitted at every frequency (Zechmeister and Kuerster 2009).
     """
     t, y = F.col("t"), F.col("value")
-    angle = F.lit(2 * math.pi) * F.col("f") * t
+    angle = F.lit(2 * math.pi) * F.col("_f") * t
     c, s = F.cos(angle), F.sin(angle)
-    waves = rows.select(*keys, "t", "value", F.posexplode(grid).alias("k", "f")).select(*keys, "k", "f", "value", c.alias("c"), s.alias("s"))
-    c, s = F.col("c"), F.col("s")
+    waves = rows.select(*keys, "t", "value", F.posexplode(grid).alias("_k", "_f")).select(*keys, "_k", "_f", "value", c.alias("_c"), s.alias("_s"))
+    c, s = F.col("_c"), F.col("_s")
     sums = {"n": F.count("*"), "y1": F.sum(y), "yy": F.sum(y * y), "c1": F.sum(c), "s1": F.sum(s), "cc": F.sum(c * c), "ss": F.sum(s * s), "cs": F.sum(c * s), "yc": F.sum(y * c), "ys": F.sum(y * s)}
-    got = waves.groupBy(*keys, "k", "f").agg(*(v.alias(k) for k, v in sums.items())).where(F.col("n") >= least)
-    v = F.col
+    got = waves.groupBy(*keys, "_k", "_f").agg(*(v.alias(f"_{k}") for k, v in sums.items())).where(F.col("_n") >= least)
+    v = lambda name: F.col(f"_{name}")
     if floating_mean:
         n = v("n")
         yy, cc, ss = v("yy") - v("y1") * v("y1") / n, v("cc") - v("c1") * v("c1") / n, v("ss") - v("s1") * v("s1") / n
@@ -49,7 +49,7 @@ def lomb_scargle(rows: DataFrame, keys: Sequence[str], grid: Column, floating_me
     else:
         yy, cc, ss, cs, yc, ys = (v(k) for k in ("yy", "cc", "ss", "cs", "yc", "ys"))
     power = F.try_divide(ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys, yy * (cc * ss - cs * cs))
-    return got.select(*keys, (1 / F.col("f")).alias("period_days"), power.alias("power")).where("power IS NOT NULL AND NOT isnan(power)")
+    return got.select(*keys, (1 / F.col("_f")).alias("period_days"), power.alias("power")).where("power IS NOT NULL AND NOT isnan(power)")
 
 
 def days_since_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,27 +90,27 @@ def sampling_window(rows: DataFrame, keys: Sequence[str], lo: float, hi: float,
     if limits is None:
         limits = live.groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("last"))
     span = (F.datediff("last", "first") + 1).cast("long")
-    within = live.join(limits, list(keys)).where(F.col("date").between(F.col("first"), F.col("last"))).withColumn("n", span).withColumn("d", F.datediff("date", "first").cast("long"))
-    top = F.least(F.floor(F.col("n") / 2), F.floor(F.col("n") / lo))
-    low = F.greatest(F.lit(1), F.ceil(F.col("n") / hi))
-    waves = within.where(low <= top).select(*keys, "n", "d", F.explode(F.sequence(low.cast("long"), top.cast("long"))).alias("k"))
-    angle = F.lit(2 * math.pi) * (F.pmod(F.col("k") * F.col("d"), F.col("n")) / F.col("n"))
-    got = waves.groupBy(*keys, "n", "k").agg(F.sum(F.cos(angle)).alias("c"), F.sum(F.sin(angle)).alias("s"), F.count("*").alias("m"))
-    one_sided = F.when(F.col("k") * 2 == F.col("n"), 1.0).otherwise(2.0)
-    live_keys = (F.col("n") >= least) & (F.col("m") >= least) & (F.col("m") < F.col("n"))
-    return got.where(live_keys).select(*keys, (F.col("n") / F.col("k")).alias("period_days"), (one_sided * (F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n") / F.col("n")).alias("power"))
+    within = live.join(limits, list(keys)).where(F.col("date").between(F.col("first"), F.col("last"))).withColumn("_n", span).withColumn("_d", F.datediff("date", "first").cast("long"))
+    top = F.least(F.floor(F.col("_n") / 2), F.floor(F.col("_n") / lo))
+    low = F.greatest(F.lit(1), F.ceil(F.col("_n") / hi))
+    waves = within.where(low <= top).select(*keys, "_n", "_d", F.explode(F.sequence(low.cast("long"), top.cast("long"))).alias("_k"))
+    angle = F.lit(2 * math.pi) * (F.pmod(F.col("_k") * F.col("_d"), F.col("_n")) / F.col("_n"))
+    got = waves.groupBy(*keys, "_n", "_k").agg(F.sum(F.cos(angle)).alias("_c"), F.sum(F.sin(angle)).alias("_s"), F.count("*").alias("_m"))
+    one_sided = F.when(F.col("_k") * 2 == F.col("_n"), 1.0).otherwise(2.0)
+    live_keys = (F.col("_n") >= least) & (F.col("_m") >= least) & (F.col("_m") < F.col("_n"))
+    return got.where(live_keys).select(*keys, (F.col("_n") / F.col("_k")).alias("period_days"), (one_sided * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n") / F.col("_n")).alias("power"))
 
 
 def fourier_band(rows: DataFrame, keys: Sequence[str], lo: float, hi: float) -> DataFrame:
     """(keys, frequency_cpd, period_days, power, phase_deg) of positions zero-padded to a power of two, for periods in the band."""
 
     placed = indexed(rows.where("value IS NOT NULL"), keys)
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("m")).where("m >= 4").withColumn("n", next_power_of_two(F.col("m")))
-    low, top = F.greatest(F.lit(1), F.ceil(F.col("n") / hi)).cast("long"), F.least(F.col("n") / 2 - 1, F.floor(F.col("n") / lo)).cast("long")
-    waves = placed.join(sizes, list(keys)).where(low <= top).select(*keys, "n", "i", "value", F.explode(F.sequence(low, top)).alias("k"))
-    angle = F.lit(2 * math.pi) * (F.pmod(F.col("k") * F.col("i"), F.col("n")) / F.col("n"))
-    got = waves.groupBy(*keys, "n", "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
-    return got.select(*keys, (F.col("k") / F.col("n")).alias("frequency_cpd"), (F.col("n") / F.col("k")).alias("period_days"), (2 * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("power"), F.degrees(F.atan2("im", "re")).alias("phase_deg"))
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_m")).where("_m >= 4").withColumn("_n", next_power_of_two(F.col("_m")))
+    low, top = F.greatest(F.lit(1), F.ceil(F.col("_n") / hi)).cast("long"), F.least(F.col("_n") / 2 - 1, F.floor(F.col("_n") / lo)).cast("long")
+    waves = placed.join(sizes, list(keys)).where(low <= top).select(*keys, "_n", "i", "value", F.explode(F.sequence(low, top)).alias("_k"))
+    angle = F.lit(2 * math.pi) * (F.pmod(F.col("_k") * F.col("i"), F.col("_n")) / F.col("_n"))
+    got = waves.groupBy(*keys, "_n", "_k").agg(F.sum(F.col("value") * F.cos(angle)).alias("_re"), (-F.sum(F.col("value") * F.sin(angle))).alias("_im"))
+    return got.select(*keys, (F.col("_k") / F.col("_n")).alias("frequency_cpd"), (F.col("_n") / F.col("_k")).alias("period_days"), (2 * (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"))).alias("power"), F.degrees(F.atan2("_im", "_re")).alias("phase_deg"))
 
 
 def fourier_full(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
