@@ -5,10 +5,12 @@ are one node.  The join keeps, for every node, the prefix of its tokens in one
 global order (rare tokens first): nodes that link share a prefix token.
 
 1. Postings of prefix tokens that occur in one node only are dropped.
-2. In each posting every node is held against the posting's least node; exact
-   links found so partition similar nodes into groups (connected components).
+2. In each posting every node is held against one pivot, in a few turns with
+   other pivots; exact links found so partition similar nodes into groups
+   (connected components).
 3. The token-group matrix holds the distinct (prefix token, group) pairs left.
-   A node that shares a token with another group queries it: groups are opened
+   A node that shares a token with another group, at a place in both prefixes
+   that leaves enough tokens to link, queries it: groups are opened
    in blocks of at most ``BLOCK`` members with the union of their tokens, the
    node's overlap with the union bounds that with any member, and only if the
    bound allows a link are the members compared exactly.
@@ -39,8 +41,12 @@ from .store import deflate, inflate
 
 #: Members of a group that are opened together.
 BLOCK = 256
+#: Turns of comparing nodes with one pivot of each posting before groups are opened.
+TURNS = 3
 #: Length of the list of common tokens that come last in the order (1.6 MB), and the count that makes one common.
 COMMON, COMMON_AT = 100_000, 8
+#: Bits of the filter that says which nodes' texts are wanted (4 MB).
+FILTER_BITS = 1 << 25
 
 
 def token_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -90,7 +96,7 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, node, n) for the prefix of every distinct set of a batch."""
+    """(token, node, n, rest) for the prefix of every distinct set of a batch; rest: how many of its tokens come later."""
     order = np.argsort(common)
     known, rank = common[order], order
     for batch in batches:
@@ -100,9 +106,11 @@ def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: n
             times = np.array(counts, dtype=np.int64)
             flat = np.concatenate(tokens_) if tokens_ else np.empty(0, dtype=np.uint64)
             columns = [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), times)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), times))]
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)
+            columns.append(pa.array((np.repeat(np.array(sizes, dtype=np.int64), times) - place - 1).astype(np.int32)))
             for x in (tokens_, nodes, sizes, counts):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["token", "node", "n"])
+            return pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "rest"])
 
         for _, tokens, _ in token_sets(batch.column(0), k):
             if not len(tokens) or (node := signature(tokens)) in seen:
@@ -129,7 +137,7 @@ def _live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by token and node, those with two or more nodes, each node once."""
     held: list[np.ndarray] = []
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
         held.append(rows)
         if not len(rows) or held[0][0, 0] == rows[-1, 0]:
             held = [h for h in held if len(h)]
@@ -152,14 +160,28 @@ def _several(rows: np.ndarray) -> pa.RecordBatch:
         keep[1:] |= same
         keep[:-1] |= same
         rows = rows[keep]
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["token", "node", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=["token", "node", "n", "rest"])
 
 
-def _texts(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def bit_places(node: int) -> tuple[int, ...]:
+    """Bits of a node, itself a hash, in the filter of wanted nodes."""
+    return tuple((node >> s) & (FILTER_BITS - 1) for s in (0, 19, 38))
+
+
+def wanted_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over nodes; a fuller one lets more others pass, and never drops a node."""
+    places = F.explode(F.array(*(F.shiftright("node", s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in (0, 19, 38)))).alias("at")
+    words = nodes.select(places).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[[r[0] for r in words]] = [r[1] for r in words]
+    return out.view(np.uint64)
+
+
+def _texts(batches: Iterable[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen = {}
         for _, tokens, text in token_sets(batch.column(0), k):
-            if len(tokens) and (node := signature(tokens)) not in seen:
+            if len(tokens) and (node := signature(tokens)) not in seen and all(int(wanted[b >> 6]) >> (b & 63) & 1 for b in bit_places(node)):
                 seen[node] = deflate(text.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.int64()), pa.array(list(seen.values()), type=pa.binary())], names=["node", "packed"])
 
@@ -194,13 +216,30 @@ def _verify(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], type=pa.int64()), pa.array([x[1] for x in links], type=pa.int64())], names=["a", "b"])
 
 
-def _open(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _node_texts(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, packed) with one text of each of the nodes, and of a few others that the filter lets pass."""
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(nodes))
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _texts(it, k, wanted.value), "node long, packed binary")
+    return found.groupBy("node").agg(F.first("packed").alias("packed")).checkpoint()
+
+
+def _open(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Exact links of queries to members, for rows (grp, block, query, node)."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _texts(it, k), "node long, packed binary")
     joined = rows.join(texts, "node").select("grp", "block", "query", "node", "packed")
     return joined.repartition("grp", "block").sortWithinPartitions("grp", "block", "query").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").checkpoint()
 
 
+def _stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Exact links among distinct pairs (node, grp) of a node and a pivot, None without pairs; a pivot with many followers is compared in several tasks."""
+    pairs = pairs.checkpoint()
+    if pairs.isEmpty():
+        return None
+    spread = _blocks(pairs.groupBy("grp").agg(F.count("*").alias("size")))
+    queries = pairs.join(spread, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("query"), "node")
+    pivots = spread.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), F.col("grp").alias("node"))
+    return _open(queries.unionByName(pivots), texts, k, percent)
+
+
 def _blocks(sizes: DataFrame) -> DataFrame:
     """grp, blocks: the number of blocks of at most about BLOCK members."""
     return sizes.select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -210,24 +249,40 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Enough exact links (a, b) between nodes to connect every component."""
     common = common_tokens(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _prefixes(it, k, percent, shared.value), "token long, node long, n int")
-    live = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_live, "token long, node long, n int").checkpoint()
-
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pivots = live.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"))
-    stars = live.join(pivots, "token").where((F.col("node") != F.col("p.node")) & near(F.col("n"), F.col("p.n"))).select("node", F.col("p.node").alias("grp")).distinct().checkpoint()
-    # a pivot with many followers is compared in several tasks
-    spread = _blocks(stars.groupBy("grp").agg(F.count("*").alias("size")))
-    queries = stars.join(spread, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("query"), "node")
-    pivot_rows = spread.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), F.col("grp").alias("node"))
-    first = _open(queries.unionByName(pivot_rows), docs, k, percent)
+    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _prefixes(it, k, percent, shared.value), "token long, node long, n int, rest int")
+    live = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_live, "token long, node long, n int, rest int").checkpoint()
+
+    def can_link(n, rest, other, other_rest):
+        """Sizes agree, and so does the place of the token: if it is the first that two sets share, no more than one and the shorter rest are shared."""
+        sizes = F.least(n, other) * 100 >= F.greatest(n, other) * percent
+        return sizes & ((F.least(rest, other_rest) + 1) * (100 + percent) >= (n + other) * percent)
+
+    texts = _node_texts(live.select("node"), docs, k)
+    pivots = live.groupBy("token").agg(F.min(F.struct("node", "n", "rest")).alias("p"))
+    stars = live.join(pivots, "token").where((F.col("node") != F.col("p.node")) & can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
+    first = _stars(stars.select("node", F.col("p.node").alias("grp")).distinct(), texts, k, percent)
+    if first is None:
+        return live.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     groups = components(first)
-
-    known = live.join(groups, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("grp"))
-    matrix = known.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    for turn in range(1, TURNS):
+        # groups that are linked, but not through one pivot: other pivots, a different one for each token
+        known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
+        pivots = known.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "grp"), F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")).alias("p"))
+        stars = known.join(pivots, "token").where((F.col("grp") != F.col("p.grp")) & can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
+        more = _stars(stars.select("node", F.col("p.node").alias("grp")).distinct(), texts, k, percent)
+        if more is None:
+            break
+        first = first.unionByName(more)
+        if not more.isEmpty():
+            groups = components(first)
+
+    known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
+    matrix = known.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"))
     several = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    matrix = matrix.join(several, "token").select("token", F.col("grp").alias("target"), "lo", "hi")
-    within = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
+    matrix = matrix.join(several, "token").select("token", F.col("grp").alias("target"), "lo", "hi", "most")
+    # what holds for the group's least size and longest rest holds for every member
+    within = (F.least("rest", "most") + 1) * (100 + percent) >= (F.col("n") + F.col("lo")) * percent
+    within = within & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
     asks = known.join(matrix, "token").where((F.col("target") < F.col("grp")) & within).select("node", F.col("target").alias("grp")).distinct().checkpoint()
     if asks.isEmpty():
         return first
@@ -237,7 +292,7 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     in_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     members = blocks.join(groups.select(F.col("comp").alias("grp"), "node"), "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"), "blocks").select("grp", in_block, F.lit(0).alias("query"), "node")
     queries = asks.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node")
-    return first.unionByName(_open(members.unionByName(queries), docs, k, percent))
+    return first.unionByName(_open(members.unionByName(queries), texts, k, percent))
 
 
 def _sizes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
