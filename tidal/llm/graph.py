@@ -1,20 +1,51 @@
-"""Connected components of an edge table by hooking, pointer jumping and contraction.
+"""Connected components of an edge table.
 
-Every round is a few equi-joins and aggregations with map-side combine; a round
-at least halves the vertices that still have edges.  Each round's tables are
-checkpointed, so lineage stays short.
+Few edges (at most ``SMALL``, counted first) are joined by union-find in one task
+of bounded memory.  Beyond that, rounds of hooking, pointer jumping and contraction
+run as equi-joins and aggregations with map-side combine; a round at least halves
+the vertices that still have edges, and its tables are checkpointed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that one task takes: about 150 MB.
+SMALL = 500_000
+
+
+def _union_find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array([root(x) for x in nodes], type=pa.int64())], names=["node", "comp"])
+
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of edges (a long, b long): comp is the least node of its component."""
-    live = edges.select("a", "b").where("a <> b").distinct().checkpoint()
-    label = None
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, comp) for every node of edges (a long, b long) with a <> b: comp is the least node of its component."""
+    live = edges.select("a", "b").where("a <> b")
+    if live.count() <= small:
+        return live.coalesce(1).mapInArrow(_union_find, "node long, comp long")
+    live, label = live.distinct().checkpoint(), None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
