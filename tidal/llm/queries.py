@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, packing, pseudonyms, quality, secrets, sharding, substring_dedup, suffix_dedup, toxicity
-from .store import ensure_checkpoints, shared_folder
+from .store import ensure_session, shared_folder
 
 #: Folder of the public vocabulary files; the same path on every machine.
 TOKENIZERS = os.environ.get("TIDAL_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_checkpoints(spark)
+    ensure_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,5 +82,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-#: DuckDB equivalents, where SQL expresses a query and whole tables are not too slow for it.
-ORACLES: dict[str, str] = {"op9_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents"}
+_WORDS = r"regexp_extract_all(coalesce({t}, ''), '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: DuckDB equivalents, where SQL expresses a whole query.
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": f"""
+        WITH W AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+        H AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM W WHERE len(w) >= 35)),
+        D AS (SELECT h FROM H GROUP BY h HAVING count(*) > 1),
+        G AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(generate_series(0, 34)) AS j FROM H JOIN D USING (h))),
+        V AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM W),
+        K AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM V ANTI JOIN G USING (doc_id, i) GROUP BY doc_id)
+        SELECT W.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM W LEFT JOIN K ON W.doc_id = K.doc_id""",
+    "op8_jaccard_join": f"""
+        WITH RECURSIVE W AS (SELECT doc_id, {_WORDS.format(t=f"translate(text, '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+        S AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM W WHERE len(w) > 0)),
+        N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY 1),
+        C AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM S a JOIN S b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        L AS (SELECT x, y FROM C JOIN N a ON a.doc_id = x JOIN N b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        E AS (SELECT x, y FROM L UNION ALL SELECT y, x FROM L),
+        R AS (SELECT doc_id AS d, doc_id AS r FROM W UNION SELECT d, y FROM R JOIN E ON x = r)
+        SELECT W.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM W JOIN R ON d = W.doc_id LEFT JOIN N ON N.doc_id = W.doc_id GROUP BY 1""",
+    "op9_sharding": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
+}

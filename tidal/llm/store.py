@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _codec: list = []
 
 
@@ -39,14 +41,15 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is set, as in tests."""
+def ensure_session(spark: SparkSession) -> None:
+    """Makes the package importable in workers.  Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is set, as in tests."""
+    ship(spark)
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidal-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, which all executors share."""
-    ensure_checkpoints(spark)
+    ensure_session(spark)
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get() if own.isDefined() else spark.conf.get("spark.checkpoint.dir")
