@@ -1,7 +1,7 @@
 """Connected components of an edge table.
 
 Few edges (at most ``SMALL``, counted first) are joined by union-find in one task
-of bounded memory.  Beyond that, rounds of hooking, pointer jumping and contraction
+of bounded memory.  Beyond that, rounds of hooking, pointer jumping to the roots and contraction
 run as equi-joins and aggregations with map-side combine; a round at least halves
 the vertices that still have edges, and its tables are checkpointed.
 """
@@ -49,8 +49,12 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p"))
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        parent = parent.join(up, "p").select("v", F.col("q").alias("p")).checkpoint()
+        while True:  # to the roots; each turn doubles the steps
+            up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            jumped = parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")).checkpoint()
+            parent = jumped.select("v", "p")
+            if jumped.where("moved").isEmpty():
+                break
         if label is None:
             label = parent.select(F.col("v").alias("node"), F.col("p").alias("comp"))
         else:
