@@ -42,7 +42,7 @@ from .store import deflate, inflate
 #: Members of a group that are opened together.
 BLOCK = 256
 #: Turns of comparing nodes with one pivot of each posting before groups are opened.
-TURNS = 3
+TURNS = 2
 #: Length of the list of common tokens that come last in the order (1.6 MB), and the count that makes one common.
 COMMON, COMMON_AT = 100_000, 8
 #: Bits of the filter that says which nodes' texts are wanted (4 MB).
