@@ -322,6 +322,33 @@ def test_leaks(spark):
     assert {g["doc_id"] for g in got if g["distance"] == 0} >= {d for d, _ in want if d % 4 == 0}
 
 
+def search(items, texts, share=0.2, least=8):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), type=pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    return {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["end_word"]) for out in decontamination.Items(list(enumerate(items)), share, least).search([batch]) for r in out.to_pylist()}
+
+
+def test_leaks_equal_brute_force():
+    r = random.Random(8)
+    items = [rng_text(r, n) for n in (8, 9, 10, 15, 20, 24, 30, 35)] + [" ".join(r.choice("ab") for _ in range(12))]
+    texts = [" ".join(r.choice("ab") for _ in range(20)), items[3], "", None]
+    for n, item in enumerate(items):
+        most = int(0.2 * len(item.split()))
+        for k in range(most + 2):
+            w, kept = item.split(), item.split()[k:]
+            spread = [x for i, x in enumerate(w) if i not in set(r.sample(range(len(w)), k))]
+            texts += [f"{rng_text(r, 9)} {' '.join(x)} {rng_text(r, 9)}" for x in (kept, [*(["zz"] * k), *kept], w[: len(w) - k], spread)]
+    want = {}
+    for d, t in enumerate(texts):
+        words = (t or "").split()
+        for n, item in enumerate(items):
+            w = item.split()
+            most = int(0.2 * len(w))
+            found = [(distance, s, s + length) for s in range(len(words)) for distance, length in [decontamination.edit_distance(w, words[s : s + len(w) + most], most)] if distance <= most]
+            if found:
+                want[d, n] = min(found)
+    assert search(items, texts) == want and len(want) > 100
+
+
 def test_edit_distance():
     assert decontamination.edit_distance([1, 2, 3, 4], [1, 2, 3, 4, 9], 2) == (0, 4)
     assert decontamination.edit_distance([1, 2, 3, 4], [1, 7, 3, 4, 9], 2) == (1, 4)

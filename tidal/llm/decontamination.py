@@ -1,15 +1,13 @@
-"""Benchmark decontamination with CGK embeddings and bit-sampling LSH.
-
-The CGK random walk reads a word sequence and writes, for a number of steps, the
-word under its pointer; a random bit of (step, word) decides whether the pointer
-moves on.  Sequences at a small edit distance write strings at a small Hamming
-distance, so that a few sampled steps agree with good chance.  Walks start at
-every word of every document; each of a number of tables has a walk and sampled
-steps of its own.  A window is dropped from a table at the first sampled step
-whose prefix no item shares, so most windows take a few steps only.  Windows that
-agree with an item on all sampled steps are verified: the least word edit
-distance between the item and a stretch that starts there must be at most
-``share`` of the item's words.
+"""Benchmark decontamination by exact segments and exact edit distance.
+
+An item of n words may differ from a stretch of text in at most ``share`` of its
+words, m edits.  It is cut into m + 1 segments of equal length that don't
+overlap: m edits leave one of them whole, so every stretch within the limit holds
+a segment of the item word for word, wherever the edits lie.  Word n-grams of all
+documents are looked up among the segments; a segment that is found says on which
+diagonal the item lies, give or take m words.  Around it the least word edit
+distance over all stretches is computed exactly, so that the recall is 1 by
+construction: results are those of brute force.
 
 The items are a stated query set: they are held against all rows in blocks of
 bounded size, one pass each, and nothing is shuffled before the matches.
@@ -30,57 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, chunks, mix
+from .kernels import Words, chunks
 
-#: First sampled step of each table, by walk; every step up to the last of a walk costs a pass over all words.
-WALKS = ((0, 2, 5), (0, 3, 7), (1, 4, 8), (1, 2, 6))
-SAMPLES, STEPS = 4, 24
+#: Entries of the bitmap over segment hashes, and of a matrix in which stretches are aligned.
+BITMAP, CELLS = 1 << 20, 1 << 19
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, distance int"
 
 
-def _plan(seed: int) -> list[tuple[np.ndarray, list[list[int]]]]:
-    """For each walk, the hash bit that moves the pointer at each step, and the sampled steps of its tables."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    return [(rng.permutation(32)[:STEPS].astype(np.uint32), [[first, *sorted(rng.choice(np.arange(first + 1, STEPS), SAMPLES - 1, replace=False).tolist())] for first in firsts]) for firsts in WALKS]
-
-
-def _symbols(hashes: np.ndarray) -> np.ndarray:
-    """32-bit symbols, followed by zeros over which a pointer can't run out."""
-    out = np.zeros(len(hashes) + STEPS + 1, dtype=np.uint32)
-    out[: len(hashes)] = (hashes >> np.uint64(32)).astype(np.uint32)
-    return out
-
-
-def _on(symbols: np.ndarray, at: np.ndarray, bit: np.uint32) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols under the pointers, and the pointers after a step that this bit decides."""
-    here = symbols[at]
-    return here, at + ((here >> bit) & np.uint32(1)).astype(np.int32)
-
-
-def _key(key: np.ndarray, here: np.ndarray) -> np.ndarray:
-    return mix(key * np.uint64(31) + here.astype(np.uint64) + np.uint64(1))
-
-
-def _keys_of(symbols: np.ndarray, bits: np.ndarray, sampled: list[int]) -> list[int]:
-    """An item's keys after each sampled step of a table, its first symbol being the first key."""
-    at, key, out = np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.uint64), []
-    for step in range(sampled[-1] + 1):
-        here, after = _on(symbols, at, bits[step])
-        if step in sampled:
-            key = _key(key, here)
-            out.append(int(key[0]) if out else int(here[0]))
-        at = after
-    return [*out, int(key[0])]
-
-
-def _among(known: np.ndarray, bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Indices of the keys that are known; the bitmap is by their low 16 bits."""
-    ok = np.flatnonzero(bitmap[(key & key.dtype.type(0xFFFF)).astype(np.int64)])
-    spot = np.searchsorted(known, key[ok])
-    spot[spot == len(known)] = 0
-    return ok[known[spot] == key[ok]]
-
-
 def edit_distance(item: list[int], text: list[int], most: int) -> tuple[int, int]:
     """Least word edit distance of item to a prefix of text, and that prefix's length; (most + 1, 0) if above most."""
     if text[: len(item)] == item:
@@ -100,62 +54,63 @@ def edit_distance(item: list[int], text: list[int], most: int) -> tuple[int, int
 
 
 class Items:
-    """A block of items: their word hashes, and for each table the allowed keys."""
+    """A block of items: their word hashes, the edits each may have, and their segments by length."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float, least: int, seed: int):
-        self.share, self.plan = share, _plan(seed)
-        self.ids, self.words = [], []
+    def __init__(self, rows: list[tuple[int, str]], share: float, least: int):
+        self.ids, self.words, self.most = [], [], []
+        segments: dict[int, list[tuple[int, int, int]]] = {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            h = Words(raw, np.array([0, len(raw)]), lower=True).hash
-            if len(h) >= least:
-                self.ids.append(item)
-                self.words.append(h.view(np.int64).tolist())
-        self.tables = [[self._table(bits, sampled) for sampled in tables] for bits, tables in self.plan]
-
-    def _table(self, bits: np.ndarray, sampled: list[int]) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[int, list[int]]]:
-        """The known keys after each sampled step, with a bitmap of them; items by their last key."""
-        per_step: list[set[int]] = [set() for _ in range(SAMPLES)]
-        owner: dict[int, list[int]] = {}
-        for n, w in enumerate(self.words):
-            *keys, last = _keys_of(_symbols(np.array(w, dtype=np.int64).view(np.uint64)), bits, sampled)
-            for s, k in zip(per_step, keys):
-                s.add(k)
-            owner.setdefault(last, []).append(n)
-        limits = []
-        for i, s in enumerate(per_step):
-            known = np.array(sorted(s), dtype=np.uint64 if i else np.uint32)
-            bitmap = np.zeros(1 << 16, dtype=bool)
-            bitmap[(known & known.dtype.type(0xFFFF)).astype(np.int64)] = True
-            limits.append((known, bitmap))
-        return limits, owner
-
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(word, item) for windows that agree with the item on all sampled steps of a table."""
-        symbols, pairs = _symbols(hashes), set()
-        for (bits, plan), tables in zip(self.plan, self.tables):
-            at = np.arange(len(hashes), dtype=np.int32)
-            for step in range(max(s[0] for s in plan) + 1):
-                here, after = _on(symbols, at, bits[step])
-                for sampled, (limits, owner) in zip(plan, tables):
-                    if sampled[0] == step:
-                        self._finish(symbols, bits, sampled, limits, owner, _among(*limits[0], here), here, after, pairs)
-                at = after
-        return pairs
-
-    def _finish(self, symbols, bits, sampled, limits, owner, alive, here, after, pairs) -> None:
-        key, at = _key(np.zeros(len(alive), dtype=np.uint64), here[alive]), after[alive]
-        for step in range(sampled[0] + 1, sampled[-1] + 1):
-            if not len(alive):
-                return
-            now, then = _on(symbols, at, bits[step])
-            if step in sampled:
-                key = _key(key, now)
-                ok = _among(*limits[sampled.index(step)], key)
-                alive, key, then = alive[ok], key[ok], then[ok]
-            at = then
-        for start, k in zip(alive.tolist(), key.tolist()):
-            pairs.update((start, n) for n in owner.get(k, ()))
+            words = Words(raw, np.array([0, len(raw)]), lower=True)
+            n = len(words)
+            if n < least:
+                continue
+            most = min(int(share * n), n - 1)
+            size = n // (most + 1)
+            grams = words.shingles(size)
+            segments.setdefault(size, []).extend((int(grams[at]), len(self.ids), at) for at in range(0, (most + 1) * size, size))
+            self.ids.append(item)
+            self.words.append(words.hash.view(np.int64))
+            self.most.append(most)
+        self.segments = []
+        for size, found in sorted(segments.items()):
+            found.sort()
+            key = np.array([x[0] for x in found], dtype=np.uint64)
+            bitmap = np.zeros(BITMAP, dtype=bool)
+            bitmap[(key & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+            self.segments.append((size, bitmap, key, np.array([x[1:] for x in found], dtype=np.int64)))
+
+    def candidates(self, words: Words) -> np.ndarray:
+        """Distinct (item, text, word) for segments found: the item would start at this word without insertions and deletions."""
+        text, out = words.text_of_word(), [np.empty((0, 3), dtype=np.int64)]
+        for size, bitmap, key, owner in self.segments:
+            grams = words.shingles(size)
+            at = np.flatnonzero(bitmap[(grams & np.uint64(BITMAP - 1)).astype(np.int64)])
+            at = at[text[at] == text[at + size - 1]]
+            low = np.searchsorted(key, grams[at])
+            times = np.searchsorted(key, grams[at], side="right") - low
+            at, low, times = at[times > 0], low[times > 0], times[times > 0]
+            which = owner[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            at = np.repeat(at, times)
+            out.append(np.stack([which[:, 0], text[at], at - which[:, 1]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def _starts(self, n: int, signed: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For diagonals of item n in texts of words lo to hi: the least distance of the item to a stretch that starts up to most words off, and the first such start."""
+        item, most = self.words[n], self.most[n]
+        place = (at - most)[:, None] + np.arange(len(item) + 3 * most)
+        inside = (place >= lo[:, None]) & (place < hi[:, None])
+        window = signed[np.where(inside, place, 0)]
+        steps = np.arange(place.shape[1] + 1)
+        # from the right, as a stretch may end anywhere; row[:, j] is for a start at the window's word j
+        row = np.zeros((len(at), place.shape[1] + 1), dtype=np.int64)
+        for a in item[::-1]:
+            new = row + 1
+            np.minimum(new[:, :-1], row[:, 1:] + ((window != a) | ~inside), out=new[:, :-1])
+            row = np.minimum.accumulate((new + steps)[:, ::-1], axis=1)[:, ::-1] - steps
+        row = np.where(inside, row[:, :-1], len(item) + 1)[:, : 2 * most + 1]
+        best = row.argmin(axis=1)
+        return row[np.arange(len(at)), best], at - most + best
 
     def search(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,23 +120,26 @@ class Items:
                 words = Words(data, offsets, lower=True)
                 if not len(words) or not self.ids:
                     continue
-                pairs = self.candidates(words.hash)
-                text, signed = words.text_of_word(), words.hash.view(np.int64)
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for at, n in sorted(pairs):
-                    item, doc = self.words[n], int(text[at])
-                    most = int(self.share * len(item))
-                    end = min(int(words.first[doc + 1]), at + len(item) + most)
-                    distance, length = edit_distance(item, signed[at:end].tolist(), most)
-                    if distance <= most:
-                        s = at - int(words.first[doc])
-                        best[doc, n] = min(best.get((doc, n), (distance, s, s + length)), (distance, s, s + length))
-                rows += [(ids[a + doc].as_py(), self.ids[n], s, e, d) for (doc, n), (d, s, e) in sorted(best.items())]
+                pairs, signed = self.candidates(words), words.hash.view(np.int64)
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for n in np.unique(pairs[:, 0]).tolist():
+                    own = pairs[np.searchsorted(pairs[:, 0], n) : np.searchsorted(pairs[:, 0], n, side="right")]
+                    step = max(1, CELLS // (len(self.words[n]) + 3 * self.most[n]))
+                    for part in (own[i : i + step] for i in range(0, len(own), step)):
+                        doc = part[:, 1]
+                        distance, start = self._starts(n, signed, words.first[doc], words.first[doc + 1], part[:, 2])
+                        for i in np.flatnonzero(distance <= self.most[n]).tolist():
+                            new = int(distance[i]), int(start[i])
+                            best[int(doc[i]), n] = min(best.get((int(doc[i]), n), new), new)
+                for (doc, n), (_, at) in sorted(best.items()):
+                    item, most, lo = self.words[n].tolist(), self.most[n], int(words.first[doc])
+                    distance, length = edit_distance(item, signed[at : min(int(words.first[doc + 1]), at + len(item) + most)].tolist(), most)
+                    rows.append((ids[a + doc].as_py(), self.ids[n], at - lo, at - lo + length, distance))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, least: int = 8, block: int = 5_000, seed: int = 17) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, least: int = 8, block: int = 5_000) -> DataFrame:
     """For each document and item found in it, the place of least distance: doc_id, item_id, start_word, end_word, distance.
 
     items (item_id, text) is the query set, read in blocks of at most block rows.
@@ -192,10 +150,10 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, least: int = 8,
     for r in ranked.toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == block:
-            parts.append(source.mapInArrow(Items(rows, share, least, seed).search, SCHEMA))
+            parts.append(source.mapInArrow(Items(rows, share, least).search, SCHEMA))
             rows = []
     if rows or not parts:
-        parts.append(source.mapInArrow(Items(rows, share, least, seed).search, SCHEMA))
+        parts.append(source.mapInArrow(Items(rows, share, least).search, SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 
 
