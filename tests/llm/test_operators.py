@@ -349,6 +349,15 @@ def test_leaks_equal_brute_force():
     assert search(items, texts) == want and len(want) > 100
 
 
+def test_short_items_are_found_as_exact_copies():
+    r = random.Random(9)
+    items = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)) for n in range(1, 11) for _ in range(40)]
+    texts = [f"{rng_text(r, 9)} {x.upper()} {rng_text(r, 9)}" for x in items]
+    assert search(items, texts) == {(i, i): (0, 9, 9 + len(x.split())) for i, x in enumerate(items)}
+    cut = [" ".join(x.split()[1:] or ["zz"]) for x in items]
+    assert set(search(items, cut)) == {(i, i) for i, x in enumerate(items) if len(x.split()) >= 8}
+
+
 def test_edit_distance():
     assert decontamination.edit_distance([1, 2, 3, 4], [1, 2, 3, 4, 9], 2) == (0, 4)
     assert decontamination.edit_distance([1, 2, 3, 4], [1, 7, 3, 4, 9], 2) == (1, 4)

@@ -13,8 +13,8 @@ The items are a stated query set: they are held against all rows in blocks of
 bounded size, one pass each, and nothing is shuffled before the matches.
 
 Defined results: words are runs of non-space, A-Z lowered.  Null or empty texts
-and items match nothing, nor do items of fewer than ``least`` words; equal items
-are reported each; equal rows are searched separately; an empty table gives an
+and items match nothing; items of fewer than ``least`` words admit no edits and
+are found as exact copies; equal items are reported each; equal rows are searched separately; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -63,9 +63,9 @@ class Items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             words = Words(raw, np.array([0, len(raw)]), lower=True)
             n = len(words)
-            if n < least:
+            if not n:
                 continue
-            most = min(int(share * n), n - 1)
+            most = min(int(share * n), n - 1) if n >= least else 0
             size = n // (most + 1)
             grams = words.shingles(size)
             segments.setdefault(size, []).extend((int(grams[at]), len(self.ids), at) for at in range(0, (most + 1) * size, size))
