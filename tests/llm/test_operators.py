@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidal.llm import decontamination, graph, jaccard_join, packing, pseudonyms, quality, queries, secrets, sharding, substring_dedup, suffix_dedup, toxicity
+from tidal.llm.store import deflate
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, node int, cuts string"
@@ -204,6 +205,28 @@ def test_suffix_dedup(docs, texts):
         assert got[i]["n_words"] == len(w) and got[i]["n_repeated"] == len(gone), (i, got[i], len(gone))
 
 
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_suffix_dedup_past_many_neighbours(size):
+    r = random.Random(11)
+    word = lambda n: " ".join(str(r.randrange(10**6)) for _ in range(n))
+    out = []
+    for _ in range(20):  # two documents share 25 words before a line of 30 that 60 others hold
+        line, before, after = word(30), word(25), word(40)
+        out += [f"{word(20)} {before} {line} {word(20)}" for _ in range(2)] + [f"{word(60)} {line} {word(60)}" for _ in range(60)]
+        out += [f"{word(60)} {line} {after}" for _ in range(2)] + [f"{before} {line} {after}"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(out)), type=pa.int64()), pa.array(out)], names=["row", "text"])
+    rows = [x for b in suffix_dedup._anchors([batch], 50) for x in b.to_pylist()]
+    count = Counter(x["anchor"] for x in rows)
+    places = {i: [x["pos"] for x in rows if x["row"] == i and count[x["anchor"]] > 1] for i in range(len(out))}
+    texts = pa.RecordBatch.from_arrays([pa.array(range(len(out)), type=pa.int64()), pa.array(list(places.values()), type=pa.list_(pa.int32())), pa.array([deflate(x.encode()) for x in out])], names=["row", "places", "packed"])
+    context = pa.Table.from_batches(suffix_dedup._contexts([texts], 50)).to_pandas().sort_values(["anchor", "right", "left"])
+    cut = [pa.RecordBatch.from_pandas(context[i : i + size], preserve_index=False) for i in range(0, len(context), size)]
+    got = {i: set() for i in range(len(out))}
+    for x in (x for b in suffix_dedup._compare(cut, 50) for x in b.to_pylist()):
+        got[x["row"]] |= set(range(x["s"], x["e"]))
+    assert [got[i] for i in range(len(out))] == [gone for _, gone in repeated(out, 50)]
+
+
 # pseudonyms
 
 def test_feistel_is_a_bijection(spark):

@@ -4,10 +4,12 @@ Of each document's suffixes only those are retained that start at a minimiser,
 the least 8-word hash of some stretch of consecutive windows, chosen by content
 so that equal passages retain the same suffixes.  Suffixes that begin with an
 8-gram found once in the corpus have no neighbour and are dropped.  The others
-are sorted by 8-gram and following words; each is compared with its ``NEAR``
-predecessors in that order, and the common part is extended right and left word
-by word.  Common parts of ``least`` words or more are repeats; those of one
-document are merged into maximal ones.
+are sorted by 8-gram and following and preceding words, so that suffixes with
+equal contexts on both sides are neighbours and stand for one.  Within an 8-gram,
+each window of ``least`` words that holds it is known by how far it reaches to
+the left, and hashed; windows found in two suffixes are repeats, whatever lies
+between these in suffix order.  Repeats of one document are merged into maximal
+ones, and results are those of brute force.
 
 Context words travel as 32-bit hashes, ``least`` of them to each side, which is
 more than the distance between retained suffixes; so repeats of any length are
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, chunks, sliding_argmin
+from .kernels import Words, chunks, mix, sliding_argmin
 from .store import inflate, squeezed
 
 SEED = 8
-#: Predecessors in suffix order that a suffix is compared with.
-NEAR = 4
+#: Random coefficients by place of a window's hash: words to the right, words to the left.
+_COEFFICIENTS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, (2, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _minimisers(words: Words, least: int) -> np.ndarray:
@@ -98,46 +100,95 @@ def _contexts(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["anchor", "row", "pos", "right", "left"])
 
 
-def _padded(column: pa.Array, width: int) -> np.ndarray:
-    """Word hashes as rows of a matrix, -1 beyond their end."""
+def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes as rows of a matrix, 0 beyond their end, and their number."""
     limits = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
-    flat = np.frombuffer(column.buffers()[2], dtype=">u4")[limits[0] : limits[-1]].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, dtype=">u4")[limits[0] : limits[-1]].astype(np.uint32) if data is not None else np.empty(0, dtype=np.uint32)
     n = np.diff(limits)
-    out = np.full((len(column), width), -1, dtype=np.int64)
+    out = np.zeros((len(column), width), dtype=np.uint32)
     out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(limits[:-1] - limits[0], n)] = flat
-    return out
+    return out, n.astype(np.int32)
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Number of leading entries in which rows agree (the -1 of short rows agrees with nothing)."""
-    differ = (x != y) | (x < 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+def _coefficients(least: int) -> np.ndarray:
+    if least > _COEFFICIENTS.shape[1]:
+        raise ValueError(f"least must be at most {_COEFFICIENTS.shape[1]}")
+    return _COEFFICIENTS
+
+
+def _reach(anchor: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct suffixes of whole anchor groups: how far left the leftmost and the rightmost repeated window that holds the anchor reach (-1 and least if none is)."""
+    to_right, to_left = _coefficients(least)
+    most, fewest = np.full(len(anchor), -1, dtype=np.int32), np.full(len(anchor), least, dtype=np.int32)
+    key = anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(least):
+        key += right[:, i] * to_right[i]
+    for reach in range(least - SEED + 1):
+        ok = np.flatnonzero((n_left >= reach) & (n_right >= least - reach))
+        if len(ok) > 1:
+            name = mix(key[ok])
+            order = np.argsort(name)
+            same = np.flatnonzero(name[order[1:]] == name[order[:-1]])
+            twice = ok[np.concatenate([order[same], order[same + 1]])]
+            most[twice] = reach
+            fewest[twice] = np.minimum(fewest[twice], reach)
+        key -= right[:, least - reach - 1] * to_right[least - reach - 1]
+        key += left[:, reach] * to_left[reach]
+    return most, fewest
+
+
+def _spans(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["row", "s", "e"])
 
 
 def _compare(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Repeats (row, s, e) found between neighbours of the sorted suffixes; the state is NEAR suffixes."""
-    held = None
+    """Repeats (row, s, e) among the sorted suffixes; the state is the distinct suffixes of one anchor.
+
+    Suffixes with equal contexts repeat each other as far as the contexts reach; only the first of them is kept.
+    """
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            anchor, row, pos, right, left, n_right, n_left = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            most, fewest = _reach(anchor, right, left, n_right, n_left, least)
+            ok = most >= 0
+            if ok.any():
+                yield _spans(row[ok], pos[ok] - most[ok], pos[ok] + least - fewest[ok])
+
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), _padded(batch.column(3), least), _padded(batch.column(4), least)]
-        every = now if held is None else [np.concatenate([h, x]) for h, x in zip(held, now)]
-        fresh = len(every[0]) - batch.num_rows
-        anchor, row, pos, right, left = every
-        out = []
-        for step in range(1, NEAR + 1):
-            i = np.arange(max(step, fresh), len(anchor))
-            i = i[anchor[i] == anchor[i - step]]
-            if not len(i):
-                continue
-            r, l = _common(right[i], right[i - step]), _common(left[i], left[i - step])
-            ok = r + l >= least
-            for j in (i[ok], i[ok] - step):
-                out.append(np.stack([row[j], pos[j] - l[ok], pos[j] + r[ok]], axis=1))
-        held = [x[-NEAR:].copy() for x in every]
-        if out:
-            spans = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1].astype(np.int32)), pa.array(spans[:, 2].astype(np.int32))], names=["row", "s", "e"])
+        anchor, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        (right, n_right), (left, n_left) = _padded(batch.column(3), least), _padded(batch.column(4), least)
+        now = [anchor, row, pos, right, left, n_right, n_left]
+        every = now if last is None else [np.concatenate([h, x]) for h, x in zip(last, now)]
+        equal = np.ones(len(every[0]) - 1, dtype=bool)
+        for x in (every[0], *every[3:]):
+            same = x[1:] == x[:-1]
+            equal &= same.all(axis=1) if same.ndim > 1 else same
+        known = np.concatenate([[False], equal]) if last is None else np.concatenate([[False], equal])[1:]
+        # both sides of an equal pair; the first of a group comes again with each batch that goes on with it
+        pair = np.zeros(len(every[0]), dtype=bool)
+        pair[1:] |= equal
+        pair[:-1] |= equal
+        pair &= every[5] + every[6] >= least
+        if pair.any():
+            yield _spans(every[1][pair], every[2][pair] - every[6][pair], every[2][pair] + every[5][pair])
+        last = [x[-1:].copy() for x in every]
+        fresh = [x[~known] for x in now]
+        cut = int(np.searchsorted(fresh[0], anchor[-1]))
+        for part, ends in (([x[:cut] for x in fresh], True), ([x[cut:] for x in fresh], False)):
+            if held and held[-1][0][-1] != (part[0][0] if len(part[0]) else anchor[-1]):
+                yield from flush()
+            if len(part[0]):
+                held.append(part)
+            if ends and len(part[0]):
+                yield from flush()
+    yield from flush()
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
