@@ -128,6 +128,16 @@ def test_secret_spans(spark):
     assert got[4]["base_sha256"] == hashlib.sha256(",".join(f"hex:{a}:{b}" for a, b in base).encode()).hexdigest()
 
 
+def test_texts_are_scanned_apart(spark):
+    r = random.Random(12)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (16, 20, 40, 64) for _ in range(5)]
+    tokens = ["".join(r.choice("GHIJKLMNOPQRSTUVWXYZghijkl0123456789") for _ in range(40)) for _ in range(5)]
+    texts = ["ends in abc", *hexes, "", *tokens, "a", "AKIA" + "B" * 16, "0", "password=abcdefghijkl", *(x[:15] for x in hexes)]
+    assert secrets.suspects(pa.array(texts)).tolist() == [bool(x in hexes or x in tokens or x.startswith(("AKIA", "pass"))) for x in texts]
+    got = by_id(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    assert [got[i]["n_hex"] for i in range(len(texts))] == [int(x in hexes) for x in texts]
+
+
 def test_redaction(spark):
     text = "é token = abcdefghijklmnop end"
     rows = spark.createDataFrame([(1, text, 30, "k"), (1, text, 30, "k"), (2, None, 0, "k"), (3, "plain", 5, "k")], "doc_id long, text string, n_chars long, extra string")

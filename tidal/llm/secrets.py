@@ -96,10 +96,12 @@ _LOWER_HEX[list(b"0123456789abcdef")] = True
 _COMMON[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")] = True
 
 
-def _long_runs(mask: np.ndarray, length: int) -> np.ndarray:
-    """Starts of runs of at least length set entries."""
-    edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _long_runs(mask: np.ndarray, length: int, cut: np.ndarray) -> np.ndarray:
+    """Starts of runs of at least length set entries; a run ends where the next text begins."""
+    opens, closes = mask.copy(), mask.copy()
+    opens[1:] &= ~mask[:-1] | cut[1:-1]
+    closes[:-1] &= ~mask[1:] | cut[1:-1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return start[end - start >= length]
 
 
@@ -108,7 +110,9 @@ def suspects(column: pa.Array) -> np.ndarray:
     out = np.zeros(len(column), dtype=bool)
     for a, b, data, offsets in chunks(column):
         low = LOWER[data].tobytes()
-        places = [_long_runs(_LOWER_HEX[data], 16), _long_runs(_COMMON[data], 20)]
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[offsets] = True
+        places = [_long_runs(_LOWER_HEX[data], 16, cut), _long_runs(_COMMON[data], 20, cut)]
         for word in (*KEYWORDS, b"akia"):
             at, found = low.find(word), []
             while at >= 0:
