@@ -267,6 +267,27 @@ def test_pseudonyms(spark):
     assert luhn(spaced.replace(" ", ""))
 
 
+def test_cards_and_phones_as_written(spark):
+    card = "4111 1111 1111 1111"
+    cases = [
+        card, f"{card} 12/25", "4111111111111111 123", f"2 {card}", f"{card} {card}", f"{card} 2020-02-03", "41 11 11 11 11 11 11 11", "4111-1111-1111-1111-99 x", f"{card} 12ab", f"no {card[:-1]}2 no",
+        "+1 (743) 555-3824", "12 743-555-3824 99", "(743) 555-3824", "743.555.3824", "743 555 3824", "1-743-555-3824", "+17435553824", "+44 20 7946 0958", "+44 (20) 79 46 09 58",
+        "12 34 56", "1.2.3.4", " ".join("1234" for _ in range(3000)),
+    ]
+    got = by_id(pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), "key"))
+    out = [got[i]["text"] for i in range(len(cases))]
+    new = re.sub(" ", "", out[0])
+    assert luhn(new) and new != re.sub(" ", "", card)
+    assert out[1] == f"{out[0]} 12/25" and out[2] == f"{new} 123" and out[3] == f"2 {out[0]}" and out[4] == f"{out[0]} {out[0]}" and got[4]["n_card"] == 2
+    assert out[5].startswith(f"{out[0]} ") and got[5]["n_date"] == 1 and re.sub(" ", "", out[6]) == new and out[7] == f"{out[0].replace(' ', '-')}-99 x" and out[8] == f"{out[0]} 12ab" and out[9] == cases[9]
+    assert out[11].startswith("12 ") and out[11].endswith(" 99")
+    out[11] = out[11][3:-3]
+    ten = re.sub("[^0-9]", "", out[11])
+    assert ten != "7435553824" and all(re.sub("[^0-9]", "", out[i])[-10:] == ten and got[i]["n_phone"] == 1 for i in range(10, 17))
+    assert [re.sub("[0-9]", "d", x) for x in out] == [re.sub("[0-9]", "d", x) for x in [*cases[:11], cases[11][3:-3], *cases[12:20]]] + [re.sub("[0-9]", "d", x) for x in out[20:]]
+    assert out[17].startswith("+44 ") and out[17] != cases[17] and got[18]["n_phone"] == 1 and re.sub("[^0-9]", "", out[18]) == re.sub("[^0-9]", "", out[17]) and out[19] == "12 34 56" and got[20]["n_address"] == 1
+
+
 # Jaccard join
 
 def linked(texts, k, percent):

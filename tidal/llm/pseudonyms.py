@@ -5,10 +5,14 @@ network over Z_a x Z_b with alternating modular additions, which is a
 bijection, so equal values get equal pseudonyms in every document and unlike
 values never share one.  Round values come from SHA-256 over the key.
 
-- cards: 12 to 19 digits with a right Luhn digit; all but the last are permuted and the last is computed anew;
+- cards: 12 to 19 digits with a right Luhn digit; all but the last are permuted and the last is computed anew.
+  In digit groups parted by single spaces or hyphens every stretch of whole groups is tried: usual groupings
+  first, then the leftmost, then the longest, so that a number is found next to an expiry date or a code;
 - dates: yyyy-mm-dd or dd/mm/yyyy of 1800 to 2199, permuted among the days of these 400 years (189 x 773);
 - addresses a.b.c.d with parts of 0 to 255, permuted as 32-bit numbers;
-- telephone numbers +1 (ddd) ddd-dddd and social security numbers ddd-dd-dddd, permuted as digits;
+- telephone numbers, permuted as digits: ten digits grouped 3-3-4 by spaces, dots, hyphens or brackets, with or
+  without 1 or +1, which stays; others as + and 8 to 15 digits in groups, the first two digits stay;
+- social security numbers ddd-dd-dddd, permuted as digits;
 - mail names, permuted as base-36 numbers of up to 24 letters and digits; the domain stays.
 
 Separators and lengths stay.  Values that fail validation stay as they are.
@@ -25,10 +29,15 @@ from pyspark.sql import functions as F
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
-PHONE = r"(?<![0-9])\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+_TEN = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_ABROAD = r"\+(?=[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![ .()-]{0,2}[0-9]))[0-9]{1,4}+(?:[ .-]?\([0-9]{1,4}\))?+(?:[ .-]?[0-9]{1,14}+)*+"
+PHONE = rf"(?<![0-9+])(?:(?:\+?1[ .-]?)?{_TEN}|{_ABROAD}|\+1[0-9]{{10}})(?![0-9]|[.-][0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9a-zA-Z])[0-9](?:[ -]?[0-9]){11,18}(?![0-9a-zA-Z])"
+#: Groups of 12 digits or more in all; a group that begins another value or runs into letters isn't one of them.
+CARD = rf"(?<![0-9a-zA-Z])(?=[0-9](?:[ -]?[0-9]){{11}})[0-9]++(?![a-zA-Z])(?:[ -](?!{DATE}|{PHONE}|{ADDRESS}|{SOCIAL}|{EMAIL})[0-9]++(?![a-zA-Z]))*+"
+#: Sizes of groups in which cards are usually written.
+USUAL = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", *map(str, range(12, 20)))
 PATTERN = "|".join((EMAIL, DATE, PHONE, ADDRESS, SOCIAL, CARD))
 ROUNDS = 8
 KINDS = ("card", "date", "address", "phone", "social", "email")
@@ -89,11 +98,44 @@ def refilled(value: Column, letters: Column, is_letter: str) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
 
 
-def _card(x: Column, key: str) -> Column:
-    digits = F.regexp_replace(x, "[^0-9]", "")
+def _new_card(digits: Column, key: str) -> Column:
     body = permuted(F.substr(digits, F.lit(1), F.char_length(digits) - 1), 10, key, "card")
-    full = F.element_at(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))), 1)
-    return F.when(luhn_sum(digits) % 10 == 0, F.element_at(F.transform(F.array(full), lambda f: refilled(x, f, "[0-9]")), 1))
+    return F.element_at(F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))), 1)
+
+
+def _card_places(groups: Column) -> Column:
+    """Array of (i, j): cards made of the digit groups i to j, in order of preference and without overlap."""
+    m = F.size(groups)
+
+    def stretch(i: Column, j: Column) -> Column:
+        part = F.slice(groups, i, j - i + 1)
+        return F.struct(i.alias("i"), j.alias("j"), F.array_join(part, "").alias("digits"), F.array_join(F.transform(part, lambda g: F.char_length(g).cast("string")), "-").alias("sizes"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), m), lambda i: F.transform(F.sequence(i, F.least(i + 18, m)), lambda j: stretch(i, j))))
+    good = F.filter(every, lambda x: F.when(F.char_length(x["digits"]).between(12, 19), luhn_sum(x["digits"]) % 10 == 0).otherwise(False))
+    ranked = F.array_sort(F.transform(good, lambda x: F.struct((~x["sizes"].isin(*USUAL)).alias("odd"), x["i"].alias("i"), (-x["j"]).alias("j"))))
+
+    def take(acc: Column, x: Column) -> Column:
+        free = ~F.exists(acc, lambda y: (y["i"] <= -x["j"]) & (y["j"] >= x["i"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(x["i"].alias("i"), (-x["j"]).alias("j"))))).otherwise(acc)
+
+    return F.aggregate(ranked, F.array().cast("array<struct<i:int,j:int>>"), take)
+
+
+def _cards(x: Column, key: str) -> Column:
+    """struct(out, n): digit groups with the n cards in them replaced; out is null where there is none."""
+
+    def filled(s: Column) -> Column:
+        def piece(k: Column) -> Column:
+            own = F.filter(s["places"], lambda p: (p["i"] <= k) & (p["j"] >= k))
+            digits = F.array_join(F.slice(s["groups"], own[0]["i"], own[0]["j"] - own[0]["i"] + 1), "")
+            return F.when(F.size(own) == 0, F.element_at(s["groups"], k)).when(own[0]["i"] == k, _new_card(digits, key)).otherwise("")
+
+        digits = F.array_join(F.transform(F.sequence(F.lit(1), F.size(s["groups"])), piece), "")
+        return F.struct(F.when(F.size(s["places"]) > 0, F.element_at(F.transform(F.array(digits), lambda d: refilled(x, d, "[0-9]")), 1)).alias("out"), F.size(s["places"]).alias("n"))
+
+    groups = F.split(x, "[ -]")
+    return F.element_at(F.transform(F.transform(F.array(groups), lambda g: F.struct(g.alias("groups"), _card_places(g).alias("places"))), filled), 1)
 
 
 def _date(x: Column, key: str) -> Column:
@@ -115,11 +157,17 @@ def _address(x: Column, key: str) -> Column:
     return F.when(ok, F.element_at(F.transform(F.array(done), show), 1))
 
 
-def _digits(x: Column, skip: int, key: str, kind: str) -> Column:
-    """Digits after the first skip characters permuted."""
-    rest = F.substr(x, F.lit(skip + 1))
-    digits = permuted(F.regexp_replace(rest, "[^0-9]", ""), 10, key, kind)
-    return F.concat(F.substr(x, F.lit(1), F.lit(skip)), F.element_at(F.transform(F.array(digits), lambda d: refilled(rest, d, "[0-9]")), 1))
+def _digits(x: Column, stay: Column, key: str, kind: str) -> Column:
+    """Digits permuted but for the first few, which stay."""
+    every = F.regexp_replace(x, "[^0-9]", "")
+    digits = F.concat(F.substr(every, F.lit(1), stay), permuted(F.substr(every, stay + 1), 10, key, kind))
+    return F.element_at(F.transform(F.array(digits), lambda d: refilled(x, d, "[0-9]")), 1)
+
+
+def _phone(x: Column, key: str) -> Column:
+    """Ten digits that are written with and without 1 or +1 get the same ten digits."""
+    n = F.char_length(F.regexp_replace(x, "[^0-9]", ""))
+    return _digits(x, F.when(x.rlike("^[+][^1]"), 2).otherwise(F.when((n == 10) & ~x.rlike("^[+]"), 0).otherwise(1)), key, "phone")
 
 
 def _email(x: Column, key: str) -> Column:
@@ -132,7 +180,7 @@ def _email(x: Column, key: str) -> Column:
 def kind_of(x: Column) -> Column:
     return (
         F.when(F.contains(x, F.lit("@")), "email")
-        .when(x.rlike("^[+]"), "phone")
+        .when(x.rlike(rf"^[+]|^(1[ .-]?)?{_TEN}$"), "phone")
         .when(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "date")
         .when(F.contains(x, F.lit(".")), "address")
         .when(x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "social")
@@ -141,24 +189,25 @@ def kind_of(x: Column) -> Column:
 
 
 def pseudonym(x: Column, key: str) -> Column:
-    """struct(kind, out) of a found value; out is null where validation fails."""
+    """struct(kind, value, out, n) of a found value; out is null where validation fails, n counts the values replaced."""
     kind = kind_of(x)
     out = (
-        F.when(kind == "email", _email(x, key)).when(kind == "phone", _digits(x, 2, key, "phone")).when(kind == "date", _date(x, key))
-        .when(kind == "address", _address(x, key)).when(kind == "social", _digits(x, 0, key, "social")).otherwise(_card(x, key))
+        F.when(kind == "email", _email(x, key)).when(kind == "phone", _phone(x, key)).when(kind == "date", _date(x, key))
+        .when(kind == "address", _address(x, key)).when(kind == "social", _digits(x, F.lit(0), key, "social"))
     )
-    return F.struct(kind.alias("kind"), x.alias("value"), out.alias("out"))
+    done = F.when(kind == "card", _cards(x, key)).otherwise(F.struct(out.alias("out"), F.lit(1).alias("n")))
+    return F.element_at(F.transform(F.array(done), lambda d: F.struct(kind.alias("kind"), x.alias("value"), d["out"].alias("out"), d["n"].alias("n"))), 1)
 
 
 def pseudonymise(docs: DataFrame, key: str = "tidal") -> DataFrame:
     """Per document: doc_id, the number of replaced values of each kind, and text with them replaced."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = F.col("text").rlike("[0-9]{3}|@|[0-9][.]")
+    some = F.col("text").rlike("[0-9]{3}|@|[0-9][. -][0-9]|[+][0-9]")
     found = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     found = found.withColumn("found", F.when(F.size("found") > 0, F.col("found")))
     made = found.withColumn("made", F.transform("found", lambda x: pseudonym(x, key)))
     parts = F.when(F.col("made").isNotNull(), F.split("text", PATTERN, -1))
     put = F.zip_with(parts, "made", lambda p, m: F.concat(p, F.coalesce(m["out"], m["value"], F.lit(""))))
-    kinds = F.coalesce(F.transform(F.filter("made", lambda m: m["out"].isNotNull()), lambda m: m["kind"]), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.transform(F.filter("made", lambda m: m["out"].isNotNull()), lambda m: F.array_repeat(m["kind"], m["n"]))), F.array().cast("array<string>"))
     counts = [F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return made.withColumn("kinds", kinds).select("doc_id", *counts, F.coalesce(F.array_join(put, ""), F.col("text")).alias("text"))
