@@ -314,6 +314,13 @@ def test_jaccard_join(docs, texts, k, percent):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == linked(texts, k, percent)
 
 
+def test_jaccard_join_without_stars(spark):
+    """The last two link through one token, whose pivot is the first, of an unlike size."""
+    texts = ["90199 9954 75799 96644 71172 37732 62166", "32320 71172", "32320 71172 83711"]
+    got = by_id(jaccard_join.join_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1, 50))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(3)] == linked(texts, 1, 50) == [(7, 0), (2, 1), (3, 1)]
+
+
 def test_one_of_each_group(docs, texts):
     want = [i for i, (n, c) in enumerate(linked(texts, 5, 80)) if n == 0 or c == i]
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each_group(docs).collect()) == want

@@ -261,9 +261,11 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     pivots = live.groupBy("token").agg(F.min(F.struct("node", "n", "rest")).alias("p"))
     stars = live.join(pivots, "token").where((F.col("node") != F.col("p.node")) & can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
     first = _stars(stars.select("node", F.col("p.node").alias("grp")).distinct(), texts, k, percent)
-    if first is None:
-        return live.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    groups = components(first)
+    if first is None:  # no node is like its token's pivot, but others may link: each is its own group
+        first = live.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        groups = live.select("node", F.col("node").alias("comp")).where("false")
+    else:
+        groups = components(first)
     for turn in range(1, TURNS):
         # groups that are linked, but not through one pivot: other pivots, a different one for each token
         known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
