@@ -4,16 +4,18 @@ A document's set holds its distinct k-word shingles.  Documents with equal sets
 are one node.  The join keeps, for every node, the prefix of its tokens in one
 global order (rare tokens first): nodes that link share a prefix token.
 
-1. Postings of prefix tokens that occur in one node only are dropped.
+1. Prefixes are long enough for linked nodes to share ``SHARED`` of their tokens
+   (or all they share).  Postings that hold one node only are dropped, and so are
+   nodes left with fewer tokens than a link needs.
 2. In each posting every node is held against one pivot, in a few turns with
-   other pivots; exact links found so partition similar nodes into groups
-   (connected components).
+   other pivots.  Pairs that share enough prefix tokens are compared exactly, and
+   the links found partition similar nodes into groups (connected components).
 3. The token-group matrix holds the distinct (prefix token, group) pairs left.
-   A node that shares a token with another group, at a place in both prefixes
-   that leaves enough tokens to link, queries it: groups are opened
-   in blocks of at most ``BLOCK`` members with the union of their tokens, the
-   node's overlap with the union bounds that with any member, and only if the
-   bound allows a link are the members compared exactly.
+   A node queries another group if it shares enough tokens with the union of the
+   group's prefixes, the first of them at a place that leaves enough tokens to
+   link; only such groups are opened, in blocks of at most about ``BLOCK`` members with the
+   union of all their tokens.  The node's overlap with that union bounds the one with any
+   member, and only if the bound allows a link are the members compared exactly.
 
 No pairs within a group are listed, and no link between nodes is lost: each pair
 of linked nodes that step 2 left in different groups is met in step 3.  The
@@ -23,7 +25,9 @@ and never changes results.
 Defined results: null, empty or blank texts have no shingle and link with
 nothing; a text of fewer than k words has one; equal rows link; words are runs
 of non-space with A-Z lowered; an empty table gives an empty result; extra
-columns are ignored.  A null doc_id is never the least of its component.
+columns are ignored, whatever their names.  A null doc_id is never the least of its
+component.  Very long texts are taken whole; a task holds one Arrow batch of texts and
+the token sets of one block of members.  Ties (equal least doc_ids) are broken by a hash of the row.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import Words, chunks, mix
-from .store import deflate, inflate
+from .store import deflate, inflate, unused
 
 #: Members of a group that are opened together.
 BLOCK = 256
@@ -45,6 +49,10 @@ BLOCK = 256
 TURNS = 2
 #: Length of the list of common tokens that come last in the order (1.6 MB), and the count that makes one common.
 COMMON, COMMON_AT = 100_000, 8
+#: Prefixes are long enough for linked sets to share this many of their tokens, or all that they share.
+SHARED = 3
+#: The postings of a common token are dealt over this many tasks, by node.
+PARTS = 64
 #: Bits of the filter that says which nodes' texts are wanted (4 MB).
 FILTER_BITS = 1 << 25
 
@@ -96,71 +104,78 @@ def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch], k: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, node, n, rest) for the prefix of every distinct set of a batch; rest: how many of its tokens come later."""
+    """(token, part, node, n, rest) for the prefix of every distinct set of a batch; rest: how many of its tokens come later, part: see PARTS."""
     order = np.argsort(common)
     known, rank = common[order], order
     for batch in batches:
-        seen, tokens_, nodes, sizes, counts = set(), [], [], [], []
+        seen: set[int] = set()
+        tokens_, parts, nodes, sizes, counts = [], [], [], [], []
 
         def out() -> pa.RecordBatch:
             times = np.array(counts, dtype=np.int64)
             flat = np.concatenate(tokens_) if tokens_ else np.empty(0, dtype=np.uint64)
-            columns = [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), times)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), times))]
+            part = np.concatenate(parts) if parts else np.empty(0, dtype=np.int16)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)
-            columns.append(pa.array((np.repeat(np.array(sizes, dtype=np.int64), times) - place - 1).astype(np.int32)))
-            for x in (tokens_, nodes, sizes, counts):
+            rest = np.repeat(np.array(sizes, dtype=np.int64), times) - place - 1
+            columns = [flat.view(np.int64), part, np.repeat(np.array(nodes, dtype=np.int64), times), np.repeat(np.array(sizes, dtype=np.int32), times), rest.astype(np.int32)]
+            for x in (tokens_, parts, nodes, sizes, counts):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["token", "node", "n", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "part", "node", "n", "rest"])
 
         for _, tokens, _ in token_sets(batch.column(0), k):
             if not len(tokens) or (node := signature(tokens)) in seen:
                 continue
             seen.add(node)
             n = len(tokens)
-            take = n - needed(n, percent) + 1
+            take = min(n, n - needed(n, percent) + SHARED)
+            own = np.zeros(n, dtype=np.int16)
             if len(known):
                 at = np.searchsorted(known, tokens)
                 at[at == len(known)] = 0
                 late = known[at] == tokens
                 if late.any():
                     tokens = np.concatenate([tokens[~late], tokens[late][np.argsort(rank[at[late]])]])
+                    own[n - int(late.sum()) :] = 1 + node % PARTS
             tokens_.append(tokens[:take])
+            parts.append(own[:take])
             nodes.append(node)
             sizes.append(n)
             counts.append(take)
-            if len(counts) >= 2000:
+            if len(counts) >= 1000:
                 yield out()
         yield out()
 
 
 def _live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and node, those with two or more nodes, each node once."""
-    held: list[np.ndarray] = []
+    """Of rows sorted by token, part and node, those whose token has two nodes or more or is a common one, each node once; state is one row."""
+    last: np.ndarray | None = None
+    given = False
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-        held.append(rows)
-        if not len(rows) or held[0][0, 0] == rows[-1, 0]:
-            held = [h for h in held if len(h)]
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
+        if not len(rows):
             continue
-        every = np.concatenate(held)
-        last = int(np.searchsorted(every[:, 0], every[-1, 0]))
-        yield _several(every[:last])
-        held = [every[last:]]
-    if held:
-        yield _several(np.concatenate(held))
-
-
-def _several(rows: np.ndarray) -> pa.RecordBatch:
-    if len(rows):
+        if last is not None:
+            rows = np.concatenate([last, rows])
         fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
         rows = rows[fresh]
-        same = rows[1:, 0] == rows[:-1, 0]
-        keep = np.zeros(len(rows), dtype=bool)
+        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+        keep = rows[:, 1] > 0
         keep[1:] |= same
         keep[:-1] |= same
-        rows = rows[keep]
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], names=["token", "node", "n", "rest"])
+        if last is not None and given:
+            # the first row went out with the batch before; it still vouches for its successors
+            keep[0] = False
+        if len(rows) > 1:
+            given = bool(keep[-1])
+        else:
+            given = given or bool(keep[-1])
+        last = rows[-1:].copy()
+        yield _columns(rows[keep])
+
+
+def _columns(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32))], names=["token", "node", "n", "rest"])
 
 
 def bit_places(node: int) -> tuple[int, ...]:
@@ -229,11 +244,9 @@ def _open(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     return joined.repartition("grp", "block").sortWithinPartitions("grp", "block", "query").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").checkpoint()
 
 
-def _stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Exact links among distinct pairs (node, grp) of a node and a pivot, None without pairs; a pivot with many followers is compared in several tasks."""
+def _stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Exact links among distinct pairs (node, grp) of a node and a pivot; a pivot with many followers is compared in several tasks."""
     pairs = pairs.checkpoint()
-    if pairs.isEmpty():
-        return None
     spread = _blocks(pairs.groupBy("grp").agg(F.count("*").alias("size")))
     queries = pairs.join(spread, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("query"), "node")
     pivots = spread.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), F.col("grp").alias("node"))
@@ -249,48 +262,47 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Enough exact links (a, b) between nodes to connect every component."""
     common = common_tokens(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _prefixes(it, k, percent, shared.value), "token long, node long, n int, rest int")
-    live = prefixes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_live, "token long, node long, n int, rest int").checkpoint()
-
-    def can_link(n, rest, other, other_rest):
-        """Sizes agree, and so does the place of the token: if it is the first that two sets share, no more than one and the shorter rest are shared."""
-        sizes = F.least(n, other) * 100 >= F.greatest(n, other) * percent
-        return sizes & ((F.least(rest, other_rest) + 1) * (100 + percent) >= (n + other) * percent)
-
-    texts = _node_texts(live.select("node"), docs, k)
-    pivots = live.groupBy("token").agg(F.min(F.struct("node", "n", "rest")).alias("p"))
-    stars = live.join(pivots, "token").where((F.col("node") != F.col("p.node")) & can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
-    first = _stars(stars.select("node", F.col("p.node").alias("grp")).distinct(), texts, k, percent)
-    if first is None:  # no node is like its token's pivot, but others may link: each is its own group
-        first = live.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        groups = live.select("node", F.col("node").alias("comp")).where("false")
-    else:
-        groups = components(first)
-    for turn in range(1, TURNS):
-        # groups that are linked, but not through one pivot: other pivots, a different one for each token
+    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _prefixes(it, k, percent, shared.value), "token long, part short, node long, n int, rest int")
+    met = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(_live, "token long, node long, n int, rest int").checkpoint()
+
+    def least_shared(n: Column) -> Column:
+        """Prefix tokens that a set of n shares with any set it links to."""
+        return F.least(F.lit(SHARED), F.ceil(n * percent / 100))
+
+    several = met.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"))).select("node")
+    live = met.join(several, "node").select("token", "node", "n", "rest").checkpoint()
+
+    def sizes_agree(n: Column, lo: Column, hi: Column) -> Column:
+        return (hi * 100 >= n * percent) & (lo * percent <= n * 100)
+
+    def places_agree(bound: Column, n: Column, least: Column) -> Column:
+        """No more are shared than the first shared token and the shorter of the rests after it."""
+        return bound * (100 + percent) >= (n + least) * percent
+
+    texts = _node_texts(several, docs, k)
+    first, groups = None, live.select("node", F.col("node").alias("comp")).where("false")
+    for turn in range(TURNS):
+        # one pivot of each token, another one in each turn, for the nodes not in its group
         known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
-        pivots = known.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "grp"), F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")).alias("p"))
-        stars = known.join(pivots, "token").where((F.col("grp") != F.col("p.grp")) & can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
-        more = _stars(stars.select("node", F.col("p.node").alias("grp")).distinct(), texts, k, percent)
-        if more is None:
-            break
-        first = first.unionByName(more)
-        if not more.isEmpty():
-            groups = components(first)
+        order = F.col("node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
+        pivots = known.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "grp"), F.struct(order, "node")).alias("p"))
+        stars = known.join(pivots, "token").where((F.col("grp") != F.col("p.grp")) & sizes_agree(F.col("n"), F.col("p.n"), F.col("p.n")))
+        stars = stars.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"), (F.max(F.least("rest", "p.rest")) + 1).alias("bound"))
+        stars = stars.where((F.col("c") >= least_shared(F.col("n"))) & places_agree(F.col("bound"), F.col("n"), F.col("m")))
+        found = _stars(stars.select("node", F.col("pivot").alias("grp")), texts, k, percent)
+        first = found if first is None else first.unionByName(found)
+        groups = components(first).checkpoint()
 
     known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
     matrix = known.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    matrix = matrix.join(several, "token").select("token", F.col("grp").alias("target"), "lo", "hi", "most")
-    # what holds for the group's least size and longest rest holds for every member
-    within = (F.least("rest", "most") + 1) * (100 + percent) >= (F.col("n") + F.col("lo")) * percent
-    within = within & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
-    asks = known.join(matrix, "token").where((F.col("target") < F.col("grp")) & within).select("node", F.col("target").alias("grp")).distinct().checkpoint()
-    if asks.isEmpty():
-        return first
+    crossed = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    matrix = matrix.join(crossed, "token").select("token", F.col("grp").alias("target"), "lo", "hi", "most")
+    # what holds for a group's least size and longest rest holds for every member; tokens shared with its union bound those shared with a member
+    asks = known.join(matrix, "token").where((F.col("target") < F.col("grp")) & sizes_agree(F.col("n"), F.col("lo"), F.col("hi")))
+    asks = asks.groupBy("node", F.col("target").alias("grp")).agg(F.count("*").alias("c"), F.first("n").alias("n"), (F.max(F.least("rest", "most")) + 1).alias("bound"), F.min("lo").alias("lo"))
+    asks = asks.where((F.col("c") >= least_shared(F.col("n"))) & places_agree(F.col("bound"), F.col("n"), F.col("lo"))).select("node", "grp").checkpoint()
     sizes = groups.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("size"))
-    asked = asks.select("grp").distinct()
-    blocks = asked.join(_blocks(sizes), "grp", "left").select("grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    blocks = asks.select("grp").distinct().join(_blocks(sizes), "grp", "left").select("grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     in_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     members = blocks.join(groups.select(F.col("comp").alias("grp"), "node"), "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"), "blocks").select("grp", in_block, F.lit(0).alias("query"), "node")
     queries = asks.join(blocks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "node")
@@ -316,10 +328,14 @@ def join_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The first document (least doc_id) of every component, once, with its columns; documents without words all stay."""
-    chosen = join_groups(docs, k, percent)
-    kept = chosen.where((F.col("row") == F.col("first")) & (F.col("n_shingles") > 0)).select("row").distinct()
-    blank = chosen.where("n_shingles = 0").select("row").distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    own = keyed.join(kept, keyed["_row"] == kept["row"], "left_semi").dropDuplicates(["_row"])
-    return own.unionByName(keyed.join(blank, keyed["_row"] == blank["row"], "left_semi")).select(*docs.columns)
+    """The first document (least doc_id) of every component, once, with its columns; documents without words all stay.
+
+    Only rows that have equals (in doc_id and text) go through a shuffle for being single.
+    """
+    row = unused(docs, "row")
+    chosen = join_groups(docs, k, percent).where("n_shingles = 0 OR row = first")
+    kept = chosen.groupBy(F.col("row").alias(row)).agg((F.max("n_shingles") == 0).alias("all"), F.count("*").alias("copies")).checkpoint()
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    plain = keyed.join(kept.where("all OR copies = 1").select(row), row, "left_semi")
+    again = keyed.join(kept.where("NOT all AND copies > 1").select(row), row, "left_semi").dropDuplicates([row])
+    return plain.unionByName(again).select(*docs.columns)

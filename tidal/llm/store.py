@@ -41,10 +41,20 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """name, or name with underscores put before it until rows have no such column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ensure_session(spark: SparkSession) -> None:
-    """Makes the package importable in workers.  Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is set, as in tests."""
+    """Makes the package importable in workers.  Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is set on a local master, as in tests."""
     ship(spark)
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidal-checkpoint-"))
 
 
