@@ -7,8 +7,8 @@ global order (rare tokens first): nodes that link share a prefix token.
 1. Prefixes are long enough for linked nodes to share ``SHARED`` of their tokens
    (or all they share).  Postings that hold one node only are dropped, and so are
    nodes left with fewer tokens than a link needs.
-2. In each posting every node is held against one pivot, in a few turns with
-   other pivots.  Pairs that share enough prefix tokens are compared exactly, and
+2. In each posting every node is held against one pivot, the node with the fewest
+   rarer tokens.  Pairs that share enough prefix tokens are compared exactly, and
    the links found partition similar nodes into groups (connected components).
 3. The token-group matrix holds the distinct (prefix token, group) pairs left.
    A node queries another group if it shares enough tokens with the union of the
@@ -45,8 +45,6 @@ from .store import deflate, inflate, unused
 
 #: Members of a group that are opened together.
 BLOCK = 256
-#: Turns of comparing nodes with one pivot of each posting before groups are opened.
-TURNS = 2
 #: Length of the list of common tokens that come last in the order (1.6 MB), and the count that makes one common.
 COMMON, COMMON_AT = 100_000, 8
 #: Prefixes are long enough for linked sets to share this many of their tokens, or all that they share.
@@ -201,33 +199,53 @@ def _texts(batches: Iterable[pa.RecordBatch], k: int, wanted: np.ndarray) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.int64()), pa.array(list(seen.values()), type=pa.binary())], names=["node", "packed"])
 
 
+class Block:
+    """Members of a group with the union of their tokens, indexed by token."""
+
+    def __init__(self, members: dict[int, np.ndarray]):
+        self.nodes, sets = list(members), list(members.values())
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+
+    def link(self, tokens: np.ndarray, percent: int) -> int | None:
+        """A member that links with tokens; members are looked at only if the overlap with the union allows a link."""
+        if not len(self.nodes):
+            return None
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if len(at) < max(needed(len(tokens), percent), needed(int(self.sizes.min()), percent)):
+            return None
+        times = self.first[at + 1] - self.first[at]
+        owners = self.owner[np.repeat(self.first[at] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        shared = np.bincount(owners, minlength=len(self.nodes))
+        linked = np.flatnonzero(100 * shared >= percent * (len(tokens) + self.sizes - shared))
+        return self.nodes[linked[0]] if len(linked) else None
+
+
 def _verify(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of queries to members, over rows (grp, block, query, node, packed) sorted so that members come first."""
-    now, members, union, least, done = None, {}, None, 0, set()
+    now, members, opened, done = None, {}, None, set()
     for batch in batches:
         links: list[tuple[int, int]] = []
         packed = batch.column(4)
         for i, (grp, block, query, node) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)))):
             if (grp, block) != now:
-                now, members, union, done = (grp, block), {}, None, set()
+                now, members, opened, done = (grp, block), {}, None, set()
             if node in members or node in done:
                 continue
             tokens = next(token_sets(pa.array([inflate(packed[i].as_py())], type=pa.binary()).cast(pa.string()), k))[1]
             if not query:
-                members[node], union = tokens, None
+                members[node] = tokens
                 continue
             done.add(node)
-            if union is None:
-                union = np.unique(np.concatenate(list(members.values()))) if members else np.empty(0, dtype=np.uint64)
-                least = min(map(len, members.values()), default=0)
-            # overlap with a member is at most that with the union, and a link needs this much
-            if len(np.intersect1d(tokens, union, assume_unique=True)) < max(needed(len(tokens), percent), needed(least, percent)):
-                continue
-            for other, theirs in members.items():
-                shared = len(np.intersect1d(tokens, theirs, assume_unique=True))
-                if 100 * shared >= percent * (len(tokens) + len(theirs) - shared):
-                    links.append((node, other))
-                    break
+            opened = opened or Block(members)
+            if (other := opened.link(tokens, percent)) is not None:
+                links.append((node, other))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], type=pa.int64()), pa.array([x[1] for x in links], type=pa.int64())], names=["a", "b"])
 
 
@@ -280,25 +298,22 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         return bound * (100 + percent) >= (n + least) * percent
 
     texts = _node_texts(several, docs, k)
-    first, groups = None, live.select("node", F.col("node").alias("comp")).where("false")
-    for turn in range(TURNS):
-        # one pivot of each token, another one in each turn, for the nodes not in its group
-        known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
-        order = F.col("node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
-        pivots = known.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "grp"), F.struct(order, "node")).alias("p"))
-        stars = known.join(pivots, "token").where((F.col("grp") != F.col("p.grp")) & sizes_agree(F.col("n"), F.col("p.n"), F.col("p.n")))
-        stars = stars.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"), (F.max(F.least("rest", "p.rest")) + 1).alias("bound"))
-        stars = stars.where((F.col("c") >= least_shared(F.col("n"))) & places_agree(F.col("bound"), F.col("n"), F.col("m")))
-        found = _stars(stars.select("node", F.col("pivot").alias("grp")), texts, k, percent)
-        first = found if first is None else first.unionByName(found)
-        groups = components(first).checkpoint()
+    # a token's pivot is the node with the fewest rarer tokens, which is nearest to what the others have in common
+    pivots = live.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest"), F.struct(F.col("n") - F.col("rest"), "node")).alias("p"))
+    stars = live.join(pivots, "token").where((F.col("node") != F.col("p.node")) & sizes_agree(F.col("n"), F.col("p.n"), F.col("p.n")))
+    stars = stars.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"), (F.max(F.least("rest", "p.rest")) + 1).alias("bound"))
+    stars = stars.where((F.col("c") >= least_shared(F.col("n"))) & places_agree(F.col("bound"), F.col("n"), F.col("m")))
+    first = _stars(stars.select("node", F.col("pivot").alias("grp")), texts, k, percent)
+    groups = components(first).checkpoint()
 
     known = live.join(groups, "node", "left").select("token", "node", "n", "rest", F.coalesce("comp", "node").alias("grp"))
     matrix = known.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"))
     crossed = matrix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     matrix = matrix.join(crossed, "token").select("token", F.col("grp").alias("target"), "lo", "hi", "most")
     # what holds for a group's least size and longest rest holds for every member; tokens shared with its union bound those shared with a member
-    asks = known.join(matrix, "token").where((F.col("target") < F.col("grp")) & sizes_agree(F.col("n"), F.col("lo"), F.col("hi")))
+    # and the first SHARED tokens that a linked pair shares lie where enough come after them
+    near = places_agree(F.least("rest", "most") + SHARED, F.col("n"), F.col("lo"))
+    asks = known.join(matrix, "token").where((F.col("target") < F.col("grp")) & sizes_agree(F.col("n"), F.col("lo"), F.col("hi")) & near)
     asks = asks.groupBy("node", F.col("target").alias("grp")).agg(F.count("*").alias("c"), F.first("n").alias("n"), (F.max(F.least("rest", "most")) + 1).alias("bound"), F.min("lo").alias("lo"))
     asks = asks.where((F.col("c") >= least_shared(F.col("n"))) & places_agree(F.col("bound"), F.col("n"), F.col("lo"))).select("node", "grp").checkpoint()
     sizes = groups.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("size"))
