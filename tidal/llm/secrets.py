@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks
+from .store import unused
 
 #: Fixed patterns and least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SIGNS, HUMP = re.compile(r"[+/_=-]+"), re.compile(r"(?:(?<=[a-z])|(?<![A-Za-z]))[A-Z](?=[a-z]{2})")
 KINDS = ("assign", "access", "hex", "random")
 
 ENCODINGS = [("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z"), 16), ("base32", re.compile(r"[A-Z2-7]+=*\Z"), 32), ("base36", re.compile(r"[a-z0-9]+\Z"), 36), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 64)]
@@ -69,9 +71,14 @@ def classify(token: str) -> tuple[str, int]:
 
 
 def battery(token: str) -> float:
-    """p-value of the token under the word-like null; small for tokens that look uniformly random."""
-    n = len(token)
+    """p-value of the token under the word-like null; small for tokens that look uniformly random.
+
+    Signs between words and capitals that begin a word are how names are written, so
+    that the tests are of the token without signs, with such capitals lowered.
+    """
     _, m = classify(token)
+    token = HUMP.sub(lambda x: x.group().lower(), SIGNS.sub("", token)) or token
+    n = len(token)
     counts: dict[str, int] = {}
     for c in token:
         counts[c] = counts.get(c, 0) + 1
@@ -133,8 +140,6 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     more = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
-        if token.isalpha() or token.isdigit():
-            continue
         stratum = sum(len(token) >= x for x in LENGTHS) - 1
         more.append((m.start(), m.end(), 3, stratum, min(LAST, int(-math.log10(max(battery(token), 1e-300)) * STEP))))
     return base, more
@@ -200,13 +205,14 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01) -> DataFrame:
-    """Documents with every reported span replaced by mark; other columns stay, n_chars follows the text.
+    """Documents with every reported span replaced by mark; other columns stay, n_chars follows the text where that changes.
 
     Spans that overlap are replaced as one.  Rows with the same doc_id and text get the same result.
     """
+    row, marks = unused(docs, "row"), unused(docs, "marks")
     found = find_secrets(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), rate).where(F.size("span_list") > 0)
-    spans = found.select(F.col("doc_id").alias("_row"), F.transform("span_list", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans")).dropDuplicates(["_row"])
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(spans, "_row", "left")
+    spans = found.select(F.col("doc_id").alias(row), F.transform("span_list", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(marks)).dropDuplicates([row])
+    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(spans, row, "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, x):
@@ -214,6 +220,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01) -> DataF
         piece = F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
         return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text"))).drop("_row", "_spans")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    done = F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
+    out = joined.withColumn("text", F.when(F.col(marks).isNotNull(), done).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(marks).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
