@@ -1,20 +1,26 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
-Words are mapped to symbols (insult, threat, target, negation, report, other)
-and every clause is read by a composition of five small weighted transducers,
-one for each phenomenon.  A matched clause gets the product of their weights, so
-that a negated or reported insult counts less and an insult or a threat with a
-target counts more.  Insult arcs are learned: their weights are smoothed
-log-odds of a word between toxic and other documents.  The clause scores of a
-document feed a logistic model.
-
-Both are fitted on a bounded sample (parameter ``sample``) of labelled rows of
+Words are mapped to symbols (insult, threat, target, negation, report, other) with
+weights, and every clause is read by a cascade of five small weighted transducers, in
+which each reads what the one before it wrote: negation and reported speech rewrite
+the weights of the insults and threats in their reach and are used up; threats and
+targets are joined to menaces, in either order, the weight waiting in the state until
+the other part comes; targets raise the insults after them; insults and menaces are
+summed at the end.  So a negated or reported threat counts less wherever its target
+stands.  Arcs of insults and of threats are learned: their weights are smoothed
+log-odds of a word between toxic and other documents, so that a word which means a
+threat in one language and nothing in another weighs what the labels say.  The clause
+scores of a document feed a logistic model.
+
+All are fitted on a bounded sample (parameter ``sample``) of labelled doc_ids of
 the training folds, the first by a hash of doc_id; every document is scored.
 
-Defined results: a null or empty text has no clause and gets the model's base
-rate; equal rows get equal scores; labels of one doc_id that differ count as
-toxic; unlabelled or empty tables give scores of a model without evidence (0.5
-is never reached); extra columns are ignored.
+Defined results: a null or empty text has no clause and gets the score of a text
+without matches; equal rows get equal scores; of rows with one doc_id the least text
+is learned from, once; labels of one doc_id that differ count as toxic; unlabelled or
+empty tables give scores of a model without evidence (0.5 is never reached); very long
+texts are scored whole, clause by clause; ties don't arise, as sums don't depend on
+order; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +40,10 @@ from .kernels import Words, chunks
 TARGET = "you your yours u ur he she they him her them tu toi vous ton votre il elle ils du dich dir ihr euch er sie tú te usted ustedes él ella".split()
 NEGATION = "not never no n't isn aren wasn don doesn didn pas ne jamais non nicht kein keine nie nunca ningún tampoco".split()
 REPORT = "said says say wrote writes called calls quoted quote according dit disait écrit appelle sagte sagt schrieb nannte dijo dice escribió llamó".split()
-THREAT = "kill kills hurt destroy beat shoot stab murder die tuer détruire frapper töten schlagen zerstören sterben matar golpear destruir morir".split()
+THREAT = "kill kills hurt destroy beat shoot stab murder tuer détruire frapper töten schlagen zerstören sterben matar golpear destruir morir".split()
 INSULT_, THREAT_, TARGET_, NEGATION_, REPORT_ = range(5)
-GAP_ = 5
+#: A long distance between two symbols, and a threat with its target.
+GAP_, MENACE_ = 5, 6
 #: Words between two symbols after which a negation no longer holds.
 REACH = 4
 
@@ -47,42 +54,54 @@ _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256), ord("'")]] = False
 
 
 class Transducer:
-    """Weighted arcs {(state, symbol): (next state, factor, bonus)}; a missing arc keeps the state with factor 1."""
+    """Weighted arcs {(state, symbol): (next state, symbol written or None, factor)}; a missing arc keeps the state and copies the symbol.
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[int, float, float]]):
-        self.arcs = arcs
-
-    def step(self, state: int, symbol: int) -> tuple[int, float, float]:
-        return self.arcs.get((state, symbol), (state, 1.0, 0.0))
+    The weight of a symbol written is the product of the weight read, the factor, and
+    what waits in the state; a symbol that is held back (None, of INSULT_ or THREAT_)
+    leaves its weight there.
+    """
 
+    def __init__(self, arcs: dict[tuple[int, int], tuple[int, int | None, float]]):
+        self.arcs = arcs
 
-#: state 1: a target was named; an insult after it weighs more.
-TARGETS = Transducer({(0, TARGET_): (1, 1, 0), (1, INSULT_): (1, 1.5, 0)})
-#: state 1: a negation is near; it is used up by the insult, and lost at a gap.
-NEGATIONS = Transducer({(0, NEGATION_): (1, 1, 0), (1, INSULT_): (0, 0.4, 0), (1, GAP_): (0, 1, 0), (1, THREAT_): (0, 0.4, 0)})
-#: state 1: what follows is reported speech.
-REPORTS = Transducer({(0, REPORT_): (1, 1, 0), (1, INSULT_): (1, 0.6, 0), (1, THREAT_): (1, 0.6, 0)})
-#: states 1 and 2: a target or a threat waits for the other; both make a threat.
-THREATS = Transducer({(0, TARGET_): (1, 1, 0), (1, THREAT_): (0, 1, 2.0), (0, THREAT_): (2, 1, 0), (2, TARGET_): (0, 1, 2.0)})
-#: state 1: an insult was read; another in the same clause weighs more.
-INSULTS = Transducer({(0, INSULT_): (1, 1, 0), (1, INSULT_): (1, 1.2, 0)})
-GRAMMAR = (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS)
+    def read(self, tape: Iterable[tuple[int, float]]) -> Iterator[tuple[int, float]]:
+        state, waiting = 0, 1.0
+        for symbol, weight in tape:
+            arc = self.arcs.get((state, symbol))
+            if arc is None:
+                yield symbol, weight
+                continue
+            state, written, factor = arc
+            if written is None:
+                waiting = weight * factor if symbol in (INSULT_, THREAT_) else factor
+            else:
+                yield written, (weight if symbol != TARGET_ else 1.0) * factor * waiting
+                waiting = 1.0
+
+
+#: state 1: a negation is near; the next insult or threat uses it up, a gap ends it.
+NEGATIONS = Transducer({(0, NEGATION_): (1, None, 0.4), (1, NEGATION_): (1, None, 0.4), (1, INSULT_): (0, INSULT_, 1.0), (1, THREAT_): (0, THREAT_, 1.0), (1, GAP_): (0, GAP_, 1.0)})
+#: state 1: what follows is reported speech, up to the clause's end.
+REPORTS = Transducer({(0, REPORT_): (1, None, 1.0), (1, REPORT_): (1, None, 1.0), (1, INSULT_): (1, INSULT_, 0.6), (1, THREAT_): (1, THREAT_, 0.6)})
+#: state 1: a target was named, and stays on the tape; state 2: a threat waits for its target.
+MENACES = Transducer({(0, TARGET_): (1, TARGET_, 1.0), (1, THREAT_): (0, MENACE_, 2.0), (0, THREAT_): (2, None, 1.0), (2, TARGET_): (0, MENACE_, 2.0), (2, THREAT_): (2, None, 1.0)})
+#: state 1: a target was named or threatened; insults after it weigh more.
+TARGETS = Transducer({(0, TARGET_): (1, TARGET_, 1.0), (0, MENACE_): (1, MENACE_, 1.0), (1, INSULT_): (1, INSULT_, 1.5)})
+#: state 1: an insult was read; another one in the clause weighs more.
+INSULTS = Transducer({(0, INSULT_): (1, INSULT_, 1.0), (1, INSULT_): (1, INSULT_, 1.2)})
+GRAMMAR = (NEGATIONS, REPORTS, MENACES, TARGETS, INSULTS)
 
 
 def read_clause(symbols: Iterable[tuple[int, float]], grammar: tuple[Transducer, ...] = GRAMMAR) -> tuple[float, float]:
-    """Insult and threat score of a clause, given as (symbol, weight) in order."""
-    states, insult, threat = [0] * len(grammar), 0.0, 0.0
-    for symbol, weight in symbols:
-        factor = bonus = 0.0
-        scale = 1.0
-        for i, t in enumerate(grammar):
-            states[i], factor, more = t.step(states[i], symbol)
-            scale *= factor
-            bonus += more
-        if symbol == INSULT_:
-            insult += weight * scale
-        threat += bonus * scale
-    return insult, threat
+    """Insult and threat score of a clause, given as (symbol, weight) in order: the composition of the grammar's transducers reads it."""
+    tape = iter(symbols)
+    for transducer in grammar:
+        tape = transducer.read(tape)
+    scores = {INSULT_: 0.0, MENACE_: 0.0}
+    for symbol, weight in tape:
+        if symbol in scores:
+            scores[symbol] += weight
+    return scores[INSULT_], scores[MENACE_]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -129,12 +148,12 @@ def _evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FEATURES = 6
 
 
-def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text: sum and maximum of clause insult scores, matched clauses, threats, share of matched words, log length."""
+def features(column: pa.Array, lexicon: np.ndarray, weights: np.ndarray, threats: np.ndarray) -> np.ndarray:
+    """threats: the weights of the words of THREAT.  Per text: sum and maximum of clause insult scores, matched clauses, threats, share of matched words, log length."""
     closed, kinds = _closed()
     known = np.concatenate([lexicon, closed])
     symbol = np.concatenate([np.full(len(lexicon), INSULT_), kinds])
-    weight = np.concatenate([weights, np.zeros(len(closed))])
+    weight = np.concatenate([weights, threats, np.zeros(len(closed) - len(threats))])
     known, first = np.unique(known, return_index=True)
     symbol, weight = symbol[first], weight[first]
     seen = np.zeros(1 << 16, dtype=bool)
@@ -200,11 +219,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
 
 
 class Model:
-    def __init__(self, lexicon, weights, mean, scale, coefficients):
-        self.lexicon, self.weights, self.mean, self.scale, self.coefficients = lexicon, weights, mean, scale, coefficients
+    def __init__(self, lexicon, weights, threats, mean, scale, coefficients):
+        self.lexicon, self.weights, self.threats, self.mean, self.scale, self.coefficients = lexicon, weights, threats, mean, scale, coefficients
 
     def score(self, column: pa.Array) -> np.ndarray:
-        z = (features(column, self.lexicon, self.weights) - self.mean) / self.scale
+        z = (features(column, self.lexicon, self.weights, self.threats) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.coefficients[:-1] + self.coefficients[-1], -30, 30)))
 
 
@@ -214,29 +233,36 @@ def fold(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 4) -> Model:
-    """Grammar weights and model from at most sample labelled rows of the training folds.
+    """Grammar weights and model from at most sample labelled doc_ids of the training folds.
 
-    least: toxic documents that a word must occur in to become an insult arc.
+    least: toxic documents that a word must occur in to become an insult arc; a threat
+    word that occurs in fewer documents keeps the weight 1.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").checkpoint()
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     counted = rows.mapInArrow(_evidence, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    learned = counted.where(F.col("t") >= least).withColumn("w", odds).where((F.col("w") > 1.5) & (F.col("t") * F.col("w") > 8 + 2 * F.col("c"))).select("word", "w").orderBy("word").collect()
-    lexicon = np.array([r[0] for r in learned], dtype=np.int64).view(np.uint64)
-    weights = np.array([r[1] for r in learned], dtype=float)
+    words = word_hashes(THREAT).view(np.int64).tolist()
+    insult = (F.col("t") >= least) & (F.col("w") > 1.5) & (F.col("t") * F.col("w") > 8 + 2 * F.col("c"))
+    threat = F.col("word").isin(words)
+    learned = counted.withColumn("w", odds).where(insult | threat).select("word", "w", (F.col("t") + F.col("c")).alias("n"), (insult & ~threat).alias("insult")).orderBy("word").collect()
+    lexicon = np.array([r["word"] for r in learned if r["insult"]], dtype=np.int64).view(np.uint64)
+    weights = np.array([r["w"] for r in learned if r["insult"]], dtype=float)
+    known = {r["word"]: max(0.0, r["w"]) for r in learned if not r["insult"] and r["n"] >= least}
+    threats = np.array([known.get(w, 1.0) for w in words])
 
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(0), lexicon, weights)
+            x = features(batch.column(0), lexicon, weights, threats)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], names=["toxic", *(f"f{i}" for i in range(FEATURES))])
 
     table = np.array([tuple(r) for r in rows.mapInArrow(measured, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).collect()], dtype=float).reshape(-1, 1 + FEATURES)
     table = table[np.lexsort(table.T[::-1])]
-    return Model(lexicon, weights, *fit_logistic(table[:, 1:], table[:, 0]))
+    return Model(lexicon, weights, threats, *fit_logistic(table[:, 1:], table[:, 0]))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
