@@ -152,6 +152,28 @@ def test_battery_separates():
     assert all(secrets.battery(x) > 1e-3 for x in ("internationalisationsfragen1", "aaaaaaaaaaaaaaaaaaaaaaaa1", "some_long_identifier_name_2"))
 
 
+def test_battery_is_calibrated_on_words_and_names():
+    r = random.Random(7)
+    words = [w for t in ("international document processing of the measured series and their several windows with many values",
+                         "die gemessenen werte der reihe werden verglichen und eingeordnet", "les valeurs mesurées sont comparées entre elles puis rangées") for w in t.split() if w.isascii() and len(w) > 2]
+    for join in ("".join, "_".join, "-".join, lambda x: "".join(w.capitalize() for w in x), lambda x: "".join(x)[:20] + "2024" + "".join(x)[20:]):
+        p = [secrets.battery(join([r.choice(words) for _ in range(9)])[: r.choice([20, 24, 32, 48])]) for _ in range(500)]
+        assert sum(x <= 0.01 for x in p) / len(p) <= 0.04 and min(p) > 1e-6
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert sum(secrets.battery("".join(r.choice(letters) for _ in range(40))) < 1e-4 for _ in range(100)) >= 95
+
+
+def test_false_discovery_threshold():
+    histogram = [(0, 0, 900), (0, 20, 90), (0, 100, 5), (1, 160, 2)]
+    for rate in (0.001, 0.01, 0.2):
+        least = secrets.thresholds(histogram, rate)
+        for stratum in (0, 1):
+            bins = sorted(b for s, b, n in histogram if s == stratum for _ in range(n))
+            total = len(bins)
+            ok = [b for b in bins if 10 ** (-b / secrets.STEP) * total <= rate * sum(x >= b for x in bins)]
+            assert least[stratum] == (min(ok) if ok else secrets.LAST + 1)
+
+
 # quality rules
 
 def test_quality_statistics(docs, texts, spark):
@@ -185,6 +207,25 @@ def test_grammar_weights():
     assert toxicity.read_clause([threat])[1] == 0 < toxicity.read_clause([neg, threat, target])[1] < toxicity.read_clause([threat, target])[1]
 
 
+def test_damping_holds_in_any_order():
+    insult, target, neg, report, threat = ((k, 1.0) for k in (toxicity.INSULT_, toxicity.TARGET_, toxicity.NEGATION_, toxicity.REPORT_, toxicity.THREAT_))
+    for pair in ([threat, target], [target, threat]):
+        plain = toxicity.read_clause(pair)[1]
+        for damp in (neg, report):
+            assert 0 < toxicity.read_clause([damp, *pair])[1] < plain
+    assert toxicity.read_clause([neg, (toxicity.GAP_, 0.0), insult]) == toxicity.read_clause([insult])
+    assert toxicity.read_clause([(toxicity.THREAT_, 0.0), target])[1] == 0  # a word that labels don't mark
+    assert toxicity.read_clause([threat, target, insult])[0] > toxicity.read_clause([insult])[0]
+
+
+def test_unmarked_threat_words_weigh_nothing(spark):
+    docs = spark.createDataFrame([(i, "gib du sterben her" if i % 2 else "zonk du da zonk", "x") for i in range(200)], "doc_id long, text string, extra string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.threats[toxicity.THREAT.index("sterben")] == 0
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in toxicity.scores(docs, model).collect())
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scores(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").select("doc_id", "score", "toxic").collect()
@@ -326,11 +367,12 @@ def test_one_of_each_group(docs, texts):
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each_group(docs).collect()) == want
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_components(spark, small):
+@pytest.mark.parametrize("held", [0, 200_000])
+def test_components(spark, held, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", held)
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)]
-    got = {x["node"]: x["comp"] for x in graph.components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    got = {x["node"]: x["comp"] for x in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     group = {x: x for e in edges for x in e}
     for _ in range(len(group)):
         for a, b in edges:
@@ -410,6 +452,24 @@ def test_leaks_equal_brute_force():
     assert search(items, texts) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("where", ["anywhere", "head", "tail"])
+def test_recall_at_most_edits(where):
+    """Against brute force: every item with as many edits as are allowed is within the limit; exact copies are always found."""
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    for n in (8, 9, 10, 12, 14, 16, 20, 30, 60, 120):
+        items, texts = [draw(n) for _ in range(60)], []
+        for w in items:
+            w, m = list(w), int(0.2 * n)
+            span = range(n) if where == "anywhere" else range(2 * m) if where == "head" else range(n - 2 * m, n)
+            for at in sorted(r.sample(span, m), reverse=True):
+                w[at : at + 1] = r.choice([[], draw(1), [w[at], *draw(1)]])
+            texts.append(" ".join(draw(r.randrange(40)) + w + draw(r.randrange(40))))
+        found = search([" ".join(w) for w in items], texts + [" ".join(w) for w in items])
+        assert sum((i, i) in found for i in range(60)) >= 57 and all(found[60 + i, i][0] == 0 for i in range(60))
+
+
 def test_short_items_are_found_as_exact_copies():
     r = random.Random(9)
     items = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)) for n in range(1, 11) for _ in range(40)]
