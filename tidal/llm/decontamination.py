@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import M64, Words, chunks
-from .store import unused
+from .store import lean, unused
 
 #: By least words of an item: its independent walks, and the steps of a walk in one sample.  Short items have fewer samples, so theirs are shorter.
 WALKS = ((14, 4, 8), (0, 8, 6))
@@ -233,10 +233,10 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, least: int = 8,
     for r in ranked.toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == block:
-            parts.append(source.mapInArrow(Items(rows, share, least).search, SCHEMA))
+            parts.append(source.mapInArrow(lean(Items(rows, share, least).search), SCHEMA))
             rows = []
     if rows or not parts:
-        parts.append(source.mapInArrow(Items(rows, share, least).search, SCHEMA))
+        parts.append(source.mapInArrow(lean(Items(rows, share, least).search), SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 
 

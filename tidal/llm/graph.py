@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import lean
+
 #: Vertices that a task's union-find holds before it passes its forest on, about 50 MB.
 HELD = 200_000
 
@@ -50,7 +52,7 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a long, b long) with a <> b: comp is the least node of its component."""
-    live = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").checkpoint()
+    live = edges.select("a", "b").where("a <> b").mapInArrow(lean(_forest), "a long, b long").checkpoint()
     label = None
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,5 +69,5 @@ def components(edges: DataFrame) -> DataFrame:
             label = label.join(parent, label.comp == parent.v, "left").select("node", F.coalesce("p", "comp").alias("comp")).checkpoint()
         heads = live.join(parent, live.a == parent.v).select(F.col("p").alias("x"), "b")
         live = heads.join(parent, heads.b == parent.v).select(F.col("x").alias("a"), F.col("p").alias("b")).where("a <> b")
-        live = live.mapInArrow(_forest, "a long, b long").checkpoint()
+        live = live.mapInArrow(lean(_forest), "a long, b long").checkpoint()
     return label if label is not None else live.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import Words, chunks, mix
-from .store import deflate, inflate, unused
+from .store import deflate, inflate, lean, unused
 
 #: Members of a group that are opened together.
 BLOCK = 256
@@ -96,7 +96,7 @@ def _common(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def common_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """Tokens that repeat within Arrow batches, the most common last; at most COMMON of them."""
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _common(it, k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(lambda it: _common(it, k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= COMMON_AT).orderBy(F.desc("n"), "token").limit(COMMON).collect()
     return np.array([r[0] for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
@@ -252,14 +252,14 @@ def _verify(batches: Iterable[pa.RecordBatch], k: int, percent: int) -> Iterator
 def _node_texts(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, packed) with one text of each of the nodes, and of a few others that the filter lets pass."""
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(nodes))
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _texts(it, k, wanted.value), "node long, packed binary")
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(lambda it: _texts(it, k, wanted.value)), "node long, packed binary")
     return found.groupBy("node").agg(F.first("packed").alias("packed")).checkpoint()
 
 
 def _open(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Exact links of queries to members, for rows (grp, block, query, node)."""
     joined = rows.join(texts, "node").select("grp", "block", "query", "node", "packed")
-    return joined.repartition("grp", "block").sortWithinPartitions("grp", "block", "query").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").checkpoint()
+    return joined.repartition("grp", "block").sortWithinPartitions("grp", "block", "query").mapInArrow(lean(lambda it: _verify(it, k, percent)), "a long, b long").checkpoint()
 
 
 def _stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -280,8 +280,8 @@ def links(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Enough exact links (a, b) between nodes to connect every component."""
     common = common_tokens(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _prefixes(it, k, percent, shared.value), "token long, part short, node long, n int, rest int")
-    met = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(_live, "token long, node long, n int, rest int").checkpoint()
+    prefixes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(lambda it: _prefixes(it, k, percent, shared.value)), "token long, part short, node long, n int, rest int")
+    met = prefixes.repartition("token", "part").sortWithinPartitions("token", "part", "node").mapInArrow(lean(_live), "token long, node long, n int, rest int").checkpoint()
 
     def least_shared(n: Column) -> Column:
         """Prefix tokens that a set of n shares with any set it links to."""
@@ -335,7 +335,7 @@ def _sizes(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 def join_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """Per row: doc_id, row (a hash of doc_id and text), n_shingles, component_id, first (row of the group's first document)."""
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _sizes(it, k), "doc_id long, row long, n_shingles long, node long").checkpoint()
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(lambda it: _sizes(it, k)), "doc_id long, row long, n_shingles long, node long").checkpoint()
     named = sets.join(components(links(docs, k, percent)), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m"))
     out = named.join(least, "comp", "left")

@@ -153,6 +153,17 @@ def sliding_argmin(values: np.ndarray, width: int, block: int = 1 << 19) -> np.n
     return out
 
 
+def twice(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose key occurs more than once, in order, and those that are the first of their key, in order."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    known = np.zeros(len(key), dtype=bool)
+    known[order[1:][same]] = True
+    first = ~known
+    known[order[:-1][same]] = True
+    return np.flatnonzero(known), np.flatnonzero(first)
+
+
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Arrow strings over a byte buffer, without a copy of the bytes."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data)))

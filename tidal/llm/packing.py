@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, Words, chunks, strings
+from .store import lean
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Rests packed together; they need about 100 bytes each.
 BATCH = 100_000
 #: Units kept in a worker's pool.
-CACHE = 1_000_000
+CACHE = 400_000
 ONLY_SPACE = np.zeros(256, dtype=bool)
 ONLY_SPACE[0x20] = True
 
@@ -102,9 +104,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(tokenizer)
+        self.file = tokenizer
         self.ordinary, self.lengths = None, None
         self.forget()
         if ranks:
@@ -120,6 +120,13 @@ class Encoder:
             for token, i in table.items():
                 self.lengths[i] = len(token)
 
+    @cached_property
+    def exact(self):
+        """The tokenizer itself, read when first needed: it takes some 100 MB."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def forget(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
         self.spans = np.empty((0, 2), dtype=np.int64)
@@ -244,4 +251,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
     sequence's pieces lie in it without gaps from offset 0.  ranks: the same
     vocabulary as a rank file, for a faster encoder with equal ids.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(lambda it: pack_partition(it, tokenizer, ranks, window, separator), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(lean(lambda it: pack_partition(it, tokenizer, ranks, window, separator)), SCHEMA)

@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from . import decontamination, jaccard_join, packing, pseudonyms, quality, secrets, sharding, substring_dedup, suffix_dedup, toxicity
 from .store import ensure_session, shared_folder
 
-#: Folder of the public vocabulary files; the same path on every machine.
-TOKENIZERS = os.environ.get("TIDAL_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file, the same on every machine; TIDAL_TOKENIZERS names another folder."""
+    if own := os.environ.get("TIDAL_TOKENIZERS"):
+        return f"{own}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

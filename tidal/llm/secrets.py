@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks
-from .store import unused
+from .store import lean, unused
 
 #: Fixed patterns and least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -184,7 +184,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     rate: expected share of word-like tokens among reported random spans of a
     length class.  Only the histogram (at most 5 x 801 rows) comes to the driver.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_batches, SCHEMA).checkpoint()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan_batches), SCHEMA).checkpoint()
     histogram = found.select(F.explode("more").alias("m")).groupBy("m.stratum", "m.bin").count().collect()
     least = thresholds([tuple(r) for r in histogram], rate)
     def reported(m):

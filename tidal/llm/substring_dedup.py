@@ -2,17 +2,22 @@
 
 Seeds are winnowed anchors: in every window of consecutive words the least of
 its 8-word hashes, chosen by content alone, so that equal windows share their
-anchor.  Consecutive windows with one anchor form a run.  Runs meet by anchor;
-within an anchor the match is extended both ways by comparing the hash of each
-window of the run, and windows seen more than once are merged into maximal
+anchor.  Consecutive windows with one anchor form a run, which reaches from the
+anchor as far to the left and to the right as it stays the least.  Runs meet by
+anchor; within an anchor matches are extended over the runs' windows both ways, and
+stretches of windows seen more than once are merged into maximal
 repeats, which are cut from their documents.
 
+Windows that repeat within a batch are known as repeats where they are read: their
+spans are passed on by row, and one of them stands for all when runs meet.  So a
+passage in a third of all documents sends a few windows a batch to its anchor's task.
 Only one row per run is shuffled (about one per 14 words), never pairs: a task
 sorts its runs by anchor and holds the hashes of one anchor at a time.
 
 Defined results: null or empty texts have no words; a document shorter than the
-window keeps all its words; equal rows repeat each other; an empty table gives
-an empty result; extra columns are ignored.
+window keeps all its words; equal rows repeat each other; very long texts are read
+whole, one at a time; of equal seeds in a window the leftmost is its anchor; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,22 +27,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, chunks, sliding_argmin
-from .store import inflate, squeezed
+from .kernels import Words, chunks, sliding_argmin, twice
+from .store import inflate, lean, squeezed
 
 SEED = 8
-RUNS = "anchor long, row long, start int, windows binary"
+#: A run with the hashes of its windows, or, where stop isn't 0, a repeat [start, stop) dealt out by row.
+RUNS = "anchor long, row long, start int, stop int, windows binary"
+NAMES = ["anchor", "row", "start", "stop", "windows"]
 CUTS = "row long, s int, e int"
 
 
+def _stretches(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every stretch of consecutive places of one group."""
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (np.diff(at) != 1) | (group[at[1:]] != group[at[:-1]])
+    head = np.flatnonzero(new)
+    return at[head], at[np.append(head[1:], len(at)) - 1] if len(at) else at
+
+
 def _runs(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows by anchor: (anchor, row, first window's word, 6 bytes a window)."""
+    """Runs of windows by anchor, 6 bytes a window, and repeats within a batch."""
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in chunks(batch.column(1)):
+        for a, b, data, offsets in chunks(batch.column(1), 1 << 23):
             words = Words(data, offsets)
             whole = words.shingles(window)
             if not len(whole):
@@ -45,24 +61,30 @@ def _runs(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             seeds = words.shingles(SEED)
             at = sliding_argmin(seeds, window - SEED + 1)
             text = words.text_of_word()
-            inside = text[: len(whole)] == text[window - 1 :]
-            fresh = inside.copy()
-            fresh[1:] &= (at[1:] != at[:-1]) | (text[1 : len(whole)] != text[: len(whole) - 1]) | ~inside[:-1]
-            first = np.flatnonzero(fresh)
-            if not len(first):
+            live = np.flatnonzero(text[: len(whole)] == text[window - 1 :])
+            if not len(live):
                 continue
-            live = np.flatnonzero(inside)
-            lengths = np.diff(np.append(np.searchsorted(live, first), len(live)))
-            payload = np.ascontiguousarray(whole[live]).view(np.uint8).reshape(-1, 8)[:, :6]
-            limits = np.concatenate([[0], np.cumsum(lengths * 6)]).astype(np.int32)
+            anchor, doc = at[live], text[live]
+            place = live - words.first[doc]
+            # a stretch of windows is parted where the text or the anchor changes
+            group = np.concatenate([[0], np.cumsum((np.diff(live) != 1) | (doc[1:] != doc[:-1]))])
+            known, kept = twice(whole[live])
+            s, e = _stretches(known, group)
+            row = keys[a + doc[s]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(place[s].astype(np.int32)), pa.array((place[e] + window).astype(np.int32)), pa.nulls(len(s), pa.binary())], names=NAMES)
+            group = np.concatenate([[0], np.cumsum((np.diff(group) != 0) | (anchor[1:] != anchor[:-1]))])
+            s, e = _stretches(kept, group)
+            payload = np.ascontiguousarray(whole[live[kept]]).view(np.uint8).reshape(-1, 8)[:, :6]
+            limits = np.concatenate([[0], np.cumsum((e - s + 1) * 6)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(seeds[at[first]].view(np.int64)),
-                    pa.array(keys[a + text[first]].astype(np.int64)),
-                    pa.array((first - words.first[text[first]]).astype(np.int32)),
-                    pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(payload))]),
+                    pa.array(seeds[anchor[s]].view(np.int64)),
+                    pa.array(keys[a + doc[s]].astype(np.int64)),
+                    pa.array(place[s].astype(np.int32)),
+                    pa.array(np.zeros(len(s), dtype=np.int32)),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(payload))]),
                 ],
-                names=["anchor", "row", "start", "windows"],
+                names=NAMES,
             )
 
 
@@ -72,22 +94,14 @@ def _repeats(anchor: np.ndarray, row: np.ndarray, start: np.ndarray, lengths: np
     whole[:, :6] = payload
     run = np.repeat(np.arange(len(lengths)), lengths)
     key = (whole.reshape(-1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ anchor.view(np.uint64)[run]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    twice = np.zeros(len(key), dtype=bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    hit = np.flatnonzero(twice)
-    if not len(hit):
+    known, _ = twice(key)
+    if not len(known):
         return None
-    new = np.ones(len(hit), dtype=bool)
-    new[1:] = (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(hit)) - 1
+    head, tail = _stretches(known, run)
     base = np.concatenate([[0], np.cumsum(lengths)])
-    r = run[hit[head]]
-    s = start[r] + hit[head] - base[r]
-    e = start[r] + hit[tail] - base[r] + window
+    r = run[head]
+    s = start[r] + head - base[r]
+    e = start[r] + tail - base[r] + window
     return pa.RecordBatch.from_arrays([pa.array(row[r]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["row", "s", "e"])
 
 
@@ -103,10 +117,14 @@ def _extend(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 yield out
 
     for batch in batches:
+        done = pc.greater(batch.column(3), 0)
+        if (ready := batch.filter(done)).num_rows:
+            yield pa.RecordBatch.from_arrays([ready.column(i) for i in (1, 2, 3)], names=["row", "s", "e"])
+        batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
         anchor, row, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        column = batch.column(3)
+        column = batch.column(4)
         limits = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         payload = np.frombuffer(column.buffers()[2], dtype=np.uint8)[limits[0] : limits[-1]].reshape(-1, 6)
         windows = (limits - limits[0]) // 6
@@ -127,8 +145,8 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     row is xxhash64(doc_id, text).  Spans of one row may overlap.
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    runs = keyed.mapInArrow(lambda it: _runs(it, window), RUNS)
-    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extend(it, window), CUTS)
+    runs = keyed.mapInArrow(lean(lambda it: _runs(it, window)), RUNS)
+    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(lambda it: _extend(it, window)), CUTS)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +173,6 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the digest of the kept words joined by one space."""
-    spans = repeats(docs, window).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    spans = repeats(docs, window).groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
     texts = squeezed(docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return texts.join(spans, "row", "left").select("doc_id", "packed", "cuts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return texts.join(spans, "row", "left").select("doc_id", "packed", "cuts").mapInArrow(lean(_cut), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -17,7 +17,8 @@ covered by the union over the suffixes in them.
 
 Defined results: words are runs of non-space, unchanged; null or empty texts
 have none; equal rows repeat each other; an empty table gives an empty result;
-extra columns are ignored.
+very long texts are read whole, one at a time; of equal 8-grams in a stretch the leftmost
+is its minimiser; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, chunks, mix, sliding_argmin
-from .store import inflate, squeezed
+from .kernels import Words, chunks, mix, sliding_argmin, twice
+from .store import inflate, lean, squeezed
 
 SEED = 8
 #: Random coefficients by place of a window's hash: words to the right, words to the left.
@@ -52,19 +54,27 @@ def _minimisers(words: Words, least: int) -> np.ndarray:
 def _anchors(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in chunks(batch.column(1)):
+        for a, b, data, offsets in chunks(batch.column(1), 1 << 23):
             words = Words(data, offsets)
             at = _minimisers(words, least)
-            if len(at):
-                text = words.text_of_word()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(words.shingles(SEED)[at].view(np.int64)), pa.array(keys[a + text].astype(np.int64)), pa.array((at - words.first[text]).astype(np.int32))], names=["anchor", "row", "pos"])
+            if not len(at):
+                continue
+            text, grams = words.text_of_word()[at], words.shingles(SEED)[at].view(np.int64)
+            row, pos = keys[a + text].astype(np.int64), (at - words.first[text]).astype(np.int32)
+            # those that repeat here are known to be live and dealt by row; one of them stands for all when 8-grams are counted
+            known, kept = twice(grams)
+            for key, places, live in ((row, known, True), (grams, kept, False)):
+                yield pa.RecordBatch.from_arrays([pa.array(key[places]), pa.array(row[places]), pa.array(pos[places]), pa.array(np.full(len(places), live))], names=["anchor", "row", "pos", "live"])
 
 
 def _live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, row, pos), sorted by anchor, whose anchor occurs twice or more; state is one row."""
+    """Rows (anchor, row, pos, live), sorted by anchor, that are live or whose anchor occurs twice or more among the others; state is one row."""
     names = ["row", "pos"]
     last, waiting = None, None
     for batch in batches:
+        if (ready := batch.filter(batch.column(3))).num_rows:
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], names=names)
+        batch = batch.filter(pc.invert(batch.column(3)))
         anchor, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(anchor):
             continue
@@ -194,12 +204,12 @@ def _compare(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """Word spans [s, e) of least words or more that occur elsewhere: row (xxhash64(doc_id, text)), s, e.."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    anchors = keyed.mapInArrow(lambda it: _anchors(it, least), "anchor long, row long, pos int")
-    live = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_live, "row long, pos int")
+    anchors = keyed.mapInArrow(lean(lambda it: _anchors(it, least)), "anchor long, row long, pos int, live boolean")
+    live = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_live), "row long, pos int")
     places = live.groupBy("row").agg(F.collect_set("pos").alias("places"))
     texts = squeezed(keyed)
-    context = texts.join(places, "row").select("row", "places", "packed").mapInArrow(lambda it: _contexts(it, least), "anchor long, row long, pos int, right binary, left binary")
-    return context.repartition("anchor").sortWithinPartitions("anchor", "right", "left").mapInArrow(lambda it: _compare(it, least), "row long, s int, e int")
+    context = texts.join(places, "row").select("row", "places", "packed").mapInArrow(lean(lambda it: _contexts(it, least)), "anchor long, row long, pos int, right binary, left binary")
+    return context.repartition("anchor").sortWithinPartitions("anchor", "right", "left").mapInArrow(lean(lambda it: _compare(it, least)), "row long, s int, e int")
 
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +239,6 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mark_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, n_repeated (words in repeats), spans (maximal repeats as s:e in words) and the digest of the words outside them."""
-    spans = repeats(docs, least).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
+    spans = repeats(docs, least).groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
     texts = squeezed(docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return texts.join(spans, "row", "left").select("doc_id", "packed", "cuts").mapInArrow(_marked, "doc_id long, n_words long, n_repeated long, spans string, kept_sha256 string")
+    return texts.join(spans, "row", "left").select("doc_id", "packed", "cuts").mapInArrow(lean(_marked), "doc_id long, n_words long, n_repeated long, spans string, kept_sha256 string")

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .kernels import Words, chunks
+from .store import lean
 
 #: Fixed word lists of the closed symbol classes (English, French, German, Spanish).
 TARGET = "you your yours u ur he she they him her them tu toi vous ton votre il elle ils du dich dir ihr euch er sie tú te usted ustedes él ella".split()
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 4
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").checkpoint()
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
-    counted = rows.mapInArrow(_evidence, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counted = rows.mapInArrow(lean(_evidence), "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     words = word_hashes(THREAT).view(np.int64).tolist()
     insult = (F.col("t") >= least) & (F.col("w") > 1.5) & (F.col("t") * F.col("w") > 8 + 2 * F.col("c"))
@@ -260,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 4
             x = features(batch.column(0), lexicon, weights, threats)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], names=["toxic", *(f"f{i}" for i in range(FEATURES))])
 
-    table = np.array([tuple(r) for r in rows.mapInArrow(measured, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).collect()], dtype=float).reshape(-1, 1 + FEATURES)
+    table = np.array([tuple(r) for r in rows.mapInArrow(lean(measured), "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).collect()], dtype=float).reshape(-1, 1 + FEATURES)
     table = table[np.lexsort(table.T[::-1])]
     return Model(lexicon, weights, threats, *fit_logistic(table[:, 1:], table[:, 0]))
 
@@ -273,7 +274,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             s = model.score(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -285,4 +286,4 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
