@@ -60,8 +60,8 @@ def by_id(df):
 def test_packing_round_trip(docs, texts):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
-    rows = packing.pack(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", window=64).collect()
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    rows = packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("byte_bpe_50k.tiktoken"), window=64).collect()
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -103,8 +103,8 @@ def test_best_fit_is_tightest():
 def test_encoder_equals_tokenizer(text):
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
-    ours = packing.Encoder(f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    exact = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    ours = packing.Encoder(queries.tokenizer_file("byte_bpe_50k.json"), queries.tokenizer_file("byte_bpe_50k.tiktoken"))
     assert next(ours(pa.array([text, "the end"]))).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
@@ -267,8 +267,8 @@ def test_suffix_dedup_past_many_neighbours(size):
         out += [f"{word(60)} {line} {after}" for _ in range(2)] + [f"{before} {line} {after}"] * 3
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(out)), type=pa.int64()), pa.array(out)], names=["row", "text"])
     rows = [x for b in suffix_dedup._anchors([batch], 50) for x in b.to_pylist()]
-    count = Counter(x["anchor"] for x in rows)
-    places = {i: [x["pos"] for x in rows if x["row"] == i and count[x["anchor"]] > 1] for i in range(len(out))}
+    count = Counter(x["anchor"] for x in rows if not x["live"])
+    places = {i: [x["pos"] for x in rows if x["row"] == i and (x["live"] or count[x["anchor"]] > 1)] for i in range(len(out))}
     texts = pa.RecordBatch.from_arrays([pa.array(range(len(out)), type=pa.int64()), pa.array(list(places.values()), type=pa.list_(pa.int32())), pa.array([deflate(x.encode()) for x in out])], names=["row", "places", "packed"])
     context = pa.Table.from_batches(suffix_dedup._contexts([texts], 50)).to_pandas().sort_values(["anchor", "right", "left"])
     cut = [pa.RecordBatch.from_pandas(context[i : i + size], preserve_index=False) for i in range(0, len(context), size)]
@@ -278,6 +278,17 @@ def test_suffix_dedup_past_many_neighbours(size):
     assert [got[i] for i in range(len(out))] == [gone for _, gone in repeated(out, 50)]
 
 
+@pytest.mark.parametrize("operator, least", [(lambda d: substring_dedup.remove_repeats(d), 35), (lambda d: suffix_dedup.mark_repeats(d), 50)])
+def test_repeated_rows_long_texts_and_clashing_columns(spark, operator, least):
+    r = random.Random(14)
+    long, line = rng_text(r, 30_000), rng_text(r, 60)
+    texts = [line] * 40 + [long, f"{rng_text(r, 50)} {line}", "a b " * 200, None]
+    rows = [(0 if i < 40 else i, t, 1, 2, "x") for i, t in enumerate(texts)]
+    got = operator(spark.createDataFrame(rows, "doc_id long, text string, row int, _row int, cuts string").repartition(5)).collect()
+    want = sorted((0 if i < 40 else i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()) for i, (w, gone) in enumerate(repeated(texts, least)))
+    assert sorted((x["doc_id"], x["n_words"], x[2], x["kept_sha256"]) for x in got) == want
+
+
 # pseudonyms
 
 def test_feistel_is_a_bijection(spark):
@@ -362,6 +373,20 @@ def test_jaccard_join_without_stars(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(3)] == linked(texts, 1, 50) == [(7, 0), (2, 1), (3, 1)]
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    """Operators that keep the caller's columns don't touch columns of their own names, and copies of a row are treated alike."""
+    rows = [(1, "the same few words here again", 29, 7, "m")] * 5 + [(2, "password = abcdefghijklmnop", 27, 8, "m"), (3, "", 0, 9, "m"), (3, "", 0, 9, "m"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row int, marks string").withColumn("_row", F.col("row")).repartition(3)
+    items = spark.createDataFrame([(1, "the same few words here again")], "item_id long, text string")
+    kept = jaccard_join.one_of_each_group(docs).collect()
+    assert sorted((x["doc_id"] or 0, x["row"] or 0, x["_row"] or 0) for x in kept) == [(0, 0, 0), (1, 7, 7), (2, 8, 8), (3, 9, 9), (3, 9, 9)]
+    clean = decontamination.without_leaks(docs, items)
+    assert clean.columns == docs.columns and sorted(x["_row"] or 0 for x in clean.collect()) == [0, 8, 9, 9]
+    redacted = secrets.redact(docs)
+    assert redacted.columns == docs.columns and sorted((x["row"] or 0, x["text"]) for x in redacted.collect() if x["doc_id"] == 2) == [(8, "[secret]")]
+    assert sorted((x["n_chars"] is None, x["text"] is None) for x in redacted.collect()) == [(False, False)] * 8 + [(True, True)]
+
+
 def test_one_of_each_group(docs, texts):
     want = [i for i, (n, c) in enumerate(linked(texts, 5, 80)) if n == 0 or c == i]
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each_group(docs).collect()) == want
