@@ -2,20 +2,23 @@
 
 Random nulls run in grouped maps keyed by (series, batch of simulations), each
 simulation with a generator seeded by (seed, simulation), so results don't depend
-on partitioning; only band maxima leave a task.  Deterministic nulls draw noise
+on partitioning; only band maxima leave a task, and each test gives a status, the observed
+statistic, its p-value and quantiles of the null.  Deterministic nulls draw noise
 from a hash of (seed, simulation, day) in column expressions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .multiplicity import null_summary
+
 
 def ar1_by_row(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, phi): sum y[i] y[i+1] / sum y[i]^2 of mean-free values in date order, within +-0.98; 0 without spread."""
@@ -65,33 +68,58 @@ def circular_shifts(rows: DataFrame, keys: Sequence[str], first: str, n: Column,
     return out.withColumn("date", F.date_add(F.col(first), day.cast("int")))
 
 
-def ar1_series(phi: float, n: int, rng: np.random.Generator, stationary: bool = True) -> np.ndarray:
-    """AR(1) of unit variance; it starts from a standard normal, or from 0."""
+def ar1_series(phi: float, n: int, rng: np.random.Generator, stationary: bool = True, block: int = 64) -> np.ndarray:
+    """AR(1) of unit variance; it starts from a standard normal, or from 0.  The recursion runs over blocks of days, each one matrix product."""
     phi = float(np.clip(phi, -0.995, 0.995))
     noise = rng.standard_normal(n) * math.sqrt(max(1e-12, 1 - phi * phi))
-    out = np.empty(n)
-    at = rng.standard_normal() if stationary else 0.0
-    for i in range(n):
-        at = at if i == 0 else phi * at + noise[i]
-        out[i] = at
-    return out
+    noise[:1] = rng.standard_normal() if stationary else 0.0
+    steps = np.subtract.outer(np.arange(block), np.arange(block))
+    within = np.where(steps >= 0, phi ** np.maximum(steps, 0), 0.0)
+    out = np.concatenate([noise, np.zeros(-n % block)]).reshape(-1, block) @ within.T
+    fade = phi ** np.arange(1, block + 1)
+    for i in range(1, len(out)):
+        out[i] += fade * out[i - 1, -1]
+    return out.reshape(-1)[:n]
 
 
-def _batches(grid: pd.DataFrame, key: tuple, keys: Sequence[str], simulations: list[int], statistic) -> pd.DataFrame:
-    rows = [(*key, s, name, value) for s in simulations for name, value in statistic(grid, s).items() if value is not None]
-    return pd.DataFrame(rows, columns=[*keys, "sim", "band", "statistic"])
+#: The number under which the statistic of the data themselves goes among those of simulations.
+DATA = -1
+Statistic = Callable[[int], dict[str, float | None]]
 
 
-def random_null(rows: DataFrame, keys: Sequence[str], simulations: int, statistic, batch: int = 50) -> DataFrame:
-    """(keys, sim, band, statistic) of statistic(series, simulation) -> {band: value} for every simulation, in batches."""
-    kept = rows.where("value IS NOT NULL").select(*keys, "date", "value", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // batch))).alias("batch"))
+def random_null(rows: DataFrame, keys: Sequence[str], simulations: int, prepare: Callable[[pd.DataFrame], Statistic], batch: int = 50, also: Sequence[str] = ()) -> DataFrame:
+    """(keys, sim, band, statistic) of the data (sim = DATA) and of every simulation, in batches.
+
+    prepare(series) gives a function from a simulation's number to {band: statistic};
+    the series has date, value and the columns ``also``.
+    """
+    kept = rows.where("value IS NOT NULL").select(*keys, *also, "date", "value", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // batch))).alias("batch"))
     kinds = ", ".join(f"`{k}` {dict(kept.dtypes)[k]}" for k in keys)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[-1])
-        return _batches(part.sort_values("date"), tuple(key[:-1]), keys, list(range(b * batch, min(simulations, (b + 1) * batch))), statistic)
+        b, statistic = int(key[-1]), prepare(part.sort_values("date"))
+        own = [DATA] * (b == 0) + list(range(b * batch, min(simulations, (b + 1) * batch)))
+        found = [(*key[:-1], sim, name, value) for sim in own for name, value in statistic(sim).items() if value is not None]
+        return pd.DataFrame(found, columns=[*keys, "sim", "band", "statistic"])
+
+    return kept.groupBy(*keys, "batch").applyInPandas(run, ", ".join([*([kinds] if kinds else []), "sim int, band string, statistic double"]))
+
+
+def tested(results: DataFrame, status: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
+    """Per key and band: status, observed, p_value, exceedances, used and null quantiles of the results of a random null.
+
+    status (keys, status) says why a key can't be tested; every key of it gets a row a band.
+    """
+    frame = status.select(*keys, "status", F.explode(F.array(*map(F.lit, bands))).alias("band"))
+    found = null_summary(results.where(F.col("sim") != DATA), results.where(F.col("sim") == DATA), [*keys, "band"])
+    ok = F.when(F.col("status") != "ok", F.col("status")).when(F.col("observed").isNull(), "no_statistic").otherwise("ok")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("exceedances", "used")]
+    return frame.join(found, [*keys, "band"], "left").select(*keys, "band", ok.alias("status"), "observed", "p_value", *counts, "null_q95", "null_q99")
+
 
-    return kept.groupBy(*keys, "batch").applyInPandas(run, f"{kinds}, sim int, band string, statistic double")
+def enough(rows: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
+    """(keys, status): insufficient_data for keys with fewer values than least."""
+    return rows.groupBy(*keys).agg(F.when(F.count("value") < least, "insufficient_data").otherwise("ok").alias("status"))
 
 
 def _grid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +170,69 @@ def _band_maxima(pairs: np.ndarray, dcf: np.ndarray, lo: int, width: int, bands:
 
 
 def ar1_dcf_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, seed: int = 1998) -> DataFrame:
-    """Band maxima of the autocorrelation DCF of AR(1) surrogates on each key's observed days; surrogates are not detrended."""
-    def statistic(part: pd.DataFrame, sim: int) -> dict[str, float | None]:
+    """Band maxima of the autocorrelation DCF against AR(1) surrogates on each key's observed days; surrogates are not detrended."""
+
+    def prepare(part: pd.DataFrame) -> Statistic:
         grid, ok = _grid(part)
-        noise = np.where(ok, ar1_series(_day_phi(grid), len(grid), np.random.default_rng([seed, sim])), np.nan)
-        return _band_maxima(*grid_dcf(noise, noise, lo, hi), lo, width, bands, least_pairs)
+        phi = _day_phi(grid)
+
+        def statistic(sim: int) -> dict[str, float | None]:
+            if ok.sum() < 30:
+                return {}
+            values = grid if sim == DATA else np.where(ok, ar1_series(phi, len(grid), np.random.default_rng([seed, sim])), np.nan)
+            return _band_maxima(*grid_dcf(values, values, lo, hi), lo, width, bands, least_pairs)
+
+        return statistic
+
+    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, list(bands))
+
+
+def _two_sides(part: pd.DataFrame) -> tuple[pd.Timestamp | None, np.ndarray, np.ndarray]:
+    """First day of the common span of sides 'a' and 'b', and both grids over it."""
+    sides = [part[part["side"] == s] for s in "ab"]
+    if not all(map(len, sides)):
+        return None, np.empty(0), np.empty(0)
+    first, last = max(pd.Timestamp(x["date"].min()) for x in sides), min(pd.Timestamp(x["date"].max()) for x in sides)
+    n = (last - first).days + 1
+    if n < 1:
+        return None, np.empty(0), np.empty(0)
+    out = []
+    for x in sides:
+        grid, day = np.full(n, np.nan), (pd.to_datetime(x["date"]) - first).dt.days.to_numpy()
+        inside = (day >= 0) & (day < n)
+        grid[day[inside]] = x["value"].to_numpy(float)[inside]
+        out.append(grid)
+    return first, *out
+
+
+def _span_status(rows: DataFrame, keys: Sequence[str], least_days: int, short: str) -> DataFrame:
+    """(keys, status) of the common span of the sides 'a' and 'b' of rows."""
+    ends = [f(F.when((F.col("side") == s) & F.col("value").isNotNull(), F.col("date"))) for s in "ab" for f in (F.min, F.max)]
+    span = rows.groupBy(*keys).agg(*(e.alias(n) for e, n in zip(ends, ("fa", "la", "fb", "lb"))))
+    days = F.datediff(F.least("la", "lb"), F.greatest("fa", "fb")) + 1
+    missing = F.col("fa").isNull() | F.col("fb").isNull()
+    return span.select(*keys, F.when(missing, "insufficient_data").when(days < 1, "no_overlap").when(days < least_days, short).otherwise("ok").alias("status"))
 
-    return random_null(rows, keys, simulations, statistic)
+
+def circular_shift_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, margin: int = 700, seed: int = 1998) -> DataFrame:
+    """Band maxima of the cross DCF of sides 'a' and 'b' against b rolled around the common span.
+
+    Shifts are drawn with replacement from margin to the span less margin.
+    """
+
+    def prepare(part: pd.DataFrame) -> Statistic:
+        _, a, b = _two_sides(part)
+
+        def statistic(sim: int) -> dict[str, float | None]:
+            if len(a) < 2 * margin + 1:
+                return {}
+            shift = 0 if sim == DATA else int(np.random.default_rng([seed, sim]).integers(margin, len(a) - margin + 1))
+            return _band_maxima(*grid_dcf(a, np.roll(b, shift), lo, hi), lo, width, bands, least_pairs)
+
+        return statistic
+
+    status = _span_status(rows, keys, 2 * margin + 1, "span_too_short_for_shift_null")
+    return tested(random_null(rows, keys, simulations, prepare, also=["side"]), status, keys, list(bands))
 
 
 def _flat(t: np.ndarray, y: np.ndarray, detrend: str) -> np.ndarray:
@@ -169,31 +253,92 @@ def grid_power(t: np.ndarray, y: np.ndarray, periods: np.ndarray) -> np.ndarray:
     return (ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / ((y @ y) * (cc * ss - cs**2))
 
 
+class _Spectrum:
+    """Classical normalised power at fixed days and periods, for many series."""
+
+    def __init__(self, t: np.ndarray, periods: np.ndarray, detrend: str):
+        self.t, self.detrend = t, detrend
+        angle = np.outer(2 * np.pi / periods, t)
+        self.c, self.s = np.cos(angle), np.sin(angle)
+        self.cc, self.ss, self.cs = ((x * y).sum(1) for x, y in ((self.c, self.c), (self.s, self.s), (self.c, self.s)))
+
+    def power(self, y: np.ndarray) -> np.ndarray:
+        y = _flat(self.t, y, self.detrend)
+        yc, ys, total = self.c @ y, self.s @ y, float(y @ y)
+        if not total > 0:
+            return np.full(len(self.cc), np.nan)
+        return (self.ss * yc**2 + self.cc * ys**2 - 2 * self.cs * yc * ys) / (total * (self.cc * self.ss - self.cs**2))
+
+
+def _largest(power: np.ndarray) -> float | None:
+    return float(np.nanmax(power)) if np.isfinite(power).any() else None
+
+
 def ar1_spectral_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, seed: int = 1998) -> DataFrame:
-    """Band maxima of the spectrum on evenly spaced periods of AR(1) surrogates, detrended as the data; phi is that of the data as they are."""
-    grid_of = np.linspace(*band, periods)
+    """Band maxima of the spectrum on evenly spaced periods against AR(1) surrogates, detrended as the data; phi is that of the data as they are."""
 
-    def statistic(part: pd.DataFrame, sim: int) -> dict[str, float | None]:
+    def prepare(part: pd.DataFrame) -> Statistic:
         grid, ok = _grid(part)
-        t = np.flatnonzero(ok).astype(float)
-        noise = ar1_series(_day_phi(grid), len(grid), np.random.default_rng([seed, sim]))[ok]
-        return {"band": float(np.nanmax(grid_power(t, _flat(t, noise, detrend), grid_of)))} if ok.sum() >= 30 else {}
+        phi, spectrum = _day_phi(grid), _Spectrum(np.flatnonzero(ok).astype(float), np.linspace(*band, periods), detrend)
+
+        def statistic(sim: int) -> dict[str, float | None]:
+            if ok.sum() < 30:
+                return {}
+            values = grid if sim == DATA else ar1_series(phi, len(grid), np.random.default_rng([seed, sim]))
+            return {"band": _largest(spectrum.power(values[ok]))}
 
-    return random_null(rows, keys, simulations, statistic)
+        return statistic
+
+    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, ["band"])
 
 
 def red_noise_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 500, frequencies: int = 800, seed: int = 1998) -> DataFrame:
-    """Band maxima of AR(1) surrogates by row position, on evenly spaced frequencies; values are detrended before phi is fitted."""
+    """Band maxima on evenly spaced frequencies against AR(1) surrogates by row position; values are detrended before phi is fitted."""
     periods = 1 / np.linspace(1 / band[1], 1 / band[0], frequencies)
 
-    def statistic(part: pd.DataFrame, sim: int) -> dict[str, float | None]:
+    def prepare(part: pd.DataFrame) -> Statistic:
         grid, ok = _grid(part)
         t = np.flatnonzero(ok).astype(float)
         if len(t) < 30:
-            return {}
-        y = _flat(t, grid[ok], "linear")
-        phi = float(np.clip((y[:-1] @ y[1:]) / (y[:-1] @ y[:-1]), -0.98, 0.98))
-        noise = ar1_series(phi, len(t), np.random.default_rng([seed, sim]), stationary=False)
-        return {"band": float(np.nanmax(grid_power(t, noise - noise.mean(), periods)))}
-
-    return random_null(rows, keys, simulations, statistic)
+            return lambda sim: {}
+        y, spectrum = _flat(t, grid[ok], "linear"), _Spectrum(t, periods, "none")
+        norm = float(y[:-1] @ y[:-1])
+        phi = float(np.clip((y[:-1] @ y[1:]) / norm, -0.98, 0.98)) if norm > 0 else 0.0
+        return lambda sim: {"band": _largest(spectrum.power(y if sim == DATA else ar1_series(phi, len(t), np.random.default_rng([seed, sim]), stationary=False)))}
+
+    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, ["band"])
+
+
+def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, years: int = 8, step: int = 2, least: int = 180, seed: int = 1998) -> DataFrame:
+    """Largest power over calendar windows and periods of sides 'a', 'b' and of both together (root of the product), against independent AR(1) surrogates.
+
+    Windows of so many years begin every ``step`` years from the first common day and lie
+    in the common span; those with fewer than least values on a side are left out.
+    """
+
+    def prepare(part: pd.DataFrame) -> Statistic:
+        first, *grids = _two_sides(part)
+        spectra, n, k = [], len(grids[0]), 0
+        while n:
+            start, stop = (first + pd.DateOffset(years=y) for y in (k * step, k * step + years))
+            lo, hi = (start - first).days, (stop - first).days
+            if hi > n:
+                break
+            days = [np.flatnonzero(np.isfinite(g[lo:hi])) + lo for g in grids]
+            if min(map(len, days)) >= least:
+                spectra.append([(d, _Spectrum(d.astype(float), np.linspace(*band, periods), detrend)) for d in days])
+            k += 1
+        phi = [_day_phi(g) if np.isfinite(g).any() else 0.0 for g in grids]
+
+        def statistic(sim: int) -> dict[str, float | None]:
+            if not spectra:
+                return {}
+            values = grids if sim == DATA else [ar1_series(p, n, np.random.default_rng([seed, sim, side])) for side, p in enumerate(phi)]
+            power = np.array([[s.power(v[d]) for (d, s), v in zip(both, values)] for both in spectra])
+            a, b = np.maximum(power[:, 0], 0), np.maximum(power[:, 1], 0)
+            return {"a": _largest(power[:, 0]), "b": _largest(power[:, 1]), "joint": _largest(np.sqrt(a * b))}
+
+        return statistic
+
+    status = _span_status(rows, keys, 365 * years, "insufficient_window_data")
+    return tested(random_null(rows, keys, simulations, prepare, also=["side"]), status, keys, ["a", "b", "joint"])

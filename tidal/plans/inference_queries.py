@@ -178,7 +178,10 @@ def joint_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
         zero = F.lit(0.0)
         return both.groupBy("sim").agg(F.max(F.sqrt(F.greatest(zero, F.col("a")) * F.greatest(zero, F.col("b")))).alias("statistic")).withColumn("name", F.lit("joint"))
 
-    got = multiplicity.null_summary(joint(noise, False), joint(sides.withColumn("sim", F.lit(0)), True), ["name"])
+    # without a usable window nothing is observed, and one row says so
+    frame = spark.createDataFrame([("joint",)], "name string")
+    observed = frame.join(joint(sides.withColumn("sim", F.lit(0)), True).select("name", "statistic"), "name", "left")
+    got = multiplicity.null_summary(joint(noise, False), observed, ["name"], none_used=1.0)
     return tidy(got.withColumnRenamed("name", "statistic"))
 
 
@@ -204,15 +207,33 @@ def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ar1_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random AR(1) nulls of the DCF band maxima of every channel."""
-    return tidy(nulls.ar1_dcf_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], BANDS, simulations=100))
+    """Seeded random AR(1) test of the DCF band maxima of every channel."""
+    return tidy(nulls.ar1_dcf_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], BANDS))
 
 
 @query()
 def ar1_spectral_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(nulls.ar1_spectral_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], (430, 520), simulations=100))
+    """Seeded random AR(1) test of every channel's largest power in the band."""
+    return tidy(nulls.ar1_spectral_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], (430, 520)))
 
 
 @query()
 def red_noise_band_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(nulls.red_noise_null(inputs.orders(spark, sf_dir), ["channel"], (430, 520), simulations=50, frequencies=200))
+    return tidy(nulls.red_noise_null(inputs.orders(spark, sf_dir), ["channel"], (430, 520)))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (series.transformed(x, "log10") for x in inputs.pair(spark, sf_dir))
+    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).withColumn("pair", F.lit("ab"))
+
+
+@query()
+def circular_shift_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band maxima of the cross DCF against seeded random shifts."""
+    return tidy(nulls.circular_shift_null(_sides(spark, sf_dir), ["pair"], BANDS))
+
+
+@query()
+def joint_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest power of A, B and both over calendar windows against seeded random AR(1) noise."""
+    return tidy(nulls.joint_null(_sides(spark, sf_dir), ["pair"], (430, 520), years=4, step=1))
