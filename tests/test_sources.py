@@ -80,6 +80,24 @@ def test_mapping():
         mapping.bulk_speed(["N"])
 
 
+def test_mapping_by_description():
+    said = {
+        "c1": "Protons 11-20 MeV", "c2": "helium, 20 to 24 MeV/n", "c3": "Electron flux 7-17 MeV", "c4": "ions > 67 MeV/n", "c5": "Ions Z>5, above 67 MeV/n",
+        "c6": "minimum ionizing particles x2", "c7": "protons 29 - 67 MeV", "c8": "temperature",
+    }
+    fields = [{"name": n, "description": d} for n, d in said.items()]
+    assert mapping.channels(list(said), fields) == {
+        "p_11_20_mev": "c1", "he_20_24_mev_n": "c2", "e_7_17_mev": "c3", "ions_gt67_mev_n": "c4", "ions_zgt5_gt67_mev_n": "c5", "minimum_ionizing_x2": "c6", "p_29_67_mev": "c7",
+    }
+    assert mapping.channels(list(catalogue.CHANNELS)) == {c: c for c in catalogue.CHANNELS}
+    with pytest.raises(mapping.AmbiguousField):
+        mapping.channels(["a", "b"], [{"name": n, "description": "protons 11-20 MeV"} for n in "ab"])
+    axes = [{"name": f"u{a}", "units": "AU", "description": f"heliocentric ecliptic Cartesian {a}"} for a in "XYZ"]
+    assert mapping.coordinates([f["name"] for f in axes], axes) == {"x_au": "uX", "y_au": "uY", "z_au": "uZ"}
+    speed = [{"name": "V", "units": "km/s", "description": "solar wind bulk velocity"}, {"name": "W", "units": "km/s", "size": [3], "description": "bulk velocity"}, {"name": "N", "units": "#/cc", "description": "number density"}]
+    assert mapping.bulk_speed(["V", "W", "N"], speed) == "V"
+
+
 @pytest.mark.parametrize("version, first", [("3.0", "dataset"), ("2.0", "id")])
 def test_service(spark, tmp_path, version, first):
     seen = []
