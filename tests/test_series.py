@@ -181,11 +181,63 @@ def test_null_counts(spark):
 def test_random_null_is_independent_of_batches(spark):
     rows = frame(spark, np.exp(np.sin(np.arange(900) / 13))).withColumn("k", F.lit(1))
 
-    def statistic(part, sim):
-        return {"all": float(np.random.default_rng([7, sim]).standard_normal() + len(part))}
-
-    a, b = (sorted((r["sim"], r["statistic"]) for r in nulls.random_null(rows, ["k"], 20, statistic, n).collect()) for n in (3, 20))
-    assert a == b and len(a) == 20
+    def prepare(part):
+        return lambda sim: {"all": float(np.random.default_rng([7, sim + 1]).standard_normal() + len(part))}
+
+    a, b = (sorted((r["sim"], r["statistic"]) for r in nulls.random_null(rows, ["k"], 20, prepare, n).collect()) for n in (3, 20))
+    assert a == b and [x[0] for x in a] == [nulls.DATA, *range(20)]
+
+
+def test_ar1_series_equals_the_recursion():
+    for phi, n, stationary in ((0.9, 200, True), (-0.4, 64, False), (0.0, 65, True), (0.3, 1, False)):
+        got = nulls.ar1_series(phi, n, np.random.default_rng(5), stationary)
+        rng = np.random.default_rng(5)
+        noise = rng.standard_normal(n) * math.sqrt(1 - phi * phi)
+        want = [rng.standard_normal() if stationary else 0.0]
+        for e in noise[1:]:
+            want.append(phi * want[-1] + e)
+        assert np.allclose(got, want)
+
+
+def sided(spark, a, b):
+    days = [date(2000, 1, 1) + timedelta(days=i) for i in range(max(len(a), len(b)))]
+    rows = [(1, s, d, float(v)) for s, x in (("a", a), ("b", b)) for d, v in zip(days, x) if np.isfinite(v)]
+    return spark.createDataFrame(rows, "k int, side string, date date, value double")
+
+
+def test_cycle_beats_red_noise(spark):
+    r, t = np.random.default_rng(8), np.arange(1600)
+    x = np.where(r.random(1600) < 0.12, np.nan, np.sin(2 * np.pi * t / 80) + 0.2 * r.standard_normal(1600))
+    rows = sided(spark, x, []).drop("side")
+    got = {x["band"]: x for x in nulls.ar1_dcf_null(rows, ["k"], {"near": (70, 90)}, 99, 40, 120, 5).collect()}["near"]
+    assert got["status"] == "ok" and got["p_value"] <= 0.05 and got["used"] == 99 and got["observed"] > 0.5 and got["null_q95"] <= got["null_q99"]
+    assert one(nulls.ar1_spectral_null(rows, ["k"], (60, 100), 99))["p_value"] <= 0.05
+    assert one(nulls.red_noise_null(rows, ["k"], (60, 100), 99, 100))["p_value"] <= 0.05
+    few = nulls.ar1_spectral_null(rows.limit(20), ["k"], (60, 100), 19).collect()[0]
+    assert few["status"] == "insufficient_data" and few["p_value"] is None and few["used"] == 0
+
+
+def test_shift_null(spark):
+    r = np.random.default_rng(9)
+    x = np.convolve(r.standard_normal(1900), np.ones(20) / 20, "same")
+    a, b = x[60:1860], x[:1800]  # b tells what a told 60 days before
+    rows = sided(spark, np.where(r.random(1800) < 0.1, np.nan, a), np.where(r.random(1800) < 0.1, np.nan, b))
+    got = [nulls.circular_shift_null(rows, ["k"], {"near": (low, low + 30)}, 99, low - 10, low + 40, 5, 100, 200).collect()[0] for low in (-75, 45)]
+    assert min(g["p_value"] for g in got) <= 0.05 < max(g["p_value"] for g in got)
+    assert one(nulls.circular_shift_null(rows, ["k"], {"near": (45, 75)}, 9, 30, 90, 5))["status"] == "ok"
+    assert one(nulls.circular_shift_null(rows, ["k"], {"near": (45, 75)}, 9, 30, 90, 5, margin=950))["status"] == "span_too_short_for_shift_null"
+    assert one(nulls.circular_shift_null(rows.where("side = 'a'"), ["k"], {"near": (45, 75)}, 9))["status"] == "insufficient_data"
+
+
+def test_joint_null(spark):
+    r, t = np.random.default_rng(10), np.arange(5844)
+    on = (t > 2000) & (t < 3500)
+    a, b = (np.where(t % n == 0, np.nan, on * np.sin(2 * np.pi * t / 180) + 0.3 * r.standard_normal(len(t))) for n in (17, 19))
+    got = {x["band"]: x for x in nulls.joint_null(sided(spark, a, b), ["k"], (150, 220), 39, periods=40, years=4, step=2).collect()}
+    assert set(got) == {"a", "b", "joint"} and all(x["status"] == "ok" and x["p_value"] <= 0.05 for x in got.values())
+    assert got["joint"]["observed"] <= max(got["a"]["observed"], got["b"]["observed"])
+    short = nulls.joint_null(sided(spark, a[:900], b[:900]), ["k"], (150, 220), 5, years=4).collect()
+    assert [x["status"] for x in short] == ["insufficient_window_data"] * 3 and all(x["p_value"] is None for x in short)
 
 
 def test_spacing_report(spark):
