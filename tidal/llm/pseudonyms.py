@@ -18,8 +18,9 @@ values never share one.  Round values come from SHA-256 over the key.
 Separators and lengths stay.  Values that fail validation stay as they are.
 
 Defined results: null texts stay null with zero counts; texts without values are
-unchanged; equal rows get equal results; an empty table gives an empty result;
-other columns are ignored.
+unchanged; equal rows get equal results; overlapping values can't arise, as the
+leftmost match wins; very long texts are read whole; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -199,8 +200,10 @@ def pseudonym(x: Column, key: str) -> Column:
     return F.element_at(F.transform(F.array(done), lambda d: F.struct(kind.alias("kind"), x.alias("value"), d["out"].alias("out"), d["n"].alias("n"))), 1)
 
 
-def pseudonymise(docs: DataFrame, key: str = "tidal") -> DataFrame:
-    """Per document: doc_id, the number of replaced values of each kind, and text with them replaced."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """key: a secret of the caller's; who knows it can undo the permutations.
+
+    Per document: doc_id, the number of replaced values of each kind, and text with them replaced."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = F.col("text").rlike("[0-9]{3}|@|[0-9][. -][0-9]|[+][0-9]")
     found = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))

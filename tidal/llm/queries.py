@@ -53,7 +53,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    """The key comes from the session's setting; the one given here is for synthetic tables only."""
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.tidal.pseudonyms.key", "key of the synthetic tables"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
