@@ -3,8 +3,8 @@
 A store is a folder with ``data`` (Parquet shards, never changed) and
 ``manifest`` (one JSON file per version, listing the live shards with rows and
 bytes).  ``append`` writes arrivals as small shards; ``compact`` merges the
-shards of a size tier once there are ``fan_in`` of them into files of about the
-target size; ``vacuum`` deletes files that no manifest still in use lists.
+shards of one size tier after the other, once a tier has ``fan_in`` of them, into files
+of about the target size; ``vacuum`` deletes files that no manifest still in use lists.
 Every change commits by renaming a complete manifest to the next version's name,
 which fails if that version exists, so readers see all of a change or nothing,
 and of two writers one has to try again.
@@ -15,13 +15,15 @@ shard metadata only.
 
 Defined results: rows come back as they were appended, nulls, repeated rows and
 extra columns included; an empty table appends no shard but makes a version;
-reading a store without shards gives an empty table with the manifest's schema.
+reading a store without shards gives an empty table with the manifest's schema; very
+long texts are rows like others, and ties in size are merged together.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +110,7 @@ class Store:
         return self._commit(base, base["shards"] + self._write(rows), schema, "append")
 
     def compact(self) -> int:
-        """Merges tiers, small ones first, until none but the largest holds fan_in shards; returns the version."""
+        """Merges tiers, that of the smallest shards first, until none but the largest holds fan_in shards; returns the version."""
         version = self.version()
         while True:
             base = self.manifest(version)
@@ -118,8 +120,7 @@ class Store:
             full = [t for t, shards in tiers.items() if t > 0 and len(shards) >= self.fan_in]
             if not full:
                 return version
-            # a run of neighbouring tiers that are due merges at once, so rows are rewritten once
-            merged = [s for t in full for s in tiers[t]]
+            merged = tiers[max(full)]
             files = max(1, round(sum(s["bytes"] for s in merged) / self.target))
             old = {s["path"] for s in merged}
             fresh = self._write(self._rows(merged, base["schema"]).coalesce(files))
@@ -145,11 +146,17 @@ class Store:
         rows = [(s["path"], s["rows"], s["bytes"], self.tier(s["bytes"])) for s in self.manifest(version)["shards"]]
         return self.spark.createDataFrame(rows, "path string, rows long, bytes long, tier int")
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shard files that none of the last keep versions lists; returns how many."""
+    def vacuum(self, keep: int = 1, orphans_after: float = 86_400) -> int:
+        """Deletes shard files that none of the last keep versions lists, and files that no version ever listed (of writers that failed) once they are orphans_after seconds old; returns how many."""
         last = self.version()
         live = {s["path"] for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)["shards"]}
         gone = {s["path"] for v in range(1, last + 1) if self._fs.exists(self._path(self._manifest(v))) for s in self.manifest(v)["shards"]} - live
+        data = self._path(f"{self.root}/data")
+        for folder in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            for s in self._fs.listStatus(folder.getPath()):
+                path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
+                if path not in live and path.endswith(".parquet") and s.getModificationTime() / 1000 < time.time() - orphans_after:
+                    gone.add(path)
         return sum(bool(self._fs.delete(self._path(f"{self.root}/{p}"), False)) for p in sorted(gone))
 
 
