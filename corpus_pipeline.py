@@ -2,7 +2,11 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame, which is written as
 Parquet and read again as the next one's docs.  All but the last return the
-columns of documents.
+columns of documents, extra ones included, whatever their names.
+
+Null and empty texts, very long texts, ties, repeated rows and empty tables have in each
+stage the result that its operator states; documents without text pass all stages and end
+as one separator id.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: Learned scores and tokenisation can't be written in SQL; tests hold run() against brute force.
+#: Learned scores and tokenisation can't be written in SQL; tests hold stages and run() against plain Python.
 ORACLE_SQL = None
 
 
