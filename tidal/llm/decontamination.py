@@ -111,15 +111,15 @@ class Walk:
 
         own: hashes of the words, 0 where a text ends and walks stay; windows begin at starts.
         """
-        at = starts
+        at = starts.copy()
         for step in range(self.last + 1):
             if step % self.sample == 0:
-                if step:  # walks that met go on as one, those that left their text end
-                    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+                if step and len(at):  # walks that met go on as one, those that left their text end
+                    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                     at = at[own[at] != 0]
-                total = np.zeros(len(at), dtype=np.uint64)
-            word = own[at]
-            total += word * self.marks[step]
+                total, moved = np.zeros(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.uint64)
+            word = own.take(at)
+            total += np.multiply(word, self.marks[step], out=moved)
             if step in self.samples:
                 hit = np.flatnonzero(self.bitmap[self._bits(total, step)])
                 key, owner = self.samples[step]
@@ -127,7 +127,9 @@ class Walk:
                 times = np.searchsorted(key, total[hit], side="right") - low
                 if times.any():
                     yield np.repeat(at[hit], times), owner[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
-            at = at + ((word * self.moves[step]) >> np.uint64(63)).astype(np.int64)
+            np.multiply(word, self.moves[step], out=moved)
+            np.right_shift(moved, np.uint64(63), out=moved)
+            at += moved.view(np.int64)
 
 
 class Items:
