@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("orders", "lineitem", "events"):
+    for name in ("orders", "lineitem", "events", "customer", "nation"):
         path = f"{DATA}/{name}.parquet"
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     return con

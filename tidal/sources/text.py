@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dates
 from . import catalogue
@@ -145,6 +146,11 @@ def year_chunks(start: str, stop: str) -> list[tuple[str, str]]:
     return [(start if y == a else f"{y}-01-01", stop if y == b else f"{y}-12-31") for y in range(a, b + 1)]
 
 
+def read_documents(spark: SparkSession, path: str, schema: StructType | str, lines: bool = True) -> DataFrame:
+    """JSON documents, one a line or (lines=False) one a file over several lines; a field that a document lacks is null."""
+    return spark.read.json(path, schema=schema, multiLine=not lines, mode="FAILFAST")
+
+
 def columns_present(rows: DataFrame, wanted: Sequence[str]) -> tuple[list[str], list[str]]:
     """The wanted columns that rows has, and those it lacks."""
     return [c for c in wanted if c in rows.columns], [c for c in wanted if c not in rows.columns]
