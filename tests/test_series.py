@@ -255,3 +255,33 @@ def test_sampling_window_stays_in_range(spark):
     keep = [i % 7 != 0 for i in range(1000)]
     got = spectra.sampling_window(frame(spark, np.ones(1000), keep).withColumn("k", F.lit(1)), ["k"], 20, 500).collect()
     assert got and all(20 <= r["period_days"] <= 500 for r in got)
+
+
+def test_review_by_branch(spark):
+    from tidal.operators import review
+
+    rows = [("c", "x", v, b, 0.5, p, s) for v in review.VARIANTS for b, p, s in (("acf_a", 0.9, 0.8), ("acf_b", 0.7, 0.6), ("ccf", 0.01, 0.1))]
+    rows += [("d", "x", "raw", "ccf", None, None, None)]
+    tests = spark.createDataFrame(rows, "channel string, band string, variant string, branch string, observed double, p_ar1 double, p_shift double").withColumn("p", review.branch_p())
+    got = {r["channel"]: r for r in review.by_branch(review.adjusted_by_branch(tests), ["channel", "band"], 9, members=12).collect()}
+    # the shift test counts for ccf, red noise for the rest; a missing test flags nothing and doesn't count in its family
+    assert (got["c"]["raw_acf_a_p"], got["c"]["raw_ccf_p"], got["c"]["detrended_acf_b_p"]) == (0.9, 0.1, 0.7)
+    assert got["c"]["raw_ccf_holm"] == got["c"]["raw_ccf_fdr"] == 0.1 and got["c"]["raw_at_floor"] and not got["c"]["robust"]
+    assert got["d"]["raw_ccf_p"] is None and got["d"]["detrended_ccf_p"] is None and not got["d"]["raw_significant"] and not got["d"]["raw_at_floor"]
+    assert got["c"]["p_floor"] == 0.1 and got["c"]["holm_floor"] == 1.0
+    assert review.by_branch(review.adjusted_by_branch(tests.where("channel = 'e'")), ["channel", "band"], 9, 12).count() == 0
+
+
+def test_documents_over_several_lines(spark, tmp_path):
+    from tidal.sources import text
+
+    (tmp_path / "a.json").write_text('[\n  {"channel": "c",\n   "p": 0.5},\n  {"channel": "d"}\n]')
+    got = text.read_documents(spark, str(tmp_path), "channel string, p double", lines=False)
+    assert sorted(tuple(r) for r in got.collect()) == [("c", 0.5), ("d", None)]
+
+
+def test_window_lengths_once(spark):
+    from tidal.plans import spectral_queries
+
+    got = spectral_queries.tracking(spark, "/root/testdata/sf0.001", (3, 1, 3, 5)).select("years").distinct()
+    assert sorted(r[0] for r in got.collect()) == [3, 5]

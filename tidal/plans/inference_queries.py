@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,11 @@ _P = lag_queries.CHANNELS_DCF + f", BB AS ({bands_sql()}), Z AS (SELECT *, row_n
 _ADJ = _P + ", RK AS (SELECT *, row_number() OVER (PARTITION BY band, variant ORDER BY p, channel) AS i, count(p) OVER (PARTITION BY band, variant) AS m FROM PV WHERE p IS NOT NULL), AJ AS (SELECT channel, band, variant, max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY band, variant ORDER BY i) AS p_holm, min(least(1.0, m * p / i)) OVER (PARTITION BY band, variant ORDER BY i DESC) AS q_bh FROM RK), AD AS (SELECT PV.*, p_holm, q_bh FROM PV LEFT JOIN AJ ON PV.channel = AJ.channel AND PV.band = AJ.band AND PV.variant = AJ.variant)"
 
 
-def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _adjusted(spark: SparkSession, sf_dir: str, others: Sequence[str] = ()) -> DataFrame:
     best = peaks.band_maximum(lag_queries._channels_dcf(spark, sf_dir), ["channel"], "lag_bin_center", "dcf", BANDS, LEAST, others=["pairs"])
     rows = best.withColumn("variant", F.explode(F.array(F.lit(1), F.lit(3))))
     p = F.when(~((F.col("channel") == "5-LOW") & (F.col("band") == "long")), F.round(F.exp(-F.col("variant") * F.abs("dcf") * F.sqrt("pairs")), 6))
-    rows = rows.select("channel", "band", "variant", F.col("lag_bin_center").alias("lag_days"), "dcf", p.alias("p"))
+    rows = rows.select("channel", "band", "variant", F.col("lag_bin_center").alias("lag_days"), "dcf", *others, p.alias("p"))
     return multiplicity.adjusted(rows, ["band", "variant"], order=["channel"])
 
 

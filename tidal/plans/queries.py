@@ -1,4 +1,4 @@
 """All registered queries of the series engine."""
 
-from . import inference_queries, lag_queries, series_queries, source_queries, spectral_queries  # noqa: F401
+from . import inference_queries, lag_queries, phase_queries, series_queries, source_queries, spectral_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

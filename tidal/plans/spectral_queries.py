@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,15 +196,20 @@ def nearest_window_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sliding windows
 
 _NW = 60
-_WIN = with_("O", "A", "B") + windows_sql() + ", WL2 AS (SELECT 'a' AS side, window_start, window_stop, date, value FROM A JOIN W ON date BETWEEN window_start AND window_stop UNION ALL SELECT 'b', window_start, window_stop, date, value FROM B JOIN W ON date BETWEEN window_start AND window_stop), WS AS (SELECT side || window_start AS sw, side, window_start, window_stop, date, value FROM WL2)" + prepared_sql("WS", "sw", log10=True) + lomb_sql(_freqs(LO, HI, _NW), "sw", floating=True) + window_sql("WS", LO, HI, "sw", True, "(SELECT DISTINCT sw, window_start AS lo, window_stop AS hi FROM WS)") + morph_sql("LS", "MS", "sw") + morph_sql("SW", "MW", "sw") + ", TR AS (SELECT left(MS.sw, 1) AS side, CAST(right(MS.sw, 10) AS DATE) AS window_start, MS.band, MS.period_days AS signal, MS.is_local_peak, MW.period_days AS window_period, date_diff('day', CAST(right(MS.sw, 10) AS DATE), CAST(CAST(right(MS.sw, 10) AS DATE) + INTERVAL 3 YEAR AS DATE)) AS span FROM MS LEFT JOIN MW ON MS.sw = MW.sw AND MS.band = MW.band)"
+def win_sql(years: int = 3) -> str:
+    """CTE TR: the tracked peaks of windows of so many years."""
+    return with_("O", "A", "B") + windows_sql(years=years) + ", WL2 AS (SELECT 'a' AS side, window_start, window_stop, date, value FROM A JOIN W ON date BETWEEN window_start AND window_stop UNION ALL SELECT 'b', window_start, window_stop, date, value FROM B JOIN W ON date BETWEEN window_start AND window_stop), WS AS (SELECT side || window_start AS sw, side, window_start, window_stop, date, value FROM WL2)" + prepared_sql("WS", "sw", log10=True) + lomb_sql(_freqs(LO, HI, _NW), "sw", floating=True) + window_sql("WS", LO, HI, "sw", True, "(SELECT DISTINCT sw, window_start AS lo, window_stop AS hi FROM WS)") + morph_sql("LS", "MS", "sw") + morph_sql("SW", "MW", "sw") + f", TR AS (SELECT left(MS.sw, 1) AS side, CAST(right(MS.sw, 10) AS DATE) AS window_start, MS.band, MS.period_days AS signal, MS.is_local_peak, MW.period_days AS window_period, date_diff('day', CAST(right(MS.sw, 10) AS DATE), CAST(CAST(right(MS.sw, 10) AS DATE) + INTERVAL {years} YEAR AS DATE)) AS span FROM MS LEFT JOIN MW ON MS.sw = MW.sw AND MS.band = MW.band)"
+
+
+_WIN = win_sql()
 _SEP = "abs(1 / signal - 1 / window_period) * span"
 
 
-def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(side, window_start, band, signal, is_local_peak, window_period, span) in sliding three-year windows."""
-    wins = windows(spark)
+def tracking(spark: SparkSession, sf_dir: str, lengths: Sequence[int] = (3,)) -> DataFrame:
+    """(years, side, window_start, band, signal, is_local_peak, window_period, span) in sliding windows of every length of two years or more, each once."""
+    wins = reduce(DataFrame.unionByName, (windows(spark, n).withColumn("years", F.lit(n)) for n in sorted({n for n in lengths if n >= 2})))
     sides = [series.in_windows(x, wins).withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab")]
-    rows, keys = sides[0].unionByName(sides[1]), ["side", "window_start"]
+    rows, keys = sides[0].unionByName(sides[1]), ["years", "side", "window_start"]
     limits = rows.select(*keys, F.col("window_start").alias("first"), F.col("window_stop").alias("last")).distinct()
     s = peaks.spectrum_morphology(spectra.lomb_scargle_log(rows, keys, LO, HI, _NW), keys, BANDS)
     w = peaks.spectrum_morphology(spectra.sampling_window(rows, keys, LO, HI, positive=True, limits=limits), keys, BANDS)
@@ -209,6 +217,10 @@ def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(limits.select(*keys, (F.datediff("last", "first") + 1).cast("long").alias("span")), keys)
 
 
+def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking(spark, sf_dir).drop("years")
+
+
 @query(_WIN + f" SELECT side, window_start, band, round(signal, 7) AS signal, is_local_peak, round(window_period, 7) AS window_period, span, round({_SEP}, 7) AS separation FROM TR")
 def sliding_window_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_tracking(spark, sf_dir).withColumn("separation", scalars.rayleigh(F.col("signal"), F.col("window_period"), F.col("span"))))
@@ -239,12 +251,18 @@ def tracking_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(_WIN + _USABLE + " SELECT TT.side, TT.band, any_value(total) AS windows_total, count(sep) AS local_peak_windows, round(median(sep), 7) AS median_rayleigh, round(median(abs(signal - window_period)), 7) AS median_period_difference_days, round(median(signal * signal / span), 7) AS median_period_resolution_days FROM TT LEFT JOIN US ON TT.side = US.side AND TT.band = US.band GROUP BY ALL")
 def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(summary_by_scale(_tracking(spark, sf_dir), ["side", "band"]).drop("alias_windows", "alias_fraction"))
+
+
+def summary_by_scale(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key, over windows whose signal is a local peak: counts, share within one Rayleigh step of the sampling window, and medians."""
     usable = F.col("is_local_peak") & F.col("window_period").isNotNull()
     s, w, t = F.when(usable, F.col("signal")), F.col("window_period"), F.col("span")
-    return tidy(_tracking(spark, sf_dir).groupBy("side", "band").agg(
-        F.count("*").alias("windows_total"), F.count(s).alias("local_peak_windows"), F.median(scalars.rayleigh(s, w, t)).alias("median_rayleigh"),
+    got = rows.groupBy(*keys).agg(
+        F.count("*").alias("windows_total"), F.count(s).alias("local_peak_windows"), F.count_if(scalars.rayleigh(s, w, t) <= 1).alias("alias_windows"), F.median(scalars.rayleigh(s, w, t)).alias("median_rayleigh"),
         F.median(F.abs(s - w)).alias("median_period_difference_days"), F.median(scalars.period_resolution(s, w, t)).alias("median_period_resolution_days"),
-    ))
+    )
+    return got.withColumn("alias_fraction", F.try_divide(F.col("alias_windows").cast("double"), F.col("local_peak_windows")))
 
 
 @query(_WIN + ", CO AS (SELECT a.window_start, a.band, a.signal AS pa, b.signal AS pb, a.is_local_peak AND b.is_local_peak AS both_peaks FROM TR a JOIN TR b ON a.window_start = b.window_start AND a.band = b.band WHERE a.side = 'a' AND b.side = 'b') SELECT window_start, band, round(abs(pa - pb), 7) AS difference, round(abs(pa - pb) / ((pa + pb) / 2), 7) AS relative, abs(pa - pb) / ((pa + pb) / 2) <= 0.1 AS within_10_percent, both_peaks FROM CO")
