@@ -4,12 +4,17 @@ Of each document's suffixes only those are retained that start at a minimiser,
 the least 8-word hash of some stretch of consecutive windows, chosen by content
 so that equal passages retain the same suffixes.  Suffixes that begin with an
 8-gram found once in the corpus have no neighbour and are dropped.  The others
-are sorted by 8-gram and following and preceding words, so that suffixes with
-equal contexts on both sides are neighbours and stand for one.  Within an 8-gram,
-each window of ``least`` words that holds it is known by how far it reaches to
-the left, and hashed; windows found in two suffixes are repeats, whatever lies
-between these in suffix order.  Repeats of one document are merged into maximal
-ones, and results are those of brute force.
+are sorted by following and preceding words, so that suffixes with equal contexts on
+both sides are neighbours and stand for one.  Each window of ``least`` words that holds
+the 8-gram is known by how far it reaches to the left, and hashed; windows found in two
+suffixes are repeats, whatever lies between these in suffix order.  Repeats of one
+document are merged into maximal ones, and results are those of brute force.
+
+Suffixes meet by more than their 8-gram: those whose windows lie mostly to the right
+by the first ``(least + 8) / 2`` words, those whose windows lie mostly to the left by
+the words on that side.  So a short line that very many documents share is spread by
+what surrounds it, and only a passage of that length gathers suffixes in one task,
+where those with equal contexts are counted as one before they are sent.
 
 Context words travel as 32-bit hashes, ``least`` of them to each side, which is
 more than the distance between retained suffixes; so repeats of any length are
@@ -29,6 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,23 +97,49 @@ def _live(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(pos[keep])], names=names)
 
 
+def _halves(least: int) -> tuple[int, int]:
+    """Words that a window shares with all of its kind: so many from the anchor on if it reaches less far to the left than the second number, else that many before the anchor."""
+    right = (least + SEED) // 2
+    return right, least - right + 1
+
+
 def _contexts(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, row, pos, right, left): hashes of the words from pos on, and of those before it, nearest first."""
+    """Rows (anchor, row, pos, stop, right, left) of the suffixes of each text.
+
+    A window that holds the 8-gram holds either the first words from it on, or the last ones before it and
+    the 8-gram; a suffix goes to a group for each kind, whose anchor is a hash of those words, with as many
+    words to each side as windows of that kind reach.  right and left are hashes of the words
+    from pos on and of those before it, nearest first, and stop is -1.  Suffixes that are equal within a batch
+    repeat each other there: one of them stands for all, and the span [pos, stop) of each is passed on by row.
+    """
+    ahead, back = _halves(least)
+    names = ["anchor", "row", "pos", "stop", "right", "left"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
         texts = pa.array([inflate(x.as_py()) for x in batch.column(2)], type=pa.large_binary()).cast(pa.large_string())
         rows, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         for a, b, data, offsets in chunks(texts):
             words = Words(data, offsets)
             short = (words.hash >> np.uint64(32)).astype(">u4")
-            grams = words.shingles(SEED)
-            out: list[list] = [[], [], [], [], []]
+            met: dict[tuple[bytes, bytes, bool], list[tuple[int, int]]] = {}
             for i in range(b - a):
-                lo, hi = int(words.first[i]), int(words.first[i + 1])
+                lo, hi, row = int(words.first[i]), int(words.first[i + 1]), int(rows[a + i])
                 for p in sorted(set(places[a + i].as_py())):
                     at = lo + p
-                    for column, value in zip(out, (int(grams[at].view(np.int64)), int(rows[a + i]), p, short[at : min(hi, at + least)].tobytes(), short[max(lo, at - least) : at][::-1].tobytes())):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["anchor", "row", "pos", "right", "left"])
+                    if hi - at >= ahead:
+                        met.setdefault((short[at : min(hi, at + least)].tobytes(), short[max(lo, at - back + 1) : at][::-1].tobytes(), True), []).append((row, p))
+                    if p >= back and back <= least - SEED:
+                        met.setdefault((short[at : min(hi, at + least - back)].tobytes(), short[max(lo, at - least) : at][::-1].tobytes(), False), []).append((row, p))
+            out: list[tuple] = []
+            for (right, left, forward), found in met.items():
+                n_right, n_left = len(right) // 4, len(left) // 4
+                if n_right + n_left < least:
+                    continue
+                shared = right[: ahead * 4] if forward else b"<" + right[: SEED * 4] + left[: back * 4]
+                out.append((xxhash.xxh3_64_intdigest(shared) - (1 << 63), *found[0], -1, right, left))
+                if len(found) > 1:
+                    out += [(row, row, p - n_left, p + n_right, None, None) for row, p in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)] if out else [pa.array([], type=t) for t in types], names=names)
 
 
 def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +185,7 @@ def _spans(row: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
 
 
 def _compare(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Repeats (row, s, e) among the sorted suffixes; the state is the distinct suffixes of one anchor.
+    """Repeats (row, s, e) among the sorted suffixes, with the spans passed on; the state is the distinct suffixes of one anchor.
 
     Suffixes with equal contexts repeat each other as far as the contexts reach; only the first of them is kept.
     """
@@ -170,10 +202,14 @@ def _compare(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
     last = None
     for batch in batches:
+        passed = batch.filter(pc.greater_equal(batch.column(3), 0))
+        if passed.num_rows:
+            yield _spans(*(passed.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
+            batch = batch.filter(pc.less(batch.column(3), 0))
         if not batch.num_rows:
             continue
         anchor, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        (right, n_right), (left, n_left) = _padded(batch.column(3), least), _padded(batch.column(4), least)
+        (right, n_right), (left, n_left) = _padded(batch.column(4), least), _padded(batch.column(5), least)
         now = [anchor, row, pos, right, left, n_right, n_left]
         every = now if last is None else [np.concatenate([h, x]) for h, x in zip(last, now)]
         equal = np.ones(len(every[0]) - 1, dtype=bool)
@@ -191,12 +227,12 @@ def _compare(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         last = [x[-1:].copy() for x in every]
         fresh = [x[~known] for x in now]
         cut = int(np.searchsorted(fresh[0], anchor[-1]))
-        for part, ends in (([x[:cut] for x in fresh], True), ([x[cut:] for x in fresh], False)):
-            if held and held[-1][0][-1] != (part[0][0] if len(part[0]) else anchor[-1]):
+        for some, ends in (([x[:cut] for x in fresh], True), ([x[cut:] for x in fresh], False)):
+            if held and held[-1][0][-1] != (some[0][0] if len(some[0]) else anchor[-1]):
                 yield from flush()
-            if len(part[0]):
-                held.append(part)
-            if ends and len(part[0]):
+            if len(some[0]):
+                held.append(some)
+            if ends and len(some[0]):
                 yield from flush()
     yield from flush()
 
@@ -208,7 +244,7 @@ def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     live = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_live), "row long, pos int")
     places = live.groupBy("row").agg(F.collect_set("pos").alias("places"))
     texts = squeezed(keyed)
-    context = texts.join(places, "row").select("row", "places", "packed").mapInArrow(lean(lambda it: _contexts(it, least)), "anchor long, row long, pos int, right binary, left binary")
+    context = texts.join(places, "row").select("row", "places", "packed").mapInArrow(lean(lambda it: _contexts(it, least)), "anchor long, row long, pos int, stop int, right binary, left binary")
     return context.repartition("anchor").sortWithinPartitions("anchor", "right", "left").mapInArrow(lean(lambda it: _compare(it, least)), "row long, s int, e int")
 
 
