@@ -12,7 +12,8 @@ values never share one.  Round values come from SHA-256 over the key.
 - addresses a.b.c.d with parts of 0 to 255, permuted as 32-bit numbers;
 - telephone numbers, permuted as digits: ten digits grouped 3-3-4 by spaces, dots, hyphens or brackets, with or
   without 1 or +1, which stays; others as + and 8 to 15 digits in groups, the first two digits stay;
-- social security numbers ddd-dd-dddd, permuted as digits;
+- social security numbers ddd-dd-dddd with an area of 001 to 899 other than 666 and no part of zeros only, permuted
+  among these numbers (898 areas x 99 groups of 9,999);
 - mail names, permuted as base-36 numbers of up to 24 letters and digits; the domain stays.
 
 Separators and lengths stay.  Values that fail validation stay as they are.
@@ -44,6 +45,8 @@ ROUNDS = 8
 KINDS = ("card", "date", "address", "phone", "social", "email")
 #: Days from 1800-01-01 on: 400 years, 189 x 773.
 FIRST_DAY, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 189, 773
+#: Areas of social security numbers: 001 to 899 without 666.
+AREAS = 898
 
 
 def _round(key: str, kind: str, size: Column, r: Column, half: Column) -> Column:
@@ -178,6 +181,15 @@ def _email(x: Column, key: str) -> Column:
     return F.when(plain != "", F.concat(F.element_at(F.transform(F.array(F.array_join(pieces, "")), lambda p: refilled(name, p, "[a-z0-9]")), 1), F.lit("@"), domain))
 
 
+def _social(x: Column, key: str) -> Column:
+    part = F.transform(F.split(x, "-"), lambda p: p.cast("bigint"))
+    area, group, serial = (F.element_at(part, i) for i in (1, 2, 3))
+    ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    done = feistel(F.when(area < 666, area - 1).otherwise(area - 2), (group - 1) * 9999 + serial - 1, F.lit(AREAS), F.lit(99 * 9999), key, "social", F.lit(0))
+    show = lambda s: F.format_string("%03d-%02d-%04d", s["l"] + F.when(s["l"] < 665, 1).otherwise(2), F.floor(s["r"] / 9999) + 1, s["r"] % 9999 + 1)
+    return F.when(ok, F.element_at(F.transform(F.array(done), show), 1))
+
+
 def kind_of(x: Column) -> Column:
     return (
         F.when(F.contains(x, F.lit("@")), "email")
@@ -194,7 +206,7 @@ def pseudonym(x: Column, key: str) -> Column:
     kind = kind_of(x)
     out = (
         F.when(kind == "email", _email(x, key)).when(kind == "phone", _phone(x, key)).when(kind == "date", _date(x, key))
-        .when(kind == "address", _address(x, key)).when(kind == "social", _digits(x, F.lit(0), key, "social"))
+        .when(kind == "address", _address(x, key)).when(kind == "social", _social(x, key))
     )
     done = F.when(kind == "card", _cards(x, key)).otherwise(F.struct(out.alias("out"), F.lit(1).alias("n")))
     return F.element_at(F.transform(F.array(done), lambda d: F.struct(kind.alias("kind"), x.alias("value"), d["out"].alias("out"), d["n"].alias("n"))), 1)
