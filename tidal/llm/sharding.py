@@ -82,20 +82,13 @@ class Store:
     # shards
 
     def _write(self, rows: DataFrame) -> list[dict]:
-        """Writes a new folder and lists its files with more than no rows."""
+        """Writes a new folder and lists its files with more than no rows, which a job counts by their footers."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        out = []
-        for s in self._fs.listStatus(self._path(folder)):
-            name = s.getPath().getName()
-            if name.endswith(".parquet"):
-                reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(s, conf))
-                n = reader.getRecordCount()
-                reader.close()
-                if n:
-                    out.append({"path": f"{folder[len(self.root) + 1 :]}/{name}", "rows": n, "bytes": s.getLen()})
-        return out
+        written = self.spark.read.schema(rows.schema).parquet(folder)
+        file = written.metadataColumn("_metadata")
+        counts = written.groupBy(file["file_name"].alias("name"), file["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
+        return [{"path": f"{folder[len(self.root) + 1 :]}/{r['name']}", "rows": r["rows"], "bytes": r["bytes"]} for r in counts.collect()]
 
     def tier(self, size: int) -> int:
         """0 for shards of the target size or more; each further tier is fan_in times smaller."""
