@@ -4,12 +4,14 @@ import binascii
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidal.llm import decontamination, graph, jaccard_join, packing, pseudonyms, quality, queries, secrets, sharding, substring_dedup, suffix_dedup, toxicity
@@ -191,6 +193,34 @@ def test_quality_statistics(docs, texts, spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_ratio_against_brute_force(docs, texts, spark):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, 20)] + [(None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    long = lambda v, seed: signed(xxhash.xxh64_intdigest(struct.pack("<q", v), seed & (1 << 64) - 1))
+
+    def buckets(t):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(t or "")]
+        return [x % quality.BUCKETS for x in h] + [long(b, long(a, 42)) % quality.BUCKETS for a, b in zip(h, h[1:])]
+
+    raw = Counter(b for t in texts for b in buckets(t))
+    good = Counter(b for i in range(1, 20, 2) for b in buckets(texts[i]))
+    n_raw, n_good = (sum(c.values()) + quality.PRIOR * quality.BUCKETS for c in (raw, good))
+    llr = {b: round(((np.log((good[b] + quality.PRIOR) / n_good)) - np.log((raw[b] + quality.PRIOR) / n_raw)) * quality.SCALE) for b in raw}
+    means = sorted(sum(llr[b] for b in buckets(t)) / len(buckets(t)) / quality.SCALE for t in texts if len(buckets(t)) > 100)
+    kept = set()
+    for threshold in (-0.22, middle := round(means[len(means) // 2], 4)):
+        got = by_id(quality.judge(docs, labels, threshold))
+        for i, t in enumerate(texts):
+            found = [llr[b] for b in buckets(t)]
+            mean = sum(found) / len(found) / quality.SCALE if found else None
+            r = got[i]
+            assert (r["llr_mean"] is None) == (mean is None) and (mean is None or abs(r["llr_mean"] - mean) < 2 / quality.SCALE)
+            if mean is not None and abs(mean - threshold) > 2 / quality.SCALE:
+                assert r["kept"] == (not r["base_failed"] and mean > threshold)
+            kept.add((threshold, r["base_failed"], r["kept"]))
+    assert {(middle, False, True), (middle, False, False)} <= kept
+
+
 def test_quality_tells_labels_apart(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judge(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
@@ -340,6 +370,19 @@ def test_cards_and_phones_as_written(spark):
     assert out[17].startswith("+44 ") and out[17] != cases[17] and got[18]["n_phone"] == 1 and re.sub("[^0-9]", "", out[18]) == re.sub("[^0-9]", "", out[17]) and out[19] == "12 34 56" and got[20]["n_address"] == 1
 
 
+def test_social_numbers_are_validated(spark):
+    bad = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]
+    good = ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999", "123-45-6789"]
+    got = by_id(pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate([*bad, *good, f"of {good[-1]}."])), "doc_id long, text string"), "key"))
+    assert [got[i]["text"] for i in range(5)] == bad and all(got[i]["n_social"] == 0 for i in range(5))
+    new = [got[i]["text"] for i in range(5, 10)]
+    assert len({*new, *good}) == 10 and got[10]["text"] == f"of {new[-1]}." and all(got[i]["n_social"] == 1 for i in range(5, 11))
+    assert all(re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", x) for x in new)
+    some = spark.range(0, 898 * 99 * 9999, 1_000_003).select((F.col("id") % 898).alias("a"), F.floor(F.col("id") / 898).alias("r"))
+    some = some.select(F.format_string("%03d-%02d-%04d", F.col("a") + F.when(F.col("a") < 665, 1).otherwise(2), F.floor(F.col("r") / 9999) + 1, F.col("r") % 9999 + 1).alias("x"))
+    assert some.select(pseudonyms.pseudonym(F.col("x"), "key")["out"].alias("y")).where("y IS NOT NULL").distinct().count() == some.distinct().count()
+
+
 # Jaccard join
 
 def linked(texts, k, percent):
@@ -586,3 +629,11 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         for p in got[d]:
             assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], dtype="<u4").tobytes())
         assert sum(p["length"] for p in got[d]) == len(ids)
+
+
+def test_shard_rows_with_a_column_named_like_the_hidden_one(spark, tmp_path):
+    rows = spark.range(30).select("id", F.lit("x").alias("_metadata"))
+    store = sharding.Store(spark, str(tmp_path / "m"))
+    store.append(rows.repartition(3))
+    assert sum(s["rows"] for s in store.manifest()["shards"]) == 30 and store.read().where("_metadata = 'x'").count() == 30
+    assert sorted(s["bytes"] for s in store.manifest()["shards"]) == sorted(f.stat().st_size for f in (tmp_path / "m" / "data").rglob("*.parquet"))
