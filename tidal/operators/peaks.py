@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def local_maxima(profile: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -31,22 +34,30 @@ def local_maxima(profile: DataFrame, keys: Sequence[str], x: str, y: str) -> Dat
 def prominences(profile: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """profile with is_local_peak and prominence (0 where not a peak).
 
-    Peaks meet the other points of their own profile once; profiles are bounded grids of lags or frequencies.
+    Each profile, a bounded grid of lags or frequencies, is read once to each side in a grouped map.
     """
     placed = local_maxima(profile, keys, x, y)
-    peaks = placed.where("is_local_peak").select(*keys, F.col("i").alias("pi"), F.col(y).alias("py"))
-    points = placed.select(*keys, F.col("i").alias("qi"), F.col(y).alias("qy"))
-    if not keys:
-        peaks, points = peaks.withColumn("_k", F.lit(1)), points.withColumn("_k", F.lit(1))
-    by = list(keys) or ["_k"]
-    left, right = F.col("qi") < F.col("pi"), F.col("qi") > F.col("pi")
-    walls = peaks.join(points, by).groupBy(*by, "pi", "py").agg(
-        F.max(F.when(left & (F.col("qy") > F.col("py")), F.col("qi"))).alias("lo"), F.min(F.when(right & (F.col("qy") > F.col("py")), F.col("qi"))).alias("hi")
-    )
-    inside = walls.join(points, by).where((F.col("qi") > F.coalesce("lo", F.lit(0))) & (F.coalesce("hi", F.lit(2**62)) > F.col("qi")))
-    base = inside.groupBy(*by, "pi", "py").agg(F.min(F.when(F.col("qi") <= F.col("pi"), F.col("qy"))).alias("l"), F.min(F.when(F.col("qi") >= F.col("pi"), F.col("qy"))).alias("r"))
-    found = base.select(*keys, F.col("pi").alias("i"), (F.col("py") - F.greatest("l", "r")).alias("prominence"))
-    return placed.join(found, [*keys, "i"], "left").withColumn("prominence", F.coalesce("prominence", F.lit(0.0)))
+    schema = StructType([*placed.schema.fields, StructField("prominence", DoubleType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        v = rows[y].to_numpy(dtype=float)
+        base = np.maximum(_least_before_higher(v), _least_before_higher(v[::-1])[::-1])
+        return rows.assign(prominence=np.where(rows["is_local_peak"].to_numpy(dtype=bool), v - base, 0.0))
+
+    return placed.groupBy(*keys).applyInPandas(run, schema)
+
+
+def _least_before_higher(v: np.ndarray) -> np.ndarray:
+    """Of every value the least of those from it back to the next strictly higher one, which is left out."""
+    out, held = v.copy(), []
+    for i, value in enumerate(v.tolist()):
+        least = value
+        while held and held[-1][0] <= value:
+            least = min(least, held.pop()[1])
+        out[i] = least
+        held.append((value, least))
+    return out
 
 
 def _best(rows: DataFrame, keys: Sequence[str], score: Column, x: str, others: Sequence[str]) -> DataFrame:
