@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 
-from tidal.sources import catalogue, mapping, service, sinks, text
+from tidal.sources import acquire, catalogue, mapping, service, sinks, text
 
 
 def lines(spark, rows):
@@ -134,3 +134,58 @@ def test_digest_and_documents(spark, tmp_path):
     assert sinks.digests(spark, str(tmp_path / "f")).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
     got = sinks.as_documents(spark.createDataFrame([(1, "a", None)], "k int, v string, w double"), ["k"]).first()
     assert json.loads(got["document"]) == {"v": "a", "w": None}
+
+
+def stand_in():
+    """A service of version 3 with a daily data set of 12 channels, two lines a day, and an hourly speed."""
+
+    def transport(url, params):
+        end, hourly = url.rsplit("/", 1)[1], params.get("dataset") == "wind"
+        if end == "capabilities":
+            return 200, '{"HAPI": "3.0", "status": {"code": 1200}}'
+        if end == "info":
+            names = ["Time", "V"] if hourly else ["Time", *catalogue.CHANNELS, "X", "Y", "Z"]
+            fields = [{"name": n, "units": "km/s", "description": "bulk speed"} if n == "V" else {"name": n} for n in names]
+            return 200, json.dumps({"parameters": fields, "status": {"code": 1200}})
+        day = params["start"]
+        rows = [f"{day}T0{h}:00Z,{v}" for h, v in enumerate((400, -1, 450))] if hourly else [f"{day}T0{h}:00Z," + ",".join(str(i + h) for i in range(15)) for h in (0, 2)]
+        return 200, "# note\n" + "\n".join(rows)
+
+    return transport
+
+
+def test_assembly_from_archive(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(record(72, 63 + i, extra=(1, 2, 3, 400)) for i in range(12)))
+    paths = acquire.assemble(spark, acquire.Source("s", archive=str(tmp_path / "a.txt")), str(tmp_path / "out"))
+    again = text.read_auto(spark, paths["fixed"], "x.dat")
+    assert again.count() == 12 and again.agg({"date": "min"}).first()[0] == date(1972, 3, 3) and again.first()["solar_wind_speed_km_s"] == 400
+    rows = spark.read.json(paths["report"]).collect()
+    assert {r["field"] for r in rows} == set(catalogue.RECORD[1:]) and all(r["finite"] == 12 and r["complete"] and not r["matches_reference"] for r in rows)
+    for r in spark.read.json(paths["digests"]).collect():
+        assert r["sha256"] == hashlib.sha256(open(r["path"].removeprefix("file:"), "rb").read()).hexdigest()
+
+
+def test_assembly_falls_back_to_the_service(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("no numbers")
+    client = service.Service("http://x", stand_in(), pause=0)
+    source = acquire.Source("s", str(tmp_path / "a.txt"), "daily", "1979-05-01", "1980-02-03")
+    paths = acquire.assemble(spark, source, str(tmp_path / "core"), client)
+    assert "records" not in paths and sorted(r["p_11_20_mev"] for r in spark.read.csv(paths["daily"], header=True).collect()) == ["1.0", "1.0"]
+    assert "LayoutError" in spark.read.json(paths["notes"]).first()["notes"]
+    info = client.info("wind")
+    speed, _ = acquire.hourly_speed(client.read_years(spark, info, "1979-05-01", "1980-02-03", str(tmp_path / "wind")), info.parameters)
+    paths = acquire.assemble(spark, source, str(tmp_path / "full"), client, speed)
+    got = sorted(spark.read.csv(paths["records"], header=True, inferSchema=True).collect())
+    assert [(str(r["date"]), r["solar_wind_speed_km_s"], r["x_au"]) for r in got] == [("1979-05-01", 425, 13), ("1980-01-01", 425, 13)] and got[0]["time_decimal_year"] == pytest.approx(79 + 121 / 365)
+
+
+def test_acquisition_fails_with_all_faults(spark, tmp_path):
+    client = service.Service("http://x", lambda url, params: (500, "no"), retries=0, pause=0)
+    with pytest.raises(acquire.AcquisitionError, match="archive: .*service: ServiceError"):
+        acquire.acquire(spark, acquire.Source("s", str(tmp_path / "none"), "d", "1980-01-01", "1980-02-03"), client, str(tmp_path))
+
+
+def test_iso_dates_in_any_time_zone(spark):
+    rows = spark.createDataFrame([("1980-03-01T23:59Z",), ("1980-061T00:00Z",), ("x",)], "t string")
+    got = [str(r[0]) for r in rows.select(acquire.utc_date(rows.t)).collect()]
+    assert got == ["1980-03-01", "1980-03-01", "None"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sources import sinks, text
+from ..sources import acquire, sinks, text
 from ..sources.catalogue import ALIASES, CHANNELS, COORDINATES, RECORD, SPEED
 from ..sources.store import shared_folder
 from . import inputs, spectral_queries
@@ -105,6 +105,16 @@ def daily_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out).select("layout", "date", *CHANNELS, *COORDINATES, SPEED))
 
 
+@query(_K + f" SELECT date, round(y % 100 + d / CAST(365 AS DOUBLE), 6) AS time_decimal_year, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _CELLS)} FROM D")
+def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's text acquired, assembled into full records and read back."""
+    path, cells = _folder(spark), [F.coalesce(c, F.lit(0.0)).cast("string") for c in _CELLS]
+    _records(spark, sf_dir).select(F.concat_ws(" ", "y", "d", *cells).alias("value")).write.text(path)
+    paths = acquire.assemble(spark, acquire.Source("lines", archive=path), _folder(spark))
+    rows = text.read_csv(spark, paths["records"]).select("date", *(F.col(c).cast("double").alias(c) for c in RECORD))
+    return tidy(rows.withColumn("time_decimal_year", F.round("time_decimal_year", 6)))
+
+
 @query("SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS status, c_name AS lidvid, CAST(CASE WHEN c_mktsegment <> 'BUILDING' THEN 3 ELSE 1 END AS BIGINT) AS fields FROM customer")
 def collection_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)

@@ -11,10 +11,11 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .text import year_chunks
@@ -122,26 +123,37 @@ class Service:
         raw = self._first(lambda p: self.json("info", **p), self._either({"dataset": dataset}, {"id": dataset}))
         return DatasetInfo(dataset, raw.get("startDate"), raw.get("stopDate"), list(raw.get("parameters", [])), raw)
 
-    def data(self, dataset: str, start: str, stop: str, folder: str, parameters: Iterable[str] = ()) -> str:
-        """Writes the CSV lines of a period, comments left out, under folder and returns the file."""
+    def lines(self, dataset: str, start: str, stop: str, parameters: Iterable[str] = ()) -> list[str]:
+        """The CSV lines of a period, comments left out."""
         names, old = {"dataset": dataset, "start": start, "stop": stop, "format": "csv"}, {"id": dataset, "time.min": start, "time.max": stop, "format": "csv"}
         if chosen := ",".join(parameters):
             names["parameters"] = old["parameters"] = chosen
         body = self._first(lambda p: self.get("data", **p), self._either(names, old))
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        target = Path(folder) / f"{start}_{stop}.csv".replace(":", "")
-        target.write_text("".join(f"{x}\n" for x in body.splitlines() if x.strip() and not x.startswith("#")))
-        return str(target)
+        return [x for x in body.splitlines() if x.strip() and not x.startswith("#")]
 
-    def read_years(self, spark: SparkSession, info: DatasetInfo, start: str, stop: str, folder: str, parameters: Iterable[str] = ()) -> DataFrame:
-        """The data of a period, fetched year by year into folder, with the names of the metadata; all columns are text."""
+    def data(self, spark: SparkSession, info: DatasetInfo, periods: Sequence[tuple[str, str]], folder: str, parameters: Iterable[str] = (), at_once: int = 4) -> DataFrame:
+        """The data of some periods with the names of the metadata; all columns are text.
+
+        Tasks fetch a period each, at_once of them at a time, and write its lines under folder, which all executors
+        share; what is read comes from there, so that a lost executor's periods are fetched again and others aren't.
+        """
         wanted = list(parameters)
-        for a, b in year_chunks(start, stop):
-            self.data(info.id, a, b, folder, wanted)
+        self.current_names()  # asked once, not by every task
+
+        def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for period in batch.to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(self.lines(info.id, period["start"], period["stop"], wanted), type=pa.string())], names=["value"])
+
+        spark.createDataFrame(list(periods), "start string, stop string").repartition(at_once).mapInArrow(fetch, "value string").write.mode("overwrite").text(folder)
         names = [str(p["name"]) for p in info.parameters]
         kept = [n for i, n in enumerate(names) if not wanted or n in wanted or i == 0]
         return spark.read.csv(folder, schema=", ".join(f"`{n}` string" for n in kept))
 
+    def read_years(self, spark: SparkSession, info: DatasetInfo, start: str, stop: str, folder: str, parameters: Iterable[str] = ()) -> DataFrame:
+        """The data of a period, fetched year by year."""
+        return self.data(spark, info, year_chunks(start, stop), folder, parameters)
+
 
 def save_info(info: DatasetInfo, path: str) -> None:
     Path(path).write_text(json.dumps(info.raw, indent=2))
