@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, packing, pseudonyms, quality, secrets, sentence_pieces, sharding, substring_dedup, suffix_dedup, toxicity, whitening
+from . import alignment, decontamination, jaccard_join, packing, pseudonyms, quality, secrets, sentence_pieces, sharding, substring_dedup, suffix_dedup, toxicity, whitening
 from .store import ensure_session, shared_folder
 
 
@@ -76,6 +76,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
     "op12_whitening": op12_whitening,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
