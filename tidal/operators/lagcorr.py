@@ -1,8 +1,8 @@
 """Correlation at sample lags (positions after gaps are removed) and at calendar lags, and discrete correlation functions.
 
-A lag join explodes the lags on one side and meets the other in a single equi-join
-on (keys, day + lag), so the work is pairs, not a theta join; sums per lag are
-partially aggregated before they are shuffled.
+All rest on sums over lags by Fourier transforms of day blocks (see ``blocks``): a row is
+copied to the two or three blocks that its lags reach, and sums per block and lag are
+partially aggregated.
 """
 
 from __future__ import annotations
@@ -13,15 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pearson
-from .series import indexed, standardised, transformed, with_day
+from .blocks import Term, lagged_sums
+from .series import indexed, moments_joined, standardised, transformed, with_day
 
-
-def lagged_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int, hi: int, at: str = "day", step: int = 1) -> DataFrame:
-    """(keys, lag, x, y): x of a at position t + lag with y of b at position t, for lags lo to hi."""
-    lags = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias("lag")
-    late = a.select(*keys, F.col(at).cast("long").alias("p"), F.col("value").alias("x"))
-    early = b.select(*keys, F.col(at).cast("long").alias("q"), F.col("value").alias("y"), lags).withColumn("p", F.col("q") + F.col("lag")).drop("q")
-    return early.join(late, [*keys, "p"]).select(*keys, "lag", "x", "y")
+ONE, X, Y = F.lit(1.0), F.col("x"), F.col("y")
 
 
 def sample_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
@@ -29,14 +24,10 @@ def sample_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int,
 
     a and b (keys, i, value) have the same positions.
     """
-    norms = a.groupBy(*keys).agg(F.sum(F.col("value") * F.col("value")).alias("xx")) if keys else a.agg(F.sum(F.col("value") * F.col("value")).alias("xx"))
-    other = b.groupBy(*keys).agg(F.sum(F.col("value") * F.col("value")).alias("yy")) if keys else b.agg(F.sum(F.col("value") * F.col("value")).alias("yy"))
-    sums = lagged_pairs(a, b, keys, lo, hi, at="i").groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    if keys:
-        joined = sums.join(norms, list(keys)).join(other, list(keys))
-    else:
-        joined = sums.withColumn("k", F.lit(1)).join(F.broadcast(norms.withColumn("k", F.lit(1))), "k").join(F.broadcast(other.withColumn("k", F.lit(1))), "k")
-    return joined.select(*keys, F.col("lag").cast("long").alias("lag_days"), F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("coefficient"))
+    square = F.sum(F.col("value") * F.col("value"))
+    sums = lagged_sums(a, b, keys, lo, hi, {"pairs": Term(ONE, ONE), "xy": Term(X, Y, "pairs")}, at="i")
+    joined = moments_joined(moments_joined(sums, a, keys, {"xx": square}), b, keys, {"yy": square})
+    return joined.select(*keys, F.col("lag").alias("lag_days"), F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("coefficient"))
 
 
 def sample_autocorrelation(rows: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
@@ -44,15 +35,18 @@ def sample_autocorrelation(rows: DataFrame, keys: Sequence[str], lo: int, hi: in
     return sample_correlation(placed, placed, keys, lo, hi)
 
 
-def pair_statistics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """pairs, cosine_raw, pearson_raw, pearson_log10, log_pairs of (x, y) by the given columns."""
-    x, y = F.col("x"), F.col("y")
-    both = (x > 0) & (y > 0)
-    u, v = F.when(both, F.log10(x)), F.when(both, F.log10(y))
-    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "syy": F.sum(y * y), "sxy": F.sum(x * y), "m": F.count(u), "su": F.sum(u), "sv": F.sum(v), "suu": F.sum(u * u), "svv": F.sum(v * v), "suv": F.sum(u * v)}
-    got = pairs.groupBy(*by).agg(*(c.alias(k) for k, c in sums.items()))
+def pair_terms() -> dict[str, Term]:
+    """Sums of x, y and their squares and product over all pairs, and of their logarithms over pairs of positive values."""
+    px, py = F.when(X > 0, 1.0).otherwise(0.0), F.when(Y > 0, 1.0).otherwise(0.0)
+    u, v = F.when(X > 0, F.log10(X)).otherwise(0.0), F.when(Y > 0, F.log10(Y)).otherwise(0.0)
+    plain = {"n": Term(ONE, ONE), "sx": Term(X, ONE, "n"), "sy": Term(ONE, Y, "n"), "sxx": Term(X * X, ONE, "n"), "syy": Term(ONE, Y * Y, "n"), "sxy": Term(X, Y, "n")}
+    return plain | {"m": Term(px, py), "su": Term(u, py, "m"), "sv": Term(px, v, "m"), "suu": Term(u * u, py, "m"), "svv": Term(px, v * v, "m"), "suv": Term(u, v, "m")}
+
+
+def pair_statistics(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """pairs, cosine_raw, pearson_raw, pearson_log10, log_pairs of the sums of pair_terms."""
     c = F.col
-    return got.select(
+    return sums.select(
         *by, c("n").alias("pairs"), F.try_divide(c("sxy"), F.sqrt(c("sxx") * c("syy"))).alias("cosine_raw"),
         pearson(c("n"), c("sx"), c("sy"), c("sxx"), c("syy"), c("sxy")).alias("pearson_raw"),
         pearson(c("m"), c("su"), c("sv"), c("suu"), c("svv"), c("suv")).alias("pearson_log10"), c("m").alias("log_pairs"),
@@ -60,9 +54,9 @@ def pair_statistics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def calendar_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int, hi: int, step: int = 1) -> DataFrame:
-    """Pair statistics at each calendar lag that has a pair; +L holds a at t + L against b at t."""
-    pairs = lagged_pairs(with_day(a.where("value IS NOT NULL")), with_day(b.where("value IS NOT NULL")), keys, lo, hi, step=step)
-    return pair_statistics(pairs, [*keys, "lag"]).withColumnRenamed("lag", "lag_calendar_days")
+    """Pair statistics at each calendar lag that has a pair, every step-th one from lo; +L holds a at t + L against b at t."""
+    sums = lagged_sums(with_day(a.where("value IS NOT NULL")), with_day(b.where("value IS NOT NULL")), keys, lo, hi, pair_terms())
+    return pair_statistics(sums.where((F.col("lag") - lo) % step == 0) if step > 1 else sums, [*keys, "lag"]).withColumnRenamed("lag", "lag_calendar_days")
 
 
 def calendar_autocorrelation(rows: DataFrame, keys: Sequence[str], lo: int = 1, hi: int = 2500, step: int = 1) -> DataFrame:
@@ -84,8 +78,7 @@ def discrete_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: in
 
 
 def dcf_of_standardised(za: DataFrame, zb: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
-    product = F.col("x") * F.col("y")
-    sums = lagged_pairs(za, zb, keys, lo, hi).groupBy(*keys, "lag").agg(F.count("*").alias("pairs"), F.sum(product).alias("sum_udcf"), F.sum(product * product).alias("sum_sq_udcf"))
+    sums = lagged_sums(za, zb, keys, lo, hi, {"pairs": Term(ONE, ONE), "sum_udcf": Term(X, Y, "pairs"), "sum_sq_udcf": Term(X * X, Y * Y, "pairs")})
     lags = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("lag")
     every = za.select(*keys).distinct().select(*keys, lags) if keys else za.sparkSession.range(1).select(lags)
     n = F.coalesce("pairs", F.lit(0))

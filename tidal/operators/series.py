@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,16 @@ def transformed(rows: DataFrame, transform: str) -> DataFrame:
     raise ValueError(f"unknown transform {transform!r}")
 
 
+def moments_joined(rows: DataFrame, of: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with aggregates of another frame's rows of the same keys, partially aggregated and joined back; without keys they are one row."""
+    got = of.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
+    if not keys:
+        return rows.withColumn("_one", F.lit(1)).join(F.broadcast(got.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    named = got.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return rows.join(named, same).drop(*(f"_of_{k}" for k in keys))
+
+
 def detrended(rows: DataFrame, keys: Sequence[str], mode: str, column: str = "value", x: str = "day", more_than: int = 2) -> DataFrame:
     """column less its mean (constant), less its line over x (linear, given more than so many rows), or as it is (none)."""
     if mode == "none":
@@ -66,21 +77,20 @@ def detrended(rows: DataFrame, keys: Sequence[str], mode: str, column: str = "va
     if mode not in ("linear", "constant"):
         raise ValueError(f"unknown detrend {mode!r}")
     y, t = F.col(column), F.col(x).cast("double")
-    w = Window.partitionBy(*keys)
-    mean_y, mean_t, n = F.avg(y).over(w), F.avg(t).over(w), F.count(y).over(w)
-    base = rows.withColumn("_y", y - mean_y).withColumn("_t", t - mean_t).withColumn("_n", n)
-    if mode == "constant":
-        return base.withColumn(column, F.col("_y")).drop("_y", "_t", "_n")
-    slope = F.try_divide(F.sum(F.col("_y") * F.col("_t")).over(w), F.sum(F.col("_t") * F.col("_t")).over(w))
-    fitted = F.when(F.col("_n") > more_than, F.coalesce(slope, F.lit(0.0)) * F.col("_t"))
-    return base.withColumn("_line", fitted).withColumn(column, F.when(F.col("_line").isNotNull(), F.col("_y") - F.col("_line")).otherwise(y)).drop("_y", "_t", "_n", "_line")
+    known = F.when(y.isNotNull(), t)
+    sums = {"_n": F.count(y), "_y": F.avg(y), "_t": F.avg(known), "_slope": F.try_divide(F.covar_pop(y, known), F.var_pop(known))}
+    base = moments_joined(rows, rows, keys, sums)
+    level = y - F.col("_y")
+    if mode == "linear":
+        level = F.when(F.col("_n") > more_than, level - F.coalesce("_slope", F.lit(0.0)) * (t - F.col("_t"))).otherwise(y)
+    return base.withColumn(column, level).drop(*sums)
 
 
 def standardised(rows: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
     """column as a z-score over each key (population spread); 0 without spread, unchanged for a single value."""
-    w = Window.partitionBy(*keys)
-    mean, spread, n = F.avg(column).over(w), F.stddev_pop(column).over(w), F.count(column).over(w)
-    return rows.withColumn("_m", mean).withColumn("_s", spread).withColumn("_n", n).withColumn(column, F.when(F.col("_n") < 2, F.col(column)).otherwise(F.coalesce(F.try_divide(F.col(column) - F.col("_m"), F.col("_s")), F.lit(0.0)))).drop("_m", "_s", "_n")
+    sums = {"_m": F.avg(column), "_s": F.stddev_pop(column), "_n": F.count(column)}
+    z = F.coalesce(F.try_divide(F.col(column) - F.col("_m"), F.col("_s")), F.lit(0.0))
+    return moments_joined(rows, rows, keys, sums).withColumn(column, F.when(F.col("_n") < 2, F.col(column)).otherwise(z)).drop(*sums)
 
 
 def within(rows: DataFrame, start: str | date, stop: str | date) -> DataFrame:

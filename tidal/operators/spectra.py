@@ -1,7 +1,7 @@
-"""Spectra from sums: classical and floating-mean Lomb-Scargle, sampling windows and Fourier transforms.
+"""Spectra: classical and floating-mean Lomb-Scargle, sampling windows and Fourier transforms.
 
-All moments of a frequency come from one aggregation of rows exploded over the
-frequency grid; the grid is an array literal per row, not a joined table.
+Lomb-Scargle spectra and sampling windows come from moments per pane of days (see
+``waves``); bands of Fourier sums explode rows over the harmonics of the band.
 """
 
 from __future__ import annotations
@@ -11,73 +11,32 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import next_power_of_two
-from .series import detrended, indexed
+from . import waves
+from .blocks import kinds
+from .series import indexed, moments_joined, transformed
+from .waves import Windows, frequency_grid, period_grid
 
+#: Whether values are taken about their line, or about their mean.
+DETREND = {"linear": True, "constant": False, "none": False}
 
-def frequency_grid(lo_period: float, hi_period: float, n: int) -> Column:
-    """n frequencies from 1 / hi_period to 1 / lo_period, evenly spaced."""
-    a, b = 1.0 / hi_period, 1.0 / lo_period
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(a) + k * F.lit((b - a) / (n - 1) if n > 1 else 0.0))
 
+def lomb_scargle_series(rows: DataFrame, keys: Sequence[str], lo: float = 20, hi: float = 4000, n: int = 10_000, detrend: str = "linear", windows: Windows | None = None) -> DataFrame:
+    """Classical spectrum of raw values on a frequency grid, over all days or in each window."""
+    return waves.spectra(rows, keys, frequency_grid(lo, hi, n), windows, linear=DETREND[detrend])
 
-def period_grid(lo_period: float, hi_period: float, n: int) -> Column:
-    """Frequencies of n evenly spaced periods."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: 1.0 / (F.lit(float(lo_period)) + k * F.lit((hi_period - lo_period) / (n - 1) if n > 1 else 0.0)))
 
-
-def lomb_scargle(rows: DataFrame, keys: Sequence[str], grid: Column, floating_mean: bool = False, least: int = 10) -> DataFrame:
-    """(keys, period_days, power) of rows (keys, t, value) with value about its mean; none for keys with under least rows.
-
-    floating_mean: the mean is fitted at every frequency (Zechmeister and Kuerster 2009).
-    """
-    t, y = F.col("t"), F.col("value")
-    angle = F.lit(2 * math.pi) * F.col("_f") * t
-    c, s = F.cos(angle), F.sin(angle)
-    waves = rows.select(*keys, "t", "value", F.posexplode(grid).alias("_k", "_f")).select(*keys, "_k", "_f", "value", c.alias("_c"), s.alias("_s"))
-    c, s = F.col("_c"), F.col("_s")
-    sums = {"n": F.count("*"), "y1": F.sum(y), "yy": F.sum(y * y), "c1": F.sum(c), "s1": F.sum(s), "cc": F.sum(c * c), "ss": F.sum(s * s), "cs": F.sum(c * s), "yc": F.sum(y * c), "ys": F.sum(y * s)}
-    got = waves.groupBy(*keys, "_k", "_f").agg(*(v.alias(f"_{k}") for k, v in sums.items())).where(F.col("_n") >= least)
-    v = lambda name: F.col(f"_{name}")
-    if floating_mean:
-        n = v("n")
-        yy, cc, ss = v("yy") - v("y1") * v("y1") / n, v("cc") - v("c1") * v("c1") / n, v("ss") - v("s1") * v("s1") / n
-        cs, yc, ys = v("cs") - v("c1") * v("s1") / n, v("yc") - v("y1") * v("c1") / n, v("ys") - v("y1") * v("s1") / n
-    else:
-        yy, cc, ss, cs, yc, ys = (v(k) for k in ("yy", "cc", "ss", "cs", "yc", "ys"))
-    power = F.try_divide(ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys, yy * (cc * ss - cs * cs))
-    return got.select(*keys, (1 / F.col("_f")).alias("period_days"), power.alias("power")).where("power IS NOT NULL AND NOT isnan(power)")
-
-
-def days_since_first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rows with t, days since the key's first date, as a double."""
-    first = F.min("date").over(Window.partitionBy(*keys))
-    return rows.withColumn("t", F.datediff("date", first).cast("double"))
-
-
-def prepared(rows: DataFrame, keys: Sequence[str], detrend: str = "linear", log10: bool = False) -> DataFrame:
-    """(keys, date, t, value) of the present values, detrended and about their mean."""
-    live = rows.where("value > 0").withColumn("value", F.log10("value")) if log10 else rows.where("value IS NOT NULL")
-    flat = detrended(days_since_first(live, keys), keys, detrend, x="t")
-    return flat if detrend == "linear" else detrended(flat, keys, "constant", x="t")
-
-
-def lomb_scargle_series(rows: DataFrame, keys: Sequence[str], lo: float = 20, hi: float = 4000, n: int = 10_000, detrend: str = "linear") -> DataFrame:
-    """Classical spectrum of raw values on a frequency grid."""
-    return lomb_scargle(prepared(rows, keys, detrend), keys, frequency_grid(lo, hi, n))
-
-
-def lomb_scargle_log(rows: DataFrame, keys: Sequence[str], lo: float = 20, hi: float = 2500, n: int = 6_000, detrend: str = "linear") -> DataFrame:
+def lomb_scargle_log(rows: DataFrame, keys: Sequence[str], lo: float = 20, hi: float = 2500, n: int = 6_000, detrend: str = "linear", windows: Windows | None = None) -> DataFrame:
     """Floating-mean spectrum of log10 of the positive values on a frequency grid."""
-    return lomb_scargle(prepared(rows, keys, detrend, log10=True), keys, frequency_grid(lo, hi, n), floating_mean=True)
+    return waves.spectra(transformed(rows, "log10"), keys, frequency_grid(lo, hi, n), windows, floating_mean=True, linear=DETREND[detrend])
 
 
-def lomb_scargle_periods(rows: DataFrame, keys: Sequence[str], lo: float, hi: float, n: int = 96, detrend: str = "none", least: int = 30) -> DataFrame:
-    """Classical spectrum of log10 of the positive values on evenly spaced periods."""
-    return lomb_scargle(prepared(rows, keys, detrend, log10=True), keys, period_grid(lo, hi, n), least=least)
+def lomb_scargle_periods(rows: DataFrame, keys: Sequence[str], lo: float, hi: float, n: int = 96, detrend: str = "none", least: int = 30, windows: Windows | None = None, transform: str = "log10") -> DataFrame:
+    """Classical spectrum of log10 of the positive values (or of the values as they are) on evenly spaced periods."""
+    return waves.spectra(transformed(rows, transform), keys, period_grid(lo, hi, n), windows, linear=DETREND[detrend], least=least)
 
 
 def sampling_window(rows: DataFrame, keys: Sequence[str], lo: float, hi: float, positive: bool = False, limits: DataFrame | None = None, least: int = 10) -> DataFrame:
@@ -87,18 +46,22 @@ def sampling_window(rows: DataFrame, keys: Sequence[str], lo: float, hi: float,
     enter, since a full period of ones sums to 0.  None for spans or observations under least, or days all present.
     """
     live = rows.where("value > 0" if positive else "value IS NOT NULL").select(*keys, "date")
-    if limits is None:
-        limits = live.groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    span = (F.datediff("last", "first") + 1).cast("long")
-    within = live.join(limits, list(keys)).where(F.col("date").between(F.col("first"), F.col("last"))).withColumn("_n", span).withColumn("_d", F.datediff("date", "first").cast("long"))
-    top = F.least(F.floor(F.col("_n") / 2), F.floor(F.col("_n") / lo))
-    low = F.greatest(F.lit(1), F.ceil(F.col("_n") / hi))
-    waves = within.where(low <= top).select(*keys, "_n", "_d", F.explode(F.sequence(low.cast("long"), top.cast("long"))).alias("_k"))
-    angle = F.lit(2 * math.pi) * (F.pmod(F.col("_k") * F.col("_d"), F.col("_n")) / F.col("_n"))
-    got = waves.groupBy(*keys, "_n", "_k").agg(F.sum(F.cos(angle)).alias("_c"), F.sum(F.sin(angle)).alias("_s"), F.count("*").alias("_m"))
+    placed = moments_joined(live, live, keys, {"first": F.min("date"), "last": F.max("date")}) if limits is None else live.join(limits, list(keys))
+    within = placed.where(F.col("date").between(F.col("first"), F.col("last"))).select(*keys, (F.datediff("last", "first") + 1).cast("long").alias("_n"), F.datediff("date", "first").cast("long").alias("_d"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n, t = int(key[-2]), part["_d"].to_numpy(float)
+        grid = waves.harmonics(n, lo, hi)
+        if grid is None:
+            return pd.DataFrame(columns=[*keys, "_n", "_k", "_m", "_re", "_im"])
+        z = waves.wave_sums(t, np.ones((1, len(t))), grid)[0]
+        return pd.DataFrame({**dict(zip([*keys, "_n"], key)), "_k": np.rint(grid.values() * n).astype(int), "_m": len(t), "_re": z.real, "_im": z.imag})
+
+    sums = within.groupBy(*keys, "_n", F.floor(F.col("_d") / waves.PANE).alias("_pane")).applyInPandas(run, f"{kinds(live, keys)}_n long, _k long, _m long, _re double, _im double")
+    got = sums.groupBy(*keys, "_n", "_k").agg(*(F.sum(c).alias(c) for c in ("_m", "_re", "_im")))
     one_sided = F.when(F.col("_k") * 2 == F.col("_n"), 1.0).otherwise(2.0)
     live_keys = (F.col("_n") >= least) & (F.col("_m") >= least) & (F.col("_m") < F.col("_n"))
-    return got.where(live_keys).select(*keys, (F.col("_n") / F.col("_k")).alias("period_days"), (one_sided * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n") / F.col("_n")).alias("power"))
+    return got.where(live_keys).select(*keys, (F.col("_n") / F.col("_k")).alias("period_days"), (one_sided * (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / F.col("_n") / F.col("_n")).alias("power"))
 
 
 def fourier_band(rows: DataFrame, keys: Sequence[str], lo: float, hi: float) -> DataFrame:

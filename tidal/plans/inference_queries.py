@@ -80,7 +80,7 @@ def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-_SCREEN = lag_queries.CHANNELS_DCF + f", BB AS ({bands_sql()}), Z AS (SELECT *, row_number() OVER (PARTITION BY channel, band ORDER BY dcf DESC, lag_bin_center) AS r FROM DB JOIN BB ON lag_bin_center BETWEEN lo AND hi WHERE pairs >= {LEAST} AND dcf IS NOT NULL)" + prepared_sql("O", "channel", log10=True) + lomb_sql(spectral_queries._freqs(250, 600, 240), "channel", True) + spectral_queries.best_sql("LS", "BS") + spectral_queries.window_sql("O", 250, 600, "channel", True) + spectral_queries.best_sql("SW", "BW")
+_SCREEN = lag_queries.CHANNELS_DCF + f", BB AS ({bands_sql()}), Z AS (SELECT *, row_number() OVER (PARTITION BY channel, band ORDER BY dcf DESC, lag_bin_center) AS r FROM DB JOIN BB ON lag_bin_center BETWEEN lo AND hi WHERE pairs >= {LEAST} AND dcf IS NOT NULL)" + prepared_sql("O", "channel", log10=True) + lomb_sql(spectral_queries._freqs(250, 600, 6000), "channel", True) + spectral_queries.best_sql("LS", "BS") + spectral_queries.window_sql("O", 250, 600, "channel", True) + spectral_queries.best_sql("SW", "BW")
 
 
 @query(_SCREEN + " SELECT Z.channel, Z.band, lag_bin_center AS dcf_lag, round(dcf, 7) AS dcf, round(BS.period_days, 7) AS ls_period, round(BS.power, 7) AS ls_power, round(BW.period_days, 7) AS window_period, round(greatest(dcf, BS.power), 7) AS screen_score FROM Z LEFT JOIN BS ON Z.channel = BS.channel AND Z.band = BS.band LEFT JOIN BW ON Z.channel = BW.channel AND Z.band = BW.band WHERE r = 1")
@@ -88,7 +88,7 @@ def screening_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best DCF bin, spectral peak and window peak of every channel and band."""
     rows, keys = inputs.orders(spark, sf_dir), ["channel"]
     d = peaks.band_maximum(lag_queries._channels_dcf(spark, sf_dir), keys, "lag_bin_center", "dcf", BANDS, LEAST).select("channel", "band", F.col("lag_bin_center").alias("dcf_lag"), "dcf")
-    s = peaks.band_maximum(spectra.lomb_scargle_log(rows, keys, 250, 600, 240), keys, "period_days", "power", BANDS).select("channel", "band", F.col("period_days").alias("ls_period"), F.col("power").alias("ls_power"))
+    s = peaks.band_maximum(spectra.lomb_scargle_log(rows, keys, 250, 600, 6000), keys, "period_days", "power", BANDS).select("channel", "band", F.col("period_days").alias("ls_period"), F.col("power").alias("ls_power"))
     w = peaks.band_maximum(spectra.sampling_window(rows, keys, 250, 600, positive=True), keys, "period_days", "power", BANDS).select("channel", "band", F.col("period_days").alias("window_period"))
     return tidy(d.join(s, ["channel", "band"], "left").join(w, ["channel", "band"], "left").withColumn("screen_score", F.greatest("dcf", "ls_power")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lagcorr, nulls, peaks, series
+from ..operators import lagcorr, peaks, series
 from . import inputs
 from .inputs import BANDS, with_
 from .registry import query, tidy
@@ -33,9 +33,9 @@ _STATS = "lag_calendar_days, pairs, round(cosine_raw, 7) AS cosine_raw, round(pe
 _CAL_CCF = with_("O", "A", "B") + _pairs_sql("A", "B", -LO, HI)
 
 
-@query(with_("O", "A") + _pairs_sql("A", "A", 1, HI) + f" SELECT {_STATS} FROM PS")
+@query(with_("O", "A") + _pairs_sql("A", "A", 1, 2500) + f" SELECT {_STATS} FROM PS")
 def calendar_acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(lagcorr.calendar_autocorrelation(inputs.pair(spark, sf_dir)[0], [], 1, HI))
+    return tidy(lagcorr.calendar_autocorrelation(inputs.pair(spark, sf_dir)[0], [], 1, 2500))
 
 
 def _calendar_ccf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,27 +138,11 @@ _CS = ", SP AS (SELECT greatest((SELECT min(date) FROM A WHERE value > 0), (SELE
 
 @query(with_("O", "A", "B") + _CS + z_sql("ZA", "CA") + z_sql("ZB", "CB") + dcf_sql("ZA", "ZB", LO, HI) + " SELECT lag_bin_start, lag_bin_end, lag_bin_center, pairs, round(dcf, 7) AS dcf FROM DB WHERE pairs > 0")
 def dcf_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DCF of grids standardised within the common span, evaluated by FFT in a grouped map."""
-    import pandas as pd
-
-    a, b = (x.where("value > 0").withColumn("value", F.log10("value")) for x in inputs.pair(spark, sf_dir))
-    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(day=pd.to_datetime(part["date"]).to_numpy().astype("datetime64[D]").astype(int))
-        sides = [part[part["side"] == s] for s in (0, 1)]
-        first, last = max(s["day"].min() for s in sides), min(s["day"].max() for s in sides)
-        grids = []
-        for s in sides:
-            s = s[(s["day"] >= first) & (s["day"] <= last)]
-            g = nulls.np.full(last - first + 1, nulls.np.nan)
-            g[s["day"].to_numpy() - first] = s["value"].to_numpy()
-            grids.append(g)
-        pairs, dcf = nulls.grid_dcf(*grids, LO, HI)
-        return pd.DataFrame({"lag_calendar_days": range(LO, HI + 1), "pairs": pairs, "dcf": dcf})
-
-    fast = both.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "lag_calendar_days long, pairs long, dcf double")
-    return tidy(lagcorr.binned_means(fast.withColumn("dcf", F.when(~F.isnan("dcf"), F.col("dcf"))), [], WIDTH, LO))
+    """DCF of series standardised within their common span, as pair-weighted means per bin."""
+    both = [series.transformed(x, "log10") for x in inputs.pair(spark, sf_dir)]
+    span = series.common_span(both[0].withColumn("side", F.lit(0)).unionByName(both[1].withColumn("side", F.lit(1))), ["side"])
+    a, b = (x.join(F.broadcast(span), F.col("date").between(F.col("first"), F.col("last"))).select("date", "value") for x in both)
+    return tidy(lagcorr.binned_means(lagcorr.discrete_correlation(a, b, [], LO, HI, "raw"), [], WIDTH, LO))
 
 
 def prominence_sql(x: str, y: str, keys: str = "") -> str:
@@ -189,14 +173,21 @@ def top_prominent_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _YEARS = 3
 
 
-def _windows_sql(start: str = "1995-01-02", stop: str = "2001-07-31", years: int = _YEARS) -> str:
-    return f", WN AS (SELECT DATE '{start}' AS ws UNION ALL SELECT CAST(ws + INTERVAL 1 YEAR AS DATE) FROM WN WHERE ws < DATE '{stop}'), W AS (SELECT ws AS window_start, CAST(ws + to_years({years}) - INTERVAL 1 DAY AS DATE) AS window_stop FROM WN WHERE ws + to_years({years}) - INTERVAL 1 DAY <= DATE '{stop}')"
+def _windows_sql(years: int = _YEARS) -> str:
+    """CTE W: windows of so many years within the days that A and B share, from O."""
+    ends = ", ".join(f"{f}({g}(date) FILTER (channel = '{inputs.A}'), {g}(date) FILTER (channel = '{inputs.B}')) AS {n}" for f, g, n in (("greatest", "min", "lo"), ("least", "max", "hi")))
+    return f", WE AS (SELECT {ends} FROM O), WN AS (SELECT lo AS ws FROM WE UNION ALL SELECT CAST(ws + INTERVAL 1 YEAR AS DATE) FROM WN, WE WHERE ws < hi), W AS (SELECT ws AS window_start, CAST(ws + to_years({years}) - INTERVAL 1 DAY AS DATE) AS window_stop FROM WN, WE WHERE ws + to_years({years}) - INTERVAL 1 DAY <= hi)"
+
 
+def calendar(spark: SparkSession, sf_dir: str, years: int = _YEARS) -> list:
+    """Windows of so many years within the days that A and B share."""
+    a, b = (x.withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab"))
+    span = series.common_span(a.unionByName(b), ["side"]).first()
+    return series.calendar_windows(span["first"], span["last"], years) if span else []
 
-def windows(spark: SparkSession, years: int = _YEARS) -> DataFrame:
-    from datetime import date
 
-    return series.windows_frame(spark, series.calendar_windows(date(1995, 1, 2), date(2001, 7, 31), years))
+def windows(spark: SparkSession, sf_dir: str, years: int = _YEARS) -> DataFrame:
+    return series.windows_frame(spark, calendar(spark, sf_dir, years))
 
 
 _WIN = with_("O", "A", "B") + _windows_sql() + ", WA AS (SELECT window_start, date, value FROM A JOIN W ON date BETWEEN window_start AND window_stop), WB AS (SELECT window_start, date, value FROM B JOIN W ON date BETWEEN window_start AND window_stop)" + z_sql("ZA", "WA", "window_start") + z_sql("ZB", "WB", "window_start") + dcf_sql("ZA", "ZB", LO, HI, "window_start")
@@ -205,7 +196,7 @@ _WIN = with_("O", "A", "B") + _windows_sql() + ", WA AS (SELECT window_start, da
 @query(_WIN + _BEST.format(bands=bands_sql(), k="window_start, ", least=30) + " SELECT window_start, band, lag_bin_center, round(dcf, 7) AS dcf, pairs FROM Z WHERE r = 1")
 def sliding_window_dcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best bins of the cross DCF in sliding three-year windows, standardised within each."""
-    wins = windows(spark)
+    wins = windows(spark, sf_dir)
     a, b = (series.in_windows(x, wins).select("window_start", "date", "value") for x in inputs.pair(spark, sf_dir))
     dcf = lagcorr.binned(lagcorr.discrete_correlation(a, b, ["window_start"], LO, HI), ["window_start"], WIDTH, LO)
     return tidy(peaks.band_maximum(dcf, ["window_start"], "lag_bin_center", "dcf", BANDS, 30, others=["pairs"]))

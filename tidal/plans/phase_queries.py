@@ -83,7 +83,7 @@ _CAND = inference_queries._ADJ + windows_sql() + ", CD AS (SELECT DISTINCT chann
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best bins in sliding windows, of the channels and bands that the review names only."""
     found = review.candidates(inference_queries._adjusted(spark, sf_dir).where("q_bh < 0.05"), ["channel", "band"])
-    rows = series.in_windows(inputs.orders(spark, sf_dir).join(found, "channel", "left_semi"), windows(spark)).select("channel", "window_start", "date", "value")
+    rows = series.in_windows(inputs.orders(spark, sf_dir).join(found, "channel", "left_semi"), windows(spark, sf_dir)).select("channel", "window_start", "date", "value")
     keys = ["channel", "window_start"]
     dcf = lagcorr.binned(lagcorr.discrete_correlation(rows, rows, keys, LO, HI), keys, WIDTH, LO)
     best = peaks.band_maximum(dcf, keys, "lag_bin_center", "dcf", BANDS, 30, others=["pairs"])

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import peaks, series, spectra
+from ..operators import peaks, series, spectra, waves
+from ..operators.waves import Windows
 from . import inputs
 from .inputs import BANDS, with_
-from .lag_queries import bands_sql, prominence_sql, windows
+from .lag_queries import bands_sql, calendar, prominence_sql
 from .lag_queries import _windows_sql as windows_sql
 from .registry import query, tidy
 from .series_queries import runs_sql
 
-LO, HI, N = 200, 700, 240
+LO, HI, N = 200, 700, 6000
 PI2 = "6.283185307179586"
 
 
@@ -56,9 +56,9 @@ _RESULT = " SELECT round(period_days, 7) AS period_days, round(power, 7) AS powe
 _A = with_("O", "A")
 
 
-@query(_A + prepared_sql("A") + lomb_sql(_freqs(20, 2000, 400)) + _RESULT)
+@query(_A + prepared_sql("A") + lomb_sql(_freqs(20, 2000, 10_000)) + _RESULT)
 def lomb_scargle_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(spectra.lomb_scargle_series(inputs.pair(spark, sf_dir)[0], [], 20, 2000, 400))
+    return tidy(spectra.lomb_scargle_series(inputs.pair(spark, sf_dir)[0], [], 20, 2000, 10_000))
 
 
 @query(_A + prepared_sql("A", log10=True) + lomb_sql(_freqs(LO, HI, N), floating=True) + _RESULT)
@@ -195,7 +195,9 @@ def nearest_window_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # sliding windows
 
-_NW = 60
+_NW = 1200
+
+
 def win_sql(years: int = 3) -> str:
     """CTE TR: the tracked peaks of windows of so many years."""
     return with_("O", "A", "B") + windows_sql(years=years) + ", WL2 AS (SELECT 'a' AS side, window_start, window_stop, date, value FROM A JOIN W ON date BETWEEN window_start AND window_stop UNION ALL SELECT 'b', window_start, window_stop, date, value FROM B JOIN W ON date BETWEEN window_start AND window_stop), WS AS (SELECT side || window_start AS sw, side, window_start, window_stop, date, value FROM WL2)" + prepared_sql("WS", "sw", log10=True) + lomb_sql(_freqs(LO, HI, _NW), "sw", floating=True) + window_sql("WS", LO, HI, "sw", True, "(SELECT DISTINCT sw, window_start AS lo, window_stop AS hi FROM WS)") + morph_sql("LS", "MS", "sw") + morph_sql("SW", "MW", "sw") + f", TR AS (SELECT left(MS.sw, 1) AS side, CAST(right(MS.sw, 10) AS DATE) AS window_start, MS.band, MS.period_days AS signal, MS.is_local_peak, MW.period_days AS window_period, date_diff('day', CAST(right(MS.sw, 10) AS DATE), CAST(CAST(right(MS.sw, 10) AS DATE) + INTERVAL {years} YEAR AS DATE)) AS span FROM MS LEFT JOIN MW ON MS.sw = MW.sw AND MS.band = MW.band)"
@@ -207,14 +209,17 @@ _SEP = "abs(1 / signal - 1 / window_period) * span"
 
 def tracking(spark: SparkSession, sf_dir: str, lengths: Sequence[int] = (3,)) -> DataFrame:
     """(years, side, window_start, band, signal, is_local_peak, window_period, span) in sliding windows of every length of two years or more, each once."""
-    wins = reduce(DataFrame.unionByName, (windows(spark, n).withColumn("years", F.lit(n)) for n in sorted({n for n in lengths if n >= 2})))
-    sides = [series.in_windows(x, wins).withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab")]
-    rows, keys = sides[0].unionByName(sides[1]), ["years", "side", "window_start"]
-    limits = rows.select(*keys, F.col("window_start").alias("first"), F.col("window_stop").alias("last")).distinct()
-    s = peaks.spectrum_morphology(spectra.lomb_scargle_log(rows, keys, LO, HI, _NW), keys, BANDS)
-    w = peaks.spectrum_morphology(spectra.sampling_window(rows, keys, LO, HI, positive=True, limits=limits), keys, BANDS)
-    both = s.select(*keys, "band", F.col("period_days").alias("signal"), "is_local_peak").join(w.select(*keys, "band", F.col("period_days").alias("window_period")), [*keys, "band"], "left")
-    return both.join(limits.select(*keys, (F.datediff("last", "first") + 1).cast("long").alias("span")), keys)
+    wins = [(n, w) for n in sorted({n for n in lengths if n >= 2}) for w in calendar(spark, sf_dir, n)]
+    a, b = (x.withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab"))
+    return tracked(a.unionByName(b), ["side"], Windows([w for _, w in wins], {"years": [n for n, _ in wins]}), ["years"])
+
+
+def tracked(rows: DataFrame, keys: Sequence[str], wins: Windows, own: Sequence[str] = ()) -> DataFrame:
+    """Band peaks of the signal and of the sampling window in every window: (own, keys, window_start, band, signal, is_local_peak, window_period, span)."""
+    by = [*own, *keys, "window_start"]
+    s = peaks.spectrum_morphology(spectra.lomb_scargle_log(rows, keys, LO, HI, _NW, windows=wins).withColumn("span", F.datediff("window_stop", "window_start") + 1), [*by, "span"], BANDS)
+    w = peaks.spectrum_morphology(waves.sampling_in_windows(rows.where("value > 0"), keys, LO, HI, wins), by, BANDS)
+    return s.select(*by, "band", F.col("period_days").alias("signal"), "is_local_peak", F.col("span").cast("long").alias("span")).join(w.select(*by, "band", F.col("period_days").alias("window_period")), [*by, "band"], "left")
 
 
 def _tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,21 +278,24 @@ def period_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(side("a").join(side("b"), ["window_start", "band"]).select("window_start", "band", gap.alias("difference"), relative.alias("relative"), close.alias("within_10_percent"), (F.col("ka") & F.col("kb")).alias("both_peaks")))
 
 
-_JP = 48
+_JP = 96
 _JW = with_("O", "A", "B") + windows_sql() + ", WS AS (SELECT 'a' || window_start AS sw, date, value FROM A JOIN W ON date BETWEEN window_start AND window_stop UNION ALL SELECT 'b' || window_start, date, value FROM B JOIN W ON date BETWEEN window_start AND window_stop)" + prepared_sql("WS", "sw", "linear", log10=True) + lomb_sql(_periods(430, 520, _JP), "sw", least=180) + ", JJ AS (SELECT CAST(right(p.sw, 10) AS DATE) AS window_start, p.period_days, p.power AS power_a, q.power AS power_b, sqrt(greatest(p.power, 0) * greatest(q.power, 0)) AS joint FROM LS p JOIN LS q ON left(p.sw, 1) = 'a' AND left(q.sw, 1) = 'b' AND right(p.sw, 10) = right(q.sw, 10) AND abs(p.period_days - q.period_days) < 1e-6)"
 
 
 def _joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window_start, k, period_days, power_a, power_b, joint): both sides' spectra and their geometric mean in windows with 180 values of each."""
-    return joint_power(*inputs.pair(spark, sf_dir), windows(spark), 430, 520, _JP)
+    a, b = (x.withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab"))
+    return joint_power(a.unionByName(b), [], Windows(calendar(spark, sf_dir)), 430, 520, _JP)
 
 
-def joint_power(a: DataFrame, b: DataFrame, wins: DataFrame, lo: float, hi: float, n: int, detrend: str = "linear", least: int = 180) -> DataFrame:
-    keys = ["window_start"]
-    sides = [spectra.lomb_scargle_periods(series.in_windows(x, wins), keys, lo, hi, n, detrend, least).withColumn("k", F.round("period_days", 6)) for x in (a, b)]
-    both = sides[0].select(*keys, "k", "period_days", F.col("power").alias("power_a")).join(sides[1].select(*keys, "k", F.col("power").alias("power_b")), [*keys, "k"])
+def joint_power(rows: DataFrame, keys: Sequence[str], wins: Windows, lo: float, hi: float, n: int, detrend: str = "linear", least: int = 180, transform: str = "log10") -> DataFrame:
+    """(keys, window_start, period_days, power_a, power_b, joint) of the sides a and b of rows."""
+    by, k = [*keys, "window_start"], F.round("period_days", 6).alias("k")
+    each = spectra.lomb_scargle_periods(rows, [*keys, "side"], lo, hi, n, detrend, least, wins, transform)
+    both = each.groupBy(*by, k).agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "ab" for c in ("power", "period_days")))
     zero = F.lit(0.0)
-    return both.drop("k").withColumn("joint", F.sqrt(F.greatest(zero, F.col("power_a")) * F.greatest(zero, F.col("power_b"))))
+    joint = F.sqrt(F.greatest(zero, F.col("power_a")) * F.greatest(zero, F.col("power_b")))
+    return both.where("power_a IS NOT NULL AND power_b IS NOT NULL").select(*by, F.col("period_days_a").alias("period_days"), "power_a", "power_b", joint.alias("joint"))
 
 
 @query(_JW + " SELECT window_start, round(period_days, 7) AS period_days, round(power_a, 7) AS power_a, round(power_b, 7) AS power_b, round(joint, 7) AS joint FROM JJ")
