@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidal.functions import dates, scalars
-from tidal.operators import lagcorr, multiplicity, nulls, peaks, quality, series, spectra
+from tidal.operators import lagcorr, multiplicity, noise, nulls, peaks, quality, series, shifts, spectra, waves
 
 DAY0 = date(1980, 1, 1)
 
@@ -39,7 +39,8 @@ def test_log_sine_period(spark):
 
 
 def test_ar1_estimates(spark):
-    x = nulls.ar1_series(0.7, 4000, np.random.default_rng(3))
+    model = noise.Recurrence(17, 3, 0.7, 0, block=4000)
+    x = model.from_zero(np.arange(1), 0)[0]
     rows = frame(spark, x).withColumn("k", F.lit(1))
     assert abs(one(nulls.ar1_by_row(rows, ["k"]))["phi"] - 0.7) < 0.05
     assert abs(one(nulls.ar1_by_day(rows, ["k"]))["phi"] - 0.7) < 0.05
@@ -81,10 +82,10 @@ def test_fast_dcf_equals_exact(spark):
     values = np.exp(np.sin(2 * np.pi * np.arange(400) / 57) + 0.1 * rng.standard_normal(400))
     rows = frame(spark, values, keep)
     exact = {r["lag_calendar_days"]: r for r in lagcorr.discrete_correlation(rows, rows, [], 1, 150).collect()}
-    grid = np.where(keep, np.log10(values), np.nan)
-    pairs, dcf = nulls.grid_dcf(grid, grid, 1, 150)
-    assert [exact[k]["pairs"] for k in range(1, 151)] == pairs.tolist()
-    assert np.allclose([exact[k]["dcf"] for k in range(1, 151)], dcf, atol=1e-10)
+    z = np.log10(values)
+    z, m = np.where(keep, (z - z[keep].mean()) / z[keep].std(), 0.0), keep.astype(int)
+    assert [exact[k]["pairs"] for k in range(1, 151)] == [m[k:] @ m[:-k] for k in range(1, 151)]
+    assert np.allclose([exact[k]["dcf"] for k in range(1, 151)], [(z[k:] @ z[:-k]) / (m[k:] @ m[:-k]) for k in range(1, 151)], atol=1e-10)
 
 
 def test_delayed_copy_lag(spark):
@@ -178,25 +179,106 @@ def test_null_counts(spark):
     assert got["p_value"] == pytest.approx(2 / 100) and got["used"] == 99 and got["null_q95"] == pytest.approx(93.1)
 
 
-def test_random_null_is_independent_of_batches(spark):
-    rows = frame(spark, np.exp(np.sin(np.arange(900) / 13))).withColumn("k", F.lit(1))
-
-    def prepare(part):
-        return lambda sim: {"all": float(np.random.default_rng([7, sim + 1]).standard_normal() + len(part))}
-
-    a, b = (sorted((r["sim"], r["statistic"]) for r in nulls.random_null(rows, ["k"], 20, prepare, n).collect()) for n in (3, 20))
-    assert a == b and [x[0] for x in a] == [nulls.DATA, *range(20)]
-
-
-def test_ar1_series_equals_the_recursion():
-    for phi, n, stationary in ((0.9, 200, True), (-0.4, 64, False), (0.0, 65, True), (0.3, 1, False)):
-        got = nulls.ar1_series(phi, n, np.random.default_rng(5), stationary)
-        rng = np.random.default_rng(5)
-        noise = rng.standard_normal(n) * math.sqrt(1 - phi * phi)
-        want = [rng.standard_normal() if stationary else 0.0]
-        for e in noise[1:]:
-            want.append(phi * want[-1] + e)
-        assert np.allclose(got, want)
+def test_recurrence_is_independent_of_blocks(spark):
+    days = [i for i in range(-700, 1500) if i % 7]
+    rows = spark.createDataFrame([("x", i) for i in days], "k string, day long")
+    phi = spark.createDataFrame([("x", 0.93)], "k string, phi double")
+    for stationary in (True, False):
+        got = noise.long_rows(noise.surrogates(rows.repartition(5), phi, ["k"], 60, 5, stationary), rows).toPandas()
+        name = spark.createDataFrame([("x",)], "k string").select(noise.stream(["k"])).first()[0]
+        e = noise.normal(name, 5, np.arange(60), np.arange(days[0], 1500))
+        want = np.empty_like(e)
+        want[:, 0] = e[:, 0] if stationary else 0
+        for t in range(1, e.shape[1]):
+            want[:, t] = 0.93 * want[:, t - 1] + math.sqrt(1 - 0.93**2) * e[:, t]
+        assert len(got) == 60 * len(days) and np.allclose(got["value"], want[got["sim"], got["day"] - days[0]], atol=1e-12)
+
+
+@pytest.mark.parametrize("phi, n, block", [(0.9, 200, 64), (-0.4, 64, 37), (0.0, 65, 65), (0.3, 1, 5)])
+def test_block_equals_the_recursion(phi, n, block):
+    model, sims = noise.Recurrence(9, 5, phi, 0, True, block), np.arange(3)
+    ends = np.stack([model.from_zero(sims, b)[:, -1] for b in range((n - 1) // block + 1)], axis=1)
+    got = model.values(sims, np.arange(n), model.starts(ends), 0)
+    e = noise.normal(9, 5, sims, np.arange(n))
+    want = [e[:, 0]]
+    for t in range(1, n):
+        want.append(phi * want[-1] + math.sqrt(1 - phi * phi) * e[:, t])
+    assert np.allclose(got, np.stack(want, axis=1))
+
+
+def test_noise_is_white_and_normal():
+    e = noise.normal(1, 2, np.arange(200), np.arange(1000))
+    assert abs(e.mean()) < 0.01 and abs(e.std() - 1) < 0.01 and abs((e**4).mean() - 3) < 0.1
+    assert np.abs(np.corrcoef(e) - np.eye(200)).max() < 0.17 and abs(np.corrcoef(e[:, 1:].ravel(), e[:, :-1].ravel())[0, 1]) < 0.01
+    assert len(np.unique(noise.mixed(np.arange(1 << 16)))) == 1 << 16
+
+
+@pytest.mark.parametrize("lo, block", [(50, 512), (50, 100), (-95, 512), (-25, 100)])
+def test_rotations_against_brute_force(spark, lo, block):
+    r, n, margin = np.random.default_rng(1), 500, 120
+    a, b = (np.where(r.random(n) < 0.3, np.nan, r.standard_normal(n)) for _ in range(2))
+    rows = lambda v: spark.createDataFrame([("k", n, i, float(x)) for i, x in enumerate(v) if np.isfinite(x)], "k string, n int, i int, value double")
+    got = {(x["shift"], x["lag_bin_center"]): (x["pairs"], x["dcf"]) for x in shifts.rotated_bins(rows(a), rows(b), ["k"], lo, lo + 45, 10, margin, block).collect()}
+    met = lambda u, v, k: u[k:] @ v[: n - k] if k >= 0 else u[: n + k] @ v[-k:]
+    assert len(got) == 5 * (n - 2 * margin + 1)
+    for s in range(margin, n - margin + 1):
+        y = np.roll(b, s)
+        sums = np.array([[met(np.isfinite(a) * 1, np.isfinite(y) * 1, k), met(np.nan_to_num(a), np.nan_to_num(y), k)] for k in range(lo, lo + 46)])
+        for q in range(5):
+            pairs, total = sums[10 * q : 10 * q + 10].sum(axis=0)
+            assert got[s, lo + 10 * q + 4.5] == (pairs, pytest.approx(total / pairs, abs=1e-10))
+
+
+def test_extirpolated_sums_equal_direct_ones():
+    r = np.random.default_rng(2)
+    t, w = np.sort(r.random(900)) * 3000 + 9000, np.vstack([np.ones(900), r.standard_normal((2, 900))])
+    grid = waves.frequency_grid(20, 4000, 5000)
+    got, want = waves.wave_sums(t, w, grid, 2), w @ np.exp(-4j * np.pi * np.outer(t, grid.values()))
+    assert np.abs(got - want).max() < 1e-10
+
+
+@pytest.mark.parametrize("linear", [True, False])
+def test_windows_of_every_length_from_panes(spark, linear):
+    r, days = np.random.default_rng(3), 20 * 365 + 5
+    t = np.flatnonzero(r.random(days) > 0.3)
+    y = np.exp(np.sin(2 * np.pi * t / 470) + t / 4000 + 0.3 * r.standard_normal(len(t)))
+    start = date(1980, 2, 29)
+    rows = spark.createDataFrame([("c", start + timedelta(days=int(i)), float(v)) for i, v in zip(t, y)], "k string, date date, value double")
+    wins = [(n, w) for n in (5, 8, 10, 12, 15) for w in series.calendar_windows(start, start + timedelta(days=days - 1), n, 2)]
+    by = waves.Windows([w for _, w in wins], {"years": [n for n, _ in wins]})
+    got = spectra.lomb_scargle_log(rows, ["k"], 200, 700, 1200, "linear" if linear else "none", by).toPandas()
+    assert set(got["years"]) == {5, 8, 10, 12, 15} and len(got) == 1200 * len(wins)
+    f = waves.frequency_grid(200, 700, 1200).values()
+    for n, (a, b) in wins[::3]:
+        inside = (t >= (a - start).days) & (t <= (b - start).days)
+        x, v = t[inside].astype(float), np.log10(y[inside])
+        v = v - (np.polyval(np.polyfit(x, v, 1), x) if linear else v.mean())
+        c, s = np.cos(2 * np.pi * np.outer(f, x)), np.sin(2 * np.pi * np.outer(f, x))
+        c, s = c - c.mean(1, keepdims=True), s - s.mean(1, keepdims=True)
+        yc, ys, cc, ss, cs = c @ v, s @ v, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
+        want = (ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / ((v @ v) * (cc * ss - cs**2))
+        mine = got[(got["years"] == n) & (got["window_start"] == a)].sort_values("period_days", ascending=False)["power"].to_numpy()
+        assert np.allclose(mine, want, atol=1e-9)
+    window = waves.sampling_in_windows(rows, ["k"], 200, 700, by).toPandas()
+    one = spectra.sampling_window(rows, ["k"], 200, 700, limits=spark.createDataFrame([("c", *wins[0][1])], "k string, first date, last date")).toPandas().sort_values("period_days")
+    mine = window[(window["years"] == 5) & (window["window_start"] == wins[0][1][0])].sort_values("period_days")
+    assert np.allclose(mine[["period_days", "power"]], one[["period_days", "power"]], atol=1e-10)
+
+
+def test_rows_before_the_first_shuffle_do_not_grow_with_overlap(spark):
+    rows = frame(spark, np.exp(np.sin(np.arange(4000) / 70))).withColumn("k", F.lit(1))
+    span = (rows.agg(F.min("date"), F.max("date"))).first()
+    count = {n: waves.by_pane(rows, waves.Windows(series.calendar_windows(span[0], span[1], n))).count() for n in (2, 5, 9)}
+    assert max(count.values()) <= 4000
+
+
+def test_year_windows_follow_each_key(spark):
+    rows = spark.createDataFrame([("x", date(2000, 2, 29) + timedelta(days=i)) for i in range(0, 2000, 3)], "k string, date date").withColumns({"_first": F.lit("2000-02-29").cast("date"), "_last": F.lit("2005-02-27").cast("date")})
+    got = waves.YearWindows(3, 2).placed(rows).groupBy("_pane").agg(F.min("date"), F.max("date"), F.max("_panes")).orderBy("_pane").collect()
+    assert [r[3] for r in got] == [5] * 5 and got[1][1] >= date(2001, 2, 28) and got[-1][2] <= date(2005, 2, 27)
+    import pandas as pd
+
+    assert waves.YearWindows(3, 2).spans(pd.DataFrame({"_panes": [5]})) == [(0, 3), (2, 5)]
 
 
 def sided(spark, a, b):

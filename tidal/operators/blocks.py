@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Positions of a block, at least.
@@ -22,10 +22,10 @@ LEAST = 512
 
 
 class Term(NamedTuple):
-    """A sum over pairs of a factor of x times a factor of y; of: the count term of the pairs that enter, or None for a count."""
+    """A sum over pairs of a factor of x times a factor of y, as SQL; of: the count term of the pairs that enter, or None for a count."""
 
-    x: Column
-    y: Column
+    x: str
+    y: str
     of: str | None = None
 
 
@@ -38,18 +38,17 @@ def kinds(rows: DataFrame, names: Sequence[str]) -> str:
 def lagged_sums(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int, hi: int, terms: dict[str, Term], at: str = "day") -> DataFrame:
     """(keys, lag, terms): sums over positions t of the terms of x, the value of a at t + lag, and y, that of b at t, for lags lo to hi.
 
-    Terms are columns over x and y; the first one counts pairs, and lags without a pair are
+    The first term counts pairs, and lags without a pair are
     left out.  Rows that share a position pair with all of the other side.
     """
     length = max(hi - lo + 1, LEAST)
     order = list(terms)
-    left = {str(t.x): t.x for t in terms.values()}
-    right = {str(t.y): t.y for t in terms.values()}
-    of_x, of_y = [list(left).index(str(t.x)) for t in terms.values()], [list(right).index(str(t.y)) for t in terms.values()]
+    left, right = (list(dict.fromkeys(f)) for f in ((t.x for t in terms.values()), (t.y for t in terms.values())))
+    of_x, of_y = [left.index(t.x) for t in terms.values()], [right.index(t.y) for t in terms.values()]
     p = F.col(at).cast("long")
     floor = lambda c: F.floor(c / length).cast("long")
-    early = b.select(*keys, floor(p).alias("_block"), F.lit(1).alias("_side"), p.alias("_p"), F.col("value").alias("y")).select(*keys, "_block", "_side", "_p", F.array(*(c.cast("double") for c in right.values())).alias("_v"))
-    late = a.select(*keys, F.explode(F.sequence(floor(p - hi), floor(p - lo))).alias("_block"), F.lit(0).alias("_side"), p.alias("_p"), F.col("value").alias("x")).select(*keys, "_block", "_side", "_p", F.array(*(c.cast("double") for c in left.values())).alias("_v"))
+    early = b.select(*keys, floor(p).alias("_block"), F.lit(1).alias("_side"), p.alias("_p"), F.col("value").alias("y")).select(*keys, "_block", "_side", "_p", F.array(*(F.expr(f"CAST({c} AS DOUBLE)") for c in right)).alias("_v"))
+    late = a.select(*keys, F.explode(F.sequence(floor(p - hi), floor(p - lo))).alias("_block"), F.lit(0).alias("_side"), p.alias("_p"), F.col("value").alias("x")).select(*keys, "_block", "_side", "_p", F.array(*(F.expr(f"CAST({c} AS DOUBLE)") for c in left)).alias("_v"))
     masks = [order.index(terms[n].of or n) for n in order]
     counts = [terms[n].of is None for n in order]
 

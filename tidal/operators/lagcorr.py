@@ -16,7 +16,6 @@ from ..functions.scalars import pearson
 from .blocks import Term, lagged_sums
 from .series import indexed, moments_joined, standardised, transformed, with_day
 
-ONE, X, Y = F.lit(1.0), F.col("x"), F.col("y")
 
 
 def sample_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
@@ -25,7 +24,7 @@ def sample_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: int,
     a and b (keys, i, value) have the same positions.
     """
     square = F.sum(F.col("value") * F.col("value"))
-    sums = lagged_sums(a, b, keys, lo, hi, {"pairs": Term(ONE, ONE), "xy": Term(X, Y, "pairs")}, at="i")
+    sums = lagged_sums(a, b, keys, lo, hi, {"pairs": Term("1", "1"), "xy": Term("x", "y", "pairs")}, at="i")
     joined = moments_joined(moments_joined(sums, a, keys, {"xx": square}), b, keys, {"yy": square})
     return joined.select(*keys, F.col("lag").alias("lag_days"), F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("coefficient"))
 
@@ -37,10 +36,11 @@ def sample_autocorrelation(rows: DataFrame, keys: Sequence[str], lo: int, hi: in
 
 def pair_terms() -> dict[str, Term]:
     """Sums of x, y and their squares and product over all pairs, and of their logarithms over pairs of positive values."""
-    px, py = F.when(X > 0, 1.0).otherwise(0.0), F.when(Y > 0, 1.0).otherwise(0.0)
-    u, v = F.when(X > 0, F.log10(X)).otherwise(0.0), F.when(Y > 0, F.log10(Y)).otherwise(0.0)
-    plain = {"n": Term(ONE, ONE), "sx": Term(X, ONE, "n"), "sy": Term(ONE, Y, "n"), "sxx": Term(X * X, ONE, "n"), "syy": Term(ONE, Y * Y, "n"), "sxy": Term(X, Y, "n")}
-    return plain | {"m": Term(px, py), "su": Term(u, py, "m"), "sv": Term(px, v, "m"), "suu": Term(u * u, py, "m"), "svv": Term(px, v * v, "m"), "suv": Term(u, v, "m")}
+    px, py = ("CASE WHEN {0} > 0 THEN 1 ELSE 0 END".format(c) for c in "xy")
+    u, v = ("CASE WHEN {0} > 0 THEN log10({0}) ELSE 0 END".format(c) for c in "xy")
+    uu, vv = ("CASE WHEN {0} > 0 THEN log10({0}) * log10({0}) ELSE 0 END".format(c) for c in "xy")
+    plain = {"n": Term("1", "1"), "sx": Term("x", "1", "n"), "sy": Term("1", "y", "n"), "sxx": Term("x * x", "1", "n"), "syy": Term("1", "y * y", "n"), "sxy": Term("x", "y", "n")}
+    return plain | {"m": Term(px, py), "su": Term(u, py, "m"), "sv": Term(px, v, "m"), "suu": Term(uu, py, "m"), "svv": Term(px, vv, "m"), "suv": Term(u, v, "m")}
 
 
 def pair_statistics(sums: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def discrete_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: in
 
 
 def dcf_of_standardised(za: DataFrame, zb: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
-    sums = lagged_sums(za, zb, keys, lo, hi, {"pairs": Term(ONE, ONE), "sum_udcf": Term(X, Y, "pairs"), "sum_sq_udcf": Term(X * X, Y * Y, "pairs")})
+    sums = lagged_sums(za, zb, keys, lo, hi, {"pairs": Term("1", "1"), "sum_udcf": Term("x", "y", "pairs"), "sum_sq_udcf": Term("x * x", "y * y", "pairs")})
     lags = F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("lag")
     every = za.select(*keys).distinct().select(*keys, lags) if keys else za.sparkSession.range(1).select(lags)
     n = F.coalesce("pairs", F.lit(0))

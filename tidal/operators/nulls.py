@@ -1,23 +1,32 @@
 """Red-noise estimates and Monte-Carlo nulls.
 
-Random nulls run in grouped maps keyed by (series, batch of simulations), each
-simulation with a generator seeded by (seed, simulation), so results don't depend
-on partitioning; only band maxima leave a task, and each test gives a status, the observed
-statistic, its p-value and quantiles of the null.  Deterministic nulls draw noise
-from a hash of (seed, simulation, day) in column expressions.
+Surrogates come from a recurrence over day blocks whose noise is addressed by number (see
+``noise``), so that a test gives the same result however it is batched and partitioned,
+and SQL can draw the same noise.  They are made where their statistic's partial sums are
+taken, lag sums per day block or wave moments per pane, and only those leave a task.
+Rotations are taken all at once (see ``shifts``).  Each test gives a status, the observed
+statistic and where it lies, its p-value and quantiles of the null.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import waves
+from .blocks import kinds
+from .lagcorr import binned, dcf_of_standardised, discrete_correlation
 from .multiplicity import null_summary
+from .noise import BLOCK, Surrogates, bits, stream, surrogates, uniform
+from .peaks import band_maximum
+from .series import common_span, detrended, indexed, standardised, with_day
+from .shifts import rotated_bins
+from .spectra import DETREND
 
 
 def ar1_by_row(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,79 +51,17 @@ def _phi(y: DataFrame, keys: Sequence[str], norm: Column, limit: float, least: i
     return got.select(*keys, F.coalesce(phi, F.lit(0.0)).alias("phi"), *(["pairs"] if with_pairs else []))
 
 
-def uniform(*parts: Column | str | int) -> Column:
-    """A number in (0, 1) from the MD5 of the parts: the leading 32 bits."""
-    text = F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts))
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
-
-
-def normal(*parts: Column | str | int) -> Column:
-    """A standard normal number from two hashes of the parts (Box-Muller)."""
-    return F.sqrt(-2.0 * F.log(uniform(*parts, "u"))) * F.cos(F.lit(2 * math.pi) * uniform(*parts, "v"))
-
-
-def deterministic_noise(days: DataFrame, keys: Sequence[str], phi: Column, simulations: int, seed: int, memory: int = 40) -> DataFrame:
-    """(keys, sim, date, value): unit-variance AR(1) as a moving average over memory days of hashed noise, for rows (keys, date) and a column phi."""
-    scale = F.sqrt(F.greatest(F.lit(1e-12), 1 - phi * phi))
-    rows = days.select(*keys, "date", phi.alias("_phi"), scale.alias("_scale"), F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
-    terms = F.transform(F.sequence(F.lit(0), F.lit(memory)), lambda j: F.pow(F.col("_phi"), j) * normal(F.lit(str(seed)), *(F.col(k).cast("string") for k in keys), F.col("sim").cast("string"), (F.unix_date("date") - j).cast("string")))
-    return rows.select(*keys, "sim", "date", (F.col("_scale") * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("value"))
-
-
-def circular_shifts(rows: DataFrame, keys: Sequence[str], first: str, n: Column, shifts: Column) -> DataFrame:
-    """(keys, shift, date, value): each row moved on by each shift, around a record of n days from first."""
-    out = rows.withColumn("shift", F.explode(shifts))
-    day = F.pmod(F.datediff("date", F.col(first)) + F.col("shift"), n)
-    return out.withColumn("date", F.date_add(F.col(first), day.cast("int")))
-
-
-def ar1_series(phi: float, n: int, rng: np.random.Generator, stationary: bool = True, block: int = 64) -> np.ndarray:
-    """AR(1) of unit variance; it starts from a standard normal, or from 0.  The recursion runs over blocks of days, each one matrix product."""
-    phi = float(np.clip(phi, -0.995, 0.995))
-    noise = rng.standard_normal(n) * math.sqrt(max(1e-12, 1 - phi * phi))
-    noise[:1] = rng.standard_normal() if stationary else 0.0
-    steps = np.subtract.outer(np.arange(block), np.arange(block))
-    within = np.where(steps >= 0, phi ** np.maximum(steps, 0), 0.0)
-    out = np.concatenate([noise, np.zeros(-n % block)]).reshape(-1, block) @ within.T
-    fade = phi ** np.arange(1, block + 1)
-    for i in range(1, len(out)):
-        out[i] += fade * out[i - 1, -1]
-    return out.reshape(-1)[:n]
-
-
-#: The number under which the statistic of the data themselves goes among those of simulations.
-DATA = -1
-Statistic = Callable[[int], dict[str, float | None]]
-
-
-def random_null(rows: DataFrame, keys: Sequence[str], simulations: int, prepare: Callable[[pd.DataFrame], Statistic], batch: int = 50, also: Sequence[str] = ()) -> DataFrame:
-    """(keys, sim, band, statistic) of the data (sim = DATA) and of every simulation, in batches.
-
-    prepare(series) gives a function from a simulation's number to {band: statistic};
-    the series has date, value and the columns ``also``.
-    """
-    kept = rows.where("value IS NOT NULL").select(*keys, *also, "date", "value", F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // batch))).alias("batch"))
-    kinds = ", ".join(f"`{k}` {dict(kept.dtypes)[k]}" for k in keys)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        b, statistic = int(key[-1]), prepare(part.sort_values("date"))
-        own = [DATA] * (b == 0) + list(range(b * batch, min(simulations, (b + 1) * batch)))
-        found = [(*key[:-1], sim, name, value) for sim in own for name, value in statistic(sim).items() if value is not None]
-        return pd.DataFrame(found, columns=[*keys, "sim", "band", "statistic"])
-
-    return kept.groupBy(*keys, "batch").applyInPandas(run, ", ".join([*([kinds] if kinds else []), "sim int, band string, statistic double"]))
-
-
-def tested(results: DataFrame, status: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Per key and band: status, observed, p_value, exceedances, used and null quantiles of the results of a random null.
+def tested(null: DataFrame, observed: DataFrame, status: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
+    """Per key and band: status, observed and where it lies, p_value, exceedances, used and null quantiles, of null (keys, band, statistic) and observed (keys, band, statistic, at).
 
     status (keys, status) says why a key can't be tested; every key of it gets a row a band.
     """
+    by = [*keys, "band"]
     frame = status.select(*keys, "status", F.explode(F.array(*map(F.lit, bands))).alias("band"))
-    found = null_summary(results.where(F.col("sim") != DATA), results.where(F.col("sim") == DATA), [*keys, "band"])
+    found = null_summary(null, observed, by).join(observed.select(*by, F.col("at").alias("observed_at")), by)
     ok = F.when(F.col("status") != "ok", F.col("status")).when(F.col("observed").isNull(), "no_statistic").otherwise("ok")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("exceedances", "used")]
-    return frame.join(found, [*keys, "band"], "left").select(*keys, "band", ok.alias("status"), "observed", "p_value", *counts, "null_q95", "null_q99")
+    return frame.join(found, by, "left").select(*by, ok.alias("status"), "observed", "observed_at", "p_value", *counts, "null_q95", "null_q99")
 
 
 def enough(rows: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
@@ -122,87 +69,71 @@ def enough(rows: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
     return rows.groupBy(*keys).agg(F.when(F.count("value") < least, "insufficient_data").otherwise("ok").alias("status"))
 
 
-def _grid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    days = pd.to_datetime(part["date"]).to_numpy().astype("datetime64[D]").astype(int)
-    out = np.full(days[-1] - days[0] + 1, np.nan)
-    out[days - days[0]] = part["value"].to_numpy(float)
-    return out, np.isfinite(out)
-
-
-def _day_phi(grid: np.ndarray) -> float:
-    y = grid - np.nanmean(grid)
-    ok = np.isfinite(y[1:]) & np.isfinite(y[:-1])
-    a, b = y[:-1][ok], y[1:][ok]
-    if np.isfinite(y).sum() < 3 or ok.sum() < 3 or not (a @ a) > 0:
-        return 0.0
-    return float(np.clip((a @ b) / (a @ a), -0.995, 0.995))
-
-
-def grid_dcf(x: np.ndarray, y: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, dcf) at lags lo to hi of two grids standardised within themselves, by FFT."""
-    def ready(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = np.isfinite(g)
-        z = np.where(ok, g, 0.0)
-        if ok.sum() > 1:
-            s = g[ok].std()
-            z = np.where(ok, (g - g[ok].mean()) / s if s > 0 else 0.0, 0.0)
-        return z, ok.astype(float)
-
-    (zx, mx), (zy, my) = ready(x), ready(y)
-    n = 1 << (len(x) + len(y)).bit_length()
-    cross = lambda p, q: np.fft.irfft(np.fft.rfft(p, n) * np.conj(np.fft.rfft(q, n)), n)
-    lags = np.arange(lo, hi + 1) % n
-    pairs = np.rint(cross(mx, my)[lags]).astype(int)
-    sums = cross(zx, zy)[lags]
-    return pairs, np.where(pairs > 0, sums / np.maximum(pairs, 1), np.nan)
-
-
-def _band_maxima(pairs: np.ndarray, dcf: np.ndarray, lo: int, width: int, bands: dict[str, tuple[int, int]], least: int) -> dict[str, float | None]:
-    at = np.arange(len(pairs)) // width
-    n = np.bincount(at, weights=pairs)
-    mean = np.bincount(at, weights=np.where(pairs > 0, dcf * pairs, 0.0)) / np.maximum(n, 1)
-    centre = lo + np.arange(len(n)) * width + (width - 1) / 2
-    out: dict[str, float | None] = {}
-    for b, (x, y) in bands.items():
-        ok = (centre >= x) & (centre <= y) & (n >= least)
-        out[b] = float(mean[ok].max()) if ok.any() else None
-    return out
+def _testable(rows: DataFrame, keys: Sequence[str], status: DataFrame) -> DataFrame:
+    """(keys, date, day, value) of the values of keys that can be tested."""
+    live = with_day(rows.where("value IS NOT NULL")).select(*keys, "date", "day", "value")
+    return live.join(status.where("status = 'ok'").select(*keys), list(keys), "left_semi")
 
 
-def ar1_dcf_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, seed: int = 1998) -> DataFrame:
-    """Band maxima of the autocorrelation DCF against AR(1) surrogates on each key's observed days; surrogates are not detrended."""
+def _best_bin(bins: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], least_pairs: int) -> DataFrame:
+    got = band_maximum(bins, keys, "lag_bin_center", "dcf", bands, least_pairs)
+    return got.select(*keys, "band", F.col("dcf").alias("statistic"), F.col("lag_bin_center").cast("double").alias("at"))
+
 
-    def prepare(part: pd.DataFrame) -> Statistic:
-        grid, ok = _grid(part)
-        phi = _day_phi(grid)
+def surrogate_bins(found: Surrogates, rows: DataFrame, lo: int, hi: int, width: int) -> DataFrame:
+    """(keys, sim, lag_bin_center, pairs, dcf): autocorrelation DCF of surrogates on the days of rows, standardised each, lags pooled into bins from lo.
 
-        def statistic(sim: int) -> dict[str, float | None]:
-            if ok.sum() < 30:
-                return {}
-            values = grid if sim == DATA else np.where(ok, ar1_series(phi, len(grid), np.random.default_rng([seed, sim])), np.nan)
-            return _band_maxima(*grid_dcf(values, values, lo, hi), lo, width, bands, least_pairs)
+    Each day block takes the blocks that its lags reach; only sums per bin leave it.
+    """
+    keys, size = list(found.keys), hi - lo + 1
+    days = rows.groupBy(*keys, F.floor(F.col("day") / BLOCK).alias("_of")).agg(F.sort_array(F.collect_list(F.col("day").cast("long"))).alias("_y"))
+    reached = days.select(*keys, F.explode(F.sequence(F.col("_of") - (hi + BLOCK - 1) // BLOCK, F.col("_of") - lo // BLOCK)).alias("_of"), "_y")
+    late = reached.groupBy(*keys, "_of").agg(F.flatten(F.collect_list("_y")).alias("_x"))
+    n, starts = 1 << (2 * BLOCK + size).bit_length(), np.arange(0, size, width)
+
+    def run(row: pd.Series, sims: np.ndarray, values: Callable) -> pd.DataFrame:
+        base = int(row["_of"]) * BLOCK
+        y = np.asarray(row["_y"], dtype=np.int64)
+        x = np.asarray(row["_x"] if row["_x"] is not None else [], dtype=np.int64)
+        x = x[(x >= base + lo) & (x < base + BLOCK + hi)]
+        own = values(y)
+        laid = np.zeros((2, len(sims) + 1, BLOCK + hi - lo))  # last row: which days are there
+        for side, days, v in ((0, x - base - lo, values(x)), (1, y - base, own)):
+            laid[side, :-1, days], laid[side, -1, days] = v.T, 1.0
+        fx, fy = np.fft.rfft(laid[0], n), np.conj(np.fft.rfft(laid[1], n))
+        pairs = np.rint(np.fft.irfft(fx[-1] * fy[-1], n)[:size])
+        sums = [np.where(pairs > 0, np.fft.irfft(z, n)[:, :size], 0.0) for z in (fx[:-1] * fy[:-1], fx[:-1] * fy[-1], fx[-1] * fy[:-1])]
+        pooled = [np.add.reduceat(z, starts, axis=1) for z in sums]
+        lines = [np.hstack([m, z]) for m, z in zip(((own * own).sum(1)[:, None], own.sum(1)[:, None], np.zeros((len(sims), 1))), pooled)]
+        count = np.concatenate([[len(y)], np.add.reduceat(pairs, starts)])
+        return pd.DataFrame({"sim": np.repeat(sims, len(count)), "_b": np.tile(np.arange(-1, len(starts)), len(sims)), "pairs": np.tile(count, len(sims)), **dict(zip(("xy", "x", "y"), (z.ravel() for z in lines)))})
+
+    sums = found.apply(days.join(late, [*keys, "_of"], "left"), run, "sim int, _b long, pairs double, xy double, x double, y double")
+    total = sums.groupBy(*keys, "sim", "_b").agg(*(F.sum(c).alias(c) for c in ("pairs", "xy", "x", "y")))
+    whole = F.max(F.when(F.col("_b") == -1, F.struct("pairs", "x", "xy"))).over(Window.partitionBy(*keys, "sim"))
+    mean = F.col("_m.x") / F.col("_m.pairs")
+    spread = F.col("_m.xy") / F.col("_m.pairs") - mean * mean
+    product = F.try_divide(F.col("xy") - mean * (F.col("x") + F.col("y")) + F.col("pairs") * mean * mean, F.when(spread > 0, spread))
+    centre = F.lit(lo) + F.col("_b") * width + (width - 1) / 2.0
+    return total.withColumn("_m", whole).where("_b >= 0 AND pairs > 0").select(*keys, "sim", centre.alias("lag_bin_center"), F.col("pairs").cast("long").alias("pairs"), F.coalesce(product / F.col("pairs"), F.lit(0.0)).alias("dcf"))
 
-        return statistic
 
-    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, list(bands))
+def ar1_dcf_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, seed: int = 1998) -> DataFrame:
+    """Band maxima of the autocorrelation DCF against AR(1) surrogates on each key's observed days; surrogates are not detrended."""
+    keys, status = list(keys), enough(rows, keys)
+    live = _testable(rows, keys, status)
+    observed = _best_bin(binned(discrete_correlation(live, live, keys, lo, hi, "raw"), keys, width, lo), keys, bands, least_pairs)
+    found = surrogates(live, ar1_by_day(live, keys), keys, simulations, seed)
+    null = _best_bin(surrogate_bins(found, live, lo, hi, width), [*keys, "sim"], bands, least_pairs)
+    return tested(null, observed, status, keys, list(bands))
 
 
-def _two_sides(part: pd.DataFrame) -> tuple[pd.Timestamp | None, np.ndarray, np.ndarray]:
-    """First day of the common span of sides 'a' and 'b', and both grids over it."""
-    sides = [part[part["side"] == s] for s in "ab"]
-    if not all(map(len, sides)):
-        return None, np.empty(0), np.empty(0)
-    first, last = max(pd.Timestamp(x["date"].min()) for x in sides), min(pd.Timestamp(x["date"].max()) for x in sides)
-    n = (last - first).days + 1
-    if n < 1:
-        return None, np.empty(0), np.empty(0)
-    out = []
-    for x in sides:
-        grid, day = np.full(n, np.nan), (pd.to_datetime(x["date"]) - first).dt.days.to_numpy()
-        inside = (day >= 0) & (day < n)
-        grid[day[inside]] = x["value"].to_numpy(float)[inside]
-        out.append(grid)
-    return first, *out
+def sides_in_span(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows of the sides 'a' and 'b' within the days that both share, with _first and _last; none for keys without such days."""
+    span = common_span(rows, [*keys, "side"], keys) if keys else common_span(rows, ["side"])
+    both = rows.where("value IS NOT NULL").groupBy(*keys).agg(F.count_distinct("side").alias("_sides")).where("_sides = 2").drop("_sides")
+    limits = (span.join(both, list(keys)) if keys else span.where(F.lit(True))).withColumnsRenamed({"first": "_first", "last": "_last"})
+    return rows.where("value IS NOT NULL").join(limits, list(keys)).where(F.col("date").between(F.col("_first"), F.col("_last")))
 
 
 def _span_status(rows: DataFrame, keys: Sequence[str], least_days: int, short: str) -> DataFrame:
@@ -214,99 +145,89 @@ def _span_status(rows: DataFrame, keys: Sequence[str], least_days: int, short: s
     return span.select(*keys, F.when(missing, "insufficient_data").when(days < 1, "no_overlap").when(days < least_days, short).otherwise("ok").alias("status"))
 
 
-def circular_shift_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, margin: int = 700, seed: int = 1998) -> DataFrame:
-    """Band maxima of the cross DCF of sides 'a' and 'b' against b rolled around the common span.
+def drawn_shifts(spans: DataFrame, keys: Sequence[str], simulations: int, margin: int, seed: int) -> DataFrame:
+    """(keys, sim, shift): shifts drawn with replacement from margin to n - margin, by the numbered noise, of spans (keys, n)."""
 
-    Shifts are drawn with replacement from margin to the span less margin.
-    """
+    def run(parts):
+        for part in parts:
+            for row in part.itertuples(index=False):
+                room = row[-2] - 2 * margin + 1
+                u = uniform(bits(row[-1], seed, np.arange(simulations), np.zeros(1, dtype=np.int64))[:, 0])
+                yield pd.DataFrame({**dict(zip(keys, row)), "sim": np.arange(simulations), "shift": margin + np.floor(u * room).astype(int)})
 
-    def prepare(part: pd.DataFrame) -> Statistic:
-        _, a, b = _two_sides(part)
+    usable = spans.where(F.col("n") >= 2 * margin + 1).select(*keys, F.col("n").cast("long").alias("_n"), stream(keys).alias("_stream"))
+    return usable.mapInPandas(run, f"{kinds(spans, keys)}sim int, shift long")
 
-        def statistic(sim: int) -> dict[str, float | None]:
-            if len(a) < 2 * margin + 1:
-                return {}
-            shift = 0 if sim == DATA else int(np.random.default_rng([seed, sim]).integers(margin, len(a) - margin + 1))
-            return _band_maxima(*grid_dcf(a, np.roll(b, shift), lo, hi), lo, width, bands, least_pairs)
 
-        return statistic
+def circular_shift_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int]], simulations: int | None = 499, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 100, margin: int = 700, seed: int = 1998) -> DataFrame:
+    """Band maxima of the cross DCF of sides 'a' and 'b' against b rolled around the common span.
 
+    The statistic is taken at every shift from margin to the span less margin; the null is
+    all of them (simulations None), or that many drawn with replacement.
+    """
+    keys = list(keys)
     status = _span_status(rows, keys, 2 * margin + 1, "span_too_short_for_shift_null")
-    return tested(random_null(rows, keys, simulations, prepare, also=["side"]), status, keys, list(bands))
-
+    live = sides_in_span(rows, keys).join(status.where("status = 'ok'").select(*keys), keys, "left_semi")
+    z = standardised(live, [*keys, "side"]).withColumns({"n": F.datediff("_last", "_first") + 1, "i": F.datediff("date", "_first")})
+    a, b = (z.where(F.col("side") == s).select(*keys, "n", "i", "date", "value") for s in "ab")
+    observed = _best_bin(binned(dcf_of_standardised(with_day(a), with_day(b), keys, lo, hi), keys, width, lo), keys, bands, least_pairs)
+    null = _best_bin(rotated_bins(a, b, keys, lo, hi, width, margin), [*keys, "shift"], bands, least_pairs)
+    if simulations is not None:
+        null = drawn_shifts(z.select(*keys, "n").distinct(), keys, simulations, margin, seed).join(null, [*keys, "shift"])
+    return tested(null, observed, status, keys, list(bands))
 
-def _flat(t: np.ndarray, y: np.ndarray, detrend: str) -> np.ndarray:
-    y = y - y.mean()
-    if detrend == "linear":
-        c = t - t.mean()
-        y = y - (c @ y) / (c @ c) * c
-    elif detrend != "none":
-        raise ValueError(f"unknown detrend {detrend!r}")
-    return y
 
+def surrogate_moments(found: Surrogates, placed: DataFrame, grid: waves.Grid, at: str = "day") -> DataFrame:
+    """(keys, sim, _pane, _k, MOMENTS) of surrogates on the days of placed rows (keys, _pane, day, and at, by which the recurrence runs)."""
+    keys = list(found.keys)
+    by = [*keys, "_pane", *(["_panes"] if "_panes" in placed.columns else [])]
+    units = placed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("long").alias("p"), F.col("day").cast("double").alias("t")))).alias("_d")).select(*by, F.col("_d.p").alias("_p"), F.col("_d.t").alias("_t"))
+    more = by[len(keys) :]
 
-def grid_power(t: np.ndarray, y: np.ndarray, periods: np.ndarray) -> np.ndarray:
-    """Classical normalised spectrum of mean-free values."""
-    w = 2 * np.pi / periods
-    c, s = np.cos(np.outer(w, t)), np.sin(np.outer(w, t))
-    yc, ys, cc, ss, cs = c @ y, s @ y, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
-    return (ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / ((y @ y) * (cc * ss - cs**2))
+    def run(row: pd.Series, sims: np.ndarray, values: Callable) -> pd.DataFrame:
+        got = waves.moments(np.asarray(row["_t"]), values(np.asarray(row["_p"], dtype=np.int64)), grid)
+        return pd.DataFrame({"sim": np.repeat(sims, grid.n), **{c: row[c] for c in more}, "_k": np.tile(np.arange(grid.n), len(sims)), **dict(zip((f"_{m}" for m in waves.MOMENTS), got.reshape(len(got), -1)))})
 
+    return found.apply(units, run, f"sim int, {kinds(placed, more)}_k int, {waves.MOMENT_SCHEMA}")
 
-class _Spectrum:
-    """Classical normalised power at fixed days and periods, for many series."""
 
-    def __init__(self, t: np.ndarray, periods: np.ndarray, detrend: str):
-        self.t, self.detrend = t, detrend
-        angle = np.outer(2 * np.pi / periods, t)
-        self.c, self.s = np.cos(angle), np.sin(angle)
-        self.cc, self.ss, self.cs = ((x * y).sum(1) for x, y in ((self.c, self.c), (self.s, self.s), (self.c, self.s)))
-
-    def power(self, y: np.ndarray) -> np.ndarray:
-        y = _flat(self.t, y, self.detrend)
-        yc, ys, total = self.c @ y, self.s @ y, float(y @ y)
-        if not total > 0:
-            return np.full(len(self.cc), np.nan)
-        return (self.ss * yc**2 + self.cc * ys**2 - 2 * self.cs * yc * ys) / (total * (self.cc * self.ss - self.cs**2))
-
-
-def _largest(power: np.ndarray) -> float | None:
-    return float(np.nanmax(power)) if np.isfinite(power).any() else None
+def _largest(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    best = F.max_by("period_days", F.struct("power", -F.col("period_days")))
+    return spectrum.groupBy(*keys).agg(F.max("power").alias("statistic"), best.alias("at")).withColumn("band", F.lit("band"))
 
 
 def ar1_spectral_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, seed: int = 1998) -> DataFrame:
     """Band maxima of the spectrum on evenly spaced periods against AR(1) surrogates, detrended as the data; phi is that of the data as they are."""
+    keys, status = list(keys), enough(rows, keys)
+    live, grid, whole = _testable(rows, keys, status), waves.period_grid(*band, periods), waves.Whole()
+    observed = _largest(waves.spectra(live, keys, grid, linear=DETREND[detrend], least=30), keys)
+    found = surrogates(live, ar1_by_day(live, keys), keys, simulations, seed)
+    null = waves.of_moments(surrogate_moments(found, waves.by_pane(live, whole), grid), [*keys, "sim"], grid, whole, False, DETREND[detrend], 30)
+    return tested(_largest(null, [*keys, "sim"]), observed, status, keys, ["band"])
 
-    def prepare(part: pd.DataFrame) -> Statistic:
-        grid, ok = _grid(part)
-        phi, spectrum = _day_phi(grid), _Spectrum(np.flatnonzero(ok).astype(float), np.linspace(*band, periods), detrend)
-
-        def statistic(sim: int) -> dict[str, float | None]:
-            if ok.sum() < 30:
-                return {}
-            values = grid if sim == DATA else ar1_series(phi, len(grid), np.random.default_rng([seed, sim]))
-            return {"band": _largest(spectrum.power(values[ok]))}
-
-        return statistic
 
-    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, ["band"])
+def red_noise_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 500, frequencies: int = 800, seed: int = 1998) -> DataFrame:
+    """Band maxima on evenly spaced frequencies against AR(1) surrogates by row position that start from 0; values are detrended before phi is fitted."""
+    keys, status = list(keys), enough(rows, keys)
+    grid, whole = waves.frequency_grid(*band, frequencies), waves.Whole()
+    flat = indexed(detrended(_testable(rows, keys, status), keys, "linear"), keys)
+    observed = _largest(waves.spectra(flat, keys, grid, linear=False, least=30), keys)
+    found = surrogates(flat, ar1_by_row(flat, keys), keys, simulations, seed, stationary=False, at="i")
+    null = waves.of_moments(surrogate_moments(found, waves.by_pane(flat, whole), grid, at="i"), [*keys, "sim"], grid, whole, False, False, 30)
+    return tested(_largest(null, [*keys, "sim"]), observed, status, keys, ["band"])
 
 
-def red_noise_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 500, frequencies: int = 800, seed: int = 1998) -> DataFrame:
-    """Band maxima on evenly spaced frequencies against AR(1) surrogates by row position; values are detrended before phi is fitted."""
-    periods = 1 / np.linspace(1 / band[1], 1 / band[0], frequencies)
+def joint_powers(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, window, period_days, a, b, joint) of spectra (keys, side, window, period_days, power) where both sides have one; joint is the root of the product."""
+    each = spectrum.groupBy(*keys, "window", "period_days").agg(*(F.max(F.when(F.col("side") == s, F.col("power"))).alias(s) for s in "ab"))
+    zero = F.lit(0.0)
+    return each.where("a IS NOT NULL AND b IS NOT NULL").withColumn("joint", F.sqrt(F.greatest(zero, F.col("a")) * F.greatest(zero, F.col("b"))))
 
-    def prepare(part: pd.DataFrame) -> Statistic:
-        grid, ok = _grid(part)
-        t = np.flatnonzero(ok).astype(float)
-        if len(t) < 30:
-            return lambda sim: {}
-        y, spectrum = _flat(t, grid[ok], "linear"), _Spectrum(t, periods, "none")
-        norm = float(y[:-1] @ y[:-1])
-        phi = float(np.clip((y[:-1] @ y[1:]) / norm, -0.98, 0.98)) if norm > 0 else 0.0
-        return lambda sim: {"band": _largest(spectrum.power(y if sim == DATA else ar1_series(phi, len(t), np.random.default_rng([seed, sim]), stationary=False)))}
 
-    return tested(random_null(rows, keys, simulations, prepare), enough(rows, keys), keys, ["band"])
+def _joint_maxima(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
+    both = joint_powers(spectrum, keys)
+    tops = [both.groupBy(*keys).agg(F.max(c).alias("statistic"), F.max_by("period_days", F.struct(c, -F.col("window"), -F.col("period_days"))).alias("at")).withColumn("band", F.lit(c)) for c in ("a", "b", "joint")]
+    return reduce(DataFrame.unionByName, tops)
 
 
 def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, years: int = 8, step: int = 2, least: int = 180, seed: int = 1998) -> DataFrame:
@@ -315,30 +236,12 @@ def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float],
     Windows of so many years begin every ``step`` years from the first common day and lie
     in the common span; those with fewer than least values on a side are left out.
     """
-
-    def prepare(part: pd.DataFrame) -> Statistic:
-        first, *grids = _two_sides(part)
-        spectra, n, k = [], len(grids[0]), 0
-        while n:
-            start, stop = (first + pd.DateOffset(years=y) for y in (k * step, k * step + years))
-            lo, hi = (start - first).days, (stop - first).days
-            if hi > n:
-                break
-            days = [np.flatnonzero(np.isfinite(g[lo:hi])) + lo for g in grids]
-            if min(map(len, days)) >= least:
-                spectra.append([(d, _Spectrum(d.astype(float), np.linspace(*band, periods), detrend)) for d in days])
-            k += 1
-        phi = [_day_phi(g) if np.isfinite(g).any() else 0.0 for g in grids]
-
-        def statistic(sim: int) -> dict[str, float | None]:
-            if not spectra:
-                return {}
-            values = grids if sim == DATA else [ar1_series(p, n, np.random.default_rng([seed, sim, side])) for side, p in enumerate(phi)]
-            power = np.array([[s.power(v[d]) for (d, s), v in zip(both, values)] for both in spectra])
-            a, b = np.maximum(power[:, 0], 0), np.maximum(power[:, 1], 0)
-            return {"a": _largest(power[:, 0]), "b": _largest(power[:, 1]), "joint": _largest(np.sqrt(a * b))}
-
-        return statistic
-
+    keys, grid, wins = list(keys), waves.period_grid(*band, periods), waves.YearWindows(years, step)
     status = _span_status(rows, keys, 365 * years, "insufficient_window_data")
-    return tested(random_null(rows, keys, simulations, prepare, also=["side"]), status, keys, ["a", "b", "joint"])
+    live = sides_in_span(rows, keys).join(status.where("status = 'ok'").select(*keys), keys, "left_semi")
+    both = [*keys, "side"]
+    observed = _joint_maxima(waves.spectra(live, both, grid, wins, linear=DETREND[detrend], least=least), keys)
+    placed = with_day(live)
+    found = surrogates(placed, ar1_by_day(live, both), both, simulations, seed)
+    null = waves.of_moments(surrogate_moments(found, waves.by_pane(live, wins), grid), [*both, "sim"], grid, wins, False, DETREND[detrend], least)
+    return tested(_joint_maxima(null, [*keys, "sim"]), observed, status, keys, ["a", "b", "joint"])

@@ -85,12 +85,13 @@ MOMENTS = (*SCALARS, "c1", "s1", "cc", "ss", "cs", "yc", "ys", "tc", "ts")
 
 
 def moments(t: np.ndarray, y: np.ndarray, grid: Grid) -> np.ndarray:
-    """The MOMENTS, one row each, at every frequency of the grid."""
-    one, twice = wave_sums(t, np.array([np.ones(len(t)), y, t]), grid), wave_sums(t, np.ones((1, len(t))), grid, 2)[0]
+    """The MOMENTS (first axis) of every series of y (one a row, all at the days t), at every frequency of the grid."""
+    one = wave_sums(t, np.vstack([np.ones(len(t)), t, y]), grid)
+    twice = wave_sums(t, np.ones((1, len(t))), grid, 2)[0]
     n = float(len(t))
-    waves = [one[0].real, -one[0].imag, (n + twice.real) / 2, (n - twice.real) / 2, -twice.imag / 2, one[1].real, -one[1].imag, one[2].real, -one[2].imag]
-    plain = [n, y.sum(), y @ y, t.sum(), t @ t, t @ y]
-    return np.array([*(np.full(grid.n, p) for p in plain), *waves])
+    waves = [one[0].real, -one[0].imag, (n + twice.real) / 2, (n - twice.real) / 2, -twice.imag / 2, one[2:].real, -one[2:].imag, one[1].real, -one[1].imag]
+    plain = [n, y.sum(axis=1)[:, None], (y * y).sum(axis=1)[:, None], t.sum(), t @ t, (y @ t)[:, None]]
+    return np.array([np.broadcast_to(x, (len(y), grid.n)) for x in (*plain, *waves)])
 
 
 def power(sums: np.ndarray, floating_mean: bool, linear: bool, least: int) -> np.ndarray:
@@ -119,63 +120,109 @@ class Windows:
 
     def __init__(self, windows: Sequence[tuple[date, date]], own: dict[str, Sequence] | None = None):
         self.own = own or {}
-        self.spans = [((a - EPOCH).days, (b - EPOCH).days) for a, b in windows]
-        self.limits = sorted({x for a, b in self.spans for x in (a, b + 1)})
-        self.panes = [(self.limits.index(a), self.limits.index(b + 1)) for a, b in self.spans]
+        self.days = [((a - EPOCH).days, (b - EPOCH).days) for a, b in windows]
+        self.limits = sorted({x for a, b in self.days for x in (a, b + 1)})
+        self.panes = [(self.limits.index(a), self.limits.index(b + 1)) for a, b in self.days]
         self.dates = list(windows)
 
-    def pane(self, day: Column) -> Column:
-        """The pane that holds a day; -1 before the first, and the number of panes after the last."""
-        return F.size(F.filter(F.array(*(F.lit(x) for x in self.limits)), lambda limit: limit <= day)) - 1
+    def placed(self, rows: DataFrame) -> DataFrame:
+        limits = F.array(*(F.lit(x) for x in self.limits)).cast("array<int>")
+        return rows.withColumn("_pane", F.size(F.filter(limits, lambda x: x <= F.col("day"))) - 1).where((F.col("_pane") >= 0) & (F.col("_pane") < len(self.limits) - 1))
+
+    def spans(self, part: pd.DataFrame) -> list[tuple[int, int]]:
+        return self.panes
 
     def schema(self) -> str:
-        return "".join(f"{k} {'int' if isinstance(v[0], int) else 'string'}, " for k, v in self.own.items()) + "window_start date, window_stop date, "
+        return "".join(f"{k} {'int' if isinstance(v[0], int) else 'string'}, " for k, v in self.own.items() if v) + "window_start date, window_stop date, "
 
     def columns(self, i: int) -> dict:
         return {k: v[i] for k, v in self.own.items()} | dict(zip(("window_start", "window_stop"), self.dates[i]))
 
 
-def by_pane(rows: DataFrame, windows: Windows | None) -> DataFrame:
-    """rows with day and pane; those in no window are left out."""
-    placed = rows.withColumn("day", F.unix_date("date"))
-    if windows is None:
-        return placed.withColumn("pane", F.floor(F.col("day") / PANE).cast("int"))
-    return placed.withColumn("pane", windows.pane(F.col("day"))).where((F.col("pane") >= 0) & (F.col("pane") < len(windows.limits) - 1))
+class YearWindows(NamedTuple):
+    """Windows of so many years that begin every step years from each key's own first day and end by its last: rows have _first and _last."""
+
+    years: int
+    step: int
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        months = 12 * math.gcd(self.years, self.step)
+        whole = lambda day: F.floor(F.months_between(day, "_first", False) / months).cast("int")
+        return rows.withColumn("_pane", whole(F.col("date"))).withColumn("_panes", whole(F.date_add("_last", 1))).where(F.col("date").between(F.col("_first"), F.col("_last")) & (F.col("_pane") < F.col("_panes")))
+
+    def spans(self, part: pd.DataFrame) -> list[tuple[int, int]]:
+        unit = math.gcd(self.years, self.step)
+        long, every = self.years // unit, self.step // unit
+        return [(a, a + long) for a in range(0, int(part["_panes"].iloc[0]) - long + 1, every)]
+
+    def schema(self) -> str:
+        return "window int, "
+
+    def columns(self, i: int) -> dict:
+        return {"window": i}
+
 
+class Whole(NamedTuple):
+    """No windows: all days, in panes of equal length."""
 
-def spectra(rows: DataFrame, keys: Sequence[str], grid: Grid, windows: Windows | None = None, floating_mean: bool = False, linear: bool = True, least: int = 10) -> DataFrame:
+    def placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_pane", F.floor(F.col("day") / PANE).cast("int"))
+
+    def spans(self, part: pd.DataFrame) -> list[tuple[int, int]]:
+        return [(int(part["_pane"].min()), int(part["_pane"].max()) + 1)]
+
+    def schema(self) -> str:
+        return ""
+
+    def columns(self, i: int) -> dict:
+        return {}
+
+
+def by_pane(rows: DataFrame, windows: Windows | YearWindows | Whole) -> DataFrame:
+    """rows with day and _pane; those in no window are left out."""
+    return windows.placed(rows.withColumn("day", F.unix_date("date")))
+
+
+def spectra(rows: DataFrame, keys: Sequence[str], grid: Grid, windows: Windows | YearWindows | None = None, floating_mean: bool = False, linear: bool = True, least: int = 10) -> DataFrame:
     """(keys, the windows' columns, period_days, power) of rows (keys, date, value), over all days or in each window."""
-    live = by_pane(rows.where("value IS NOT NULL").select(*keys, "date", "value"), windows)
+    windows = windows or Whole()
+    live = by_pane(rows.where("value IS NOT NULL"), windows)
+    by = [*keys, "_pane", *(["_panes"] if "_panes" in live.columns else [])]
     k = np.arange(grid.n, dtype=np.int32)
 
     def pane_moments(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        got = moments(part["day"].to_numpy(float), part["value"].to_numpy(float), grid)
-        return pd.DataFrame({**dict(zip([*keys, "pane"], key)), "k": k, **dict(zip((f"_{m}" for m in MOMENTS), got))})
+        got = moments(part["day"].to_numpy(float), part["value"].to_numpy(float)[None, :], grid)[:, 0]
+        return pd.DataFrame({**dict(zip(by, key)), "_k": k, **dict(zip((f"_{m}" for m in MOMENTS), got))})
 
-    per_pane = live.groupBy(*keys, "pane").applyInPandas(pane_moments, f"{kinds(rows, keys)}pane int, k int, " + ", ".join(f"_{m} double" for m in MOMENTS))
-    own = windows.schema() if windows else ""
+    per_pane = live.select(*by, "day", "value").groupBy(*by).applyInPandas(pane_moments, f"{kinds(live, by)}_k int, {MOMENT_SCHEMA}")
+    return of_moments(per_pane, keys, grid, windows, floating_mean, linear, least)
+
+
+MOMENT_SCHEMA = ", ".join(f"_{m} double" for m in MOMENTS)
+
+
+def of_moments(per_pane: DataFrame, keys: Sequence[str], grid: Grid, windows: Windows | YearWindows | Whole, floating_mean: bool, linear: bool, least: int) -> DataFrame:
+    """(keys, the windows' columns, period_days, power) of moments (keys, _pane, _k, MOMENTS) added up to windows."""
 
     def windowed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        values, at, sums = grid.values(), *added(part, windows, [f"_{m}" for m in MOMENTS])
+        values, at, sums = grid.values(), *added(part, windows.spans(part), [f"_{m}" for m in MOMENTS])
         out = []
         for i, total in enumerate(sums):
             p = power(total, floating_mean, linear, least)
             good = np.isfinite(p)
-            out.append(pd.DataFrame({**dict(zip(keys, key)), **(windows.columns(i) if windows else {}), "period_days": 1 / values[at[good]], "power": p[good]}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({**dict(zip(keys, key)), **windows.columns(i), "period_days": 1 / values[at[good]], "power": p[good]}))
+        return pd.concat(out) if out else pd.DataFrame()
 
-    return per_pane.groupBy(*keys, F.floor(F.col("k") / CHUNK).alias("_chunk")).applyInPandas(windowed, f"{kinds(rows, keys)}{own}period_days double, power double")
+    return per_pane.groupBy(*keys, F.floor(F.col("_k") / CHUNK).alias("_chunk")).applyInPandas(windowed, f"{kinds(per_pane, keys)}{windows.schema()}period_days double, power double")
 
 
-def added(part: pd.DataFrame, windows: Windows | None, columns: Sequence[str], which: Sequence[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The frequencies k of a group's panes, and the sums of the columns over the panes of each window (of all windows, or of those of which; of all panes without windows)."""
-    at, place = np.unique(part["k"].to_numpy(), return_inverse=True)
-    pane = part["pane"].to_numpy()
-    kept = np.zeros((len(windows.limits) if windows else 1, len(columns), len(at)))
-    np.add.at(kept, (pane if windows else np.zeros(len(pane), dtype=int), slice(None), place), part[list(columns)].to_numpy())
-    if windows is None:
-        return at, [kept[0]]
-    return at, [kept[a:b].sum(axis=0) for a, b in (windows.panes[i] for i in (range(len(windows.panes)) if which is None else which))]
+def added(part: pd.DataFrame, spans: Sequence[tuple[int, int]], columns: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The frequencies k of a group's panes, and the sums of the columns over each span of panes."""
+    at, place = np.unique(part["_k"].to_numpy(), return_inverse=True)
+    pane, first = part["_pane"].to_numpy(), int(part["_pane"].min())
+    kept = np.zeros((int(pane.max()) - first + 1, len(columns), len(at)))
+    np.add.at(kept, (pane - first, slice(None), place), part[list(columns)].to_numpy())
+    return at, [kept[max(a - first, 0) : max(b - first, 0)].sum(axis=0) for a, b in spans]
 
 
 def harmonics(n: int, lo: float, hi: float) -> Grid | None:
@@ -196,8 +243,8 @@ def sampling_in_windows(rows: DataFrame, keys: Sequence[str], lo: float, hi: flo
 
     Windows of equal length share their frequencies, which each pane sums once.
     """
-    grids = {n: g for n in sorted({b - a + 1 for a, b in windows.spans}) if (g := harmonics(n, lo, hi))}
-    of = {n: [i for i, (a, b) in enumerate(windows.spans) if b - a + 1 == n] for n in grids}
+    grids = {n: g for n in sorted({b - a + 1 for a, b in windows.days}) if (g := harmonics(n, lo, hi))}
+    of = {n: [i for i, (a, b) in enumerate(windows.days) if b - a + 1 == n] for n in grids}
     live = by_pane(rows.select(*keys, "date"), windows)
 
     def pane_sums(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -205,17 +252,17 @@ def sampling_in_windows(rows: DataFrame, keys: Sequence[str], lo: float, hi: flo
         for n, grid in grids.items():
             if any(windows.panes[i][0] <= pane < windows.panes[i][1] for i in of[n]):
                 z = wave_sums(t, np.ones((1, len(t))), grid)[0]
-                out.append(pd.DataFrame({**dict(zip([*keys, "pane"], key)), "days": n, "k": np.arange(grid.n), "_m": float(len(t)), "_re": z.real, "_im": z.imag}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "pane", "days", "k", "_m", "_re", "_im"])
+                out.append(pd.DataFrame({**dict(zip([*keys, "_pane"], key)), "_days": n, "_k": np.arange(grid.n), "_m": float(len(t)), "_re": z.real, "_im": z.imag}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "_pane", "_days", "_k", "_m", "_re", "_im"])
 
     def windowed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         n, out = int(key[-1]), []
-        at, sums = added(part, windows, ["_m", "_re", "_im"], of[n])
+        at, sums = added(part, [windows.panes[i] for i in of[n]], ["_m", "_re", "_im"])
         for i, (m, re, im) in zip(of[n], sums):
             p = sampling_power(m, re + 1j * im, n, grids[n], least)
             good = np.isfinite(p)
             out.append(pd.DataFrame({**dict(zip(keys, key)), **windows.columns(i), "period_days": 1 / grids[n].values()[at[good]], "power": p[good]}))
         return pd.concat(out)
 
-    per_pane = live.groupBy(*keys, "pane").applyInPandas(pane_sums, f"{kinds(rows, keys)}pane int, days int, k int, _m double, _re double, _im double")
-    return per_pane.groupBy(*keys, "days").applyInPandas(windowed, f"{kinds(rows, keys)}{windows.schema()}period_days double, power double")
+    per_pane = live.groupBy(*keys, "_pane").applyInPandas(pane_sums, f"{kinds(rows, keys)}_pane int, _days int, _k int, _m double, _re double, _im double")
+    return per_pane.groupBy(*keys, "_days").applyInPandas(windowed, f"{kinds(rows, keys)}{windows.schema()}period_days double, power double")
