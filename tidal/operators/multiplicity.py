@@ -20,15 +20,15 @@ def adjusted(rows: DataFrame, family: Sequence[str], p: str = "p", order: Sequen
     return ranked.withColumn("p_holm", F.when(F.col("_p").isNotNull(), holm)).withColumn("q_bh", F.when(F.col("_p").isNotNull(), bh)).drop("_p", "_m", "_r")
 
 
-def null_summary(null: DataFrame, observed: DataFrame, keys: Sequence[str], statistic: str = "statistic", none_used: float | None = None) -> DataFrame:
-    """Per key: observed, p_value ((exceedances + 1) / (used + 1)), exceedances, used, null_q95, null_q99 of simulated statistics; null ones are not used, and without any the p-value is none_used."""
-    joined = observed.select(*keys, F.col(statistic).alias("observed")).join(null.select(*keys, F.col(statistic).alias("v")), list(keys), "left")
-    got = joined.groupBy(*keys, "observed").agg(
+def null_summary(null: DataFrame, observed: DataFrame, keys: Sequence[str], statistic: str = "statistic", none_used: float | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Per key: observed, p_value ((exceedances + 1) / (used + 1)), exceedances, used, null_q95, null_q99 of simulated statistics; null ones are not used, and without any the p-value is none_used.  also: further columns of observed."""
+    joined = observed.select(*keys, F.col(statistic).alias("observed"), *also).join(null.select(*keys, F.col(statistic).alias("v")), list(keys), "left")
+    got = joined.groupBy(*keys, "observed", *also).agg(
         F.count_if(F.col("v") >= F.col("observed")).alias("exceedances"), F.count("v").alias("used"),
         F.percentile("v", F.lit(0.95)).alias("null_q95"), F.percentile("v", F.lit(0.99)).alias("null_q99"),
     )
     p = F.when(F.col("used") > 0, (F.col("exceedances") + 1) / (F.col("used") + 1)).otherwise(F.lit(none_used).cast("double"))
-    return got.select(*keys, "observed", p.alias("p_value"), "exceedances", "used", "null_q95", "null_q99")
+    return got.select(*keys, "observed", *also, p.alias("p_value"), "exceedances", "used", "null_q95", "null_q99")
 
 
 def at_floor(p: Column, simulations: int) -> Column:

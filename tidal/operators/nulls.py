@@ -11,7 +11,6 @@ statistic and where it lies, its p-value and quantiles of the null.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from .lagcorr import binned, dcf_of_standardised, discrete_correlation
 from .multiplicity import null_summary
 from .noise import BLOCK, Surrogates, bits, stream, surrogates, uniform
 from .peaks import band_maximum
-from .series import common_span, detrended, indexed, standardised, with_day
+from .series import detrended, indexed, standardised, with_day
 from .shifts import rotated_bins
 from .spectra import DETREND
 
@@ -58,7 +57,7 @@ def tested(null: DataFrame, observed: DataFrame, status: DataFrame, keys: Sequen
     """
     by = [*keys, "band"]
     frame = status.select(*keys, "status", F.explode(F.array(*map(F.lit, bands))).alias("band"))
-    found = null_summary(null, observed, by).join(observed.select(*by, F.col("at").alias("observed_at")), by)
+    found = null_summary(null, observed.withColumnRenamed("at", "observed_at"), by, also=["observed_at"])
     ok = F.when(F.col("status") != "ok", F.col("status")).when(F.col("observed").isNull(), "no_statistic").otherwise("ok")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("exceedances", "used")]
     return frame.join(found, by, "left").select(*by, ok.alias("status"), "observed", "observed_at", "p_value", *counts, "null_q95", "null_q99")
@@ -128,21 +127,26 @@ def ar1_dcf_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, tuple[in
     return tested(null, observed, status, keys, list(bands))
 
 
-def sides_in_span(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rows of the sides 'a' and 'b' within the days that both share, with _first and _last; none for keys without such days."""
-    span = common_span(rows, [*keys, "side"], keys) if keys else common_span(rows, ["side"])
-    both = rows.where("value IS NOT NULL").groupBy(*keys).agg(F.count_distinct("side").alias("_sides")).where("_sides = 2").drop("_sides")
-    limits = (span.join(both, list(keys)) if keys else span.where(F.lit(True))).withColumnsRenamed({"first": "_first", "last": "_last"})
+def _spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _first, _last, _missing) of the days that the sides 'a' and 'b' of rows share; _first may lie after _last."""
+    ends = [f(F.when((F.col("side") == s) & F.col("value").isNotNull(), F.col("date"))) for s in "ab" for f in (F.min, F.max)]
+    span = rows.groupBy(*keys).agg(*(e.alias(n) for e, n in zip(ends, ("_fa", "_la", "_fb", "_lb"))))
+    return span.select(*keys, F.greatest("_fa", "_fb").alias("_first"), F.least("_la", "_lb").alias("_last"), (F.col("_fa").isNull() | F.col("_fb").isNull()).alias("_missing"))
+
+
+_DAYS = "datediff(_last, _first) + 1"
+
+
+def sides_in_span(rows: DataFrame, keys: Sequence[str], least_days: int = 1) -> DataFrame:
+    """rows of the sides 'a' and 'b' within the days that both share, with _first and _last; none for keys with fewer such days."""
+    limits = _spans(rows, keys).where(f"NOT _missing AND {_DAYS} >= {least_days}").drop("_missing")
     return rows.where("value IS NOT NULL").join(limits, list(keys)).where(F.col("date").between(F.col("_first"), F.col("_last")))
 
 
 def _span_status(rows: DataFrame, keys: Sequence[str], least_days: int, short: str) -> DataFrame:
     """(keys, status) of the common span of the sides 'a' and 'b' of rows."""
-    ends = [f(F.when((F.col("side") == s) & F.col("value").isNotNull(), F.col("date"))) for s in "ab" for f in (F.min, F.max)]
-    span = rows.groupBy(*keys).agg(*(e.alias(n) for e, n in zip(ends, ("fa", "la", "fb", "lb"))))
-    days = F.datediff(F.least("la", "lb"), F.greatest("fa", "fb")) + 1
-    missing = F.col("fa").isNull() | F.col("fb").isNull()
-    return span.select(*keys, F.when(missing, "insufficient_data").when(days < 1, "no_overlap").when(days < least_days, short).otherwise("ok").alias("status"))
+    days = F.expr(_DAYS)
+    return _spans(rows, keys).select(*keys, F.when(F.col("_missing"), "insufficient_data").when(days < 1, "no_overlap").when(days < least_days, short).otherwise("ok").alias("status"))
 
 
 def drawn_shifts(spans: DataFrame, keys: Sequence[str], simulations: int, margin: int, seed: int) -> DataFrame:
@@ -167,7 +171,7 @@ def circular_shift_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, t
     """
     keys = list(keys)
     status = _span_status(rows, keys, 2 * margin + 1, "span_too_short_for_shift_null")
-    live = sides_in_span(rows, keys).join(status.where("status = 'ok'").select(*keys), keys, "left_semi")
+    live = sides_in_span(rows, keys, 2 * margin + 1)
     z = standardised(live, [*keys, "side"]).withColumns({"n": F.datediff("_last", "_first") + 1, "i": F.datediff("date", "_first")})
     a, b = (z.where(F.col("side") == s).select(*keys, "n", "i", "date", "value") for s in "ab")
     observed = _best_bin(binned(dcf_of_standardised(with_day(a), with_day(b), keys, lo, hi), keys, width, lo), keys, bands, least_pairs)
@@ -177,8 +181,11 @@ def circular_shift_null(rows: DataFrame, keys: Sequence[str], bands: dict[str, t
     return tested(null, observed, status, keys, list(bands))
 
 
-def surrogate_moments(found: Surrogates, placed: DataFrame, grid: waves.Grid, at: str = "day") -> DataFrame:
-    """(keys, sim, _pane, _k, MOMENTS) of surrogates on the days of placed rows (keys, _pane, day, and at, by which the recurrence runs)."""
+def surrogate_spectra(found: Surrogates, placed: DataFrame, grid: waves.Grid, windows: waves.Windows | waves.YearWindows | waves.Whole, linear: bool, least: int, at: str = "day") -> DataFrame:
+    """(keys, sim, the windows' columns, period_days, power) of surrogates on the days of placed rows (keys, _pane, day, and at, by which the recurrence runs).
+
+    A batch's moments of a pane travel as one row; a group adds up the panes of one series and batch.
+    """
     keys = list(found.keys)
     by = [*keys, "_pane", *(["_panes"] if "_panes" in placed.columns else [])]
     units = placed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("long").alias("p"), F.col("day").cast("double").alias("t")))).alias("_d")).select(*by, F.col("_d.p").alias("_p"), F.col("_d.t").alias("_t"))
@@ -186,9 +193,22 @@ def surrogate_moments(found: Surrogates, placed: DataFrame, grid: waves.Grid, at
 
     def run(row: pd.Series, sims: np.ndarray, values: Callable) -> pd.DataFrame:
         got = waves.moments(np.asarray(row["_t"]), values(np.asarray(row["_p"], dtype=np.int64)), grid)
-        return pd.DataFrame({"sim": np.repeat(sims, grid.n), **{c: row[c] for c in more}, "_k": np.tile(np.arange(grid.n), len(sims)), **dict(zip((f"_{m}" for m in waves.MOMENTS), got.reshape(len(got), -1)))})
+        return pd.DataFrame({**{c: [row[c]] for c in more}, "_from": [sims[0]], "_sums": [got.tobytes()]})
+
+    def windowed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        sums, periods, out = {}, 1 / grid.values(), []
+        for pane, packed in zip(part["_pane"], part["_sums"]):
+            sums[pane] = np.frombuffer(packed).reshape(len(waves.MOMENTS), -1, grid.n)
+        for w, (a, b) in enumerate(windows.spans(part)):
+            some = [sums[p] for p in range(a, b) if p in sums]
+            if some:
+                p = waves.power(np.sum(some, axis=0), False, linear, least)
+                sim, k = np.nonzero(np.isfinite(p))
+                out.append(pd.DataFrame({**dict(zip(keys, key)), "sim": key[-1] + sim, **windows.columns(w), "period_days": periods[k], "power": p[sim, k]}))
+        return pd.concat(out) if out else pd.DataFrame()
 
-    return found.apply(units, run, f"sim int, {kinds(placed, more)}_k int, {waves.MOMENT_SCHEMA}")
+    per_pane = found.apply(units, run, f"{kinds(placed, more)}_from int, _sums binary")
+    return per_pane.groupBy(*keys, "_from").applyInPandas(windowed, f"{kinds(placed, keys)}sim int, {windows.schema()}period_days double, power double")
 
 
 def _largest(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,7 +222,7 @@ def ar1_spectral_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, f
     live, grid, whole = _testable(rows, keys, status), waves.period_grid(*band, periods), waves.Whole()
     observed = _largest(waves.spectra(live, keys, grid, linear=DETREND[detrend], least=30), keys)
     found = surrogates(live, ar1_by_day(live, keys), keys, simulations, seed)
-    null = waves.of_moments(surrogate_moments(found, waves.by_pane(live, whole), grid), [*keys, "sim"], grid, whole, False, DETREND[detrend], 30)
+    null = surrogate_spectra(found, waves.by_pane(live, whole), grid, whole, DETREND[detrend], 30)
     return tested(_largest(null, [*keys, "sim"]), observed, status, keys, ["band"])
 
 
@@ -213,7 +233,7 @@ def red_noise_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, floa
     flat = indexed(detrended(_testable(rows, keys, status), keys, "linear"), keys)
     observed = _largest(waves.spectra(flat, keys, grid, linear=False, least=30), keys)
     found = surrogates(flat, ar1_by_row(flat, keys), keys, simulations, seed, stationary=False, at="i")
-    null = waves.of_moments(surrogate_moments(found, waves.by_pane(flat, whole), grid, at="i"), [*keys, "sim"], grid, whole, False, False, 30)
+    null = surrogate_spectra(found, waves.by_pane(flat, whole), grid, whole, False, 30, at="i")
     return tested(_largest(null, [*keys, "sim"]), observed, status, keys, ["band"])
 
 
@@ -225,9 +245,8 @@ def joint_powers(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _joint_maxima(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
-    both = joint_powers(spectrum, keys)
-    tops = [both.groupBy(*keys).agg(F.max(c).alias("statistic"), F.max_by("period_days", F.struct(c, -F.col("window"), -F.col("period_days"))).alias("at")).withColumn("band", F.lit(c)) for c in ("a", "b", "joint")]
-    return reduce(DataFrame.unionByName, tops)
+    best = [F.struct(F.lit(c).alias("band"), F.max(c).alias("statistic"), F.max_by("period_days", F.struct(c, -F.col("window"), -F.col("period_days"))).alias("at")) for c in ("a", "b", "joint")]
+    return joint_powers(spectrum, keys).groupBy(*keys).agg(F.array(*best).alias("_best")).select(*keys, F.inline("_best"))
 
 
 def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, years: int = 8, step: int = 2, least: int = 180, seed: int = 1998) -> DataFrame:
@@ -238,10 +257,10 @@ def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float],
     """
     keys, grid, wins = list(keys), waves.period_grid(*band, periods), waves.YearWindows(years, step)
     status = _span_status(rows, keys, 365 * years, "insufficient_window_data")
-    live = sides_in_span(rows, keys).join(status.where("status = 'ok'").select(*keys), keys, "left_semi")
+    live = sides_in_span(rows, keys, 365 * years)
     both = [*keys, "side"]
     observed = _joint_maxima(waves.spectra(live, both, grid, wins, linear=DETREND[detrend], least=least), keys)
     placed = with_day(live)
     found = surrogates(placed, ar1_by_day(live, both), both, simulations, seed)
-    null = waves.of_moments(surrogate_moments(found, waves.by_pane(live, wins), grid), [*both, "sim"], grid, wins, False, DETREND[detrend], least)
+    null = surrogate_spectra(found, waves.by_pane(live, wins), grid, wins, DETREND[detrend], least)
     return tested(_joint_maxima(null, [*keys, "sim"]), observed, status, keys, ["a", "b", "joint"])

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lagcorr, multiplicity, nulls, peaks, series, spectra
+from ..operators import multiplicity, noise, nulls, peaks, series, spectra
 from . import inputs, lag_queries, spectral_queries
 from .inputs import BANDS, with_
-from .lag_queries import HI, LEAST, LO, WIDTH, bands_sql, dcf_sql, z_sql
+from .lag_queries import HI, LEAST, LO, bands_sql, dcf_sql, z_sql
 from .registry import query, tidy
-from .spectral_queries import PI2, _periods, lomb_sql, prepared_sql
+from .spectral_queries import PI2, _freqs, _periods, lomb_sql, prepared_sql
 
 SEED = 1998
 
@@ -95,29 +95,47 @@ def screening_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # nulls
 
-def _normal_sql(parts: str) -> str:
-    u = lambda s: f"((CAST('0x' || substr(md5(concat_ws('|', {parts}, '{s}')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
-    return f"sqrt(-2 * ln({u('u')})) * cos({PI2} * {u('v')})"
+def _mixed_sql(source: str, name: str) -> str:
+    """Columns that end in name: a 32-bit number, mixed."""
+    a, b, c = noise.SHIFTS
+    return (
+        f"{source} AS {name}0, xor({name}0, {name}0 >> {a}) AS {name}1, ({name}1 * {noise.FIRST}) % 4294967296 AS {name}2, xor({name}2, {name}2 >> {b}) AS {name}3,"
+        f" ({name}3 * {noise.SECOND}) % 4294967296 AS {name}4, xor({name}4, {name}4 >> {c}) AS {name}"
+    )
+
+
+def _stream_sql(key: str) -> str:
+    return f"xor(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT), {int(noise.mixed(SEED))})"
 
 
-def noise_sql(days: str, key: str, simulations: int, name: str = "NZ", memory: int = 40) -> str:
-    """CTE name: key, sim, date, value of hashed AR(1) noise on the days of (key, date, phi)."""
-    eps = _normal_sql(f"'{SEED}', CAST({key} AS VARCHAR), CAST(sim AS VARCHAR), CAST(d AS VARCHAR)")
+_BLOCK = 16
+
+
+def noise_sql(days: str, key: str, simulations: int, name: str = "NZ", text: str | None = None, stationary: bool = True, at: str = "date_diff('day', DATE '1970-01-01', date)") -> str:
+    """CTE name: (key, sim, date, value) of the surrogates on the days of (key, date, phi), by the affine maps of blocks of 16 days; text: what the noise is named by, if not the key."""
+    lags = " + ".join(f"pow(phi, {k}) * coalesce(lag(w, {k}) OVER b, 0)" for k in range(1, _BLOCK))
+    first = "e" if stationary else "0"
     return (
-        f", {name}s AS (SELECT unnest(generate_series(0, {simulations - 1})) AS sim), {name}l AS (SELECT {key}, min(date_diff('day', DATE '1970-01-01', date)) AS lo, max(date_diff('day', DATE '1970-01-01', date)) AS hi FROM {days} GROUP BY 1),"
-        f" {name}d AS (SELECT {key}, unnest(generate_series(lo - {memory}, hi)) AS d FROM {name}l), {name}e AS (SELECT {key}, sim, d, {eps} AS e FROM {name}d, {name}s),"
-        f" {name}j AS (SELECT unnest(generate_series(0, {memory})) AS j), {name}k AS (SELECT {key}, date, phi, j, date_diff('day', DATE '1970-01-01', date) - j AS d FROM {days}, {name}j),"
-        f" {name} AS (SELECT k.{key}, e.sim, k.date, sqrt(greatest(1e-12, 1 - any_value(phi) * any_value(phi))) * sum(pow(phi, j) * e) AS value FROM {name}k k JOIN {name}e e ON k.{key} = e.{key} AND k.d = e.d GROUP BY ALL)"
+        f", {name}l AS (SELECT {key}, any_value(phi) AS phi, min({at}) AS lo, max({at}) AS hi FROM {days} GROUP BY 1),"
+        f" {name}s AS (SELECT {key}, phi, lo, hi, sim, {_mixed_sql(_stream_sql(text or key), 'g')}, {_mixed_sql('sim', 'h')}, {_mixed_sql('xor(g, h)', 'own')} FROM {name}l, (SELECT unnest(generate_series(0, {simulations - 1})) AS sim)),"
+        f" {name}d AS (SELECT d, {_mixed_sql('d', 'm')} FROM (SELECT unnest(generate_series((SELECT min(lo) FROM {name}l), (SELECT max(hi) FROM {name}l))) AS d)),"
+        f" {name}n AS (SELECT {key}, phi, lo, sim, d, {_mixed_sql('xor(own, m)', 'u')}, {_mixed_sql(f'xor(u, {noise.OTHER})', 'v')}, sqrt(-2 * ln((u + 0.5) / 4294967296.0::DOUBLE)) * cos({PI2} * ((v + 0.5) / 4294967296.0::DOUBLE)) AS e FROM {name}s JOIN {name}d ON d BETWEEN lo AND hi),"
+        f" {name}w AS (SELECT {key}, phi, sim, d, (d - lo) // {_BLOCK} AS bl, (d - lo) % {_BLOCK} AS k, CASE WHEN d = lo THEN {first} ELSE sqrt(greatest(1e-12, 1 - phi * phi)) * e END AS w FROM {name}n),"
+        f" {name}z AS (SELECT {key}, phi, sim, d, bl, k, w + {lags} AS z FROM {name}w WINDOW b AS (PARTITION BY {key}, sim, bl ORDER BY k)),"
+        f" {name}e AS (SELECT {key}, phi, sim, bl, z FROM {name}z WHERE k = {_BLOCK - 1}),"
+        f" {name}c AS (SELECT a.{key}, a.sim, a.bl + 1 AS bl, sum(pow(a.phi, {_BLOCK} * (a.bl - b.bl)) * b.z) AS carry FROM {name}e a JOIN {name}e b ON a.{key} = b.{key} AND a.sim = b.sim AND b.bl <= a.bl GROUP BY ALL),"
+        f" {name}v AS (SELECT z.{key}, z.sim, z.d, z + pow(phi, k + 1) * coalesce(carry, 0) AS value FROM {name}z z LEFT JOIN {name}c c ON z.{key} = c.{key} AND z.sim = c.sim AND z.bl = c.bl),"
+        f" {name} AS (SELECT v.{key}, v.sim, y.date, v.value FROM {name}v v JOIN {days} y ON v.{key} = y.{key} AND v.d = {at.replace('date)', 'y.date)')})"
     )
 
 
-_SUMMARY = "SELECT o.{k}, round(o.s, 7) AS observed, round((count(CASE WHEN n.s >= o.s THEN 1 END) + 1) / (count(n.s) + 1)::DOUBLE, 7) AS p_value, count(CASE WHEN n.s >= o.s THEN 1 END) AS exceedances, count(n.s) AS used, round(quantile_cont(n.s, 0.95), 7) AS null_q95, round(quantile_cont(n.s, 0.99), 7) AS null_q99 FROM OB o LEFT JOIN NU n ON o.{k} = n.{k} GROUP BY o.{k}, o.s"
+_SUMMARY = "SELECT o.{k}, 'ok' AS status, round(o.s, 7) AS observed, round(o.at, 7) AS observed_at, round((count(CASE WHEN n.s >= o.s THEN 1 END) + 1) / (count(n.s) + 1)::DOUBLE, 7) AS p_value, count(CASE WHEN n.s >= o.s THEN 1 END) AS exceedances, count(n.s) AS used, round(quantile_cont(n.s, 0.95), 7) AS null_q95, round(quantile_cont(n.s, 0.99), 7) AS null_q99 FROM OB o LEFT JOIN NU n ON o.{k} = n.{k} GROUP BY o.{k}, o.s, o.at"
 _RAWZ = ", {n} AS (SELECT sim, date, coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0) AS z FROM {src} WINDOW w AS (PARTITION BY sim))"
 
 
 def _band_max_sql(src: str, name: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
-    return f", {name} AS (SELECT {k}band, max(dcf) AS s FROM {src} JOIN ({bands_sql()}) ON lag_bin_center BETWEEN lo AND hi WHERE pairs >= {LEAST} GROUP BY ALL)"
+    return f", {name} AS (SELECT {k}band, max(dcf) AS s, arg_max(lag_bin_center, dcf) AS at FROM {src} JOIN ({bands_sql()}) ON lag_bin_center BETWEEN lo AND hi WHERE pairs >= {LEAST} GROUP BY ALL)"
 
 
 def _suffixed(sql: str, suffix: str) -> str:
@@ -126,85 +144,75 @@ def _suffixed(sql: str, suffix: str) -> str:
     return re.sub(r"\b(K|DK|D0|D|D1|DB)\b(?! BY)", lambda m: m[1] + suffix, sql)
 
 
-_SIMS = 9
+_SIMS = 499
 _AK = "AK AS (SELECT 'a' AS side, date, value FROM A)"
+_DAYS = _day_phi_sql("AK", "log10(value)", "side") + ", DY AS (SELECT side, date, phi FROM AK JOIN PH USING (side) WHERE value > 0)"
+_COLUMNS = ["status", "observed", "observed_at", "p_value", "exceedances", "used", "null_q95", "null_q99"]
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series A as log10 of its positive values, side a."""
+    return series.transformed(inputs.pair(spark, sf_dir)[0].withColumn("side", F.lit("a")), "log10")
 
 
-@query(with_("O", "A", _AK) + _day_phi_sql("AK", "log10(value)", "side") + ", DY AS (SELECT side, date, phi FROM AK JOIN PH USING (side) WHERE value > 0)" + noise_sql("DY", "side", _SIMS) + _RAWZ.format(n="ZN", src="NZ") + dcf_sql("ZN", "ZN", LO, HI, "sim") + _band_max_sql("DB", "NU", "sim") + z_sql("ZA", "A") + _suffixed(dcf_sql("ZA", "ZA", LO, HI), "_o") + _band_max_sql("DB_o", "OB") + " " + _SUMMARY.format(k="band"))
+@query(with_("O", "A", _AK) + _DAYS + noise_sql("DY", "side", _SIMS) + _RAWZ.format(n="ZN", src="NZ") + dcf_sql("ZN", "ZN", LO, HI, "sim") + _band_max_sql("DB", "NU", "sim") + z_sql("ZA", "A") + _suffixed(dcf_sql("ZA", "ZA", LO, HI), "_o") + _band_max_sql("DB_o", "OB") + " " + _SUMMARY.format(k="band"))
 def ar1_dcf_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band maxima of the autocorrelation DCF of A against hashed AR(1) noise on its observed days."""
-    a = series.transformed(inputs.pair(spark, sf_dir)[0], "log10").withColumn("side", F.lit("a"))
-    days = a.join(nulls.ar1_by_day(a, ["side"]).select("side", "phi"), "side")
-    noise = nulls.deterministic_noise(days, ["side"], F.col("phi"), _SIMS, SEED)
+    """Band maxima of the autocorrelation DCF of A against red noise on its observed days."""
+    return tidy(nulls.ar1_dcf_null(_logs(spark, sf_dir), ["side"], BANDS, _SIMS, seed=SEED).where("observed IS NOT NULL").select("band", *_COLUMNS))
 
-    def maxima(rows: DataFrame, keys: list[str]) -> DataFrame:
-        dcf = lagcorr.binned(lagcorr.discrete_correlation(rows, rows, keys, LO, HI, "raw"), keys, WIDTH, LO)
-        return peaks.band_maximum(dcf, keys, "lag_bin_center", "dcf", BANDS, LEAST).select(*keys, "band", F.col("dcf").alias("statistic"))
 
-    return tidy(multiplicity.null_summary(maxima(noise, ["sim"]), maxima(a, ["side"]).drop("side"), ["band"]))
+def _top_sql(src: str, name: str, keys: str) -> str:
+    return f", {name} AS (SELECT {keys}, max(power) AS s, arg_max(period_days, power) AS at FROM {src} GROUP BY ALL)"
 
 
-_NP = 24
+_NP = 96
 
 
-@query(with_("O", "A", _AK) + _day_phi_sql("AK", "log10(value)", "side") + ", DY AS (SELECT side, date, phi FROM AK JOIN PH USING (side) WHERE value > 0)" + noise_sql("DY", "side", _SIMS) + prepared_sql("NZ", "sim", "none", name="N0") + lomb_sql(_periods(430, 520, _NP), "sim", least=30, src="N0", name="NL") + prepared_sql("AK", "side", "none", True) + lomb_sql(_periods(430, 520, _NP), "side", least=30) + ", NU AS (SELECT 'a' AS side, max(power) AS s FROM NL GROUP BY sim), OB AS (SELECT side, max(power) AS s FROM LS GROUP BY 1) " + _SUMMARY.format(k="side"))
+@query(with_("O", "A", _AK) + _DAYS + noise_sql("DY", "side", _SIMS) + prepared_sql("NZ", "sim", "none", name="N0") + lomb_sql(_periods(430, 520, _NP), "sim", least=30, src="N0", name="NL") + prepared_sql("AK", "side", "none", True) + lomb_sql(_periods(430, 520, _NP), "side", least=30) + _top_sql("NL", "NU", "'a' AS side, sim") + _top_sql("LS", "OB", "side") + " " + _SUMMARY.format(k="side"))
 def ar1_spectral_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest power of A in the band against hashed AR(1) noise on its observed days."""
-    a = inputs.pair(spark, sf_dir)[0].withColumn("side", F.lit("a"))
-    logs = series.transformed(a, "log10")
-    days = logs.join(nulls.ar1_by_day(logs, ["side"]).select("side", "phi"), "side")
-    noise = nulls.deterministic_noise(days, ["side"], F.col("phi"), _SIMS, SEED)
-    null = spectra.lomb_scargle(spectra.prepared(noise, ["side", "sim"], "none"), ["side", "sim"], spectra.period_grid(430, 520, _NP), least=30)
-    observed = spectra.lomb_scargle_periods(a, ["side"], 430, 520, _NP)
-    top = lambda df, keys: df.groupBy(*keys).agg(F.max("power").alias("statistic"))
-    return tidy(multiplicity.null_summary(top(null, ["side", "sim"]), top(observed, ["side"]), ["side"]))
+    """Largest power of A in the band against red noise on its observed days."""
+    return tidy(nulls.ar1_spectral_null(_logs(spark, sf_dir), ["side"], (430, 520), _SIMS, periods=_NP, seed=SEED).select("side", *_COLUMNS))
 
 
-_JS = with_("O", "A", "B") + lag_queries._windows_sql() + ", AB AS (SELECT 'a' AS side, date, value FROM A UNION ALL SELECT 'b', date, value FROM B)" + _day_phi_sql("AB", "log10(value)", "side") + ", DY AS (SELECT side, date, phi FROM AB JOIN PH USING (side) WHERE value > 0)" + noise_sql("DY", "side", 4) + ", NW AS (SELECT side || '|' || sim || '|' || window_start AS sw, date, value FROM NZ JOIN W ON date BETWEEN window_start AND window_stop)" + prepared_sql("NW", "sw", "linear", name="N0") + lomb_sql(_periods(430, 520, _NP), "sw", least=180, src="N0", name="NL") + ", OW AS (SELECT side || '|0|' || window_start AS sw, date, value FROM AB JOIN W ON date BETWEEN window_start AND window_stop)" + prepared_sql("OW", "sw", "linear", True) + lomb_sql(_periods(430, 520, _NP), "sw", least=180) + ", JN AS (SELECT 'joint' AS statistic, split_part(p.sw, '|', 2) AS sim, max(sqrt(greatest(p.power, 0) * greatest(q.power, 0))) AS s FROM NL p JOIN NL q ON left(p.sw, 1) = 'a' AND left(q.sw, 1) = 'b' AND substr(p.sw, 2) = substr(q.sw, 2) AND abs(p.period_days - q.period_days) < 1e-6 GROUP BY ALL), NU AS (SELECT statistic, s FROM JN), OB AS (SELECT 'joint' AS statistic, max(sqrt(greatest(p.power, 0) * greatest(q.power, 0))) AS s FROM LS p JOIN LS q ON left(p.sw, 1) = 'a' AND left(q.sw, 1) = 'b' AND substr(p.sw, 2) = substr(q.sw, 2) AND abs(p.period_days - q.period_days) < 1e-6) "
+_ROW_PHI = ", FLi AS (SELECT side, date, y, lead(y) OVER (PARTITION BY side ORDER BY date) AS z, row_number() OVER (PARTITION BY side ORDER BY date) - 1 AS i FROM FL), FP AS (SELECT side, coalesce(greatest(-0.98, least(0.98, sum(y * z) / nullif(sum(CASE WHEN z IS NOT NULL THEN y * y END), 0))), 0) AS phi FROM FLi GROUP BY 1), RD AS (SELECT side, i AS date, phi FROM FLi JOIN FP USING (side))"
+_FLAT = ", FL0 AS (SELECT side, date, date_diff('day', DATE '1970-01-01', date) - avg(date_diff('day', DATE '1970-01-01', date)) OVER w AS t, value - avg(value) OVER w AS y FROM AK WHERE value IS NOT NULL WINDOW w AS (PARTITION BY side)), FL AS (SELECT side, date, y - sum(y * t) OVER w / sum(t * t) OVER w * t AS y FROM FL0 WINDOW w AS (PARTITION BY side))"
 
 
-@query(_JS + _SUMMARY.format(k="statistic"))
-def joint_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest joint power over windows and periods against independent hashed AR(1) noise on both sides."""
-    wins = lag_queries.windows(spark)
-    ab = inputs.pair(spark, sf_dir)
-    sides = ab[0].withColumn("side", F.lit("a")).unionByName(ab[1].withColumn("side", F.lit("b")))
-    logs = series.transformed(sides, "log10")
-    noise = nulls.deterministic_noise(logs.join(nulls.ar1_by_day(logs, ["side"]).select("side", "phi"), "side"), ["side"], F.col("phi"), 4, SEED)
+@query(with_("O", "A", _AK) + _FLAT + _ROW_PHI + noise_sql("RD", "side", _SIMS, stationary=False, at="(date)") + ", RN AS (SELECT n.sim, f.date, n.value FROM NZ n JOIN FLi f ON n.side = f.side AND n.date = f.i)" + prepared_sql("RN", "sim", "none", name="N0") + lomb_sql(_freqs(430, 520, _NP), "sim", least=30, src="N0", name="NL") + prepared_sql("AK", "side") + lomb_sql(_freqs(430, 520, _NP), "side", least=30) + _top_sql("NL", "NU", "'a' AS side, sim") + _top_sql("LS", "OB", "side") + " " + _SUMMARY.format(k="side"))
+def red_noise_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest power of A in the band against red noise by position that starts from 0."""
+    rows = inputs.pair(spark, sf_dir)[0].withColumn("side", F.lit("a"))
+    return tidy(nulls.red_noise_null(rows, ["side"], (430, 520), _SIMS, _NP, SEED).select("side", *_COLUMNS))
 
-    def joint(rows: DataFrame, log10: bool) -> DataFrame:
-        keys = ["side", "sim", "window_start"]
-        ls = spectra.lomb_scargle(spectra.prepared(series.in_windows(rows, wins), keys, "linear", log10), keys, spectra.period_grid(430, 520, _NP), least=180).withColumn("k", F.round("period_days", 6))
-        one = lambda s: ls.where(F.col("side") == s).select("sim", "window_start", "k", F.col("power").alias(s))
-        both = one("a").join(one("b"), ["sim", "window_start", "k"])
-        zero = F.lit(0.0)
-        return both.groupBy("sim").agg(F.max(F.sqrt(F.greatest(zero, F.col("a")) * F.greatest(zero, F.col("b")))).alias("statistic")).withColumn("name", F.lit("joint"))
 
-    # without a usable window nothing is observed, and one row says so
-    frame = spark.createDataFrame([("joint",)], "name string")
-    observed = frame.join(joint(sides.withColumn("sim", F.lit(0)), True).select("name", "statistic"), "name", "left")
-    got = multiplicity.null_summary(joint(noise, False), observed, ["name"], none_used=1.0)
-    return tidy(got.withColumnRenamed("name", "statistic"))
+_JSIMS, _JYEARS, _JLEAST = 99, 3, 60
+_JW = f", WE AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(date) AS lo, max(date) AS hi FROM AB0 WHERE value > 0 GROUP BY side)), AB AS (SELECT AB0.* FROM AB0, WE WHERE date BETWEEN lo AND hi AND value > 0), W AS (SELECT k AS w, CAST(lo + to_years(CAST(k AS INT)) AS DATE) AS window_start, CAST(lo + to_years(CAST(k + {_JYEARS} AS INT)) - INTERVAL 1 DAY AS DATE) AS window_stop FROM WE, (SELECT unnest(generate_series(0, 50)) AS k) WHERE lo + to_years(CAST(k + {_JYEARS} AS INT)) - INTERVAL 1 DAY <= hi)"
 
 
-_STEP, _MARGIN = 100, 700
+def _joint_sql(src: str, name: str) -> str:
+    """CTEs name (w, sim, period_days, a, b, joint) and its maxima name || 'm', of spectra src keyed by side|sim|w."""
+    pairs = f", {name}j AS (SELECT p.sim, p.w, p.period_days, p.power AS a, q.power AS b, sqrt(greatest(p.power, 0) * greatest(q.power, 0)) AS joint FROM {name}s p JOIN {name}s q ON p.side = 'a' AND q.side = 'b' AND p.sim = q.sim AND p.w = q.w AND abs(p.period_days - q.period_days) < 1e-6)"
+    tops = " UNION ALL ".join(f"SELECT '{c}' AS band, sim, max({c}) AS s, arg_max(period_days, {c}) AS at FROM {name}j GROUP BY sim" for c in ("a", "b", "joint"))
+    return f", {name}s AS (SELECT split_part(sw, '|', 1) AS side, split_part(sw, '|', 2) AS sim, split_part(sw, '|', 3) AS w, period_days, power FROM {src})" + pairs + f", {name} AS ({tops})"
 
 
-@query(with_("O", "A", "B") + lag_queries._CS + ", N AS (SELECT lo, date_diff('day', lo, hi) + 1 AS n FROM SP), SH AS (SELECT unnest(generate_series(" + f"{_MARGIN}, n - {_MARGIN}, {_STEP})) AS sim FROM N), LA AS (SELECT date, log10(value) AS v FROM CA WHERE value > 0), LB AS (SELECT date, log10(value) AS v FROM CB WHERE value > 0), Z1 AS (SELECT date, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM LA), Z2 AS (SELECT date, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM LB), ZN AS (SELECT sim, lo + CAST((date_diff('day', lo, date) + sim) % n AS INT) AS date, z FROM Z2, N, SH), ZM AS (SELECT sim, date, z FROM Z1, SH)" + dcf_sql("ZM", "ZN", LO, HI, "sim") + _band_max_sql("DB", "NU", "sim") + _suffixed(dcf_sql("Z1", "Z2", LO, HI), "_o") + _band_max_sql("DB_o", "OB") + " " + _SUMMARY.format(k="band"))
-def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band maxima of the cross DCF against B rolled around the common span by every 100th allowed shift."""
-    both = [series.transformed(x, "log10") for x in inputs.pair(spark, sf_dir)]
-    span = series.common_span(both[0].withColumn("s", F.lit(0)).unionByName(both[1].withColumn("s", F.lit(1))), ["s"]).withColumn("n", F.datediff("last", "first") + 1)
-    za, zb = (series.standardised(x.join(F.broadcast(span), F.col("date").between(F.col("first"), F.col("last"))), []) for x in both)
-    shifts = F.sequence(F.lit(_MARGIN), F.col("n") - _MARGIN, F.lit(_STEP))
-    fixed = za.withColumn("shift", F.explode(shifts)).select("shift", "date", "value")
-    moved = nulls.circular_shifts(zb, [], "first", F.col("n"), shifts).select("shift", "date", "value")
+@query(with_("O", "A", "B", "AB0 AS (SELECT 'a' AS side, date, value FROM A UNION ALL SELECT 'b', date, value FROM B)") + _JW + _day_phi_sql("AB", "log10(value)", "side") + ", DY AS (SELECT side, date, phi FROM AB JOIN PH USING (side))" + noise_sql("DY", "side", _JSIMS, text="'ab|' || side") + ", NW AS (SELECT side || '|' || sim || '|' || w AS sw, date, value FROM NZ JOIN W ON date BETWEEN window_start AND window_stop)" + prepared_sql("NW", "sw", "linear", name="N0") + lomb_sql(_periods(430, 520, _NP), "sw", least=_JLEAST, src="N0", name="NL") + ", OW AS (SELECT side || '|0|' || w AS sw, date, value FROM AB JOIN W ON date BETWEEN window_start AND window_stop)" + prepared_sql("OW", "sw", "linear", True) + lomb_sql(_periods(430, 520, _NP), "sw", least=_JLEAST) + _joint_sql("NL", "NU") + _joint_sql("LS", "OB") + " " + _SUMMARY.format(k="band"))
+def joint_null_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest power of A, B and both over windows and periods against independent red noise."""
+    got = nulls.joint_null(_sides(spark, sf_dir), ["pair"], (430, 520), _JSIMS, "linear", _NP, _JYEARS, 1, _JLEAST, SEED)
+    return tidy(got.select("band", *_COLUMNS))
 
-    def maxima(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        dcf = lagcorr.binned(lagcorr.dcf_of_standardised(series.with_day(a), series.with_day(b), keys, LO, HI), keys, WIDTH, LO)
-        return peaks.band_maximum(dcf, keys, "lag_bin_center", "dcf", BANDS, LEAST).select(*keys, "band", F.col("dcf").alias("statistic"))
 
-    return tidy(multiplicity.null_summary(maxima(fixed, moved, ["shift"]), maxima(za, zb, []), ["band"]))
+_MARGIN = 700
+_ROLLED = with_("O", "A", "B") + lag_queries._CS + ", N AS (SELECT lo, date_diff('day', lo, hi) + 1 AS n FROM SP), {draws}LA AS (SELECT date, log10(value) AS v FROM CA WHERE value > 0), LB AS (SELECT date, log10(value) AS v FROM CB WHERE value > 0), Z1 AS (SELECT date, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM LA), Z2 AS (SELECT date, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z FROM LB), ZN AS (SELECT sim, lo + CAST((date_diff('day', lo, date) + sim) % n AS INT) AS date, z FROM Z2, N, SH), ZM AS (SELECT sim, date, z FROM Z1, SH)" + dcf_sql("ZM", "ZN", LO, HI, "sim") + _band_max_sql("DB", "ND", "sim") + _suffixed(dcf_sql("Z1", "Z2", LO, HI), "_o") + _band_max_sql("DB_o", "OB")
+_EACH = f"SH AS (SELECT unnest(generate_series({_MARGIN}, n - {_MARGIN})) AS sim FROM N), "
+_DRAWN = f"DW AS (SELECT sim, {_mixed_sql(_stream_sql(chr(39) + 'ab' + chr(39)), 'g')}, {_mixed_sql('sim', 'h')}, {_mixed_sql('xor(g, h)', 'own')}, {_mixed_sql('own', 'u')}, {_MARGIN} + CAST(floor((u + 0.5) / 4294967296.0::DOUBLE * (n - {2 * _MARGIN} + 1)) AS BIGINT) AS shift FROM (SELECT unnest(generate_series(0, {_SIMS - 1})) AS sim), N WHERE n >= {2 * _MARGIN + 1}), SH AS (SELECT DISTINCT shift AS sim FROM DW), "
+
+
+@query(_ROLLED.replace("{draws}", _EACH) + ", NU AS (SELECT * FROM ND) " + _SUMMARY.format(k="band"))
+def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band maxima of the cross DCF against B rolled around the common span by every allowed shift."""
+    return tidy(nulls.circular_shift_null(_sides(spark, sf_dir), ["pair"], BANDS, None).select("band", *_COLUMNS))
 
 
 @query()
@@ -229,10 +237,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).withColumn("pair", F.lit("ab"))
 
 
-@query()
+@query(_ROLLED.replace("{draws}", _DRAWN) + ", NU AS (SELECT DW.sim, band, s FROM DW JOIN ND ON ND.sim = shift) " + _SUMMARY.format(k="band").replace("SELECT o.", "SELECT 'ab' AS pair, o.", 1))
 def circular_shift_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band maxima of the cross DCF against seeded random shifts."""
-    return tidy(nulls.circular_shift_null(_sides(spark, sf_dir), ["pair"], BANDS))
+    """Band maxima of the cross DCF against shifts drawn with replacement."""
+    return tidy(nulls.circular_shift_null(_sides(spark, sf_dir), ["pair"], BANDS, seed=SEED))
 
 
 @query()
