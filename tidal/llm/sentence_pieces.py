@@ -79,7 +79,7 @@ class PieceModel:
             self.pieces.append(piece.get(1, b"").decode())
             scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
             kinds.append(piece[3])
-        trainer, normalizer = (dict(_fields(next((v for n, v in fields if n == k), b""))) for k in (2, 3))
+        trainer, normalizer = ({x: y for n, v in fields if n == k for x, y in _fields(v)} for k in (2, 3))
         if trainer.get(3, 1) != 2 or trainer.get(24) or normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1):
             raise ValueError("only merge vocabularies that leave texts as they are but for a space before them can be read")
         if set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE_KIND} or kinds.count(BYTE_KIND) != 256:
