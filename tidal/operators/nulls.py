@@ -50,17 +50,17 @@ def _phi(y: DataFrame, keys: Sequence[str], norm: Column, limit: float, least: i
     return got.select(*keys, F.coalesce(phi, F.lit(0.0)).alias("phi"), *(["pairs"] if with_pairs else []))
 
 
-def tested(null: DataFrame, observed: DataFrame, status: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Per key and band: status, observed and where it lies, p_value, exceedances, used and null quantiles, of null (keys, band, statistic) and observed (keys, band, statistic, at).
+def tested(null: DataFrame, observed: DataFrame, status: DataFrame, keys: Sequence[str], bands: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Per key and band: status, observed and where it lies (at, and the columns also), p_value, exceedances, used and null quantiles, of null (keys, band, statistic) and observed (keys, band, statistic, at).
 
     status (keys, status) says why a key can't be tested; every key of it gets a row a band.
     """
     by = [*keys, "band"]
     frame = status.select(*keys, "status", F.explode(F.array(*map(F.lit, bands))).alias("band"))
-    found = null_summary(null, observed.withColumnRenamed("at", "observed_at"), by, also=["observed_at"])
+    found = null_summary(null, observed.withColumnRenamed("at", "observed_at"), by, also=["observed_at", *also])
     ok = F.when(F.col("status") != "ok", F.col("status")).when(F.col("observed").isNull(), "no_statistic").otherwise("ok")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("exceedances", "used")]
-    return frame.join(found, by, "left").select(*by, ok.alias("status"), "observed", "observed_at", "p_value", *counts, "null_q95", "null_q99")
+    return frame.join(found, by, "left").select(*by, ok.alias("status"), "observed", "observed_at", *also, "p_value", *counts, "null_q95", "null_q99")
 
 
 def enough(rows: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
@@ -245,8 +245,10 @@ def joint_powers(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _joint_maxima(spectrum: DataFrame, keys: Sequence[str]) -> DataFrame:
-    best = [F.struct(F.lit(c).alias("band"), F.max(c).alias("statistic"), F.max_by("period_days", F.struct(c, -F.col("window"), -F.col("period_days"))).alias("at")) for c in ("a", "b", "joint")]
-    return joint_powers(spectrum, keys).groupBy(*keys).agg(F.array(*best).alias("_best")).select(*keys, F.inline("_best"))
+    """(keys, band, statistic, at, window) of the largest power of a, b and both; the first window and the longest period of equal ones."""
+    place = lambda c: F.max_by(F.struct(F.col("period_days").alias("at"), "window"), F.struct(c, -F.col("window"), F.col("period_days")))
+    best = [F.struct(F.lit(c).alias("band"), F.max(c).alias("statistic"), place(c).alias("of")) for c in ("a", "b", "joint")]
+    return joint_powers(spectrum, keys).groupBy(*keys).agg(F.array(*best).alias("_best")).select(*keys, F.inline("_best")).select(*keys, "band", "statistic", "of.*")
 
 
 def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float], simulations: int = 1999, detrend: str = "none", periods: int = 96, years: int = 8, step: int = 2, least: int = 180, seed: int = 1998) -> DataFrame:
@@ -260,7 +262,10 @@ def joint_null(rows: DataFrame, keys: Sequence[str], band: tuple[float, float],
     live = sides_in_span(rows, keys, 365 * years)
     both = [*keys, "side"]
     observed = _joint_maxima(waves.spectra(live, both, grid, wins, linear=DETREND[detrend], least=least), keys)
+    start = lambda years: F.add_months("_first", (12 * years).cast("int"))
+    ends = {"window_start": start(F.col("window") * step), "window_stop": F.date_sub(start(F.col("window") * step + years), 1)}
+    observed = observed.join(_spans(rows, keys).select(*keys, "_first"), keys).withColumns(ends).drop("_first", "window")
     placed = with_day(live)
     found = surrogates(placed, ar1_by_day(live, both), both, simulations, seed)
     null = surrogate_spectra(found, waves.by_pane(live, wins), grid, wins, DETREND[detrend], least)
-    return tested(_joint_maxima(null, [*keys, "sim"]), observed, status, keys, ["a", "b", "joint"])
+    return tested(_joint_maxima(null, [*keys, "sim"]), observed, status, keys, ["a", "b", "joint"], ["window_start", "window_stop"])

@@ -129,11 +129,10 @@ def _edges(best: DataFrame, keys: Sequence[str], bands: dict[str, tuple[int, int
 
 
 def nearest_window_peak(signals: DataFrame, window_peaks: DataFrame, keys: Sequence[str], span: str = "span_days") -> DataFrame:
-    """signals (keys, period_days, span) with the window peak of the nearest frequency and its separation in resolution units."""
-    peaks = window_peaks.select(*keys, F.col("period_days").alias("w"), F.col("power").alias("wp"), F.col("prominence").alias("wq"))
-    near = signals.withColumn("_row", F.monotonically_increasing_id()).join(peaks, list(keys), "left")
-    gap = F.abs(1 / F.col("w") - 1 / F.col("period_days"))
-    best = near.groupBy("_row", *signals.columns).agg(F.min_by(F.struct("w", "wp", "wq"), F.struct(gap.alias("g"), F.col("w").alias("w"))).alias("b"))
+    """signals (keys, period_days, span) with the window peak of the nearest frequency, of the few that a key has, and its separation in resolution units."""
+    listed = window_peaks.groupBy(*keys).agg(F.collect_list(F.struct("period_days", "power", "prominence")).alias("_p"))
+    gaps = F.transform("_p", lambda p: F.struct(F.abs(1 / p["period_days"] - 1 / F.col("period_days")).alias("g"), p["period_days"].alias("w"), p["power"].alias("wp"), p["prominence"].alias("wq")))
+    best = signals.join(listed, list(keys), "left").withColumn("b", F.array_min(gaps))
     separation = F.abs(1 / F.col("b.w") - 1 / F.col("period_days")) * F.col(span)
     return best.select(
         *signals.columns, F.col("b.w").alias("nearest_window_period_days"), F.col("b.wp").alias("nearest_window_power"), F.col("b.wq").alias("nearest_window_prominence"),

@@ -7,37 +7,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lagcorr, nulls, peaks, review, series
+from ..operators import lagcorr, nulls, peaks, phases, review, series
 from ..sources import sinks, text
+from ..sources.phase_store import PhaseStore
 from ..sources.store import shared_folder
 from . import inference_queries, inputs, spectral_queries
 from .inputs import BANDS
-from .lag_queries import HI, LO, WIDTH, dcf_sql, windows, z_sql
+from .lag_queries import HI, LEAST, LO, WIDTH, bands_sql, dcf_sql, windows, z_sql
 from .lag_queries import _windows_sql as windows_sql
 from .registry import query, tidy
 
 SIMULATIONS = 499
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, variant, side, date, value): log revenue of small and large lines by return flag, plain and without its line."""
-    rows = inputs.table(spark, sf_dir, "lineitem").groupBy(
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, side, date, value): revenue of small and large lines by return flag."""
+    return inputs.table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_returnflag").alias("channel"), F.when(F.col("l_quantity") > 25, "a").otherwise("b").alias("side"), F.to_date("l_shipdate").alias("date")
-    ).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
-    keys = ["channel", "side"]
-    raw = series.with_day(series.transformed(rows, "log10")).select(*keys, "date", "day", "value")
-    flat = series.detrended(raw, keys, "linear")
-    both = raw.withColumn("variant", F.lit("raw")).unionByName(flat.withColumn("variant", F.lit("detrended")))
-    return both.select("channel", "variant", "side", "date", "value")
+    ).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("value"))
+
+
+_SD = "SD AS (SELECT l_returnflag AS channel, CASE WHEN l_quantity > 25 THEN 'a' ELSE 'b' END AS side, CAST(l_shipdate AS DATE) AS date, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem GROUP BY ALL)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, variant, side, date, value): logarithms of _rows, plain and without their line."""
+    return phases.variants(_rows(spark, sf_dir), ["channel", "side"]).select("channel", "variant", "side", "date", "value")
 
 
 def significance(rows: DataFrame, bands: dict[str, tuple[int, int]], simulations: int) -> DataFrame:
-    """Red-noise tests of each side and shift tests of both, adjusted over channels: (channel, band, variant, branch, status, observed, p, p_holm, q_bh)."""
+    """Red-noise tests of each side and shift tests of both, adjusted over channels: (channel, band, variant, branch, status, observed_at, observed, p, p_holm, q_bh)."""
     keys = ["channel", "variant"]
     own = nulls.ar1_dcf_null(rows, [*keys, "side"], bands, simulations).withColumn("branch", F.concat(F.lit("acf_"), "side")).withColumnRenamed("p_value", "p_ar1").drop("side")
     cross = nulls.circular_shift_null(rows, keys, bands, simulations).withColumn("branch", F.lit("ccf")).withColumnRenamed("p_value", "p_shift")
     tests = own.unionByName(cross, allowMissingColumns=True).withColumn("p", review.branch_p())
-    return review.adjusted_by_branch(tests).select("channel", "band", "variant", "branch", "status", "observed", "p", "p_holm", "q_bh")
+    return review.adjusted_by_branch(tests).select("channel", "band", "variant", "branch", "status", *review.COLUMNS)
 
 
 @query()
@@ -48,27 +52,174 @@ def phase_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def phase_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review of phase_significance, read back from its documents."""
-    path = f"{shared_folder(spark)}/phase-{uuid.uuid4().hex}"
-    tests = significance(_sides(spark, sf_dir), BANDS, SIMULATIONS)
-    sinks.as_documents(tests, []).select("document").write.text(path)
-    prior = text.read_documents(spark, path, tests.schema)
-    return tidy(review.by_branch(prior, ["channel", "band"], SIMULATIONS, members=3))
+    """The review of phase_significance, read back from its run in a phase store."""
+    store = PhaseStore(spark, f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}")
+    run = store.write("significance", significance(_sides(spark, sf_dir), BANDS, SIMULATIONS), {"simulations": SIMULATIONS})
+    return tidy(review.by_branch(store.read(run), ["channel", "band"], SIMULATIONS, members=3, affected=("R",)))
+
+
+# the same with fewer simulations, which SQL can draw in a short time
+
+_FEW = 9
+
+
+def _test_sql(simulations: int) -> str:
+    """CTEs TS (channel, band, variant, branch, lag, s, p) and TA, with p_holm and q_bh: the tests of phase_significance."""
+    z = "coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) AS z"
+    count = "(count(CASE WHEN n.s >= o.s THEN 1 END) + 1) / (count(n.s) + 1)::DOUBLE AS p"
+    noise, mixed = inference_queries.noise_sql, inference_queries._mixed_sql
+    margin = inference_queries._MARGIN
+    top, suffixed = inference_queries._band_max_sql, inference_queries._suffixed
+    return "WITH RECURSIVE " + _SD + (
+        ", VB0 AS (SELECT channel, side, date, log10(value) AS v, date_diff('day', DATE '1970-01-01', date) AS t FROM SD WHERE value > 0),"
+        " VB1 AS (SELECT *, v - avg(v) OVER w AS y, t - avg(t) OVER w AS u FROM VB0 WINDOW w AS (PARTITION BY channel, side)),"
+        " VB AS (SELECT channel, side, 'raw' AS variant, date, v FROM VB0 UNION ALL SELECT channel, side, 'detrended', date, y - sum(y * u) OVER w / sum(u * u) OVER w * u FROM VB1 WINDOW w AS (PARTITION BY channel, side)),"
+        " VK AS (SELECT channel || '|' || variant || '|' || side AS ck, channel || '|' || variant AS cv, side, date, v, 1 AS value FROM VB)"
+        + inference_queries._day_phi_sql("VK", "v", "ck") + ", DY AS (SELECT ck, date, phi FROM VK JOIN PH USING (ck))" + noise("DY", "ck", simulations)
+        + f", ZN AS (SELECT cs, date, {z} FROM (SELECT ck || '#' || sim AS cs, date, value AS v FROM NZ) WINDOW w AS (PARTITION BY cs))" + dcf_sql("ZN", "ZN", LO, HI, "cs") + top("DB", "NA0", "cs")
+        + f", NA AS (SELECT split_part(cs, '#', 1) AS ck, band, s FROM NA0), ZO AS (SELECT ck, date, {z} FROM VK WINDOW w AS (PARTITION BY ck))" + suffixed(dcf_sql("ZO", "ZO", LO, HI, "ck"), "_o") + top("DB_o", "OA", "ck")
+        + ", SPX AS (SELECT cv, max(lo) AS lo, min(hi) AS hi FROM (SELECT cv, side, min(date) AS lo, max(date) AS hi FROM VK GROUP BY ALL) GROUP BY ALL), SPN AS (SELECT *, date_diff('day', lo, hi) + 1 AS n FROM SPX)"
+        + f", ZC AS (SELECT cv, side, date, n, lo, {z} FROM VK JOIN SPN USING (cv) WHERE date BETWEEN lo AND hi WINDOW w AS (PARTITION BY cv, side)), ZCA AS (SELECT cv, date, z FROM ZC WHERE side = 'a'), ZCB AS (SELECT cv, date, z FROM ZC WHERE side = 'b')"
+        + f", DW AS (SELECT cv, sim, {mixed(inference_queries._stream_sql('cv'), 'g')}, {mixed('sim', 'h')}, {mixed('xor(g, h)', 'own')}, {mixed('own', 'u')}, {margin} + CAST(floor((u + 0.5) / 4294967296.0::DOUBLE * (n - {2 * margin} + 1)) AS BIGINT) AS shift FROM (SELECT unnest(generate_series(0, {simulations - 1})) AS sim), SPN WHERE n >= {2 * margin + 1})"
+        + ", SH AS (SELECT DISTINCT cv, shift FROM DW), RA AS (SELECT ZCA.cv || '#' || shift AS cs, date, z FROM ZCA JOIN SH USING (cv)), RB AS (SELECT ZC.cv || '#' || shift AS cs, lo + CAST((date_diff('day', lo, date) + shift) % n AS INT) AS date, z FROM ZC JOIN SH USING (cv) WHERE side = 'b')"
+        + suffixed(dcf_sql("RA", "RB", LO, HI, "cs"), "_r") + top("DB_r", "NR0", "cs") + ", NR AS (SELECT DW.cv, band, s FROM DW JOIN NR0 ON NR0.cs = DW.cv || '#' || shift)"
+        + suffixed(dcf_sql("ZCA", "ZCB", LO, HI, "cv"), "_x") + top("DB_x", "OX", "cv")
+        + f", TS AS (SELECT split_part(o.ck, '|', 1) AS channel, band, split_part(o.ck, '|', 2) AS variant, 'acf_' || split_part(o.ck, '|', 3) AS branch, o.at AS lag, o.s, {count} FROM OA o LEFT JOIN NA n USING (ck, band) GROUP BY ALL"
+        + f" UNION ALL SELECT split_part(o.cv, '|', 1), band, split_part(o.cv, '|', 2), 'ccf', o.at, o.s, {count} FROM OX o LEFT JOIN NR n USING (cv, band) GROUP BY ALL)"
+        + ", TR AS (SELECT *, row_number() OVER f AS i, count(*) OVER (PARTITION BY band, variant, branch) AS m FROM TS WINDOW f AS (PARTITION BY band, variant, branch ORDER BY p, channel))"
+        + ", TA AS (SELECT * EXCLUDE (i, m), max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY band, variant, branch ORDER BY i) AS p_holm, min(least(1.0, m * p / i)) OVER (PARTITION BY band, variant, branch ORDER BY i DESC) AS q_bh FROM TR)"
+    )
+
+
+def _wide_sql(variants: dict[str, str], columns: tuple[str, ...]) -> str:
+    return ", ".join(f"round(max(CASE WHEN variant = {n} AND branch = '{b}' THEN {c} END), 7) AS {v}_{b}_{f}" for v, n in variants.items() for b in review.BRANCHES for c, f in zip(columns, review.FIELDS))
+
+
+def _flags_sql(simulations: int, members: int, limited: str) -> str:
+    floor = f"{simulations + 1}.0::DOUBLE"
+    return (
+        "coalesce(raw_ccf_fdr < 0.05, false) AS raw_significant, coalesce(detrended_ccf_fdr < 0.05, false) AS detrended_significant, coalesce(raw_ccf_fdr < 0.05, false) AND coalesce(detrended_ccf_fdr < 0.05, false) AS robust,"
+        f" coalesce(abs(raw_ccf_p - 1 / {floor}) < 1e-12, false) AS raw_at_floor, coalesce(abs(detrended_ccf_p - 1 / {floor}) < 1e-12, false) AS detrended_at_floor, round(1 / {floor}, 7) AS p_floor, round({members} / {floor}, 7) AS holm_floor, {limited} AS quality_limited"
+    )
+
+
+@query(_test_sql(_FEW) + f", BW AS (SELECT channel, band, {_wide_sql({v: repr(v) for v in review.VARIANTS}, ('lag', 's', 'p', 'p_holm', 'q_bh'))} FROM TA GROUP BY 1, 2) SELECT *, {_flags_sql(_FEW, 3, chr(39).join(['channel = ', 'R', '']))} FROM BW")
+def significance_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of all channels, variants and branches, written as a run of a phase store and reviewed from there."""
+    store = PhaseStore(spark, f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}")
+    run = store.write("significance", significance(_sides(spark, sf_dir), BANDS, _FEW), {"simulations": _FEW})
+    return tidy(review.by_branch(store.read(run), ["channel", "band"], _FEW, members=3, affected=("R",)))
+
+
+# candidates that are fixed before their tests run
+
+_LOCKED = (("R", "long", "primary"), ("A", "long", "comparator"))
+_SPECTRAL, _JOINT, _YEARS, _USED = 99, 49, 3, 180
+_CANDIDATES = "CN AS (SELECT * FROM (VALUES " + ", ".join(map(str, _LOCKED)) + ") v(channel, band, role))"
+_DETREND = {"raw": "none", "detrended": "linear"}
+_P = "(count(CASE WHEN n.s >= o.s THEN 1 END) + 1) / (count(n.s) + 1)::DOUBLE AS p_value, count(CASE WHEN n.s >= o.s THEN 1 END) AS exceedances, count(n.s) AS used, quantile_cont(n.s, 0.95) AS null_q95, quantile_cont(n.s, 0.99) AS null_q99"
+_ROUNDED = "round(observed, 7) AS observed, round(observed_at, 7) AS observed_at, round(p_value, 7) AS p_value, exceedances, used, round(null_q95, 7) AS null_q95, round(null_q99, 7) AS null_q99, round(p_holm, 7) AS p_holm, round(q_bh, 7) AS q_bh"
+
+
+def _locked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_LOCKED, "channel string, band string, role string")
+
+
+def _family_sql(src: str, name: str, order: str) -> str:
+    """CTE name: src with p_holm and q_bh over each variant."""
+    return (
+        f", {name}r AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY p_value, {order}) AS i, count(*) OVER (PARTITION BY variant) AS m FROM {src}),"
+        f" {name} AS (SELECT * EXCLUDE (i, m), max(least(1.0, (m - i + 1) * p_value)) OVER (PARTITION BY variant ORDER BY i) AS p_holm, min(least(1.0, m * p_value / i)) OVER (PARTITION BY variant ORDER BY i DESC) AS q_bh FROM {name}r)"
+    )
+
+
+def _spectra_sql(null: str, own: str, null_key: str, own_key: str, least: int) -> str:
+    """CTEs NL_raw, NL_detrended, LS_raw and LS_detrended: spectra in the band of surrogates (values) and series (logarithms)."""
+    grid = spectral_queries._periods(430, 520, 96)
+    sources = [(null, null_key, False, "NL", "N"), (own, own_key, True, "LS", "P")]
+    return "".join(spectral_queries.prepared_sql(src, key, d, log10, f"{prep}_{v}") + spectral_queries.lomb_sql(grid, key, least=least, src=f"{prep}_{v}", name=f"{name}_{v}") for src, key, log10, name, prep in sources for v, d in _DETREND.items())
+
+
+_B9 = "WITH RECURSIVE " + _SD + ", " + _CANDIDATES + ", CK AS (SELECT channel || '|' || side AS ck, date, value FROM SD SEMI JOIN CN USING (channel))" + inference_queries._day_phi_sql("CK", "log10(value)", "ck") + ", DY AS (SELECT ck, date, phi FROM CK JOIN PH USING (ck) WHERE value > 0)" + inference_queries.noise_sql("DY", "ck", _SPECTRAL) + ", NK AS (SELECT ck || '#' || sim AS sk, date, value FROM NZ)" + _spectra_sql("NK", "CK", "sk", "ck", 30) + ", ".join(
+    ["", "OB AS (" + " UNION ALL ".join(f"SELECT ck, '{v}' AS variant, max(power) AS s, arg_max(period_days, power) AS at FROM LS_{v} GROUP BY ck" for v in _DETREND) + ")",
+     "NU AS (" + " UNION ALL ".join(f"SELECT split_part(sk, '#', 1) AS ck, '{v}' AS variant, max(power) AS s FROM NL_{v} GROUP BY sk" for v in _DETREND) + ")",
+     f"TT AS (SELECT split_part(o.ck, '|', 1) AS channel, split_part(o.ck, '|', 2) AS side, o.variant, o.s AS observed, o.at AS observed_at, {_P} FROM OB o LEFT JOIN NU n USING (ck, variant) GROUP BY ALL)"]
+) + _family_sql("TT", "TF", "channel, side")
+
+
+@query(_B9 + f" SELECT channel, band, role, side, variant, 'ok' AS status, {_ROUNDED} FROM CN JOIN TF USING (channel)")
+def locked_spectral_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Red-noise tests of the largest power of both sides of every locked candidate, adjusted over the four tests of a variant."""
+    return tidy(phases.locked_spectral(_rows(spark, sf_dir), _locked(spark), (430, 520), _SPECTRAL))
+
+
+@query()
+def locked_spectral_tests_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 1999 simulations."""
+    return tidy(phases.locked_spectral(_rows(spark, sf_dir), _locked(spark), (430, 520)))
+
+
+_B10 = "WITH RECURSIVE " + _SD + ", " + _CANDIDATES + (
+    ", WE AS (SELECT channel, max(lo) AS lo, min(hi) AS hi FROM (SELECT channel, side, min(date) AS lo, max(date) AS hi FROM SD SEMI JOIN CN USING (channel) WHERE value > 0 GROUP BY ALL) GROUP BY ALL),"
+    " CK AS (SELECT channel || '|' || side AS ck, channel, date, value FROM SD JOIN WE USING (channel) WHERE date BETWEEN lo AND hi AND value > 0),"
+    f" W AS (SELECT channel, k AS w, CAST(lo + to_years(CAST(k AS INT)) AS DATE) AS window_start, CAST(lo + to_years(CAST(k + {_YEARS} AS INT)) - INTERVAL 1 DAY AS DATE) AS window_stop FROM WE, (SELECT unnest(generate_series(0, 50)) AS k) WHERE lo + to_years(CAST(k + {_YEARS} AS INT)) - INTERVAL 1 DAY <= hi)"
+    + inference_queries._day_phi_sql("CK", "log10(value)", "ck") + ", DY AS (SELECT ck, date, phi FROM CK JOIN PH USING (ck))" + inference_queries.noise_sql("DY", "ck", _JOINT)
+    + ", NK AS (SELECT ck || '#' || sim || '#' || w AS sk, date, value FROM NZ JOIN W ON W.channel = split_part(ck, '|', 1) AND date BETWEEN window_start AND window_stop), OK AS (SELECT ck || '#0#' || w AS sk, date, value FROM CK JOIN W ON W.channel = CK.channel AND date BETWEEN window_start AND window_stop)"
+    + _spectra_sql("NK", "OK", "sk", "sk", _USED)
+)
+
+
+def _joined_sql(name: str) -> str:
+    """CTE name || 'J': largest power of a, b and both by channel, variant and simulation, of spectra name || variant."""
+    each = " UNION ALL ".join(f"SELECT '{v}' AS variant, split_part(split_part(sk, '#', 1), '|', 1) AS channel, split_part(split_part(sk, '#', 1), '|', 2) AS side, split_part(sk, '#', 2) AS sim, CAST(split_part(sk, '#', 3) AS BIGINT) AS w, round(period_days, 6) AS k, period_days, power FROM {name}_{v}" for v in _DETREND)
+    both = f", {name}E AS ({each}), {name}B AS (SELECT p.variant, p.channel, p.sim, p.w, p.period_days, p.power AS a, q.power AS b, sqrt(greatest(p.power, 0) * greatest(q.power, 0)) AS joint FROM {name}E p JOIN {name}E q ON p.side = 'a' AND q.side = 'b' AND p.variant = q.variant AND p.channel = q.channel AND p.sim = q.sim AND p.w = q.w AND p.k = q.k)"
+    return both + f", {name}J AS (" + " UNION ALL ".join(f"SELECT variant, channel, sim, '{c}' AS statistic, max({c}) AS s, arg_max(period_days, {c}) AS at, arg_max(w, {c}) AS w FROM {name}B GROUP BY ALL" for c in ("a", "b", "joint")) + ")"
+
+
+_B10 += _joined_sql("NL") + _joined_sql("LS") + f", TT AS (SELECT o.channel, o.variant, o.statistic, o.s AS observed, o.at AS observed_at, o.w, {_P} FROM LSJ o LEFT JOIN NLJ n USING (channel, variant, statistic) GROUP BY ALL), TJ AS (SELECT * FROM TT WHERE statistic = 'joint')" + _family_sql("TJ", "TF0", "channel") + ", TF AS (SELECT * FROM TF0 UNION ALL SELECT *, NULL, NULL FROM TT WHERE statistic <> 'joint')"
+
+
+@query(_B10 + f" SELECT TF.channel, band, role, variant, statistic, 'ok' AS status, window_start, window_stop, {_ROUNDED} FROM CN JOIN TF USING (channel) JOIN W ON W.channel = TF.channel AND W.w = TF.w")
+def locked_joint_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of the largest power at one period in one window for both sides of every locked candidate; the joint ones of a variant are a family."""
+    return tidy(phases.locked_joint(_rows(spark, sf_dir), _locked(spark), (430, 520), _JOINT, years=_YEARS, step=1, least=_USED))
+
+
+@query()
+def locked_joint_tests_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 1999 simulations."""
+    return tidy(phases.locked_joint(_rows(spark, sf_dir), _locked(spark), (430, 520), years=_YEARS, step=1, least=_USED))
+
+
+# screening of both sides
+
+_SCREEN_N = 3500
+_BEST = "(SELECT *, row_number() OVER (PARTITION BY {k}, band ORDER BY dcf DESC, lag_bin_center) AS r FROM {src} JOIN (" + bands_sql() + f") ON lag_bin_center BETWEEN lo AND hi WHERE pairs >= {LEAST} AND dcf IS NOT NULL)"
+_SCREEN = "WITH RECURSIVE " + _SD + ", SK AS (SELECT channel || '|' || side AS ck, date, value FROM SD)" + z_sql("ZS", "SK", "ck") + dcf_sql("ZS", "ZS", LO, HI, "ck") + ", ZA AS (SELECT split_part(ck, '|', 1) AS channel, date, z FROM ZS WHERE ck LIKE '%|a'), ZB AS (SELECT split_part(ck, '|', 1) AS channel, date, z FROM ZS WHERE ck LIKE '%|b')" + inference_queries._suffixed(dcf_sql("ZA", "ZB", LO, HI, "channel"), "_x") + (
+    spectral_queries.prepared_sql("SK", "ck", log10=True) + spectral_queries.lomb_sql(spectral_queries._freqs(LO, HI, _SCREEN_N), "ck", True) + spectral_queries.best_sql("LS", "BS", "ck") + spectral_queries.window_sql("SK", LO, HI, "ck") + spectral_queries.best_sql("SW", "BW", "ck")
+) + f", BD AS (SELECT split_part(ck, '|', 1) AS channel, 'acf_' || split_part(ck, '|', 2) AS branch, band, lag_bin_center AS lag, dcf FROM {_BEST.format(k='ck', src='DB')} WHERE r = 1 UNION ALL SELECT channel, 'ccf', band, lag_bin_center, dcf FROM {_BEST.format(k='channel', src='DB_x')} WHERE r = 1)" + (
+    ", FR AS (SELECT channel, band, count(CASE WHEN side = 'a' THEN value END) AS n_a, count(CASE WHEN side = 'b' THEN value END) AS n_b FROM SD, (" + bands_sql() + ") GROUP BY ALL), D2 AS (SELECT channel, band, "
+    + ", ".join(f"max(CASE WHEN branch = '{b}' THEN {c} END) AS {c}_{b}" for b in review.BRANCHES for c in ("lag", "dcf")) + " FROM BD GROUP BY ALL), S2 AS (SELECT split_part(BS.ck, '|', 1) AS channel, BS.band, "
+    + ", ".join(f"max(CASE WHEN BS.ck LIKE '%|{s}' THEN {c} END) AS {n}_{s}" for s in "ab" for c, n in (("BS.period_days", "gls_period"), ("BS.power", "gls_power"), ("BW.period_days", "window_period"))) + " FROM BS FULL JOIN BW ON BS.ck = BW.ck AND BS.band = BW.band GROUP BY ALL)"
+)
+
+
+@query(_SCREEN + " SELECT channel, band, n_a, n_b, " + ", ".join(f"round({c}, 7) AS {c}" for c in [f"{c}_{b}" for b in review.BRANCHES for c in ("lag", "dcf")] + [f"{n}_{s}" for s in "ab" for n in ("gls_period", "gls_power", "window_period")]) + ", " + ", ".join(f"round(gls_period_{s} - window_period_{s}, 7) AS gls_minus_window_{s}" for s in "ab") + ", round(greatest(dcf_acf_a, dcf_acf_b, dcf_ccf), 7) AS screen_score, row_number() OVER (PARTITION BY band ORDER BY greatest(dcf_acf_a, dcf_acf_b, dcf_ccf) DESC NULLS LAST, channel) AS rank FROM FR LEFT JOIN D2 USING (channel, band) LEFT JOIN S2 USING (channel, band)")
+def screening_of_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three DCFs, two spectra and two sampling windows of every channel and band, ranked by the largest coefficient."""
+    return tidy(phases.screening(_rows(spark, sf_dir), BANDS, LO, HI, WIDTH, _SCREEN_N, LEAST))
 
 
 # the same with stand-in p-values, which SQL can make
 
 _STRENGTH = {"acf_a": 1, "acf_b": 2, "ccf": 3}
-_WIDE = ", ".join(
-    f"round(max(CASE WHEN variant = {n} AND branch = '{b}' THEN {c} END), 7) AS {v}_{b}_{f}"
-    for v, n in (("raw", 1), ("detrended", 3)) for b in review.BRANCHES for c, f in zip(("dcf", "p", "p_holm", "q_bh"), review.FIELDS)
-)
-_BRANCHED = inference_queries._P + ", BR AS (SELECT channel, band, variant, branch, dcf, CASE WHEN channel = '5-LOW' AND band = 'long' THEN NULL ELSE round(exp(-variant * (s + CASE WHEN branch = 'ccf' THEN 1 ELSE 0 END) * abs(dcf) * sqrt(pairs) / 4), 6) END AS p FROM Z, (SELECT unnest([1, 3]) AS variant), (VALUES " + ", ".join(f"('{b}', {s})" for b, s in _STRENGTH.items()) + ") v(branch, s) WHERE r = 1), BK AS (SELECT *, row_number() OVER (PARTITION BY band, variant, branch ORDER BY p, channel) AS i, count(p) OVER (PARTITION BY band, variant, branch) AS m FROM BR WHERE p IS NOT NULL), BJ AS (SELECT channel, band, variant, branch, max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY band, variant, branch ORDER BY i) AS p_holm, min(least(1.0, m * p / i)) OVER (PARTITION BY band, variant, branch ORDER BY i DESC) AS q_bh FROM BK), BD AS (SELECT BR.*, p_holm, q_bh FROM BR LEFT JOIN BJ USING (channel, band, variant, branch)), BW AS (SELECT channel, band, " + _WIDE + " FROM BD GROUP BY 1, 2)"
+_WIDE = _wide_sql({"raw": "1", "detrended": "3"}, ("lag_days", "dcf", "p", "p_holm", "q_bh"))
+_BRANCHED = inference_queries._P + ", BR AS (SELECT channel, band, variant, branch, lag_bin_center AS lag_days, dcf, CASE WHEN channel = '5-LOW' AND band = 'long' THEN NULL ELSE round(exp(-variant * (s + CASE WHEN branch = 'ccf' THEN 1 ELSE 0 END) * abs(dcf) * sqrt(pairs) / 4), 6) END AS p FROM Z, (SELECT unnest([1, 3]) AS variant), (VALUES " + ", ".join(f"('{b}', {s})" for b, s in _STRENGTH.items()) + ") v(branch, s) WHERE r = 1), BK AS (SELECT *, row_number() OVER (PARTITION BY band, variant, branch ORDER BY p, channel) AS i, count(p) OVER (PARTITION BY band, variant, branch) AS m FROM BR WHERE p IS NOT NULL), BJ AS (SELECT channel, band, variant, branch, max(least(1.0, (m - i + 1) * p)) OVER (PARTITION BY band, variant, branch ORDER BY i) AS p_holm, min(least(1.0, m * p / i)) OVER (PARTITION BY band, variant, branch ORDER BY i DESC) AS q_bh FROM BK), BD AS (SELECT BR.*, p_holm, q_bh FROM BR LEFT JOIN BJ USING (channel, band, variant, branch)), BW AS (SELECT channel, band, " + _WIDE + " FROM BD GROUP BY 1, 2)"
 
 
-@query(_BRANCHED + " SELECT *, coalesce(raw_ccf_fdr < 0.05, false) AS raw_significant, coalesce(detrended_ccf_fdr < 0.05, false) AS detrended_significant, coalesce(raw_ccf_fdr < 0.05, false) AND coalesce(detrended_ccf_fdr < 0.05, false) AS robust, coalesce(abs(raw_ccf_p - 1 / 500.0::DOUBLE) < 1e-12, false) AS raw_at_floor, coalesce(abs(detrended_ccf_p - 1 / 500.0::DOUBLE) < 1e-12, false) AS detrended_at_floor, round(1 / 500.0::DOUBLE, 7) AS p_floor, round(5 / 500.0::DOUBLE, 7) AS holm_floor FROM BW")
+@query(_BRANCHED + f" SELECT *, {_flags_sql(499, 5, 'false')} FROM BW")
 def branch_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = inference_queries._adjusted(spark, sf_dir, others=["pairs"]).select("channel", "band", "variant", "pairs", F.col("dcf").alias("observed"))
+    best = inference_queries._adjusted(spark, sf_dir, others=["pairs"]).select("channel", "band", "variant", "pairs", F.col("dcf").alias("observed"), F.col("lag_days").alias("observed_at"))
     rows = best.select("*", F.explode(F.create_map(*(F.lit(x) for b in _STRENGTH.items() for x in b))).alias("branch", "s"))
     known = ~((F.col("channel") == "5-LOW") & (F.col("band") == "long"))
     p = [F.when(known, F.round(F.exp(-F.col("variant") * (F.col("s") + more) * F.abs("observed") * F.sqrt("pairs") / 4), 6)) for more in (0, 1)]
