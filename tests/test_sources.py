@@ -75,7 +75,7 @@ def test_mapping():
     assert mapping.coordinates(["X", "Y", "Z"]) == {"x_au": "X", "y_au": "Y", "z_au": "Z"}
     assert mapping.bulk_speed(["V", "N"], [{"name": "V", "units": "km/s", "description": "bulk speed"}, {"name": "N", "description": "density"}]) == "V"
     with pytest.raises(mapping.AmbiguousField):
-        mapping.bulk_speed(["speed", "Speed"])
+        mapping.bulk_speed(["VSW", "vsw"])
     with pytest.raises(ValueError):
         mapping.bulk_speed(["N"])
 
@@ -96,6 +96,20 @@ def test_mapping_by_description():
     assert mapping.coordinates([f["name"] for f in axes], axes) == {"x_au": "uX", "y_au": "uY", "z_au": "uZ"}
     speed = [{"name": "V", "units": "km/s", "description": "solar wind bulk velocity"}, {"name": "W", "units": "km/s", "size": [3], "description": "bulk velocity"}, {"name": "N", "units": "#/cc", "description": "number density"}]
     assert mapping.bulk_speed(["V", "W", "N"], speed) == "V"
+    for unit in ("km/s", "km s-1", "km s^-1", "km/sec", "KM per second"):
+        assert mapping.bulk_speed(["V"], [speed[0] | {"units": unit}]) == "V"
+    for other in ({"units": "km"}, {"units": "nT"}, {"description": "proton speed"}, {"units": None}):
+        with pytest.raises(ValueError):
+            mapping.bulk_speed(["V"], [speed[0] | other])
+
+
+def test_axes_stand_alone_in_names():
+    assert mapping.coordinates(["X_AU", "posY", "HCI_Z"]) == {"x_au": "X_AU", "y_au": "posY", "z_au": "HCI_Z"}
+    assert mapping.coordinates(["Bx", "HEX", "xyz", "x2y"], [{"name": "Bx", "units": "nT"}]) == {}
+    with pytest.raises(mapping.AmbiguousField):
+        mapping.coordinates(["a_X", "b_X"])
+    assert mapping.coordinates(["a_X", "b_X"], [{"name": "a_X", "units": "km"}, {"name": "b_X", "units": "AU"}]) == {"x_au": "b_X"}
+    assert mapping.time_column(["a", "t"], [{"name": "t", "type": "isotime"}]) == "t" and mapping.time_column(["a", "t"]) == "a"
 
 
 @pytest.mark.parametrize("version, first", [("3.0", "dataset"), ("2.0", "id")])

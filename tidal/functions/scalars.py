@@ -72,8 +72,3 @@ def concordance(a: Column, b: Column) -> tuple[Column, Column, Column]:
     gap = F.abs(a - b)
     relative = ratio(gap, (a + b) / 2)
     return gap, relative, relative <= 0.1
-
-
-def name_key(text: Column) -> Column:
-    """Upper case without anything but letters and digits."""
-    return F.regexp_replace(F.upper(text), "[^A-Z0-9]+", "")

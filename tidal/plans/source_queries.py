@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sources import acquire, sinks, text
+from ..sources import acquire, formats, sinks, text
 from ..sources.catalogue import ALIASES, CHANNELS, COORDINATES, RECORD, SPEED
 from ..sources.store import shared_folder
-from . import inputs, spectral_queries
+from . import inputs, spectral_queries, stand_in
 from .inputs import with_
 from .registry import ORACLES, query, tidy
 
@@ -167,3 +167,55 @@ def geometry_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concordant_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectral_queries.period_concordance(spark, sf_dir)
     return rows.groupBy("band").agg(F.count("*").alias("windows"), F.count_if(F.col("both_peaks") & F.col("within_10_percent")).alias("concordant"))
+
+
+@query(_K + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count({c}) AS present, count({c}) AS finite, count(*) - count({c}) AS missing, count(CASE WHEN {c} = 0 THEN 1 END) AS zeros, round(sum({c}), 4) AS total FROM D" for c in _CELLS))
+def committed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field report of a committed folder, beside sums of what is read back from it."""
+    formats.register(spark)
+    path = _folder(spark)
+    _records(spark, sf_dir).select("date", *_CELLS).write.format("measurement_records").mode("overwrite").save(path)
+    back = spark.read.format("measurement_records").option("path", path).load()
+    sums = back.unpivot([], list(_CELLS), "field", "value").groupBy("field").agg(F.round(F.sum("value"), 4).alias("total"))
+    return formats.field_report(spark, path).join(sums, "field")
+
+
+def _serve_records(spark: SparkSession, sf_dir: str) -> str:
+    """URL of a service that sends the daily records, one file a year."""
+    path = _folder(spark)
+    time = F.concat(F.col("date").cast("string"), F.lit("T00:00:00Z"))
+    line = F.concat_ws(",", time, *(F.coalesce(F.col(c).cast("string"), F.lit("-9999")) for c in _CELLS))
+    _records(spark, sf_dir).select("y", line.alias("value")).repartition("y").write.partitionBy("y").text(path)
+
+    def lines(start: str, stop: str) -> list[str]:
+        rows = spark.read.text(f"{path}/y={start[:4]}").where((F.substring("value", 1, 10) >= start) & (F.substring("value", 1, 10) < stop))
+        return [r[0] for r in rows.collect()]  # a year of days at most
+
+    fields = [{"name": "Time", "type": "isotime"}, *({"name": c, "type": "double", "fill": "-9999"} for c in _CELLS)]
+    span = spark.read.text(path).select(F.min(F.substring("value", 1, 10)), F.max(F.substring("value", 1, 10))).first()
+    return stand_in.serve(spark.conf.get("spark.driver.host", "127.0.0.1"), {"startDate": span[0], "stopDate": span[1], "parameters": fields}, lines)
+
+
+_CUT = ("1996-03-15", "1999-06-30")
+
+
+@query(_K + f" SELECT date, {', '.join(_CELLS)} FROM D WHERE date BETWEEN DATE '{_CUT[0]}' AND DATE '{_CUT[1]}'")
+def service_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A period of a service's data set, a task a year; the bounds reach the service."""
+    formats.register(spark)
+    rows = spark.read.format("measurement_service").options(url=_serve_records(spark, sf_dir), dataset="records").load()
+    cut = rows.where((F.col("Time") >= F.lit(f"{_CUT[0]} 00:00:00").cast("timestamp")) & (F.col("Time") <= F.lit(f"{_CUT[1]} 00:00:00").cast("timestamp")))
+    return tidy(cut.select(F.col("Time").cast("date").alias("date"), *_CELLS))
+
+
+_NAMED = dict(zip((*CHANNELS, *COORDINATES, SPEED), _CELLS))
+
+
+@query(_K + f" SELECT date, {', '.join(f'{c} AS {n}' for n, c in _NAMED.items())} FROM D")
+def service_daily_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service's fields mapped to channels, coordinates and speed by their metadata, as daily means."""
+    formats.register(spark)
+    rows = spark.read.format("measurement_service").options(url=_serve_records(spark, sf_dir), dataset="records").load()
+    fields = [{"name": f, "type": "isotime" if k == "timestamp" else "double"} for f, k in rows.dtypes]
+    daily, _ = acquire.mapped_daily(rows.withColumn("Time", F.date_format("Time", "yyyy-MM-dd")), fields)
+    return tidy(daily.select("date", *_NAMED))

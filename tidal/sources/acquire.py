@@ -48,7 +48,8 @@ def mapped_daily(raw: DataFrame, fields: Sequence[mapping.Field]) -> tuple[DataF
     """(date, the channels, coordinates and speed that a field stands for) as daily means, and the mapping."""
     time = mapping.time_column(raw.columns, fields)
     others = [c for c in raw.columns if c != time]
-    found = {**mapping.channels(others, fields), **mapping.coordinates(others, fields)}
+    found = mapping.channels(others, fields)
+    found |= mapping.coordinates([c for c in others if c not in found.values()], fields)
     if lacking := [c for c in CHANNELS if c not in found]:
         raise ValueError(f"no field for {lacking}")
     try:
@@ -116,7 +117,7 @@ def assemble(spark: SparkSession, source: Source, folder: str, service: Service
         paths |= {"records": f"{folder}/{source.name}_records", "fixed": f"{folder}/{source.name}_fixed"}
         sinks.write_csv(full, paths["records"])
         sinks.write_fixed(full, paths["fixed"])
-    written = [spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(p).select(F.lit(kind).alias("kind"), "path", F.sha2("content", 256).alias("sha256")) for kind, p in paths.items()]
+    written = [sinks.digests(spark, f"{p}/part-*").select(F.lit(kind).alias("kind"), "path", "sha256") for kind, p in paths.items()]
     for kind, document in (
         ("report", report(daily if full is None else full, source.name, reference_rows)),
         ("notes", spark.createDataFrame([(source.name, json.dumps(notes, default=str))], "series string, notes string")),

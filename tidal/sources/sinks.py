@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalogue
+from . import catalogue, downloads
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -30,4 +30,4 @@ def write_fixed(rows: DataFrame, path: str) -> None:
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return downloads.digests(spark, path).select("path", "sha256")
