@@ -342,14 +342,15 @@ def test_sampling_window_stays_in_range(spark):
 def test_review_by_branch(spark):
     from tidal.operators import review
 
-    rows = [("c", "x", v, b, 0.5, p, s) for v in review.VARIANTS for b, p, s in (("acf_a", 0.9, 0.8), ("acf_b", 0.7, 0.6), ("ccf", 0.01, 0.1))]
-    rows += [("d", "x", "raw", "ccf", None, None, None)]
-    tests = spark.createDataFrame(rows, "channel string, band string, variant string, branch string, observed double, p_ar1 double, p_shift double").withColumn("p", review.branch_p())
-    got = {r["channel"]: r for r in review.by_branch(review.adjusted_by_branch(tests), ["channel", "band"], 9, members=12).collect()}
+    rows = [("c", "x", v, b, 0.5, 470.0, p, s) for v in review.VARIANTS for b, p, s in (("acf_a", 0.9, 0.8), ("acf_b", 0.7, 0.6), ("ccf", 0.01, 0.1))]
+    rows += [("d", "x", "raw", "ccf", None, None, None, None)]
+    tests = spark.createDataFrame(rows, "channel string, band string, variant string, branch string, observed double, observed_at double, p_ar1 double, p_shift double").withColumn("p", review.branch_p())
+    got = {r["channel"]: r for r in review.by_branch(review.adjusted_by_branch(tests), ["channel", "band"], 9, members=12, affected=("d",)).collect()}
     # the shift test counts for ccf, red noise for the rest; a missing test flags nothing and doesn't count in its family
     assert (got["c"]["raw_acf_a_p"], got["c"]["raw_ccf_p"], got["c"]["detrended_acf_b_p"]) == (0.9, 0.1, 0.7)
     assert got["c"]["raw_ccf_holm"] == got["c"]["raw_ccf_fdr"] == 0.1 and got["c"]["raw_at_floor"] and not got["c"]["robust"]
     assert got["d"]["raw_ccf_p"] is None and got["d"]["detrended_ccf_p"] is None and not got["d"]["raw_significant"] and not got["d"]["raw_at_floor"]
+    assert got["c"]["raw_ccf_lag"] == 470 and got["d"]["raw_ccf_lag"] is None and (got["c"]["quality_limited"], got["d"]["quality_limited"]) == (False, True)
     assert got["c"]["p_floor"] == 0.1 and got["c"]["holm_floor"] == 1.0
     assert review.by_branch(review.adjusted_by_branch(tests.where("channel = 'e'")), ["channel", "band"], 9, 12).count() == 0
 
@@ -367,3 +368,25 @@ def test_window_lengths_once(spark):
 
     got = spectral_queries.tracking(spark, "/root/testdata/sf0.001", (3, 1, 3, 5)).select("years").distinct()
     assert sorted(r[0] for r in got.collect()) == [3, 5]
+
+
+def test_locked_tests_carry_statuses(spark):
+    from tidal.operators import phases
+
+    r, t = np.random.default_rng(11), np.arange(1500)
+    x = np.exp(np.sin(2 * np.pi * t / 90) + 0.3 * r.standard_normal(1500))
+    rows = sided(spark, x, x[::-1]).drop("k").withColumn("channel", F.lit("c"))
+    few = sided(spark, x[:20], x[:20]).drop("k").withColumn("channel", F.lit("few"))
+    locked = spark.createDataFrame([("c", "near", "primary"), ("few", "near", "other"), ("none", "near", "other")], "channel string, band string, role string")
+    got = phases.locked_spectral(rows.unionByName(few), locked, (70, 110), 39, 40).collect()
+    assert len(got) == 3 * 2 * 2 and {(g["channel"], g["status"]) for g in got} == {("c", "ok"), ("few", "insufficient_data"), ("none", "insufficient_data")}
+    for g in got:
+        if g["channel"] == "c":  # two tests of a family count
+            assert g["p_value"] == 0.025 and g["p_holm"] == 0.05 and g["q_bh"] == 0.025 and abs(g["observed_at"] - 90) < 3 and g["band"] == "near" and g["role"] == "primary"
+        else:
+            assert g["p_value"] is None and g["p_holm"] is None and g["q_bh"] is None
+    both = {(g["channel"], g["variant"], g["statistic"]): g for g in phases.locked_joint(rows.unionByName(few), locked, (70, 110), 39, 40, 2, 1, 100).collect()}
+    assert len(both) == 3 * 2 * 3 and both["few", "raw", "joint"]["status"] == "insufficient_window_data" and both["none", "raw", "a"]["status"] == "insufficient_data"
+    joint = both["c", "raw", "joint"]
+    assert joint["p_value"] == joint["p_holm"] == 0.025 and both["c", "raw", "a"]["p_holm"] is None
+    assert joint["window_start"].year in (2000, 2001, 2002) and (joint["window_stop"] - joint["window_start"]).days in (729, 730)

@@ -19,7 +19,7 @@ from . import nulls
 from .lagcorr import binned, discrete_correlation
 from .multiplicity import adjusted
 from .peaks import band_maximum, lag_morphology, nearest_window_peak, spectrum_morphology, top_peaks
-from .series import detrended, transformed, with_day
+from .series import detrended, in_windows, transformed, with_day
 from .spectra import lomb_scargle_log, sampling_window
 
 #: Names of the variants, and how values are detrended.
@@ -130,3 +130,14 @@ def atlas(rows: DataFrame, bands: Bands, tests: DataFrame, lo: int = 200, hi: in
     }
     got = spectral.join(lagged, at, "left").join(prior, at, "left").join(quality, "channel", "left").withColumns(flags)
     return got.drop(*(f"_{n}_{s}" for n in wanted for s in "ab"))
+
+
+def localised(rows: DataFrame, candidates: DataFrame, windows: DataFrame, bands: Bands, lo: int = 250, hi: int = 600, width: int = 10, least_pairs: int = 30) -> DataFrame:
+    """(channel, band, branch, window_start, lag_bin_center, dcf, pairs): best bins of three DCFs in each window (window_start, window_stop), standardised within it,
+    for the channels and bands of candidates only."""
+    named = candidates.select("channel", "band").dropDuplicates()
+    logs = transformed(rows, "log10").join(named.select("channel").dropDuplicates(), "channel", "left_semi")
+    placed = in_windows(logs, windows).select("channel", "window_start", "side", "date", "value")
+    keys = ["channel", "window_start"]
+    best = band_maximum(profiles(placed, keys, lo, hi, width), [*keys, "branch"], "lag_bin_center", "dcf", bands, least_pairs, others=["pairs"])
+    return best.join(named, ["channel", "band"], "left_semi")

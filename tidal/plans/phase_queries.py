@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from ..sources.phase_store import PhaseStore
 from ..sources.store import shared_folder
 from . import inference_queries, inputs, spectral_queries
 from .inputs import BANDS
-from .lag_queries import HI, LEAST, LO, WIDTH, bands_sql, dcf_sql, windows, z_sql
+from .lag_queries import HI, LEAST, LO, WIDTH, bands_sql, dcf_sql, prominence_sql, windows, z_sql
 from .lag_queries import _windows_sql as windows_sql
 from .registry import query, tidy
+from .series_queries import runs_sql
 
 SIMULATIONS = 499
 
@@ -210,6 +212,82 @@ def screening_of_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(phases.screening(_rows(spark, sf_dir), BANDS, LO, HI, WIDTH, _SCREEN_N, LEAST))
 
 
+# what the tests lead to: windows of the candidates, and an atlas beside the tests
+
+#: Lax, as so few simulations can't give less than 0.1.
+_LEVEL = 0.35
+
+
+def _tested(spark: SparkSession, sf_dir: str) -> tuple[PhaseStore, str]:
+    """A phase store with a run of the tests, and the run's name."""
+    store = PhaseStore(spark, f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}")
+    return store, store.write("significance", significance(_sides(spark, sf_dir), BANDS, _FEW), {"simulations": _FEW})
+
+
+_TESTS = "(SELECT * FROM (" + _test_sql(_FEW) + " SELECT * FROM TA))"
+_LOCAL = "WITH RECURSIVE " + _SD + f", PT AS {_TESTS}, CD AS (SELECT DISTINCT channel, band FROM PT WHERE q_bh < {_LEVEL})" + (
+    ", WE AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT channel, side, min(date) AS lo, max(date) AS hi FROM SD GROUP BY ALL)), WN AS (SELECT lo AS ws FROM WE UNION ALL SELECT CAST(ws + INTERVAL 1 YEAR AS DATE) FROM WN, WE WHERE ws < hi),"
+    " W AS (SELECT ws AS window_start, CAST(ws + to_years(3) - INTERVAL 1 DAY AS DATE) AS window_stop FROM WN, WE WHERE ws + to_years(3) - INTERVAL 1 DAY <= hi),"
+    " LW AS (SELECT channel || '|' || window_start AS cw, side, date, value FROM SD JOIN W ON date BETWEEN window_start AND window_stop WHERE channel IN (SELECT channel FROM CD)), LS_ AS (SELECT cw || '|' || side AS ck, date, value FROM LW)"
+) + z_sql("ZS", "LS_", "ck") + dcf_sql("ZS", "ZS", LO, HI, "ck") + ", ZA AS (SELECT left(ck, length(ck) - 2) AS cw, date, z FROM ZS WHERE ck LIKE '%|a'), ZB AS (SELECT left(ck, length(ck) - 2) AS cw, date, z FROM ZS WHERE ck LIKE '%|b')" + inference_queries._suffixed(dcf_sql("ZA", "ZB", LO, HI, "cw"), "_x") + (
+    ", LB AS (SELECT split_part(ck, '|', 1) AS channel, CAST(split_part(ck, '|', 2) AS DATE) AS window_start, 'acf_' || split_part(ck, '|', 3) AS branch, lag_bin_center, dcf, pairs FROM DB UNION ALL SELECT split_part(cw, '|', 1), CAST(split_part(cw, '|', 2) AS DATE), 'ccf', lag_bin_center, dcf, pairs FROM DB_x),"
+    " LZ AS (SELECT LB.*, CD.band, row_number() OVER (PARTITION BY LB.channel, window_start, branch, CD.band ORDER BY dcf DESC, lag_bin_center) AS r FROM LB JOIN CD ON LB.channel = CD.channel JOIN (" + bands_sql() + ") BB ON BB.band = CD.band AND lag_bin_center BETWEEN lo AND hi WHERE pairs >= 30 AND dcf IS NOT NULL)"
+)
+
+
+@query(_LOCAL + " SELECT channel, band, branch, window_start, lag_bin_center, round(dcf, 7) AS dcf, pairs FROM LZ WHERE r = 1")
+def localised_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best bins in sliding windows, of the channels and bands that a run of the tests names."""
+    store, run = _tested(spark, sf_dir)
+    rows = _rows(spark, sf_dir)
+    found = review.candidates(store.read(run).where(F.col("q_bh") < _LEVEL), ["channel", "band"])
+    span = series.common_span(rows, ["channel", "side"]).first()
+    wins = series.windows_frame(spark, series.calendar_windows(span["first"], span["last"], 3) if span else [])
+    return tidy(phases.localised(rows, found, wins, BANDS, LO, HI, WIDTH))
+
+
+_AN, _ALO, _AHI = 3000, 200, 700
+_GRID = spectral_queries._freqs(_ALO, _AHI, _AN)
+_ATLAS = "WITH RECURSIVE " + _SD + f", PT AS {_TESTS}" + (
+    ", SPO AS (SELECT channel, side, min(date) AS lo, max(date) AS hi FROM SD WHERE value > 0 GROUP BY ALL), SPA AS (SELECT channel, side, 'own' AS span, lo, hi FROM SPO UNION ALL SELECT channel, side, 'common', max(lo) OVER c, min(hi) OVER c FROM SPO WINDOW c AS (PARTITION BY channel)),"
+    " SPK AS (SELECT channel || '|' || side || '|' || span AS ck, lo, hi FROM SPA), AK AS (SELECT channel || '|' || side || '|' || span AS ck, date, value FROM SD JOIN SPA USING (channel, side) WHERE date BETWEEN lo AND hi AND value > 0)"
+) + "".join(spectral_queries.prepared_sql("AK", "ck", d, True, f"A{v[0]}") + spectral_queries.lomb_sql(_GRID, "ck", True, src=f"A{v[0]}", name=f"L{v[0]}") + spectral_queries.morph_sql(f"L{v[0]}", f"M{v[0]}", "ck") for v, d in _DETREND.items()) + (
+    spectral_queries.window_sql("AK", _ALO, _AHI, "ck", True, "(SELECT * FROM SPK)") + spectral_queries.morph_sql("SW", "MW", "ck")
+    + ", TW AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY prominence DESC, power DESC, period_days) AS rank FROM MWPR WHERE peak) WHERE rank <= 12)"
+    + ", SG AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM M{v[0]}" for v in _DETREND) + ")"
+    + ", NW AS (SELECT SG.ck, variant, SG.band, SG.period_days AS p, SG.is_local_peak, SG.at_band_edge, TW.period_days AS w, abs(1 / TW.period_days - 1 / SG.period_days) * (date_diff('day', lo, hi) + 1) AS sep, row_number() OVER (PARTITION BY SG.ck, variant, SG.band ORDER BY abs(1 / TW.period_days - 1 / SG.period_days), TW.period_days) AS r FROM SG JOIN SPK ON SPK.ck = SG.ck LEFT JOIN TW ON TW.ck = SG.ck)"
+    + ", NA1 AS (SELECT split_part(ck, '|', 1) AS channel, split_part(ck, '|', 2) AS side, split_part(ck, '|', 3) AS span, * FROM NW WHERE r = 1)"
+    + ", OV0 AS (SELECT channel, side, date, log10(value) AS v, date_diff('day', DATE '1970-01-01', date) AS t FROM SD WHERE value > 0), OV1 AS (SELECT *, v - avg(v) OVER o AS y, t - avg(t) OVER o AS u FROM OV0 WINDOW o AS (PARTITION BY channel, side)), OV AS (SELECT channel || '|' || side || '|raw' AS ov, date, v FROM OV0 UNION ALL SELECT channel || '|' || side || '|detrended', date, y - sum(y * u) OVER o / sum(u * u) OVER o * u FROM OV1 WINDOW o AS (PARTITION BY channel, side)), OZ AS (SELECT ov, date, coalesce((v - avg(v) OVER o) / nullif(stddev_pop(v) OVER o, 0), 0) AS z FROM OV WINDOW o AS (PARTITION BY ov))"
+    + dcf_sql("OZ", "OZ", _ALO, _AHI, "ov") + f", Q AS (SELECT * FROM DB WHERE pairs >= {LEAST} AND dcf IS NOT NULL)" + runs_sql("Q", "lag_bin_center", "dcf", "ov") + prominence_sql("lag_bin_center", "dcf", "ov")
+    + f", LM AS (SELECT * FROM (SELECT split_part(ov, '|', 1) AS channel, split_part(ov, '|', 2) AS side, split_part(ov, '|', 3) AS variant, band, lag_bin_center AS lag, dcf, peak, lag_bin_center <= lo + {WIDTH / 2} OR lag_bin_center >= hi - {WIDTH / 2} AS edge, row_number() OVER (PARTITION BY ov, band ORDER BY dcf DESC, lag_bin_center) AS r FROM PR JOIN (" + bands_sql() + ") ON lag_bin_center BETWEEN lo AND hi) WHERE r = 1)"
+)
+
+
+def _pivot_sql(columns: dict[str, str], condition: str, rounded: Sequence[str] = ()) -> str:
+    return ", ".join(f"max(CASE WHEN {condition.format(s=s)} THEN {f'round({c}, 7)' if n in rounded else c} END) AS {n}_{s}" for s in "ab" for n, c in columns.items())
+
+
+_LS = {"ls_period": "p", "ls_local_peak": "is_local_peak", "ls_band_edge": "at_band_edge", "window_period": "w", "window_separation": "sep", "alias_warning": "sep <= 1"}
+_ATLAS += (
+    f", A1 AS (SELECT channel, band, variant, {_pivot_sql(_LS, 'side = {q}{{s}}{q} AND span = {q}own{q}'.format(q=chr(39)), ('ls_period', 'window_period', 'window_separation'))} FROM NA1 GROUP BY ALL),"
+    f" A2 AS (SELECT channel, band, variant, {_pivot_sql(_LS, 'side = {q}{{s}}{q} AND span = {q}common{q}'.format(q=chr(39)))} FROM NA1 GROUP BY ALL),"
+    f" A3 AS (SELECT channel, band, variant, {_pivot_sql({'acf_lag': 'lag', 'acf_dcf': 'dcf', 'acf_local_peak': 'peak', 'acf_band_edge': 'edge'}, 'side = {q}{{s}}{q}'.format(q=chr(39)), ('acf_dcf',))} FROM LM GROUP BY ALL),"
+    f" A4 AS (SELECT channel, band, variant, {_pivot_sql({c: c for c in ('p', 'p_holm', 'q_bh')}, 'branch = {q}acf_{{s}}{q}'.format(q=chr(39)), ('p', 'p_holm', 'q_bh'))} FROM PT GROUP BY ALL)"
+)
+_OF_A2 = {
+    "common_period_difference": "round(abs(A2.ls_period_a - A2.ls_period_b), 7)", "common_within_10_percent": "abs(A2.ls_period_a - A2.ls_period_b) / ((A2.ls_period_a + A2.ls_period_b) / 2) <= 0.1",
+    "either_common_alias_warning": "coalesce(A2.alias_warning_a, false) OR coalesce(A2.alias_warning_b, false)", "either_common_band_edge": "coalesce(A2.ls_band_edge_a, false) OR coalesce(A2.ls_band_edge_b, false)",
+    "both_common_local_peaks": "coalesce(A2.ls_local_peak_a AND A2.ls_local_peak_b, false)",
+}
+
+
+@query(_ATLAS + " SELECT A1.*, " + ", ".join(f"A3.{n}_{s}" for s in "ab" for n in ("acf_lag", "acf_dcf", "acf_local_peak", "acf_band_edge")) + ", " + ", ".join(f"A4.{n}_{s}" for s in "ab" for n in ("p", "p_holm", "q_bh")) + ", SPO.hi < DATE '1999-01-01' AS quality_limited, " + ", ".join(f"{e} AS {n}" for n, e in _OF_A2.items()) + " FROM A1 LEFT JOIN A2 USING (channel, band, variant) LEFT JOIN A3 USING (channel, band, variant) LEFT JOIN A4 USING (channel, band, variant) LEFT JOIN SPO ON SPO.channel = A1.channel AND SPO.side = 'b'")
+def periodicity_atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags, spectra and sampling windows of both sides beside the tests of an earlier run."""
+    store, run = _tested(spark, sf_dir)
+    return tidy(phases.atlas(_rows(spark, sf_dir), BANDS, store.read(run), _ALO, _AHI, WIDTH, _AN, LEAST, "1999-01-01"))
+
+
 # the same with stand-in p-values, which SQL can make
 
 _STRENGTH = {"acf_a": 1, "acf_b": 2, "ccf": 3}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,9 +211,17 @@ def acf_positive_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(peaks.positive_lag_peaks(_acf(spark, sf_dir)))
 
 
-_WINDOWS = [(y, a, b) for y in (2, 3, 4, 5) for a, b in series.calendar_windows(date(1996, 2, 29), date(2001, 7, 31), y)]
+_ENDS = ", ".join(f"{f}((SELECT {g}(date) FROM A), (SELECT {g}(date) FROM B)) AS {n}" for f, g, n in (("greatest", "min", "lo"), ("least", "max", "hi")))
 
 
-@query("WITH RECURSIVE Y AS (SELECT unnest([2, 3, 4, 5]) AS years), W AS (SELECT years, DATE '1996-02-29' AS s FROM Y UNION ALL SELECT years, CAST(s + INTERVAL 1 YEAR AS DATE) FROM W WHERE s < DATE '2003-01-01') SELECT CAST(years AS BIGINT) AS years, s AS window_start, CAST(s + to_years(years) - INTERVAL 1 DAY AS DATE) AS window_stop FROM W WHERE s + to_years(years) - INTERVAL 1 DAY <= DATE '2001-07-31'")
+@query(with_("O", "A", "B") + f", WE AS (SELECT {_ENDS}), Y AS (SELECT unnest([2, 3, 4, 5]) AS years), W AS (SELECT years, lo AS s FROM Y, WE UNION ALL SELECT years, CAST(s + INTERVAL 1 YEAR AS DATE) FROM W, WE WHERE s < hi), V AS (SELECT years, s AS window_start, CAST(s + to_years(years) - INTERVAL 1 DAY AS DATE) AS window_stop FROM W, WE WHERE s + to_years(years) - INTERVAL 1 DAY <= hi)"
+       " SELECT CAST(years AS BIGINT) AS years, window_start, window_stop, (SELECT count(*) FROM A WHERE date BETWEEN window_start AND window_stop) AS values_a, (SELECT count(*) FROM B WHERE date BETWEEN window_start AND window_stop) AS values_b FROM V")
 def calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_WINDOWS, "years long, window_start date, window_stop date")
+    """Windows of whole years within the days that both series share, and the values of each in them."""
+    a, b = (x.withColumn("side", F.lit(s)) for x, s in zip(inputs.pair(spark, sf_dir), "ab"))
+    both = a.unionByName(b)
+    span = series.common_span(both, ["side"]).first()
+    found = [(y, *w) for y in (2, 3, 4, 5) for w in (series.calendar_windows(span["first"], span["last"], y) if span else [])]
+    wins = spark.createDataFrame(found, "years long, window_start date, window_stop date")
+    counts = [F.count(F.when(F.col("side") == s, F.col("value"))).alias(f"values_{s}") for s in "ab"]
+    return series.in_windows(both, wins).groupBy("years", "window_start", "window_stop").agg(*counts)
