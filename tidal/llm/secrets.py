@@ -10,7 +10,8 @@ of all documents, from a histogram of bounded size, and candidates that pass
 and lie in no pattern span are reported as kind ``random``.
 
 Defined results: a null or empty text has no spans; equal rows are scanned
-separately; an empty table gives an empty result; extra columns are ignored.
+separately; an empty table gives an empty result; very long texts are scanned whole;
+p-values that tie share a bin and are reported together; extra columns are ignored.
 Offsets are code points, end exclusive.
 """
 
@@ -19,15 +20,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks
-from .store import lean, unused
+from .store import ensure_session, lean
 
 #: Fixed patterns and least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -131,14 +134,18 @@ def suspects(column: pa.Array) -> np.ndarray:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
-    """Pattern spans (start, end, kind number) in order, and candidates with length class and p bin."""
+    """Pattern spans (start, end, kind number) in order, and candidates outside of them with length class and p bin."""
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], x[2]))
-    more = []
+    more, upto, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
+        while upto < len(base) and base[upto][0] <= m.start():
+            reach, upto = max(reach, base[upto][1]), upto + 1
+        if m.end() <= reach:
+            continue
         token = m.group()
         stratum = sum(len(token) >= x for x in LENGTHS) - 1
         more.append((m.start(), m.end(), 3, stratum, min(LAST, int(-math.log10(max(battery(token), 1e-300)) * STEP))))
@@ -178,20 +185,39 @@ def thresholds(histogram: list[tuple[int, int, int]], rate: float) -> dict[int,
     return out
 
 
+def _bin_counts(candidates: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    counts = Counter(candidates)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], type=pa.int32()), pa.array([k[1] for k in counts], type=pa.int32()), pa.array(list(counts.values()), type=pa.int64())], names=["stratum", "bin", "n"])
+
+
+def fit_thresholds(docs: DataFrame, rate: float = 0.01) -> dict[int, int]:
+    """The thresholds of all documents' candidates outside of pattern spans; a task sends its counts only, at most 5 x 801 rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _bin_counts((t, b) for batch in batches for text, suspect in zip(batch.column(0), suspects(batch.column(0)).tolist()) if suspect for *_, t, b in scan(text.as_py())[1])
+
+    ensure_session(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(lean(run), "stratum int, bin int, n long").groupBy("stratum", "bin").agg(F.sum("n")).collect()
+    return thresholds([tuple(r) for r in counts], rate)
+
+
 def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, counts and digest of pattern spans, spans as array and as text.
 
-    rate: expected share of word-like tokens among reported random spans of a
-    length class.  Only the histogram (at most 5 x 801 rows) comes to the driver.
+    rate: expected share of word-like tokens among reported random spans of a length
+    class.  Candidates inside a pattern span are neither reported again nor counted as
+    discoveries.  Only the histogram (at most 5 x 801 rows) comes to the driver.
     """
+    ensure_session(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan_batches), SCHEMA).checkpoint()
     histogram = found.select(F.explode("more").alias("m")).groupBy("m.stratum", "m.bin").count().collect()
     least = thresholds([tuple(r) for r in histogram], rate)
+
     def reported(m):
         ok = F.lit(False)
         for stratum, at in sorted(least.items()):
             ok = ok | ((m["stratum"] == stratum) & (m["bin"] >= at))
-        return ok & ~F.exists("base", lambda b: (b["s"] <= m["s"]) & (b["e"] >= m["e"]))
+        return ok
 
     plain = F.transform(F.filter("more", reported), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["k"].alias("k")))
     every = F.sort_array(F.transform(F.concat("base", plain), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
@@ -204,24 +230,42 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     )
 
 
+def redacted(text: str, least: dict[int, int], mark: str) -> str:
+    """The text with each reported span replaced by mark; spans that overlap are replaced as one."""
+    base, more = scan(text)
+    spans = sorted([(s, k, e) for s, e, k in base] + [(s, k, e) for s, e, k, stratum, b in more if b >= least.get(stratum, LAST + 1)])
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01) -> DataFrame:
     """Documents with every reported span replaced by mark; other columns stay, n_chars follows the text where that changes.
 
-    Spans that overlap are replaced as one.  Rows with the same doc_id and text get the same result.
+    One pass counts candidates, a second one replaces spans in place, so that no text is
+    shuffled.  Spans that overlap are replaced as one; a null text stays null; equal rows get
+    equal results.
     """
-    row, marks = unused(docs, "row"), unused(docs, "marks")
-    found = find_secrets(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), rate).where(F.size("span_list") > 0)
-    spans = found.select(F.col("doc_id").alias(row), F.transform("span_list", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(marks)).dropDuplicates([row])
-    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(spans, row, "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, x):
-        fresh = x["s"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
-
-    done = F.aggregate(marks, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
-    out = joined.withColumn("text", F.when(F.col(marks).isNotNull(), done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(marks).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    least, columns = fit_thresholds(docs, rate), docs.columns
+    text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            changed = {}
+            for i in np.flatnonzero(suspects(batch.column(text))).tolist():
+                old = batch.column(text)[i].as_py()
+                new = redacted(old, least, mark)
+                if new != old:
+                    changed[i] = new
+            if changed:
+                at = pa.array([i in changed for i in range(batch.num_rows)])
+                arrays[text] = pc.replace_with_mask(batch.column(text), at, pa.array(list(changed.values()), type=batch.column(text).type))
+                if chars is not None:
+                    arrays[chars] = pc.replace_with_mask(batch.column(chars), at, pa.array([len(x) for x in changed.values()], type=batch.column(chars).type))
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    return docs.mapInArrow(lean(run), docs.schema)
