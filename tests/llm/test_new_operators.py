@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidal.llm import alignment, queries, sentence_pieces, units, whitening
+from tidal.llm import alignment, queries, secrets, sentence_pieces, sharding, units, whitening
 
 DATA = "/root/testdata/sf0.001"
 BITS = ["a", "b", " ", "  ", "the", "\n", " \n", "é", "日本", "😀", " ", "ab", "\x00", "<s>", "</s>", "<|endoftext|>", "<0x0A>", "x" * 7, "  " * 5, "\t", "ing", "tion", " format", "'s", "1999", "\xa0", "naïve", "مرحبا", "\x1c", "\x85", "é"]
@@ -271,3 +271,48 @@ def test_exact_sums_carry():
     part = np.array([2, 5, -1, 0xFFFFFFFF, 7], dtype=np.int64).tobytes()
     got = np.frombuffer(functools.reduce(whitening._merge_sums, [part] * 9), dtype=np.int64).tolist()
     assert got[0] == 18 and [(h << 32) + low for h, low in zip(got[1:3], got[3:])] == [9 * ((5 << 32) + 0xFFFFFFFF), 9 * ((-1 << 32) + 7)]
+
+
+# control of discoveries, and sizes of shards
+
+def test_candidates_in_patterns_are_no_discoveries(spark):
+    r = random.Random(8)
+    hexes = [f"key {hashlib.sha256(bytes([i])).hexdigest()} end" for i in range(60)]
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(3, 8)))
+    words = [" ".join("_".join(word() for _ in range(5)) for _ in range(4)) for _ in range(150)]
+    tokens = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(44)) for _ in range(3)]
+    texts = [*words, *(f"a {t} b" for t in tokens), None, ""]
+    frame_of = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alone, beside = (secrets.fit_thresholds(frame_of(t)) for t in (texts, [*texts, *hexes]))
+    assert alone == beside
+    histogram = Counter((t, b) for x in texts if x for *_, t, b in secrets.scan(x)[1])
+    for stratum, least in alone.items():
+        bins = [b for (t, b), n in histogram.items() if t == stratum for _ in range(n)]
+        fits = [b for b in bins if 10 ** (-b / secrets.STEP) * len(bins) <= 0.01 * sum(x >= b for x in bins)]
+        assert least == (min(fits) if fits else secrets.LAST + 1)
+    got = {x["doc_id"]: x for x in secrets.find_secrets(frame_of([*texts, *hexes])).collect()}
+    for i, text in enumerate([*texts, *hexes]):
+        base, more = secrets.scan(text or "")
+        spans = sorted([(s, k, e) for s, e, k in base] + [(s, k, e) for s, e, k, t, b in more if b >= alone.get(t, secrets.LAST + 1)])
+        assert got[i]["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    assert all(got[len(words) + i]["n_random"] == 1 for i in range(3))
+
+
+def test_redaction_in_place(spark):
+    key = hashlib.sha256(b"x").hexdigest()
+    rows = [(1, None, None, "m", 0), (2, "", 0, "m", 0), (3, f"é {key} and password={key}", 9, "m", 1), (3, f"é {key} and password={key}", 9, "m", 1), (None, "plain words", 11, "m", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, marks string, row int")
+    got = sorted((tuple(r) for r in secrets.redact(docs).collect()), key=str)
+    cut = "é [secret] and [secret]"
+    assert got == sorted([rows[0], rows[1], (3, cut, len(cut), "m", 1), (3, cut, len(cut), "m", 1), rows[4]], key=str)
+    assert secrets.redact(docs.limit(0)).count() == 0 and secrets.redact(docs).schema == docs.schema
+
+
+def test_shards_are_of_the_target_size(spark, tmp_path):
+    rows = spark.range(12000).select("id", F.concat(*(F.sha2(F.concat("id", F.lit(str(i))), 256) for i in range(16))).alias("text"))
+    store = sharding.Store(spark, str(tmp_path / "s"), target_bytes=1 << 20, fan_in=4)
+    store.append(rows.repartition(48))
+    store.compact()
+    sizes = sorted(s["bytes"] / (1 << 20) for s in store.manifest()["shards"])
+    whole = [x for x in sizes if x >= 0.5]
+    assert max(sizes) <= 1.5 and sum(whole) >= 0.9 * sum(sizes) and store.read().count() == 12000

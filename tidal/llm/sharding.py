@@ -81,10 +81,10 @@ class Store:
 
     # shards
 
-    def _write(self, rows: DataFrame) -> list[dict]:
-        """Writes a new folder and lists its files with more than no rows, which a job counts by their footers."""
+    def _write(self, rows: DataFrame, most_rows: int = 0) -> list[dict]:
+        """Writes a new folder, a task's rows in files of most_rows at most (0: in one), and lists its files with more than no rows, which a job counts by their footers."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+        rows.write.option("maxRecordsPerFile", most_rows).parquet(folder)
         written = self.spark.read.schema(rows.schema).parquet(folder)
         file = written.metadataColumn("_metadata")
         counts = written.groupBy(file["file_name"].alias("name"), file["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
@@ -104,22 +104,24 @@ class Store:
 
     def compact(self) -> int:
         """Merges tiers, that of the smallest shards first, until none but the largest holds fan_in shards; returns the version."""
-        version = self.version()
+        version, left = self.version(), set()
         while True:
             base = self.manifest(version)
             tiers: dict[int, list[dict]] = {}
             for s in base["shards"]:
                 tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-            full = [t for t, shards in tiers.items() if t > 0 and len(shards) >= self.fan_in]
+            full = [t for t, shards in tiers.items() if t > 0 and t not in left and len(shards) >= self.fan_in]
             if not full:
                 return version
             merged = tiers[max(full)]
-            files = max(1, round(sum(s["bytes"] for s in merged) / self.target))
+            size, rows = (sum(s[c] for s in merged) for c in ("bytes", "rows"))
+            files = max(1, round(size / self.target))
             old = {s["path"] for s in merged}
-            fresh = self._write(self._rows(merged, base["schema"]).coalesce(files))
+            # a scan's splits may be larger than the target, so a task's rows are cut by their number as well
+            fresh = self._write(self._rows(merged, base["schema"]).coalesce(files), math.ceil(1.25 * rows / files))
             version = self._commit(base, [s for s in base["shards"] if s["path"] not in old] + fresh, base["schema"], "compact")
             if len(fresh) >= len(merged):
-                return version
+                left.add(max(full))
 
     def _rows(self, shards: list[dict], schema: str) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
