@@ -167,13 +167,3 @@ def twice(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Arrow strings over a byte buffer, without a copy of the bytes."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-
-
-def join_kept(data: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.ndarray, per: np.ndarray) -> list[bytes]:
-    """For texts of per words each, the kept words joined by one space, as bytes."""
-    out, at, buffer = [], 0, data.tobytes()
-    for n in per:
-        s, e, k = start[at : at + n], end[at : at + n], keep[at : at + n]
-        at += n
-        out.append(b" ".join([buffer[i:j] for i, j in zip(s[k].tolist(), e[k].tolist())]))
-    return out
