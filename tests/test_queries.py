@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got.columns) and len(got)
+        if "p_value" in got and "used" in got:
+            ok = got[got["status"] == "ok"]
+            assert (len(ok) or set(got["status"]) == {"no_statistic"}) and (abs(ok["p_value"] - (ok["exceedances"] + 1) / (ok["used"] + 1)) < 1e-6).all() and (ok["exceedances"] <= ok["used"]).all()
+            assert (ok["null_q95"] <= ok["null_q99"]).all() and (ok["used"] > 400).all() and got[got["status"] != "ok"]["p_value"].isna().all()
+        for p in (c for c in got.columns if c == "p" or c.endswith(("_p", "_holm", "_fdr", "q_bh"))):
+            assert got[p].dropna().between(0, 1).all()

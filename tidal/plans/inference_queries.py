@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import multiplicity, noise, nulls, peaks, series, spectra
+from ..sources.store import written
 from . import inputs, lag_queries, spectral_queries
 from .inputs import BANDS, with_
 from .lag_queries import HI, LEAST, LO, bands_sql, dcf_sql, z_sql
@@ -152,7 +153,7 @@ _COLUMNS = ["status", "observed", "observed_at", "p_value", "exceedances", "used
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series A as log10 of its positive values, side a."""
-    return series.transformed(inputs.pair(spark, sf_dir)[0].withColumn("side", F.lit("a")), "log10")
+    return written(series.transformed(inputs.pair(spark, sf_dir)[0].withColumn("side", F.lit("a")), "log10"))
 
 
 @query(with_("O", "A", _AK) + _DAYS + noise_sql("DY", "side", _SIMS) + _RAWZ.format(n="ZN", src="NZ") + dcf_sql("ZN", "ZN", LO, HI, "sim") + _band_max_sql("DB", "NU", "sim") + z_sql("ZA", "A") + _suffixed(dcf_sql("ZA", "ZA", LO, HI), "_o") + _band_max_sql("DB_o", "OB") + " " + _SUMMARY.format(k="band"))
@@ -218,23 +219,23 @@ def circular_shift_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ar1_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded random AR(1) test of the DCF band maxima of every channel."""
-    return tidy(nulls.ar1_dcf_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], BANDS))
+    return tidy(nulls.ar1_dcf_null(written(series.transformed(inputs.orders(spark, sf_dir), "log10")), ["channel"], BANDS))
 
 
 @query()
 def ar1_spectral_null_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded random AR(1) test of every channel's largest power in the band."""
-    return tidy(nulls.ar1_spectral_null(series.transformed(inputs.orders(spark, sf_dir), "log10"), ["channel"], (430, 520)))
+    return tidy(nulls.ar1_spectral_null(written(series.transformed(inputs.orders(spark, sf_dir), "log10")), ["channel"], (430, 520)))
 
 
 @query()
 def red_noise_band_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(nulls.red_noise_null(inputs.orders(spark, sf_dir), ["channel"], (430, 520)))
+    return tidy(nulls.red_noise_null(written(inputs.orders(spark, sf_dir)), ["channel"], (430, 520)))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (series.transformed(x, "log10") for x in inputs.pair(spark, sf_dir))
-    return a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).withColumn("pair", F.lit("ab"))
+    return written(a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).withColumn("pair", F.lit("ab")))
 
 
 @query(_ROLLED.replace("{draws}", _DRAWN) + ", NU AS (SELECT DW.sim, band, s FROM DW JOIN ND ON ND.sim = shift) " + _SUMMARY.format(k="band").replace("SELECT o.", "SELECT 'ab' AS pair, o.", 1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import lagcorr, nulls, peaks, phases, review, series
 from ..sources import sinks, text
 from ..sources.phase_store import PhaseStore
-from ..sources.store import shared_folder
+from ..sources.store import shared_folder, written
 from . import inference_queries, inputs, spectral_queries
 from .inputs import BANDS
 from .lag_queries import HI, LEAST, LO, WIDTH, bands_sql, dcf_sql, prominence_sql, windows, z_sql
@@ -24,9 +24,10 @@ SIMULATIONS = 499
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, side, date, value): revenue of small and large lines by return flag."""
-    return inputs.table(spark, sf_dir, "lineitem").groupBy(
+    rows = inputs.table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_returnflag").alias("channel"), F.when(F.col("l_quantity") > 25, "a").otherwise("b").alias("side"), F.to_date("l_shipdate").alias("date")
     ).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("value"))
+    return written(rows)
 
 
 _SD = "SD AS (SELECT l_returnflag AS channel, CASE WHEN l_quantity > 25 THEN 'a' ELSE 'b' END AS side, CAST(l_shipdate AS DATE) AS date, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem GROUP BY ALL)"
@@ -34,7 +35,7 @@ _SD = "SD AS (SELECT l_returnflag AS channel, CASE WHEN l_quantity > 25 THEN 'a'
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, variant, side, date, value): logarithms of _rows, plain and without their line."""
-    return phases.variants(_rows(spark, sf_dir), ["channel", "side"]).select("channel", "variant", "side", "date", "value")
+    return written(phases.variants(_rows(spark, sf_dir), ["channel", "side"]).select("channel", "variant", "side", "date", "value"))
 
 
 def significance(rows: DataFrame, bands: dict[str, tuple[int, int]], simulations: int) -> DataFrame:

@@ -101,15 +101,29 @@ def sampling_window_spectrum_positive(spark: SparkSession, sf_dir: str) -> DataF
     return tidy(spectra.sampling_window(rows, ["channel"], 20, 700, positive=True, limits=limits))
 
 
-@query(with_("O", "I AS (SELECT channel, value, row_number() OVER (PARTITION BY channel ORDER BY date) - 1 AS i FROM O)", "M AS (SELECT channel, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM O GROUP BY 1)", "KK AS (SELECT channel, n, unnest(generate_series(CAST(greatest(1, ceil(n / 700.0)) AS BIGINT), CAST(least(n / 2 - 1, floor(n / 200.0)) AS BIGINT))) AS k FROM M)", f"FS AS (SELECT I.channel, n, k, sum(value * cos({PI2} * ((k * i) % n / n::DOUBLE))) AS re, -sum(value * sin({PI2} * ((k * i) % n / n::DOUBLE))) AS im FROM I JOIN KK ON I.channel = KK.channel GROUP BY ALL)") + "SELECT channel, round(k / n::DOUBLE, 7) AS frequency_cpd, round(n / k::DOUBLE, 7) AS period_days, round(2 * (re * re + im * im) / 1e15, 7) AS power, round(degrees(atan2(im, re)), 7) AS phase_deg FROM FS")
+def _fourier_sql(low: str, top: str) -> str:
+    """The Fourier sums of every channel's positions, harmonics k of n from low to top."""
+    angle = f"{PI2} * ((k * i) % n / n::DOUBLE)"
+    return with_(
+        "O", "I AS (SELECT channel, value, row_number() OVER (PARTITION BY channel ORDER BY date) - 1 AS i FROM O)", "M AS (SELECT channel, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM O GROUP BY 1)",
+        f"KK AS (SELECT channel, n, unnest(generate_series(CAST({low} AS BIGINT), CAST({top} AS BIGINT))) AS k FROM M)", f"FS AS (SELECT I.channel, n, k, sum(value * cos({angle})) AS re, -sum(value * sin({angle})) AS im FROM I JOIN KK ON I.channel = KK.channel GROUP BY ALL)",
+    )
+
+
+_FOURIER = "SELECT channel, round(k / n::DOUBLE, 7) AS frequency_cpd, round(n / k::DOUBLE, 7) AS period_days, round(2 * (re * re + im * im) / 1e15, 7) AS power, round(degrees(atan2(im, re)), {d}) AS phase_deg FROM FS"
+
+
+@query(_fourier_sql("greatest(1, ceil(n / 700.0))", "least(n / 2 - 1, floor(n / 200.0))") + _FOURIER.format(d=7))
 def fft_band_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power in units of 1e15."""
     return tidy(spectra.fourier_band(inputs.orders(spark, sf_dir), ["channel"], LO, HI).withColumn("power", F.col("power") / 1e15))
 
 
-@query()
+@query(_fourier_sql("1", "n / 2 - 1") + _FOURIER.format(d=2))
 def fft_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(spectra.fourier_full(inputs.orders(spark, sf_dir), ["channel"]))
+    """Power in units of 1e15."""
+    got = spectra.fourier_full(inputs.orders(spark, sf_dir), ["channel"]).withColumn("power", F.col("power") / 1e15)
+    return tidy(got).withColumn("phase_deg", F.round("phase_deg", 2))
 
 
 _SPEC = with_("O") + prepared_sql("O", "channel", log10=True) + lomb_sql(_freqs(LO, HI, N), "channel", floating=True)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     if context.applicationId not in _own:
         _own[context.applicationId] = tempfile.mkdtemp(prefix="tidal-")
     return _own[context.applicationId]
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows as read back from a table in the shared folder, for what is used many times; a lost executor costs no more than reading it again."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
