@@ -19,7 +19,12 @@ _codec: list = []
 
 
 def lean(task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """task, and at its end the memory that it freed goes back to the system, as workers live on between tasks."""
+    """task, and at its end the memory that it freed goes back to the system, as workers live on between tasks.
+
+    Called on the driver, where it makes the package importable in the session's workers.
+    """
+    if spark := SparkSession.getActiveSession():
+        ensure_session(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
