@@ -19,7 +19,7 @@ global order (rare tokens first): nodes that link share a prefix token.
 
 No pairs within a group are listed, and no link between nodes is lost: each pair
 of linked nodes that step 2 left in different groups is met in step 3.  The
-order of tokens (common ones, counted over all documents, last) bounds postings
+order of tokens (common ones, counted where they repeat in a batch, last) bounds postings
 and never changes results.
 
 Defined results: null, empty or blank texts have no shingle and link with

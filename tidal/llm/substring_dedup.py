@@ -9,8 +9,10 @@ stretches of windows seen more than once are merged into maximal
 repeats, which are cut from their documents.
 
 Windows that repeat within a batch are known as repeats where they are read: their
-spans are passed on by row, and one of them stands for all when runs meet.  So a
-passage in a third of all documents sends a few windows a batch to its anchor's task.
+spans are passed on by row, and one of them stands for all when runs meet.  The windows
+over a passage's edges, with other words around it in each document, don't repeat: a
+passage in very many documents sends about two runs a document to its anchor's task,
+which holds their hashes together.
 Only one row per run is shuffled (about one per 14 words), never pairs: a task
 sorts its runs by anchor and holds the hashes of one anchor at a time.
 
