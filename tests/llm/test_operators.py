@@ -265,6 +265,51 @@ def test_toxicity_held_out(spark):
     assert wins / (len(bad) * len(good)) > 0.75
 
 
+def ranking(rows, toxic):
+    """AUC of the held-out (doc_id, held_out, score, predicted) rows."""
+    bad, good = ([r["score"] for r in rows if r["held_out"] and toxic[r["doc_id"]] == label] for label in (1, 0))
+    return sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+
+
+def test_words_that_all_but_separate_labels_still_rank(spark):
+    """Whole Newton steps run away on these texts: a few clean ones hold the word, some toxic ones hold it 60 times as often."""
+    toxic = {i: int(i % 10 == 0) for i in range(1000)}
+    hits = {i: 2 * (60 if i // 10 % 5 == 0 else 1) if toxic[i] else int(i % 15 == 3) for i in toxic}
+    docs = spark.createDataFrame([(i, (" " if i % 3 else ". ").join(["zonk"] * hits[i] + ["word"] * (5 + i * 7 % 60))) for i in toxic], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert np.abs(model.coefficients).max() < 30
+    assert ranking(toxicity.scores(docs, model).collect(), toxic) > 0.95
+
+
+def marked_texts(spark, n, every, toxic_percent, clean_percent):
+    """Texts of which each every-th is toxic; zonk is in these shares of toxic and of other ones."""
+    u = {i: binascii.crc32(b"u%d" % i) % 100 for i in range(n)}
+    toxic = {i: int(binascii.crc32(b"y%d" % i) % every == 0) for i in range(n)}
+    docs = spark.createDataFrame([(i, "der text " + ("zonk" if u[i] < (toxic_percent if toxic[i] else clean_percent) else "wort")) for i in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int"), toxic
+
+
+@pytest.mark.parametrize("every, toxic_percent, clean_percent", [(50, 80, 5), (2, 90, 30)])
+def test_words_count_by_their_shares_in_either_label(spark, every, toxic_percent, clean_percent):
+    docs, labels, toxic = marked_texts(spark, 4000, every, toxic_percent, clean_percent)
+    assert ranking(toxicity.scores(docs, toxicity.fit(docs, labels)).collect(), toxic) > 0.72
+
+
+def test_labels_without_documents_take_no_place_in_the_sample(spark):
+    docs, labels, toxic = marked_texts(spark, 1000, 5, 95, 0)
+    others = spark.range(10_000, 110_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    model = toxicity.fit(docs, labels.union(others), sample=1000)
+    assert ranking(toxicity.scores(docs, model).collect(), toxic) > 0.9
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_label_alone(spark, label):
+    docs, labels, _ = marked_texts(spark, 100, 5, 95, 0)
+    got = toxicity.scores(docs, toxicity.fit(docs, labels.withColumn("toxic", F.lit(label)))).collect()
+    assert len(got) == 100 and all(r["predicted"] == label and 0 <= r["score"] <= 1 for r in got)
+
+
 # substring dedup
 
 def repeated(texts, window):
